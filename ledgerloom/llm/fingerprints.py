@@ -138,9 +138,10 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     half = F.expr("char_length(text) div 2")
     near = neighbours(base.select("k", half.alias("h")))
     coded = with_codes(base, "text", "codes")
+    # Both sides read the same columns of coded, so that its one exchange serves both.
     sent = (
         coded.join(near, "k")
-        .select("consumer", F.struct(F.expr("left(text, cast(consumer_h as int))").alias("prefix"), "codes").alias("sent"))
+        .select("consumer", F.struct(F.expr("left(text, cast(consumer_h as int))").alias("prefix"), "codes", "doc_id").alias("sent"))
         .groupBy(F.col("consumer").alias("k"))
         .agg(F.max("sent").alias("sent"))
     )
