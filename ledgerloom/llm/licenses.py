@@ -116,7 +116,7 @@ WITH template(rank, license_id, grams) AS (VALUES {rows}),
 segment AS (SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)), string_split(text, chr(10) || chr(10)), [text])) AS s
             FROM documents WHERE text IS NOT NULL),
 word AS (SELECT doc_id, s, string_split(trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM segment),
-gram AS (SELECT doc_id, s, list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS g FROM word WHERE len(w) > 1),
+gram AS (SELECT doc_id, s, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS g FROM word WHERE len(w) > 1),
 score AS (SELECT doc_id, s, license_id, rank, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM gram, template),
 best AS (SELECT doc_id, s, arg_min(license_id, rank) AS license_id, any_value(dice) AS dice
          FROM score WHERE (doc_id, s, dice) IN (SELECT (doc_id, s, max(dice)) FROM score WHERE dice >= {threshold} GROUP BY doc_id, s)
