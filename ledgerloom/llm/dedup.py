@@ -5,7 +5,7 @@ classes. The hash range is cut into ``BANDS * ROWS`` bins, every bin keeps its l
 that a fixed sequence of probes for it first finds filled. ROWS bins make a band, classes with an equal band share a
 bucket, and in a bucket only the edges from its least member to the others are candidates. Candidates are confirmed on
 the full sets. A star can miss links between two members that are both too far from its centre; so buckets whose members
-still lie in several components get further centres (1, 2, 4, ... at a time), each compared with members of other
+still lie in several components get further centres (7, 56, 448, ... at a time), each compared with members of other
 components only, until none is left. A pair is left out only if the distances of both to the first centre prove, by the
 triangle inequality of Jaccard distance, that it can't be a link.
 
@@ -98,7 +98,8 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node, hashes (the set's hashes as bytes) of the classes in nodes, made again from one document of each."""
+    """node, hashes (the set's hashes as bytes) of the classes in nodes, made again from their documents; repeated rows
+    give repeated sets."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,13 +116,14 @@ def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     ids = cut(nodes.select(F.col("node.id").alias("id")).distinct())
     chosen = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.col("text").cast("string"))
     made = chosen.join(small(ids, ids.count()), "id", "left_semi").mapInArrow(make, "id long, key binary, hashes binary")
-    return made.select(F.struct("id", "key").cast(NODE).alias("node"), "hashes").dropDuplicates(["node"]).join(nodes, "node", "left_semi")
+    return made.select(F.struct("id", "key").cast(NODE).alias("node"), "hashes").join(small(nodes, nodes.count()), "node", "left_semi")
 
 
-def _confirm(edges: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """edges (a, b) with the sizes of both sets and of their intersection, counted on the full sets."""
+def _confirm(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """edges (a, b; materialised) with the sizes of both sets and of their intersection, counted on the full sets."""
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    sets = cut(_sets(docs, nodes, k))
+    # Where the edges are few, only their sets are shuffled.
+    sets = sets.join(small(nodes, 2 * edges.count()), "node", "left_semi")
     # Members first: nearly every member occurs once, while a centre may occur in very many edges.
     both = edges.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b").join(
         sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a"
@@ -144,7 +146,7 @@ def _confirm(edges: DataFrame, docs: DataFrame, k: int) -> DataFrame:
                 names=["a", "b", "na", "nb", "shared"],
             )
 
-    return both.select("a", "b", "ha", "hb").mapInArrow(count, f"a {NODE}, b {NODE}, na long, nb long, shared long")
+    return both.select("a", "b", "ha", "hb").mapInArrow(count, f"a {NODE}, b {NODE}, na long, nb long, shared long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -154,7 +156,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         e = cut(
             large.join(least, "u")
@@ -190,9 +192,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         # One star a bucket. Sets whose sizes differ too much can't be linked.
         stars = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("size")).filter("size > 1")
         in_stars = members.join(stars, "bucket").filter("node != c.node")
+        shared = cut(in_stars.select("node").union(stars.select("c.node")).distinct())
+        sets = cut(_sets(docs, shared, k))
         by_size = F.lit(100) * F.least("n", "c.n") >= F.lit(percent) * F.greatest("n", "c.n")
         candidates = cut(in_stars.filter(by_size).select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct())
-        tested = cut(_confirm(candidates, docs, k))
+        tested = cut(_confirm(candidates, sets))
         links = tested.filter(_linked(percent)).select("a", "b")
         roots = cut(components(links))
 
@@ -218,7 +222,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         )
         low, most = 1, ranked.agg(F.max("rank")).first()[0] or 0
         while low < most:
-            high = min(2 * low, most)
+            high = min(8 * low, most)
             now = ranked.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             centre = now.filter((F.col("rank") >= low) & (F.col("rank") < high)).select(
                 "bucket", *(F.col(x).alias(f"c_{x}") for x in ("node", "n", "d", "rank", "root"))
@@ -231,11 +235,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
                 .select(F.col("c_node").alias("a"), F.col("node").alias("b"))
                 .distinct()
             )
-            found = cut(_confirm(cut(more), docs, k).filter(_linked(percent)).select("a", "b"))
-            if found.head(1):
+            low = high
+            more = cut(more)
+            if more.isEmpty():
+                continue
+            found = cut(_confirm(more, sets).filter(_linked(percent)).select("a", "b"))
+            if not found.isEmpty():
                 links = links.union(found)
                 roots = cut(components(links))
-            low = high
 
         label = roots.select(F.col("node.key").alias("key"), F.col("root.id").alias("root_id"))
         return (
