@@ -18,6 +18,7 @@ text are ignored.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +30,7 @@ from ledgerloom.llm._spark import cut, short_lived_shuffles
 from ledgerloom.llm._text import U64, mix, slices, words
 
 FOLDS, OUT_FOLD, EM_FOLD = 7, 2, 5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Context-frequency buckets: 0 for unseen contexts, then powers of two.
 BUCKETS = 32
 #: The histogram's cells are quarter octaves of c(w) and of p2; a cell keeps the sums of what falls into it.
@@ -96,9 +97,19 @@ class _Block:
         at = {kind: self.bounds(kind, buckets) for kind in ("uni", "bi")}
         for row in answers.to_pylist():
             for kind in ("uni", "bi"):
-                i = np.frombuffer(row[f"{kind}_at"], np.uint32) + at[kind][row["bucket"]]
+                i = np.cumsum(_unpack(row[f"{kind}_at"])) + at[kind][row["bucket"]]
                 for which in ("kept", "held"):
-                    getattr(self, f"{kind}_{which}")[i] = np.frombuffer(row[f"{kind}_{which}"], np.uint32)
+                    getattr(self, f"{kind}_{which}")[i] = _unpack(row[f"{kind}_{which}"])
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Small whole numbers, byte plane by byte plane, so that the many zeros take no room."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
 def _pack48(keys: np.ndarray) -> bytes:
@@ -115,15 +126,14 @@ def _ask(buckets: int):
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         block = _Block(table)
         uni, bi = block.bounds("uni", buckets), block.bounds("bi", buckets)
-        u32 = lambda x: x.astype(np.uint32).tobytes()
         rows = []
         for b in range(buckets):
             u, g = slice(uni[b], uni[b + 1]), slice(bi[b], bi[b + 1])
             if u.start < u.stop or g.start < g.stop:
                 rows.append({
                     "bucket": b, "block": key[0].as_py(),
-                    "uni": block.uni[u].tobytes(), "uni_kept": u32(block.uni_kept[u]), "uni_held": u32(block.uni_held[u]),
-                    "bi": _pack48(block.bi[g]), "bi_kept": u32(block.bi_kept[g]), "bi_held": u32(block.bi_held[g]),
+                    "uni": block.uni[u].tobytes(), "uni_kept": _pack(block.uni_kept[u]), "uni_held": _pack(block.uni_held[u]),
+                    "bi": _pack48(block.bi[g]), "bi_kept": _pack(block.bi_kept[g]), "bi_held": _pack(block.bi_held[g]),
                 })
         return pa.Table.from_pylist(rows, _arrow(_ASK))
 
@@ -135,7 +145,7 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
     stats = {"block": -1, "bucket": key[0].as_py()}
     for kind, unpack in (("uni", lambda x: np.frombuffer(x, U64)), ("bi", _unpack48)):
         parts = [unpack(x.as_py()) for x in table.column(kind)]
-        counts = [np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column(f"{kind}_{w}")]).astype(np.int64) for w in ("kept", "held")]
+        counts = [np.concatenate([_unpack(x.as_py()) for x in table.column(f"{kind}_{w}")]) for w in ("kept", "held")]
         keys, ends = np.concatenate(parts), np.cumsum([len(x) for x in parts])
         order = np.argsort(keys, kind="stable")
         ordered = keys[order]
@@ -154,9 +164,9 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
         for i, (row, end) in enumerate(zip(rows, ends, strict=True)):
             begin = end - len(parts[i])
             at = np.flatnonzero(several[begin:end])
-            row[f"{kind}_at"] = at.astype(np.uint32).tobytes()
+            row[f"{kind}_at"] = _pack(np.diff(at, prepend=0))
             for which, total in zip(("kept", "held"), totals, strict=True):
-                row[f"{kind}_{which}"] = total[run_of[begin + at]].astype(np.uint32).tobytes()
+                row[f"{kind}_{which}"] = _pack(total[run_of[begin + at]])
     return pa.Table.from_pylist([*rows, stats], _arrow(_ANSWER))
 
 
