@@ -1,0 +1,287 @@
+"""Operators against plain Python on a small table."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+
+from ledgerloom.llm import _text, catalog, decontaminate, dedup, licenses, packing, pii, quality, sharding
+
+SF = "/root/testdata/sf0.001"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def lower(text):
+    return text.translate(str.maketrans(UPPER, LOWER))
+
+
+def split(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def crc(doc_id, m):
+    return zlib.crc32(str(doc_id).encode()) % m
+
+
+def components(sets, percent):
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    where = defaultdict(list)
+    for i in sorted(sets):
+        shared = Counter(j for s in sets[i] for j in where[s])
+        for s in sets[i]:
+            where[s].append(i)
+        for j, n in shared.items():
+            if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}
+
+
+def shingles(text, k):
+    w = split(text)
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+def test_words_across_windows():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("abAB é\t\n"), n)) for n in (0, 1, 5, 400_000, 3)] + [None, "y" * 300_000 + " Z"]
+    found = []
+    for a, b, raw, offs in _text.slices(pa.array(texts)):
+        _, _, h, at = _text.words(raw, offs)
+        found += [h[at[i] : at[i + 1]].tolist() for i in range(b - a)]
+    want = [[_text.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[2][0] for w in split(t)] for t in texts]
+    assert found == [[int(x) for x in w] for w in want]
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates(spark, docs, k):
+    sets = {i: shingles(t, k) for i, t in docs.items()}
+    want = components(sets, 80)
+    rows = dedup.near_duplicates(spark.read.parquet(f"{SF}/documents.parquet"), k).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == {i: (len(sets[i]), want[i]) for i in sets}
+    assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
+
+
+def test_links_that_a_star_misses(spark):
+    """Chains of ever farther texts, and members linked to each other but not to the bucket's least."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(12):
+        words = [f"w{g}x{i}" for i in range(120)]
+        for i in range(12):
+            rows.append((g * 100 + i, " ".join(words)))
+            for at in rng.choice(120, 4 if g % 2 else 9, replace=False):
+                words[at] = f"n{rng.integers(10**9)}"
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: shingles(t, 1) for i, t in rows}
+    want = components(sets, 80)
+    assert len(set(want.values())) < len(want)
+    got = {r.doc_id: r.component_id for r in dedup.near_duplicates(table, k=1).collect()}
+    assert got == want
+
+
+def test_language_model(spark, docs):
+    count = Counter()
+    for i, t in docs.items():
+        if crc(i, 7) != 2:
+            count.update([*split(t), 0])
+    n, v = sum(count.values()), len(count)
+    rows = catalog.op4_lm(spark, SF).collect()
+    assert len(rows) == len(docs)
+    held = [0.0, 0.0]
+    for r in rows:
+        tokens = [*split(docs[r.doc_id]), 0]
+        base = sum(math.log10((count[t] + 1) / (n + v + 1)) for t in tokens)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (crc(r.doc_id, 7) == 2, len(tokens), sum(count[t] > 0 for t in tokens), n)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.score < 0
+        if r.held_out:
+            held = [held[0] + r.base_score, held[1] + r.score]
+    assert held[1] > held[0]
+
+
+def test_language_model_is_a_distribution(spark):
+    """The probabilities of all words and of the class of unknown ones after a context sum to 1."""
+    from ledgerloom.llm import lm
+
+    weights = lm.learn_weights([(1 * 200 * 200 + 3 * 200 + 2, 10.0, 0.5, 4.0), (0, 5.0, 0.0, 0.0)], 1 / 11)
+    assert np.allclose(weights.sum(1), 1) and weights[0, 0] == 0 and (weights[:, 2] > 0).all()
+    likelihood = lambda w: 10 * math.log(w[0] * 0.4 + w[1] * 0.05 + w[2] / 11)
+    assert likelihood(weights[1]) >= max(likelihood(x) for x in np.random.default_rng(0).dirichlet([1, 1, 1], 500)) - 0.05
+
+
+def test_quality(spark):
+    rows = {r.doc_id: r for r in catalog.op5_quality(spark, "/root/testdata/sf0.01").collect()}
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
+    held = [(rows[r.doc_id].predicted, r.quality) for r in labels if r.doc_id in rows and crc(r.doc_id, 3) == 1]
+    assert sum(a == b for a, b in held) / len(held) > 0.95
+    assert all(r.held_out == (crc(i, 3) == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for i, r in rows.items())
+
+
+def test_isotonic():
+    y = quality.pool_adjacent(np.arange(5), np.array([0.1, 0.5, 0.3, 0.2, 0.9]), np.array([1.0, 1, 1, 2, 1]))
+    assert np.allclose(y, [0.1, 0.3, 0.3, 0.3, 0.9])
+
+
+def smith_waterman(a, b):
+    row, best = [0] * (len(b) + 1), 0
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(0, row[j] + (2 if x == y else -1), row[j + 1] - 1, new[j] - 1))
+        row, best = new, max(best, *new)
+    return best
+
+
+def test_alignment():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        a, b = rng.integers(0, 4, 12), rng.integers(0, 4, 30)
+        assert decontaminate.align(a, b)[0] == smith_waterman(a.tolist(), b.tolist())
+
+
+def test_decontamination(spark, docs):
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    edited = dict(docs)
+    rng = np.random.default_rng(2)
+    for i, item in enumerate(items[:20]):
+        w = split(item)
+        for at in rng.choice(len(w), len(w) // 8, replace=False):
+            w[at] = f"changed{at}"
+        edited[10**6 + i] = "before the passage " + " ".join(w) + " and after it"
+    table = spark.createDataFrame(list(edited.items()), "doc_id long, text string")
+    got = {r.doc_id for r in decontaminate.leaks(table, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    exact = {i for i, t in edited.items() if any(" ".join(split(q)) in " ".join(split(t)) for q in items)}
+    assert exact <= got and {10**6 + i for i in range(20)} <= got
+    assert len(got - exact) <= 25
+
+
+def test_licenses(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(licenses.scan_sql()).fetchall()
+    got = [(r.doc_id, r.license_id, r.dice, r.segments) for r in catalog.op2_licenses(spark, SF).collect()]
+    assert sorted(got) == sorted(want) and got
+
+
+def test_fingerprints(spark, docs):
+    rows = {r.doc_id: r for r in catalog.op1_fingerprints(spark, SF).collect()}
+    order = sorted(docs, reverse=True)
+    by_text = defaultdict(set)
+    for at, i in enumerate(order):
+        text, after = docs[i], docs[order[(at + 1) % len(order)]]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        assert rows[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and rows[i].n_chars == len(text)
+        by_text[text].add(rows[i].fingerprint)
+    assert all(len(x) == 1 for x in by_text.values())
+    assert np.mean([r.near_edited for r in rows.values()]) > 3 * np.mean([r.near_next for r in rows.values()])
+
+
+def test_packing(spark, docs):
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(catalog.tokenizer_path())
+    want = {}
+    for i, t in docs.items():
+        ids = [*encode.encode(t, add_special_tokens=False).ids, 2]
+        first = len(ids) % 1024 or 1024
+        for piece, end in enumerate(range(min(first, len(ids)), len(ids) + 1, 1024)):
+            start = 0 if piece == 0 else end - 1024
+            want[i, piece] = (start, end - start, zlib.crc32(np.array(ids[start:end], "<u4").tobytes()))
+    rows = catalog.op9_packing(spark, SF).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want
+    by = defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    total = sum(x[1] for x in want.values())
+    assert len(by) <= math.ceil(total / 1024) * 1.1
+
+
+def fewest(counts, size):
+    """A lower bound: pieces that fit with none of a middle piece's size, and what the rest needs beyond the gaps."""
+    best = math.ceil(sum(k * n for k, n in counts.items()) / size)
+    for low in range(size // 2 + 1):
+        alone = sum(n for k, n in counts.items() if k > size - low)
+        half = {k: n for k, n in counts.items() if size / 2 < k <= size - low}
+        rest = sum(k * n for k, n in counts.items() if low <= k <= size / 2)
+        gaps = sum((size - k) * n for k, n in half.items())
+        best = max(best, alone + sum(half.values()) + max(0, math.ceil((rest - gaps) / size)))
+    return best
+
+
+def test_packing_plan():
+    rng = np.random.default_rng(4)
+    counts = dict(Counter(rng.integers(1, 65, 5000).tolist()))
+    plan = packing.plan(counts, 64)
+    used = Counter()
+    for lengths, n in plan:
+        assert sum(lengths) <= 64 and n > 0
+        for x in lengths:
+            used[x] += n
+    assert used == counts
+    assert sum(n for _, n in plan) <= 1.005 * fewest(counts, 64)
+
+
+def test_sharding(spark, docs):
+    rows = catalog.op10_sharding(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    slots = defaultdict(list)
+    for r in rows:
+        data = docs[r.doc_id].encode()
+        assert r.size == len(data) + 1 and r.text_crc32 == zlib.crc32(data) and r.grown_shard in (r.shard, 8)
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    counts = [len(slots[s]) for s in range(8)]
+    assert min(counts) > len(docs) / 8 / 3
+    tree = sharding.even_tree(8)
+    changed = {r: {k: dict(s) for k, s in racks.items()} for r, racks in tree.items()}
+    changed["region1"]["rack3"][7] = 3.0
+    table = spark.range(4000).withColumnRenamed("id", "doc_id")
+    a, b = ({r.doc_id: (r.region, r.rack, r.shard) for r in sharding.place(table, x).collect()} for x in (tree, changed))
+    moved = {i for i in a if a[i] != b[i]}
+    # Only the changed subtree's share moves: rows of region 0 that stay in region 0 keep their rack and shard.
+    assert moved and all(b[i][0] == 1 for i in moved)
+
+
+def test_surrogates(spark):
+    key = b"k"
+    for kind, entity in [("card", "4111111111111111"), ("iban", "DE89370400440532013000"), ("phone", "+15551234567"), ("ssn", "123456789"), ("email", "ann@x.org")]:
+        new = pii.surrogate(key, kind, entity, 0)
+        assert new != entity and (kind == "email" or len(new) == len(entity))
+    assert pii.luhn(pii.surrogate(key, "card", "4111111111111111", 0)) == 0
+    assert pii.surrogate(key, "name", "Frau Anna Schmidt", 0).split(" ")[1] in pii.NAMES["f", "latin"]
+    assert pii.dress("phone", "+1 (555) 123-4567", "+19998887777") == "+1 (999) 888-7777"
+    rows = [(i, f"call +1 (555) 000-{i:04d} or Mr. Smith{chr(65 + i % 26)} token = \"deadbeef{i:08d}\" mail a{i % 50}@b.org, A{i % 50}@B.ORG") for i in range(300)]
+    out = pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    phones = {re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", r.text)[0] for r in out}
+    mails = defaultdict(set)
+    for r in out:
+        assert "555) 000" not in r.text and "deadbeef" not in r.text and "Smith" not in r.text and r.n_entities == 5
+        a, b = re.findall(r"\S+@\S+?(?=,|$)", r.text)
+        assert a.lower() == b.lower() and b == b.upper()
+        mails[r.doc_id % 50].add(a)
+    assert len(phones) == 300 and all(len(x) == 1 for x in mails.values()) and len(set.union(*mails.values())) == 50
