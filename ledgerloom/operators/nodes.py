@@ -156,3 +156,29 @@ def scoped_transactions(object_versions: DataFrame) -> DataFrame:
         .groupBy("hash", "ledger_index")
         .agg(F.sort_array(F.collect_set("address")).alias("accounts"))
     )
+
+
+def rescan(transactions: DataFrame, issuances: DataFrame, stored: DataFrame) -> DataFrame:
+    """issuance_id, status, missing: a safety re-derivation of all enabled issuances against the stored deltas.
+
+    One job covers all issuances; those whose derivation would differ are marked and don't hold up the others."""
+    enabled = issuances.filter("enabled")
+    keys = ["hash", "address", "issuance_id"]
+    fresh = derive(transactions, enabled).select(*keys, F.col("delta").alias("_fresh"))
+    both = fresh.join(stored.select(*keys, F.col("delta").alias("_stored")), keys, "left")
+    wrong = F.count_if(~F.col("_fresh").eqNullSafe(F.col("_stored")))
+    found = both.groupBy("issuance_id").agg(wrong.alias("_wrong"))
+    missing = F.coalesce("_wrong", F.lit(0))
+    return enabled.select("issuance_id").join(found, "issuance_id", "left").select(
+        "issuance_id", F.when(missing == 0, "success").otherwise("incomplete").alias("status"), missing.alias("missing")
+    )
+
+
+def entries(transactions: DataFrame, object_versions: DataFrame) -> DataFrame:
+    """Landed transactions as rows to store: type (unknown if missing) and the distinct accounts, issuer before holders."""
+    who = object_versions.select("hash", "issuer_account", "address").groupBy("hash").agg(
+        F.array_sort(F.collect_set("issuer_account")).alias("_i"), F.array_sort(F.collect_set("address")).alias("_h")
+    )
+    return transactions.join(who, "hash").select(
+        "hash", "ledger_index", F.coalesce("tx_type", F.lit("unknown")).alias("tx_type"), F.array_distinct(F.concat("_i", "_h")).alias("accounts")
+    )

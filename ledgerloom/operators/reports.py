@@ -246,3 +246,8 @@ def request_log(log: DataFrame, keys: list[str], latency: str, code: str, ok: Co
     codes = log.groupBy(*keys, code).count().groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(code, "count")))).alias("codes"))
     spans = log.groupBy(*keys).agg((F.max(seconds) - F.min(seconds)).alias("_s"))
     return main.join(codes, keys).join(spans, keys).withColumn("throughput", F.when(F.col("_s") > 0, F.col("ok") / F.col("_s"))).drop("_s")
+
+
+def job_summary(jobs: DataFrame) -> DataFrame:
+    """kind, status, jobs, fetched: how far backfill has come."""
+    return jobs.groupBy("kind", "status").agg(F.count("*").alias("jobs"), F.sum("tx_count").alias("fetched"))
