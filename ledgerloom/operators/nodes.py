@@ -40,49 +40,41 @@ def unreadable(transactions: DataFrame) -> DataFrame:
     return transactions.filter(F.col("meta_json").isNotNull() & X.parse_meta("meta_json")["AffectedNodes"].isNull()).select("hash", "ledger_index")
 
 
-def token_nodes(nodes: DataFrame, issuances: DataFrame) -> DataFrame:
-    """Versions of integer-token objects of tracked issuances, with issuance_id, address, final and prior amounts."""
-    dim = issuances.filter("kind = 'mpt'").select("issuance_id", F.upper("mpt_issuance_id").alias("_mpt"), "issuer_account")
-    return (
-        nodes.filter("entry_type = 'MPToken'")
-        .withColumn("_mpt", F.upper("fields.MPTokenIssuanceID"))
-        .join(dim, "_mpt")
-        .filter("fields.Account is not null")
-        .select(
-            "hash", "ledger_index", "tx_index", "node_kind", "object_id", "deleted", "issuance_id", "issuer_account",
-            F.col("fields.Account").alias("address"),
-            X.integer_amount("fields.MPTAmount").cast(AMOUNT).alias("amount"),
-            X.integer_amount("previous.MPTAmount").cast(AMOUNT).alias("before"),
-            F.coalesce("fields.Flags", F.lit(0)).alias("flags"),
-        )
-    )
-
-
-def line_nodes(nodes: DataFrame, issuances: DataFrame) -> DataFrame:
-    """Versions of trust lines of tracked issuances, seen from the holder. Currencies are compared in readable form; where
-    both sides issue the currency, the issuer on the low side counts."""
-    dim = issuances.filter("kind = 'iou'").select("issuance_id", X.currency_readable("currency").alias("_currency"), "issuer_account")
-    lines = nodes.filter("entry_type = 'RippleState'").withColumn("_currency", X.currency_readable(F.coalesce("fields.LowLimit.currency", "fields.HighLimit.currency")))
-    lines = lines.withColumn("_low", F.col("fields.LowLimit.issuer")).withColumn("_high", F.col("fields.HighLimit.issuer"))
-    low = dim.select(F.col("issuance_id").alias("_l"), "_currency", F.col("issuer_account").alias("_low"))
-    high = dim.select(F.col("issuance_id").alias("_h"), "_currency", F.col("issuer_account").alias("_high"))
-    both = lines.join(low, ["_currency", "_low"], "left").join(high, ["_currency", "_high"], "left").filter("_l is not null or _h is not null")
-    issuer_low = F.col("_l").isNotNull()
-    sign = X.holder_sign(~issuer_low)
-    return both.select(
-        "hash", "ledger_index", "tx_index", "node_kind", "object_id", "deleted",
-        F.coalesce("_l", "_h").alias("issuance_id"),
-        F.when(issuer_low, F.col("_low")).otherwise(F.col("_high")).alias("issuer_account"),
-        F.when(issuer_low, F.col("_high")).otherwise(F.col("_low")).alias("address"),
-        (X.decimal_amount(F.coalesce(X.object_value("fields.Balance"), F.lit("0"))) * sign).cast(AMOUNT).alias("amount"),
-        (X.decimal_amount(X.object_value("previous.Balance")) * sign).cast(AMOUNT).alias("before"),
-        F.lit(0).cast("long").alias("flags"),
-    )
-
-
 def versions(nodes: DataFrame, issuances: DataFrame) -> DataFrame:
-    """Object versions of all tracked issuances, of both kinds, in one pass."""
-    return token_nodes(nodes, issuances).unionByName(line_nodes(nodes, issuances))
+    """Object versions of all tracked issuances, of both kinds, in one pass over the nodes: with issuance_id, address (the
+    holder), amount and before (seen from the holder).
+
+    Integer tokens match by issuance id. Trust lines match by currency, compared in readable form, and the issuer on either
+    side; where both sides issue the currency, the low one counts."""
+    mpt = issuances.filter("kind = 'mpt'").select(F.upper("mpt_issuance_id").alias("_mpt"), F.col("issuance_id").alias("_t"), F.col("issuer_account").alias("_t_issuer"))
+    iou = issuances.filter("kind = 'iou'").select("issuance_id", X.currency_readable("currency").alias("_c"), "issuer_account")
+    side = lambda name: iou.select(F.concat_ws("/", "_c", "issuer_account").alias(f"_{name}"), F.col("issuance_id").alias(f"_{name}_id"))
+    token = F.col("entry_type") == "MPToken"
+    # A key that a row doesn't have becomes one of its own, so that such rows don't gather in one task of a shuffle join.
+    own = F.concat(F.lit("-"), "hash", "object_id")
+    currency = X.currency_readable(F.coalesce("fields.LowLimit.currency", "fields.HighLimit.currency"))
+    low, high = F.col("fields.LowLimit.issuer"), F.col("fields.HighLimit.issuer")
+    keyed = nodes.filter("entry_type in ('MPToken', 'RippleState')").withColumns(
+        {
+            "_mpt": F.coalesce(F.when(token, F.upper("fields.MPTokenIssuanceID")), own),
+            "_low": F.when(token | currency.isNull() | low.isNull(), own).otherwise(F.concat_ws("/", currency, low)),
+            "_high": F.when(token | currency.isNull() | high.isNull(), own).otherwise(F.concat_ws("/", currency, high)),
+        }
+    )
+    found = keyed.join(mpt, "_mpt", "left").join(side("low"), "_low", "left").join(side("high"), "_high", "left")
+    issuer_low = F.col("_low_id").isNotNull()
+    sign = X.holder_sign(~issuer_low)
+    line_amount = X.decimal_amount(F.coalesce(X.object_value("fields.Balance"), F.lit("0"))) * sign
+    line_before = X.decimal_amount(X.object_value("previous.Balance")) * sign
+    return found.select(
+        "hash", "ledger_index", "tx_index", "node_kind", "entry_type", "object_id", "deleted",
+        F.coalesce("_t", "_low_id", "_high_id").alias("issuance_id"),
+        F.when(token, F.col("_t_issuer")).when(issuer_low, low).otherwise(high).alias("issuer_account"),
+        F.when(token, F.col("fields.Account")).when(issuer_low, high).otherwise(low).alias("address"),
+        F.when(token, X.integer_amount("fields.MPTAmount").cast(AMOUNT)).otherwise(line_amount.cast(AMOUNT)).alias("amount"),
+        F.when(token, X.integer_amount("previous.MPTAmount").cast(AMOUNT)).otherwise(line_before.cast(AMOUNT)).alias("before"),
+        F.when(token, F.coalesce("fields.Flags", F.lit(0))).otherwise(F.lit(0)).alias("flags"),
+    ).filter("issuance_id is not null and address is not null")
 
 
 def deltas(object_versions: DataFrame) -> DataFrame:
@@ -90,7 +82,7 @@ def deltas(object_versions: DataFrame) -> DataFrame:
     account in a transaction are added up.
 
     Created objects count from zero and deleted ones to zero. A modified integer token without a prior amount counts from
-    zero (token_nodes has 0 there); a modified trust line without one doesn't count (its prior amount is null)."""
+    zero (versions has 0 there); a modified trust line without one doesn't count (its prior amount is null)."""
     before = F.when(F.col("node_kind") == "CreatedNode", F.lit(0)).when(
         F.col("node_kind") == "DeletedNode", F.col("amount")
     ).otherwise(F.col("before"))

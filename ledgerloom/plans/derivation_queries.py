@@ -25,13 +25,13 @@ _DELTA = "CASE node_kind WHEN 'CreatedNode' THEN final_amount WHEN 'DeletedNode'
 
 @query(f"SELECT hash, ledger_index, address, issuance_id, CAST({_DELTA} AS DOUBLE) AS delta FROM a_nodes WHERE issuance_id % 2 = 0 AND {_DELTA} <> 0")
 def nod2_integer_deltas(t: DriverTables) -> DataFrame:
-    found = nodes.deltas(nodes.token_nodes(nodes.flatten(t.documents_of_metadata()), t.issuances()))
+    found = nodes.deltas(_versions(t).filter("entry_type = 'MPToken'"))
     return found.withColumn("delta", F.col("delta").cast("double"))
 
 
 @query(f"SELECT hash, ledger_index, address, issuance_id, CAST({_DELTA} AS DOUBLE) AS delta FROM a_nodes WHERE issuance_id % 2 = 1 AND {_DELTA} <> 0")
 def nod4_decimal_deltas(t: DriverTables) -> DataFrame:
-    found = nodes.deltas(nodes.line_nodes(nodes.flatten(t.documents_of_metadata()), t.issuances()))
+    found = nodes.deltas(_versions(t).filter("entry_type = 'RippleState'"))
     return found.withColumn("delta", F.col("delta").cast("double"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +10,10 @@ MONEY = "decimal(28,2)"
 
 
 class DriverTables:
-    """Each method is a lazily built table; nothing is read until an action runs."""
+    """Each method is a lazily built table; nothing is read until an action runs.
+
+    The two derived tables that stand for stored ones of an archive, movements and metadata documents, are persisted
+    (memory and disk): the views above them, often several in one query, then read them and don't join again."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -55,7 +59,7 @@ class DriverTables:
         orders = self.raw("orders").select("o_orderkey", "o_orderdate", "o_custkey")
         lines = self.raw("lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_returnflag")
         suppliers = self.raw("supplier").select("s_suppkey", "s_nationkey")
-        return (
+        moved = (
             lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
             .groupBy("o_orderkey", "o_orderdate", "o_custkey", "s_nationkey")
@@ -69,6 +73,7 @@ class DriverTables:
                 "delta",
             )
         )
+        return moved.persist(StorageLevel.MEMORY_AND_DISK)
 
     def balance_deltas(self) -> DataFrame:
         return self.movements().filter("delta <> 0").select("hash", "ledger_index", "address", "issuance_id", "delta")
@@ -151,7 +156,7 @@ class DriverTables:
         )
         nodes = self.nodes().join(i, "issuance_id").withColumn("node", json)
         metas = nodes.groupBy("hash").agg(F.array_join(F.sort_array(F.collect_list("node")), ",").alias("nodes"))
-        return self.transactions().join(metas, "hash").select(
+        documents = self.transactions().join(metas, "hash").select(
             "hash",
             "ledger_index",
             "tx_index",
@@ -164,6 +169,7 @@ class DriverTables:
                 F.lit("]}"),
             ).alias("meta_json"),
         )
+        return documents.persist(StorageLevel.MEMORY_AND_DISK)
 
     def tail(self) -> DataFrame:
         e = F.col("event_id")
