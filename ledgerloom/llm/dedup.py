@@ -3,11 +3,11 @@
 A document's set holds the hashes of its distinct k-word shingles. Equal sets form a class, and everything below works on
 classes. The hash range is cut into ``BANDS * ROWS`` bins, every bin keeps its least hash, an empty bin copies the bin
 that a fixed sequence of probes for it first finds filled. ROWS bins make a band, classes with an equal band share a
-bucket, and in a bucket only the edges from its least member to the others are candidates. Candidates are confirmed on
+bucket, and in a bucket only the edges from one member, its centre, to the others are candidates. Candidates are confirmed on
 the full sets. A star can miss links between two members that are both too far from its centre; so buckets whose members
 still lie in several components get further centres (7, 56, 448, ... at a time), each compared with members of other
-components only, until none is left. A pair is left out only if the distances of both to the first centre prove, by the
-triangle inequality of Jaccard distance, that it can't be a link.
+components only, until none is left. There a pair is left out only if it is proven to be no link: by the shingles that no
+other set has, or by both distances to the first centre and the triangle inequality of Jaccard distance.
 
 Edge cases: null and empty texts, and texts without words, have an empty set and are linked with nothing; a text of fewer
 words than k has its whole word sequence as one shingle; repeated rows and ties are equal sets; a null id counts as the
@@ -149,6 +149,23 @@ def _confirm(edges: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "ha", "hb").mapInArrow(count, f"a {NODE}, b {NODE}, na long, nb long, shared long").distinct()
 
 
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """node, own: how many shingles of a set no other of these sets has."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            at = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+            h = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            for i in range(0, len(h), 1 << 18):
+                piece = slice(i, i + (1 << 18))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[piece])), pa.array(h[piece])], names=["node", "h"])
+
+    each = sets.select("node", "hashes").mapInArrow(spread, f"node {NODE}, h long")
+    once = each.groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
+    return once.groupBy("node").agg(F.count("*").alias("own"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node that it reaches) for the nodes of edges (a, b), by alternating large and small stars."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
@@ -189,11 +206,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             .dropDuplicates(["id", "key"])
             .select(F.struct("id", "key").cast(NODE).alias("node"), "n", F.explode("bands").alias("bucket"))
         )
-        # One star a bucket. Sets whose sizes differ too much can't be linked.
-        stars = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("size")).filter("size > 1")
-        in_stars = members.join(stars, "bucket").filter("node != c.node")
-        shared = cut(in_stars.select("node").union(stars.select("c.node")).distinct())
-        sets = cut(_sets(docs, shared, k))
+        # One star a bucket, around the member that shares the most places in buckets with others: of a group of copies
+        # that is the original, if it is there, to which all are nearer than to each other. Ties go to the least node.
+        sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+        shared = members.join(sizes, "bucket")
+        places = shared.groupBy("node").agg((-F.sum("size")).alias("order"))
+        shared = cut(shared.drop("size").join(places, "node"))
+        stars = shared.groupBy("bucket").agg(F.min(F.struct("order", "node", "n")).alias("c"))
+        sets = cut(_sets(docs, cut(shared.select("node").distinct()), k))
+        # Sets whose sizes differ too much can't be linked.
+        in_stars = shared.join(stars, "bucket").filter("node != c.node")
         by_size = F.lit(100) * F.least("n", "c.n") >= F.lit(percent) * F.greatest("n", "c.n")
         candidates = cut(in_stars.filter(by_size).select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct())
         tested = cut(_confirm(candidates, sets))
@@ -202,14 +224,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
         # Buckets that still hold several components.
         distance = 1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-        known = tested.select("a", "b", distance.alias("d"))
+        known = tested.select("a", "b", distance.alias("d"), F.col("shared").alias("common"))
         residual = (
-            members.join(stars.select("bucket", F.col("c.node").alias("c")), "bucket")
+            shared.join(stars.select("bucket", F.col("c.node").alias("c")), "bucket")
             .join(known, (F.col("a") == F.col("c")) & (F.col("b") == F.col("node")), "left")
-            .select("bucket", "node", "n", F.when(F.col("node") == F.col("c"), F.lit(0.0)).otherwise(F.col("d")).alias("d"))
-        )
+            .select(
+                "bucket", "node", "n", "order",
+                F.when(F.col("node") == F.col("c"), F.lit(0.0)).otherwise(F.col("d")).alias("d"),
+                F.when(F.col("node") == F.col("c"), F.col("n")).otherwise(F.col("common")).alias("common"),
+            )
+        )
         several = (
-            residual.join(roots, "node", "left")
+            shared.join(roots, "node", "left")
             .groupBy("bucket")
             .agg(F.min(F.coalesce("root", "node")).alias("lo"), F.max(F.coalesce("root", "node")).alias("hi"), F.count("*").alias("size"))
             .filter("lo != hi and size > 2")
@@ -217,23 +243,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         )
         ranked = cut(
             residual.join(several, "bucket").withColumn(
-                "rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node")) - 1
+                "rank", F.row_number().over(Window.partitionBy("bucket").orderBy("order", "node")) - 1
             )
         )
+        # Shingles that only one of these sets has bound what it can share with any other.
+        nodes = cut(ranked.select("node").distinct())
+        own = _own_shingles(sets.join(small(nodes, nodes.count()), "node", "left_semi"))
+        places = ranked.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))  # at most BANDS
+        ranked = cut(
+            ranked.join(own, "node", "left").join(places, "node").withColumn("rest", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+        )
+        # What two sets can share at most: nothing that is a set's own; and, with the bucket's first centre, no more than
+        # either shares with it, and outside of it no more than either has there.
+        outside = F.least(F.col("rest") - F.col("common"), F.col("c_rest") - F.col("c_common"))
+        most_shared = F.least("rest", "c_rest", F.least("common", "c_common") + outside)
+        most_shared = F.when(F.col("common").isNull() | F.col("c_common").isNull(), F.least("rest", "c_rest")).otherwise(most_shared)
         low, most = 1, ranked.agg(F.max("rank")).first()[0] or 0
         while low < most:
             high = min(8 * low, most)
             now = ranked.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             centre = now.filter((F.col("rank") >= low) & (F.col("rank") < high)).select(
-                "bucket", *(F.col(x).alias(f"c_{x}") for x in ("node", "n", "d", "rank", "root"))
+                "bucket", *(F.col(x).alias(f"c_{x}") for x in ("node", "n", "d", "rank", "root", "rest", "common", "buckets"))
             )
             more = (
                 now.join(centre, "bucket")
                 .filter("rank > c_rank and root != c_root")
-                .filter(F.lit(100) * F.least("n", "c_n") >= F.lit(percent) * F.greatest("n", "c_n"))
+                .filter(100 * most_shared >= percent * (F.col("n") + F.col("c_n") - most_shared))
                 .filter(F.coalesce(F.abs(F.col("d") - F.col("c_d")) <= 1 - percent / 100 + 1e-9, F.lit(True)))
+                # Of the buckets that both are in, one emits the pair.
+                .filter(F.array_min(F.array_intersect("buckets", "c_buckets")) == F.col("bucket"))
                 .select(F.col("c_node").alias("a"), F.col("node").alias("b"))
-                .distinct()
             )
             low = high
             more = cut(more)
