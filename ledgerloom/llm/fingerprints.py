@@ -113,13 +113,9 @@ def neighbours(ids: DataFrame) -> DataFrame:
     ranged = cut(ids.groupBy("k").agg(F.max("h").alias("h")).repartitionByRange("k").withColumn("_part", F.spark_partition_id()))
     here = Window.partitionBy("_part").orderBy("k")
     firsts = ranged.groupBy("_part").agg(F.min(F.struct("k", "h")).alias("_first"))
-    parts = Window.orderBy("_part")
-    least = firsts.agg(F.min("_first").alias("_least"))
-    firsts = (
-        firsts.withColumn("_after", F.lead("_first").over(parts))
-        .crossJoin(F.broadcast(least))  # one row
-        .select("_part", F.coalesce("_after", "_least").alias("_after"))
-    )
+    parts = Window.orderBy("_part")  # one row a partition
+    whole = parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    firsts = firsts.select("_part", F.coalesce(F.lead("_first").over(parts), F.min("_first").over(whole)).alias("_after"))
     return (
         ranged.withColumn("_next", F.lead(F.struct("k", "h")).over(here))
         .join(firsts, "_part")
