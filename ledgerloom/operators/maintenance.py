@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.session import one_row
+
 
 def exclusive_accounts(membership: DataFrame, issuance: DataFrame) -> DataFrame:
     """Accounts that are members of the issuance (one row: issuance_id) and of no other."""
@@ -39,12 +41,11 @@ def delete_issuance(tables: dict[str, DataFrame], issuance_id: int) -> tuple[dic
     )
     kept = new["balance_deltas"].join(gone, "address", "left_semi")
     count = lambda df, name: df.agg(F.count("*").alias(name))
-    counts = count(gone, "accounts_removed")
+    counts = [count(gone, "accounts_removed"), count(kept, "deltas_kept")]
     for name, out in (("balance_deltas", "deltas_removed"), ("account_transactions", "links_removed"), ("coverage", "coverage_removed"), ("transactions", "transactions_removed")):
         if name in tables:
-            both = count(tables[name], "_a").crossJoin(count(new[name], "_b"))  # one row each
-            counts = counts.crossJoin(both.select((F.col("_a") - F.col("_b")).alias(out)))
-    return new, counts.crossJoin(count(kept, "deltas_kept"))
+            counts.append(one_row(count(tables[name], "_a"), count(new[name], "_b")).select((F.col("_a") - F.col("_b")).alias(out)))
+    return new, one_row(*counts)
 
 
 def compact(spark: SparkSession, source: str, target: str, partition: str | None = None, files: int | None = None) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import exprs as X
+from ledgerloom.functions.session import one_row
 from ledgerloom.operators import scope
 from ledgerloom.operators.scope import INVALID, NOT_IN_ARCHIVE, OUT_OF_COVERAGE, status
 
@@ -220,8 +221,9 @@ def latest_runs(runs: DataFrame) -> DataFrame:
 
 def scope_summary(issuances: DataFrame, coverage: DataFrame) -> DataFrame:
     """One row: how many issuances are tracked and the span of all coverage."""
-    return issuances.agg(F.count("*").alias("issuances"), F.count_if("enabled").alias("enabled")).crossJoin(
-        coverage.agg(F.min("from_ledger").alias("from_ledger"), F.max("to_ledger").alias("to_ledger"))  # one row each
+    return one_row(
+        issuances.agg(F.count("*").alias("issuances"), F.count_if("enabled").alias("enabled")),
+        coverage.agg(F.min("from_ledger").alias("from_ledger"), F.max("to_ledger").alias("to_ledger")),
     )
 
 

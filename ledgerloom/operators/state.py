@@ -79,7 +79,7 @@ def reported_ledger(requests: DataFrame, coverage: DataFrame, latest: DataFrame)
     ends = coverage.groupBy("address").agg(F.max("to_ledger").alias("_to"))
     return (
         requests.join(ends, "address", "left")
-        .crossJoin(latest.select(F.col("latest").alias("_latest")))  # one row
+        .withColumn("_latest", latest.select("latest").scalar())
         .withColumn("as_of_ledger", F.coalesce("_to", "_latest"))
         .withColumn("uncovered", F.col("_to").isNull())
         .drop("_to", "_latest")

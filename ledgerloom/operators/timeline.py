@@ -44,7 +44,7 @@ def resolve_points(requests: DataFrame, ledgers: DataFrame, latest: DataFrame, f
     text = F.lower(F.trim(F.col("ledger_index").cast("string")))
     alias = text.isin("validated", "current", "latest")
     number = F.when(text.rlike("^[0-9]{1,15}$"), text).cast("long")
-    resolved = resolve_times(requests, ledgers).crossJoin(latest.select(F.col("latest").alias("_latest")))  # one row
+    resolved = resolve_times(requests, ledgers).withColumn("_latest", latest.select("latest").scalar())
     none = text.isNull() & F.col("time").isNull()
     usual = F.col("_latest") if fallback is None else F.coalesce(fallback, F.col("_latest"))
     point = F.coalesce(number, F.when(alias, F.col("_latest")), F.when(none, usual), F.when(text.isNull(), F.col("resolved_ledger")))

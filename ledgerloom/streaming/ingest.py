@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ledgerloom.functions.session import one_row
 from ledgerloom.operators import nodes, sinks
 from ledgerloom.sources import archive
 from ledgerloom.sources.schemas import TABLES
@@ -142,4 +143,4 @@ def statistics(tables: Tables, gaps: DataFrame) -> DataFrame:
     """One row: transactions stored, gaps found, the greatest ledger seen."""
     t = tables.log("transactions", SCHEMAS["transactions"]).agg(F.count("*").alias("ingested"))
     last = tables.log("ledgers", SCHEMAS["ledgers"]).agg(F.max("ledger_index").alias("last_ledger"))
-    return t.crossJoin(gaps.agg(F.count("*").alias("gaps"))).crossJoin(last)  # one row each
+    return one_row(t, gaps.agg(F.count("*").alias("gaps")), last)
