@@ -21,9 +21,20 @@ def shared_dir(spark: SparkSession) -> None:
         )
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers what Spark hands to Python at a time, for the session: a batch of texts then has some megabytes, whatever
+    their lengths, on either side."""
+    for key, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and reads it from there, so that nothing behind it runs again."""
     shared_dir(df.sparkSession)
+    bounded_batches(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
