@@ -5,7 +5,7 @@ classes. The hash range is cut into ``BANDS * ROWS`` bins, every bin keeps its l
 that a fixed sequence of probes for it first finds filled. ROWS bins make a band, classes with an equal band share a
 bucket, and in a bucket only the edges from one member, its centre, to the others are candidates. Candidates are confirmed on
 the full sets. A star can miss links between two members that are both too far from its centre; so buckets whose members
-still lie in several components get further centres (7, 56, 448, ... at a time), each compared with members of other
+still lie in several components get further centres (63, 4032, ... at a time), each compared with members of other
 components only, until none is left. There a pair is left out only if it is proven to be no link: by the shingles that no
 other set has, or by both distances to the first centre and the triangle inequality of Jaccard distance.
 
@@ -169,7 +169,6 @@ def _own_shingles(sets: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node that it reaches) for the nodes of edges (a, b), by alternating large and small stars."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
-    seen = None
     while True:
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
@@ -182,12 +181,13 @@ def components(edges: DataFrame) -> DataFrame:
             .filter("u != v")
             .distinct()
         )
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+        # Done when all are stars: every node has one root, and no root has another.
+        loose = e.select("u", F.lit(1).alias("edges"), F.lit(0).alias("is_root")).union(e.select("v", F.lit(0), F.lit(1)))
+        loose = loose.groupBy("u").agg(F.sum("edges").alias("edges"), F.max("is_root").alias("is_root"))
+        if loose.filter(F.col("edges") + F.col("is_root") > 1).isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
-        seen = now
 
 
 def _linked(percent: int) -> Column:
@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         most_shared = F.when(F.col("common").isNull() | F.col("c_common").isNull(), F.least("rest", "c_rest")).otherwise(most_shared)
         low, most = 1, ranked.agg(F.max("rank")).first()[0] or 0
         while low < most:
-            high = min(8 * low, most)
+            high = min(64 * low, most)
             now = ranked.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             centre = now.filter((F.col("rank") >= low) & (F.col("rank") < high)).select(
                 "bucket", *(F.col(x).alias(f"c_{x}") for x in ("node", "n", "d", "rank", "root", "rest", "common", "buckets"))
