@@ -1,13 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word pairs as seeds, counted against an exact bound, then Smith-Waterman alignment.
 
-Benchmark items and documents become word sequences (A-Z as a-z). Every n-gram of an item that occurs in the documents
-gets its corpus frequency, and of every ``window`` consecutive n-grams of an item the rarest is a seed: a copy that leaves
-n + window - 1 consecutive words of an item alone holds one of its seeds. Documents that hold a seed are aligned with the
-item around the diagonals of the hits; the best local score, as a share of the item's score with itself, says how much of
-the item the document repeats, whatever words were changed, added or dropped.
+Benchmark items and documents become word sequences (A-Z as a-z). The best local score of a document and an item, as a
+share of the item's score with itself, says how much of the item the document repeats, whatever words were changed, added
+or dropped. No pair at the threshold t is lost before it is aligned: of M matches with E errors between them, 2 M - E is at
+least 2 t L for an item of L words, so at least t L - 1 of the M - 1 neighbouring matches have one error between them at
+most. Their two words stand one or two places apart in the item and in the document. An item is thus aligned where so many
+places of a document, within the longest stretch that such an alignment can take, begin such a pair, and as many places of
+the item do.
 
 Edge cases: null and empty texts and items, and such without words, match nothing; items with equal words are one item,
-reported under the least item_id; an item of fewer than n words is one seed of its own length; repeated rows of an id
+reported under the least item_id; an item of at most 1 / t words is sought by its single words; repeated rows of an id
 count as one document with the best score; a null doc_id is kept as such; an empty table gives no rows; columns other
 than doc_id, item_id and text are ignored (leaks) or kept (without_leaks).
 """
@@ -15,19 +17,22 @@ than doc_id, item_id and text are ignored (leaks) or kept (without_leaks).
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm._spark import BROADCAST_ROWS, cut, short_lived_shuffles, small
-from ledgerloom.llm._text import U64, grams, slices, words
+from ledgerloom.llm._text import U64, mix, slices, words
 
-N, WINDOW, THRESHOLD = 3, 4, 0.5
+THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 NULL_ID = -(1 << 63)
+#: Seeds of items that are looked up or counted at a time; bounds the arrays.
+CHUNK = 2_000_000
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -54,69 +59,91 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return rows.filter("size(words) > 0").groupBy("key").agg(F.min("item_id").alias("item_id"), F.first("words").alias("words")).drop("key")
 
 
-def _item_grams(items: DataFrame, n: int) -> DataFrame:
-    """item_id, m (words in the gram), at (its place in the item), h."""
-
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for item, w in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                w = np.array(w.values).view(U64)
-                m = min(n, len(w))
-                rows += [(item, m, i, h) for i, h in enumerate(grams(w, m).view(np.int64).tolist())]
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("item_id", "m", "at", "h"), r, strict=True)) for r in rows],
-                pa.schema([("item_id", pa.int64()), ("m", pa.int32()), ("at", pa.int32()), ("h", pa.int64())]),
-            )
-
-    return items.select("item_id", "words").mapInArrow(cut_up, "item_id long, m int, at int, h long")
-
-
-def _hits(docs: DataFrame, item_grams: DataFrame) -> DataFrame:
-    """doc_id, pos, h for the grams of documents that an item has too."""
-    wanted = item_grams.select("m", "h").distinct()
-    n = wanted.count()
-    lengths = sorted(r["m"] for r in wanted.select("m").distinct().collect())  # at most n of them
-    seeds = None
-    if n <= BROADCAST_ROWS:
-        seeds = {m: np.sort(np.array([r["h"] for r in wanted.filter(F.col("m") == m).select("h").collect()], np.int64)) for m in lengths}
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, _, raw, offs in slices(batch.column(1)):
-                _, _, hashes, at = words(raw, offs)
-                doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                for m in lengths:
-                    h = grams(hashes, m).view(np.int64)
-                    ok = doc[: len(h)] == doc[m - 1 : m - 1 + len(h)]
-                    if seeds is not None:
-                        ok &= seeds[m][np.minimum(np.searchsorted(seeds[m], h), len(seeds[m]) - 1)] == h
-                    i = np.flatnonzero(ok)
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays(
-                            [batch.column(0).take(pa.array(doc[i] + a)), pa.array((i - at[doc[i]]).astype(np.int32)), pa.array(h[i])],
-                            names=["doc_id", "pos", "h"],
-                        )
-
-    found = docs.mapInArrow(find, "doc_id long, pos int, h long")
-    # More grams than may be broadcast: the documents' grams meet them in a shuffle join.
-    return found if seeds is not None else found.join(wanted.select("h").distinct(), "h", "left_semi").select("doc_id", "pos", "h")
-
-
-def _rarest(item_grams: DataFrame, frequency: DataFrame, window: int) -> DataFrame:
-    """The seeds: item_id, at, h of the rarest gram (with a corpus frequency) in each window of an item."""
-    known = item_grams.join(frequency, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    item = Window.partitionBy("item_id")
-    ahead = item.orderBy("at").rowsBetween(0, window - 1)
-    return (
-        known.withColumn("best", F.min(F.struct("n", "at", "h")).over(ahead))
-        .withColumn("last", F.max("at").over(item))
-        .filter(F.col("at") <= F.greatest(F.lit(0), F.col("last") - (window - 1)))
-        .select("item_id", F.col("best.at").alias("at"), F.col("best.h").alias("h"), F.col("best.n").alias("n"))
-        .distinct()
-        .filter("n > 0")
-        .drop("n")
-    )
+def _pairs(w: np.ndarray, apart: int) -> np.ndarray:
+    """Hashes of the words and those that stand so many places behind; 0: of single words."""
+    return mix(w) if apart == 0 else mix(mix(w[:-apart]) * U64(0xC2B2AE3D27D4EB4F) + w[apart:])
+
+
+class _Seeds:
+    """The word pairs of items: sorted hashes with the places (item, word) that begin them."""
+
+    def __init__(self, items: list[tuple[int, list[int]]], threshold: float):
+        self.ids = [i for i, _ in items]
+        self.words = [np.array(w, np.int64) for _, w in items]
+        lengths = np.array([len(w) for w in self.words])
+        #: Places that have to begin a pair at least, and words of a document that an alignment spans at most.
+        self.need = np.array([max(1, math.ceil(threshold * n - 1 - 1e-9)) for n in lengths])
+        self.span = np.array([math.ceil(n + 2 * n * max(0.0, 1 - threshold)) + 1 for n in lengths])
+        base = np.cumsum(lengths) - lengths
+        self.item_of = np.repeat(np.arange(len(items)), lengths)
+        hashes, places, self.apart = [], [], set()
+        for at, w in zip(base, self.words, strict=True):
+            for apart in (0,) if threshold * len(w) <= 1 + 1e-9 else (1, 2):
+                if apart < len(w):
+                    self.apart.add(apart)
+                    hashes.append(_pairs(w.view(U64), apart))
+                    places.append(at + np.arange(len(w) - apart))
+        hashes, places = np.concatenate(hashes), np.concatenate(places)
+        order = np.argsort(hashes, kind="stable")
+        self.place = places[order]
+        self.keys, first = np.unique(hashes[order], return_index=True)
+        self.first = np.append(first, len(order))
+        by_item = np.argsort(self.item_of[self.place], kind="stable")
+        ends = np.cumsum(np.bincount(self.item_of[self.place], minlength=len(items)))[:-1]
+        self.keys_of = np.split(np.repeat(np.arange(len(self.keys)), np.diff(self.first))[by_item], ends)
+        self.shift = U64(64 - min(24, 6 + len(self.keys).bit_length()))
+        self.maybe = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.maybe[(self.keys >> self.shift).astype(np.int64)] = True
+
+    def hits(self, hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, seed) for the words that begin a pair of an item, in order of the words."""
+        at, key = [], []
+        for apart in self.apart:
+            if len(hashes) > apart:
+                h = _pairs(hashes, apart)
+                i = np.flatnonzero(self.maybe[(h >> self.shift).astype(np.int64)] & (doc[: len(h)] == doc[apart:]))
+                k = np.minimum(np.searchsorted(self.keys, h[i]), len(self.keys) - 1)
+                ok = self.keys[k] == h[i]
+                at.append(i[ok])
+                key.append(k[ok])
+        if not at:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at, key = np.concatenate(at), np.concatenate(key)
+        order = np.argsort(at, kind="stable")
+        return at[order], key[order]
+
+    def candidates(self, doc: np.ndarray, key: np.ndarray) -> list[tuple[int, int]]:
+        """(document, item) with enough places of the item among the seeds of the document."""
+        both = np.unique(doc * len(self.keys) + key)
+        doc, key = both // len(self.keys), both % len(self.keys)
+        n = self.first[key + 1] - self.first[key]
+        total, out, a = np.cumsum(n), [], 0
+        while a < len(doc):
+            # Whole documents: one has each seed once, so no more places than all items have.
+            b = int(np.searchsorted(total, (total[a - 1] if a else 0) + CHUNK, "right"))
+            b = int(np.searchsorted(doc, doc[min(b, len(doc) - 1)], "left")) if b < len(doc) else b
+            b = max(b, int(np.searchsorted(doc, doc[a], "right")))
+            m = n[a:b]
+            entry = np.repeat(self.first[key[a:b]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            place = np.unique(np.repeat(doc[a:b], m) * len(self.item_of) + self.place[entry])
+            pair, count = np.unique(place // len(self.item_of) * len(self.ids) + self.item_of[place % len(self.item_of)], return_counts=True)
+            pair = pair[count >= self.need[pair % len(self.ids)]]
+            out += zip((pair // len(self.ids)).tolist(), (pair % len(self.ids)).tolist(), strict=True)
+            a = b
+        return out
+
+    def stretches(self, item: int, at: np.ndarray, key: np.ndarray) -> list[tuple[int, int]]:
+        """(first, last) words of a document around the places that are dense enough."""
+        at = np.unique(at[np.isin(key, self.keys_of[item])])
+        need, span = int(self.need[item]), int(self.span[item])
+        if len(at) < need:
+            return []
+        start = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] <= span)
+        low, high = at[start] - span, at[start + need - 1] + span
+        if not len(low):
+            return []
+        new = np.flatnonzero(low[1:] > high[:-1]) + 1
+        return list(zip(low[np.append(0, new)].tolist(), high[np.append(new - 1, len(low) - 1)].tolist(), strict=True))
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -134,60 +161,58 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, window: int = WINDOW, threshold: float = THRESHOLD) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score (share of the item's own score, above the threshold), end_word for contaminated documents."""
     with short_lived_shuffles(docs.sparkSession):
         base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string"))
         items = cut(_items(benchmark))
-        item_grams = cut(_item_grams(items, n))
-        hits = cut(_hits(base, item_grams))
-        seeds = cut(_rarest(item_grams, hits.groupBy("h").agg(F.count("*").alias("n")), window))
-        pairs = (
-            hits.join(small(seeds, seeds.count()), "h")
-            .groupBy("doc_id", "item_id")
-            .agg(F.sort_array(F.collect_set(F.col("pos") - F.col("at"))).alias("diagonals"))
+        # A part of the items is held at once; a benchmark of more words takes several passes over the documents.
+        n = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n")).head()["n"]
+        parts = max(1, -(-n // (BROADCAST_ROWS // 2)))
+        scored = None
+        for part in range(parts):
+            rows = items.filter(F.pmod(F.xxhash64("words"), F.lit(parts)) == part).select("item_id", "words").collect()
+            if rows or part == 0:
+                found = _score(base, [(r["item_id"], r["words"]) for r in rows], threshold)
+                scored = found if scored is None else scored.union(found)
+        return (
+            scored.groupBy("doc_id", "item_id")
+            .agg(F.max(F.struct("score", "end_word")).alias("best"))
+            .select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "item_id", "best.score", "best.end_word")
         )
-        pairs = cut(pairs.join(items, "item_id"))
-        ids = cut(pairs.select("doc_id").distinct())
-        texts = base.join(small(ids, ids.count()), "doc_id", "left_semi")
-        return _score(texts.join(pairs, "doc_id"), threshold)
 
 
-def _score(candidates: DataFrame, threshold: float) -> DataFrame:
+def _score(docs: DataFrame, items: list[tuple[int, list[int]]], threshold: float) -> DataFrame:
+    schema = "doc_id long, item_id long, score double, end_word long"
+    if not items:
+        return docs.sparkSession.createDataFrame([], schema)
+    seeds = _Seeds(items, threshold)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            column = batch.column(1)
-            for a, b, raw, offs in slices(column):
+            for a, _, raw, offs in slices(batch.column(1)):
                 _, _, hashes, at = words(raw, offs)
-                for i in range(b - a):
-                    text = hashes[at[i] : at[i + 1]].view(np.int64)
-                    item = np.array(batch.column(3)[a + i].values)
-                    reach = len(item) // 2 + 2
-                    best, end, limit = 0, 0, -1
-                    diagonals = np.array(batch.column(4)[a + i].values)
-                    # Diagonals that lie near each other are one stretch of the text.
-                    for group in np.split(diagonals, np.flatnonzero(np.diff(diagonals) > reach) + 1):
-                        low = max(0, int(group[0]) - reach)
-                        limit = min(len(text), int(group[-1]) + len(item) + reach)
-                        s, e = align(item, text[low:limit])
+                doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                hit, key = seeds.hits(hashes, doc)
+                for d, i in seeds.candidates(doc[hit], key):
+                    x, y = np.searchsorted(hit, at[d : d + 2])
+                    text, item = hashes[at[d] : at[d + 1]].view(np.int64), seeds.words[i]
+                    best, end = 0, 0
+                    for low, high in seeds.stretches(i, hit[x:y] - at[d], key[x:y]):
+                        low = max(0, low)
+                        s, e = align(item, text[low : high + 1])
                         if s > best:
                             best, end = s, low + e
                     share = best / (MATCH * len(item))
                     if share >= threshold:
-                        rows.append((batch.column(0)[a + i].as_py(), batch.column(2)[a + i].as_py(), share, end))
+                        rows.append((batch.column(0)[a + d].as_py(), seeds.ids[i], share, end))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))],
                 names=["doc_id", "item_id", "score", "end_word"],
             )
 
-    return (
-        candidates.select("doc_id", "text", "item_id", "words", "diagonals")
-        .mapInArrow(score, "doc_id long, item_id long, score double, end_word long")
-        .groupBy("doc_id", "item_id")
-        .agg(F.max(F.struct("score", "end_word")).alias("best"))
-        .select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "item_id", "best.score", "best.end_word")
-    )
+    return docs.mapInArrow(score, schema)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

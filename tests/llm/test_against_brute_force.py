@@ -173,6 +173,31 @@ def test_decontamination(spark, docs):
     assert len(got - exact) <= 25
 
 
+@pytest.mark.parametrize("part_words", [None, 400])
+def test_decontamination_of_dense_edits(spark, docs, monkeypatch, part_words):
+    if part_words:
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", part_words)
+    items = {r.item_id: split(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    rng = np.random.default_rng(5)
+    texts = {i: split(docs[i])[:150] for i in sorted(docs)[:20]}
+    for i, w in items.items():
+        for every in (4, 5, 6):
+            texts[1000 * every + i] = ["begin", *(f"new{j}" if j % every == every - 1 else x for j, x in enumerate(w)), "end"]
+        texts[8000 + i] = [y for j, x in enumerate(w) for y in ((f"more{j}", x) if j % 2 else (x,))]
+        texts[9000 + i] = [x for x in w if rng.random() > 0.25]
+    want = {}
+    for d, t in texts.items():
+        for i, w in items.items():
+            number = {x: n for n, x in enumerate({*w, *t})}
+            share = decontaminate.align(np.array([number[x] for x in w]), np.array([number[x] for x in t], np.int64))[0] / (2 * len(w))
+            if share >= 0.5:
+                want[d, i] = share
+    assert all((1000 * every + i, i) in want for i in items for every in (4, 5, 6))
+    table = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(table, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    assert got == want
+
+
 def test_licenses(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
