@@ -26,23 +26,58 @@ from pyspark.sql import functions as F
 from ledgerloom.llm._spark import cut, short_lived_shuffles, small
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}(?![0-9])(?!\.[0-9])"
+_SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+_FOURS = r"(?:[0-9]{4}[ -]){3}[0-9]{4}"
+#: No other entity begins here: numbers don't run over a separator into the next one.
+_OWN = (
+    rf"(?!{_IPV4}|[0-9A-Fa-f]{{1,4}}:[0-9A-Fa-f:]|{_SSN}|[A-Za-z0-9._%+-]{{1,64}}@|[0-9]{{13,19}}(?![0-9])"
+    rf"|{_FOURS}(?:[ -]{_FOURS})*(?![0-9]|[ -][0-9]{{4}}(?![0-9]))|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}}(?![0-9]))"
+)
+#: Digits behind the country code (a pattern of codes: least and most); other codes: 6 to 12.
+_PHONE_DIGITS = {
+    "1": (10, 10), "7": (10, 10), "3[0134]": (9, 10), "32|36|4[1578]|51|6[16]": (8, 9), "39": (8, 11), "4[03]": (9, 11), "44": (9, 10),
+    "4[56]": (7, 9), "49": (7, 11), "5[24578]|6[023]|8[26]|9[0-2]": (8, 11), "65": (8, 8), "81": (9, 10),
+}
+
+
+def _digits(least: int, most: int) -> str:
+    """So many digits, with a separator or the end of an area code's parenthesis between any two."""
+    return rf"\(?[0-9](?:(?:[ .-]{_OWN}|\)[ .-]?)?[0-9]){{{least - 1},{most - 1}}}(?![0-9])"
+
+
+_PHONE = "|".join(rf"(?:{code})[ .-]?(?:\(0\) ?)?{_digits(*n)}" for code, n in _PHONE_DIGITS.items()) + rf"|[0-9]{{1,3}}[ .-]?{_digits(6, 12)}"
+#: Characters of an IBAN by country; others: 16 to 35 in groups.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FO|GL|NL", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS",
+    23: "AE|GI|IL|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "PT|ST", 26: "IS|TR", 27: "FR|GR|IT|MC|MR|SM", 28: "AL|AZ|CY|DO|GT|HU|LB|PL|SV",
+    29: "BR|PS|QA|UA", 30: "JO|KW|MU", 31: "MT|SC", 32: "LC",
+}
+_IBAN = "|".join(
+    rf"(?:{codes})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])"
+    for n, codes in _IBAN_LENGTHS.items()
+) + rf"|[A-Z]{{2}}[0-9]{{2}}(?:(?: {_OWN})?[A-Z0-9]{{4}}){{3,7}}(?:(?: {_OWN})?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])"
 _NAME = r"\p{Lu}[\p{L}'’-]{1,30}"
 _MALE = r"Mr|Herr|Sr|Señor|Monsieur|Mister|господин|г-н"
 _FEMALE = r"Mrs|Ms|Miss|Frau|Sra|Señora|Madame|Mme|Mlle|госпожа|г-жа"
+_SECRET_KEY = r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)"
+#: What begins with a capital behind a name of one word, and is another entity.
+_NO_SURNAME = (
+    rf"(?:{_MALE}|{_FEMALE})\.? |{_SECRET_KEY}\s{{0,3}}[=:]|AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])|[A-Za-z0-9._%+-]{{1,64}}@|[0-9A-Fa-f]{{1,4}}:[0-9A-Fa-f:]"
+)
 
 #: kind -> pattern; earlier kinds win where several begin at one place.
 PATTERNS: dict[str, str] = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
     "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|sk-[A-Za-z0-9]{20,255})(?![A-Za-z0-9])"
-    r"|(?<![A-Za-z0-9])(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}\"[^\"\s]{6,512}\"",
-    "ipv4": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9])(?!\.[0-9])",
+    rf"|(?<![A-Za-z0-9]){_SECRET_KEY}\s{{0,3}}[=:]\s{{0,3}}\"[^\"\s]{{6,512}}\"",
+    "ipv4": rf"(?<![0-9.]){_IPV4}",
     "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])"
-    r"|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "name": rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE})\.? {_NAME}(?: {_NAME})?",
+    "phone": rf"(?<![0-9+])\+(?:{_PHONE})|(?<![0-9])\([0-9]{{3}}\) ?[0-9]{{3}}-[0-9]{{4}}(?![0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_IBAN})",
+    "ssn": rf"(?<![0-9-]){_SSN}",
+    "card": rf"(?<![0-9])(?:{_FOURS}(?![0-9]|[ -][0-9]{{1,3}}(?![0-9.:@-]))|[0-9](?:(?:[ ]{_OWN}|-)?[0-9]){{12,18}}(?![0-9]))",
+    "name": rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE})\.? {_NAME}(?: (?!{_NO_SURNAME}){_NAME}(?![\p{{L}}0-9]))?",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds no entity. The class of first characters turns most places down at once.
