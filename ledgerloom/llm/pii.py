@@ -15,6 +15,7 @@ gives no rows; other columns are kept (columns whose names begin with an undersc
 from __future__ import annotations
 
 import hmac
+import ipaddress
 import re
 import string
 from collections.abc import Iterator
@@ -28,10 +29,18 @@ from ledgerloom.llm._spark import cut, short_lived_shuffles, small
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}(?![0-9])(?!\.[0-9])"
 _SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+_HEX = "[0-9A-Fa-f]{1,4}"
+#: Eight groups, or '::' and up to seven, of which one has a digit or two are there; an IPv4 address may be the end.
+_IPV6 = (
+    rf"(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{6}}{_IPV4}|(?=[A-Fa-f:]*[0-9]|{_HEX}(?::{_HEX})*::{_HEX}|::{_HEX}:{_HEX}|{_HEX}:{_HEX}(?::{_HEX})*::)"
+    rf"(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:(?:{_HEX}:){{0,5}}{_IPV4}|{_HEX}(?::{_HEX}){{0,6}})?)(?![0-9A-Za-z:])(?!\.[0-9])"
+)
 _FOURS = r"(?:[0-9]{4}[ -]){3}[0-9]{4}"
+_PAIRS = "|".join(rf"0[1-9](?:{x}[0-9]{{2}}){{4}}(?![0-9])" for x in (" ", r"\.", "-"))
+_NANP = "|".join(rf"[2-9][0-9]{{2}}{x}[0-9]{{3}}{x}[0-9]{{4}}(?![0-9])" for x in (" ", r"\.", "-"))
 #: No other entity begins here: numbers don't run over a separator into the next one.
 _OWN = (
-    rf"(?!{_IPV4}|[0-9A-Fa-f]{{1,4}}:[0-9A-Fa-f:]|{_SSN}|[A-Za-z0-9._%+-]{{1,64}}@|[0-9]{{13,19}}(?![0-9])"
+    rf"(?!{_IPV4}|[0-9A-Fa-f]{{1,4}}:[0-9A-Fa-f:]|{_SSN}|{_PAIRS}|{_NANP}|[A-Za-z0-9._%+-]{{1,64}}@|[0-9]{{13,19}}(?![0-9])"
     rf"|{_FOURS}(?:[ -]{_FOURS})*(?![0-9]|[ -][0-9]{{4}}(?![0-9]))|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}}(?![0-9]))"
 )
 #: Digits behind the country code (a pattern of codes: least and most); other codes: 6 to 12.
@@ -47,6 +56,12 @@ def _digits(least: int, most: int) -> str:
 
 
 _PHONE = "|".join(rf"(?:{code})[ .-]?(?:\(0\) ?)?{_digits(*n)}" for code, n in _PHONE_DIGITS.items()) + rf"|[0-9]{{1,3}}[ .-]?{_digits(6, 12)}"
+#: Without a country code: an area code in parentheses or of three digits, pairs behind 0x, or a trunk 0 and two or three groups.
+_NATIONAL = (
+    rf"(?<![0-9])\([0-9]{{3}}\) ?[0-9]{{3}}[ .-][0-9]{{4}}(?![0-9])|(?<![0-9.+-])(?:1[ .-])?(?:{_NANP})(?!\.[0-9])|(?<![0-9.+-])(?:{_PAIRS})(?!\.[0-9])"
+    rf"|(?<![0-9.+-])(?!{_FOURS}(?![0-9]))\(?0[1-9][0-9]{{1,3}}(?:\) ?|[ -]){_OWN}[0-9]{{3,4}}[ -]{_OWN}[0-9]{{3,4}}(?![0-9])"
+    rf"|(?<![0-9.+-])\(?0[1-9][0-9]{{1,4}}(?:\) ?|[ /-]){_OWN}[0-9]{{5,8}}(?![0-9])"
+)
 #: Characters of an IBAN by country; others: 16 to 35 in groups.
 _IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK|FI|FO|GL|NL", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS",
@@ -70,18 +85,19 @@ _NO_SURNAME = (
 PATTERNS: dict[str, str] = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
     "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|sk-[A-Za-z0-9]{20,255})(?![A-Za-z0-9])"
-    rf"|(?<![A-Za-z0-9]){_SECRET_KEY}\s{{0,3}}[=:]\s{{0,3}}\"[^\"\s]{{6,512}}\"",
+    rf"|(?<![A-Za-z0-9]){_SECRET_KEY}[\"']?\s{{0,3}}[=:]\s{{0,3}}"
+    r"(?:\"[^\"\s]{6,512}\"|'[^'\s]{6,512}'|[^\s\"'<>,;&]{5,511}[^\s\"'<>,;&.:?!)\]}])",
     "ipv4": rf"(?<![0-9.]){_IPV4}",
-    "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "phone": rf"(?<![0-9+])\+(?:{_PHONE})|(?<![0-9])\([0-9]{{3}}\) ?[0-9]{{3}}-[0-9]{{4}}(?![0-9])",
+    "ipv6": rf"(?<![0-9A-Za-z:.]){_IPV6}",
+    "phone": rf"(?<![0-9+])\+(?:{_PHONE})|{_NATIONAL}",
     "iban": rf"(?<![A-Za-z0-9])(?:{_IBAN})",
     "ssn": rf"(?<![0-9-]){_SSN}",
-    "card": rf"(?<![0-9])(?:{_FOURS}(?![0-9]|[ -][0-9]{{1,3}}(?![0-9.:@-]))|[0-9](?:(?:[ ]{_OWN}|-)?[0-9]){{12,18}}(?![0-9]))",
+    "card": rf"(?<![0-9])(?:{_FOURS}(?![0-9]|[ -][0-9]{{1,3}}(?![0-9.:@-]))|3[0-9]{{3}}[ -][0-9]{{6}}[ -][0-9]{{5}}(?![0-9])|[0-9](?:(?:[ ]{_OWN}|-)?[0-9]){{12,18}}(?![0-9]))",
     "name": rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE})\.? {_NAME}(?: (?!{_NO_SURNAME}){_NAME}(?![\p{{L}}0-9]))?",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds no entity. The class of first characters turns most places down at once.
-_HINT = rf"(?=[0-9@\"AsgMHFSгГ])(?:[0-9@\"]|AKIA|sk-|gh[pousr]_|{_MALE}|{_FEMALE})"
+_HINT = rf"(?=[0-9@:=AsgMHFSгГ])(?:[0-9@:=]|AKIA|sk-|gh[pousr]_|{_MALE}|{_FEMALE})"
 
 #: Given names and surnames for surrogates, by gender and script.
 NAMES = {
@@ -95,6 +111,9 @@ _PARTS = {
     "cyrillic": ("Бел Вол Гор Дуб Зим Крас Лес Мор Нов Озер Пет Род Сад Тим Чер".split(), "енко ский ин ов ев ич ник ой ых ук".split()),
 }
 
+#: What stands before a secret's value.
+_SECRET_VALUE = re.compile(rf"\A{_SECRET_KEY}[\"']?\s{{0,3}}[=:]\s{{0,3}}")
+
 
 def kind_of(entity: Column) -> Column:
     out = F.lit(None).cast("string")
@@ -111,7 +130,9 @@ def canonical(kind: str, surface: str) -> str:
     if kind == "iban":
         return surface.replace(" ", "")
     if kind == "secret":
-        return surface.split('"')[1] if '"' in surface else surface
+        return _SECRET_VALUE.sub("", surface).strip("\"'")
+    if kind == "ipv6":
+        return str(ipaddress.IPv6Address(surface))
     if kind == "name":
         return " ".join(surface.replace(".", "").split())
     return surface.lower()
@@ -171,7 +192,7 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         return ":".join(f"{draw.below(1 << 16):x}" for _ in range(8))
     if kind == "phone":
         plus = entity.startswith("+")
-        keep = 1 if entity.startswith("+1") else 2 if plus else 0
+        keep = 1 if entity.startswith(("+1", "0")) else 2 if plus else 0
         digits = entity.lstrip("+")
         return "+" * plus + digits[:keep] + str(2 + draw.below(8)) + "".join(draw.pick(string.digits) for _ in digits[keep + 1 :])
     if kind == "card":
@@ -200,9 +221,10 @@ def dress(kind: str, surface: str, new: str) -> str:
     if kind == "iban":
         letters = iter(new)
         return "".join(c if c == " " else next(letters) for c in surface)
-    if kind == "secret" and '"' in surface:
-        before, _, after = surface.split('"')
-        return f'{before}"{new}"{after}'
+    if kind == "secret":
+        before = surface[: len(surface) - len(_SECRET_VALUE.sub("", surface))]
+        quote = surface[-1] if surface[-1] in "\"'" else ""
+        return f"{before}{quote}{new}{quote}"
     if kind == "name":
         title = surface.split(" ")[0]
         return " ".join([title, *new.split(" ")[1:]])

@@ -335,3 +335,30 @@ def test_adjacent_entities(spark):
     assert not wrong, (len(wrong), wrong[:12])
     out = {r.doc_id: r for r in pii.replace(df).collect()}
     assert all(set(out[i].kinds) == {p[0], p[2]} for i, p in enumerate(pairs))
+
+
+FORMS = {
+    "ipv6": ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "::1", "2001:db8::", "::ffff:192.168.1.10", "dead:beef:abcd:fade:cafe:abba:feed:face"],
+    "secret": ["password=hunter2abc", "api_key: 9f8e7d6c5b4a", "passwd = 'correct-horse'", 'password": "hunter2abc"'],
+    "phone": ["415-555-2671", "415.555.2671", "415 555 2671", "(415) 555 2671", "06 12 34 56 78", "020 7946 0958", "0171/1234567"],
+}
+
+
+def test_common_forms(spark):
+    each = [(k, e) for k, some in FORMS.items() for e in some]
+    others = [(k, some[-1]) for k, some in ENTITIES.items()]
+    pairs = [(*a, *b) for a in each for b in [*each, *others]] + [(*b, *a) for a in each for b in others]
+    rows = [(i, f"see {a} {b} there") for i, (_, a, _, b) in enumerate(pairs)]
+    rows += [(-1 - i, f"see {e}. There") for i, (_, e) in enumerate(each)]
+    out = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = [(p, out[i].text) for i, p in enumerate(pairs) if set(out[i].kinds) != {p[0], p[2]} or out[i].n_entities != 2]
+    assert not wrong, (len(wrong), wrong[:12])
+    for i, (kind, e) in enumerate(each):
+        text = out[-1 - i].text
+        assert out[-1 - i].kinds == [kind] and e not in text and text.startswith("see ") and text.endswith(". There"), (e, text)
+    # Spellings of one entity get one surrogate.
+    same = spark.createDataFrame([(1, "2001:db8::1"), (2, "2001:DB8:0:0::1"), (3, "password=hunter2abc"), (4, "secret: 'hunter2abc'")], "doc_id long, text string")
+    a, b, c, d = (r.text for r in pii.replace(same).orderBy("doc_id").collect())
+    assert a.lower() == b.lower() and c.split("=")[1] == d.split("'")[1]
+    for text in ("at 12:30:45 in std::vector", "the ratio is 3:4, a = b", "on 2024-05-06 it cost 1.234.567"):
+        assert pii.replace(spark.createDataFrame([(1, text)], "doc_id long, text string")).head().text == text
