@@ -122,6 +122,16 @@ def rpt5_tx(t: DriverTables) -> DataFrame:
     return reports.transactions_by_hash(asked, tx).select("hash", "ledger_index", "tx_type", "status")
 
 
+@query("""
+WITH r AS (SELECT hash FROM a_transactions UNION ALL SELECT concat(hash, 'x') FROM a_transactions)
+SELECT r.hash, x.ledger_index, x.tx_type, CASE WHEN x.hash IS NULL THEN 'notInArchive' ELSE 'success' END AS status FROM r LEFT JOIN a_transactions x USING (hash)""")
+def rpt5_tx_all(t: DriverTables) -> DataFrame:
+    """Every transaction and as many unknown hashes, not only those of rpt5_tx."""
+    tx = t.transactions()
+    asked = tx.select("hash").union(tx.select(F.concat("hash", F.lit("x"))))
+    return reports.transactions_by_hash(asked, tx).select("hash", "ledger_index", "tx_type", "status")
+
+
 _HOLDERS = """
 WITH last AS (SELECT object_id, arg_max(node_kind, (ledger_index, hash)) AS kind, arg_max(final_amount, (ledger_index, hash)) AS amount,
     any_value(address) AS address, any_value(issuance_id) AS issuance_id FROM a_nodes WHERE ledger_index <= 1500 AND issuance_id % 2 = 0 GROUP BY object_id),
@@ -296,3 +306,11 @@ FROM q LEFT JOIN a_coverage c USING (address)""")
 def cov7_beyond(t: DriverTables) -> DataFrame:
     rows = t.balance_deltas().filter("ledger_index % 50 = 0").join(scope.envelope(t.coverage()), "address", "left")
     return rows.select("address", "issuance_id", "ledger_index", scope.beyond(F.col("ledger_index"), F.col("ledger_index"), F.col("from_ledger"), F.col("to_ledger")).alias("beyond"))
+
+
+@query("""SELECT q.address, q.issuance_id, q.ledger_index, (c.from_ledger IS NULL OR q.ledger_index < c.from_ledger OR q.ledger_index > c.to_ledger) AS beyond
+FROM a_balance_deltas q LEFT JOIN a_coverage c USING (address)""")
+def cov7_beyond_all(t: DriverTables) -> DataFrame:
+    """Every delta, not only those of cov7_beyond."""
+    rows = t.balance_deltas().join(scope.envelope(t.coverage()), "address", "left")
+    return rows.select("address", "issuance_id", "ledger_index", scope.beyond(F.col("ledger_index"), F.col("ledger_index"), F.col("from_ledger"), F.col("to_ledger")).alias("beyond"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import exact
 from ledgerloom.functions import exprs as X
 from ledgerloom.operators import discovery, maintenance, nodes, reconcile, reports, scope, sinks, state, timeline
+from ledgerloom.plans import registry
 from ledgerloom.sources import archive
+from ledgerloom.sources.driver_tables import DriverTables
 from ledgerloom.streaming import ingest
 
 DELTA = "hash string, ledger_index long, address string, issuance_id long, delta decimal(38,18)"
@@ -282,3 +284,13 @@ def test_tail_ingest(spark, issuances, tmp_path):
     # A replay of a batch changes nothing.
     ingest.ingest_batch(tables, issuances, spark.createDataFrame(second, schema), 1)
     assert log("transactions").count() == 2 and log("balance_deltas").count() == 3
+
+
+def test_whole_tables_are_asked(spark):
+    sf = "/root/testdata/sf0.001"
+    t = DriverTables(spark, sf)
+    rows = {name: registry.queries()[name](spark, sf) for name in ("cov7_beyond_all", "rpt5_tx_all", "sta3_trust_lines_all")}
+    assert rows["cov7_beyond_all"].count() == t.balance_deltas().count()
+    assert rows["rpt5_tx_all"].filter("status = 'success'").count() == t.transactions().count()
+    some = registry.queries()["sta3_trust_lines"](spark, sf).select("address").distinct().count()
+    assert rows["sta3_trust_lines_all"].select("address").distinct().count() > 2 * some
