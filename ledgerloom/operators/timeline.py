@@ -88,3 +88,24 @@ def gaps(tail: DataFrame, anchor: int | None = None) -> DataFrame:
         .filter(F.col("ledger_index") > F.col("_last") + 1)
         .select("seq", (F.col("_last") + 1).alias("from_ledger"), (F.col("ledger_index") - 1).alias("to_ledger"))
     )
+
+
+def source_gaps(events: DataFrame, high: DataFrame, anchor: int | None = None, size: int = 100_000) -> DataFrame:
+    """source, seq, from_ledger, to_ledger: the gaps of each source (see gaps); high (source, last) has the greatest ledgers
+    that arrived before these events, anchor stands in where there is none."""
+    rows = events.select("source", "seq", "ledger_index").withColumn("_b", F.floor(F.col("seq") / size))
+    most = rows.groupBy("source", "_b").agg(F.max("ledger_index").alias("_most"))
+    earlier = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    known = high.select("source", F.col("last").alias("_high"))
+    before = (
+        most.join(known, "source", "left")
+        .withColumn("_before", F.greatest(F.max("_most").over(earlier), F.coalesce("_high", F.lit(anchor).cast("long"))))
+        .select("source", "_b", "_before")
+    )
+    inside = Window.partitionBy("source", "_b").orderBy("seq", "ledger_index").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        rows.join(before, ["source", "_b"])
+        .withColumn("_last", F.greatest(F.max("ledger_index").over(inside), "_before"))
+        .filter(F.col("ledger_index") > F.col("_last") + 1)
+        .select("source", "seq", (F.col("_last") + 1).alias("from_ledger"), (F.col("ledger_index") - 1).alias("to_ledger"))
+    )

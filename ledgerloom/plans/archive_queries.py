@@ -87,16 +87,13 @@ def win3_gaps(t: DriverTables) -> DataFrame:
 
 @query(_GAPS)
 def str3_stream_gaps(t: DriverTables) -> DataFrame:
-    """The same gaps from a stateful stream over the landed tail."""
+    """The same gaps from a stream over the landed tail."""
     spark, base = t.spark, f"{shared_folder(t.spark)}/gaps-{uuid.uuid4().hex}"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     t.tail().select(F.lit("tail").alias("source"), "seq", "ledger_index").write.parquet(f"{base}/in")
     stream = spark.readStream.schema("source string, seq long, ledger_index long").parquet(f"{base}/in")
-    found = ingest.stream_gaps(stream)
-    found.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(
-        availableNow=True
-    ).start().awaitTermination()
-    return spark.read.schema("source string, seq long, from_ledger long, to_ledger long").parquet(f"{base}/out").drop("source")
+    tables = ingest.Tables(spark, f"{base}/tables")
+    ingest.stream_gaps(stream, tables, f"{base}/state").awaitTermination()
+    return tables.log("gaps", ingest.SCHEMAS["gaps"]).drop("source", "batch")
 
 
 @query("SELECT hash, ledger_index, address, issuance_id, CAST(delta AS DOUBLE) AS delta FROM a_balance_deltas")

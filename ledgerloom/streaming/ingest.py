@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.functions.session import one_row
-from ledgerloom.operators import nodes, sinks
+from ledgerloom.operators import nodes, sinks, timeline
 from ledgerloom.sources import archive
 from ledgerloom.sources.schemas import TABLES
 
@@ -51,6 +50,8 @@ SCHEMAS = {
     "account_transactions": "hash string, address string",
     "balance_deltas": "hash string, ledger_index long, address string, issuance_id long, delta decimal(38,18)",
     "ledgers": "ledger_index long, close_time timestamp",
+    "gaps": "source string, seq long, from_ledger long, to_ledger long",
+    "stream_high": "source string, last long",
     "account_issuance": "address string, issuance_id long, discovered_via string, first_acquisition_ledger long",
 }
 
@@ -88,36 +89,21 @@ def ingest(stream: DataFrame, tables: Tables, issuances: DataFrame, checkpoint:
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class GapDetector(StatefulProcessor):
-    """Keeps the greatest contiguous or skipped-to ledger of a stream and emits skipped ranges in arrival order."""
+def stream_gaps(stream: DataFrame, tables: Tables, checkpoint: str, anchor: int | None = None) -> StreamingQuery:
+    """A query that drains what has arrived (source, seq, ledger_index) and logs its gaps as source, seq, from_ledger, to_ledger.
 
-    def __init__(self, anchor: int | None = None):
-        self.anchor = anchor
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ledger long")
-
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        last = self.last.get()[0] if self.last.exists() else self.anchor
-        out = []
-        events = pd.concat(list(rows)).sort_values(["seq", "ledger_index"])
-        for seq, ledger in zip(events["seq"], events["ledger_index"], strict=True):
-            if last is not None and ledger > last + 1:
-                out.append((key[0], int(seq), int(last) + 1, int(ledger) - 1))
-            last = ledger if last is None else max(last, ledger)
-        if last is not None:
-            self.last.update((int(last),))
-        yield pd.DataFrame(out, columns=["source", "seq", "from_ledger", "to_ledger"])
-
-    def close(self) -> None:
-        pass
+    Batches arrive in order; inside one the order is seq. Each source's greatest ledger is logged with its batch, as the
+    anchor of the next one. The work goes by buckets of seq, so no task holds a batch."""
 
+    def each(batch: DataFrame, batch_id: int) -> None:
+        events = batch.persist()
+        earlier = tables.log("stream_high", SCHEMAS["stream_high"]).filter(F.col("batch") < batch_id)
+        high = earlier.groupBy("source").agg(F.max("last").alias("last"))
+        tables.append("gaps", timeline.source_gaps(events, high, anchor), batch_id)
+        tables.append("stream_high", events.groupBy("source").agg(F.max("ledger_index").alias("last")), batch_id)
+        events.unpersist()
 
-def stream_gaps(stream: DataFrame, anchor: int | None = None) -> DataFrame:
-    """source, seq, from_ledger, to_ledger of the gaps in a stream (source, seq, ledger_index). Needs the RocksDB state store."""
-    return stream.groupBy("source").transformWithStateInPandas(
-        GapDetector(anchor), "source string, seq long, from_ledger long, to_ledger long", "append", "none"
-    )
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def heal(gaps: DataFrame, history: DataFrame) -> DataFrame:

@@ -294,3 +294,17 @@ def test_whole_tables_are_asked(spark):
     assert rows["rpt5_tx_all"].filter("status = 'success'").count() == t.transactions().count()
     some = registry.queries()["sta3_trust_lines"](spark, sf).select("address").distinct().count()
     assert rows["sta3_trust_lines_all"].select("address").distinct().count() > 2 * some
+
+
+def test_stream_gaps_by_batch(spark, tmp_path):
+    tables = ingest.Tables(spark, str(tmp_path / "tables"))
+    batches = [
+        [("a", 1, 10), ("a", 150_000, 11), ("a", 250_001, 15), ("b", 2, 5)],
+        [("a", 300_000, 14), ("a", 500_000, 20), ("b", 700_000, 6), ("b", 900_000, 9), ("c", 1, 3)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, "source string, seq long, ledger_index long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("source string, seq long, ledger_index long").parquet(str(tmp_path / "in"))
+        ingest.stream_gaps(stream, tables, str(tmp_path / "state"), anchor=2).awaitTermination()
+    got = {tuple(r)[:4] for r in tables.log("gaps", ingest.SCHEMAS["gaps"]).collect()}
+    assert got == {("a", 1, 3, 9), ("a", 250_001, 12, 14), ("a", 500_000, 16, 19), ("b", 2, 3, 4), ("b", 900_000, 7, 8)}
