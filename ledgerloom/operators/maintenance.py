@@ -49,9 +49,11 @@ def delete_issuance(tables: dict[str, DataFrame], issuance_id: int) -> tuple[dic
 
 
 def compact(spark: SparkSession, source: str, target: str, partition: str | None = None, files: int | None = None) -> None:
-    """Rewrites a Parquet directory into fewer files, by partition column if one is named."""
+    """Rewrites a Parquet directory into fewer files, by partition column if one is named.
+
+    Without a number of files, tasks and files have about the advisory size, so a frequent value goes to several."""
     rows = spark.read.parquet(source)
     if partition:
-        rows.repartition(partition).write.partitionBy(partition).parquet(target)
+        rows.hint("rebalance", partition).write.partitionBy(partition).parquet(target)
     else:
-        rows.repartition(files or 1).write.parquet(target)
+        (rows.repartition(files) if files else rows.hint("rebalance")).write.parquet(target)

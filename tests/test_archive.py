@@ -308,3 +308,18 @@ def test_stream_gaps_by_batch(spark, tmp_path):
         ingest.stream_gaps(stream, tables, str(tmp_path / "state"), anchor=2).awaitTermination()
     got = {tuple(r)[:4] for r in tables.log("gaps", ingest.SCHEMAS["gaps"]).collect()}
     assert got == {("a", 1, 3, 9), ("a", 250_001, 12, 14), ("a", 500_000, 16, 19), ("b", 2, 3, 4), ("b", 900_000, 7, 8)}
+
+
+def test_large_partitions_are_split(spark, tmp_path):
+    rows = spark.range(0, 200_000, 1, 8).select(F.md5(F.col("id").cast("string")).alias("hash"), (F.col("id") % 2400).alias("ledger_index"), F.lit("Payment").alias("tx_type"))
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "1m")
+    try:
+        archive.write_history(rows, str(tmp_path / "history"))
+        maintenance.compact(spark, str(tmp_path / "history"), str(tmp_path / "typed"), partition="tx_type")
+        maintenance.compact(spark, str(tmp_path / "history"), str(tmp_path / "plain"))
+    finally:
+        spark.conf.unset(key)
+    for name in ("history", "typed", "plain"):
+        assert len(list((tmp_path / name).rglob("*.parquet"))) > 1, name
+        assert spark.read.parquet(str(tmp_path / name)).select("hash").distinct().count() == 200_000
