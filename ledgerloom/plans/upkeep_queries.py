@@ -34,6 +34,16 @@ def _lines(t: DriverTables) -> DataFrame:
     return held.select(F.col("issuer_account").alias("issuer"), F.col("address").alias("account"), "currency", F.col("balance").cast("long").cast("string").alias("balance"))
 
 
+#: Lines of an issuer in a page of a snapshot, about.
+PAGE_LINES = 1000
+
+
+def _pages(lines: DataFrame) -> DataFrame:
+    """lines with page: by a hash of the account and currency, as many pages of an issuer as its counted lines need."""
+    pages = lines.groupBy("issuer").agg(F.ceil(F.count("*") / PAGE_LINES).alias("_pages"))
+    return lines.join(pages, "issuer").withColumn("page", F.pmod(F.xxhash64("account", "currency"), F.col("_pages"))).drop("_pages")
+
+
 _HELD = "SELECT issuer_account AS issuer, address AS account, currency, sum(delta) AS balance FROM a_balance_deltas JOIN a_issuances USING (issuance_id) WHERE kind = 'iou' GROUP BY ALL"
 
 
@@ -41,10 +51,7 @@ _HELD = "SELECT issuer_account AS issuer, address AS account, currency, sum(delt
 def src3_trust_lines(t: DriverTables) -> DataFrame:
     path = _folder(t, "lines")
     one = F.struct("account", "currency", "balance", F.lit("0").alias("limit"), F.lit("0").alias("limit_peer"))
-    # A landed document for each issuer and hash of the account, as pages of a snapshot.
-    _lines(t).withColumn("page", F.pmod(F.xxhash64("account"), F.lit(16))).groupBy("issuer", "page").agg(
-        F.lit(1).alias("ledger_index"), F.collect_list(one).alias("lines")
-    ).drop("page").write.json(path)
+    _pages(_lines(t)).groupBy("issuer", "page").agg(F.lit(1).alias("ledger_index"), F.collect_list(one).alias("lines")).drop("page").write.json(path)
     return archive.trust_lines(t.spark, path).select("issuer", "account", "currency", "balance")
 
 

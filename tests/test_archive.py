@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import exact
 from ledgerloom.functions import exprs as X
 from ledgerloom.operators import discovery, maintenance, nodes, reconcile, reports, scope, sinks, state, timeline
-from ledgerloom.plans import registry
+from ledgerloom.plans import registry, upkeep_queries
 from ledgerloom.sources import archive
 from ledgerloom.sources.driver_tables import DriverTables
 from ledgerloom.streaming import ingest
@@ -323,3 +323,9 @@ def test_large_partitions_are_split(spark, tmp_path):
     for name in ("history", "typed", "plain"):
         assert len(list((tmp_path / name).rglob("*.parquet"))) > 1, name
         assert spark.read.parquet(str(tmp_path / name)).select("hash").distinct().count() == 200_000
+
+
+def test_pages_grow_in_number(spark):
+    lines = spark.range(40_000).select(F.lit("rHot").alias("issuer"), F.concat(F.lit("r"), "id").alias("account"), F.lit("USD").alias("currency"))
+    sizes = [r["count"] for r in upkeep_queries._pages(lines).groupBy("issuer", "page").count().collect()]
+    assert len(sizes) == 40 and sum(sizes) == 40_000 and max(sizes) < 1300
