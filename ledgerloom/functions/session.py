@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
-
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +11,17 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share: the cluster's spark.checkpoint.dir, or our own where it is unset."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return spark.sparkContext.getCheckpointDir()
+    """The checkpoint folder that all executors share: the cluster's spark.checkpoint.dir. Only a session whose executors run
+    in the driver's own process (master local) gets a folder of its own where that is unset; on a cluster that is an error."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def one_row(*rows: DataFrame) -> DataFrame:
