@@ -1,13 +1,16 @@
 """MinHash near-duplicates: one-permutation hashing, optimal densification, banded buckets, star-shaped candidates.
 
 A document's set holds the hashes of its distinct k-word shingles. Equal sets form a class, and everything below works on
-classes. The hash range is cut into ``BANDS * ROWS`` bins, every bin keeps its least hash, an empty bin copies the bin
-that a fixed sequence of probes for it first finds filled. ROWS bins make a band, classes with an equal band share a
-bucket, and in a bucket only the edges from one member, its centre, to the others are candidates. Candidates are confirmed on
-the full sets. A star can miss links between two members that are both too far from its centre; so buckets whose members
-still lie in several components get further centres (63, 4032, ... at a time), each compared with members of other
-components only, until none is left. There a pair is left out only if it is proven to be no link: by the shingles that no
-other set has, or by both distances to the first centre and the triangle inequality of Jaccard distance.
+classes, numbered by one long. The hash range is cut into ``BANDS * ROWS`` bins, every bin keeps its least hash, an empty bin
+copies the bin that a fixed sequence of probes for it first finds filled. ROWS bins make a band, classes with an equal band
+share a bucket, and in a bucket only the edges from one member, its centre, to the others are candidates. Candidates are
+confirmed on the full sets.
+
+A star can miss links between two members that are both too far from its centre. Of the buckets whose members still lie in
+several components, first those members are settled that can have no partner: the shingles that no other such set has bound
+what a set can share, and so how large a partner may be. Then another star is drawn around the member with the fewest
+shingles of its own, and at last every pair of different components whose sizes fit is confirmed. So every pair that shares a
+bucket is compared, is connected already, or is proven to be no link.
 
 Edge cases: null and empty texts, and texts without words, have an empty set and are linked with nothing; a text of fewer
 words than k has its whole word sequence as one shingle; repeated rows and ties are equal sets; a null id counts as the
@@ -22,16 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._spark import cut, short_lived_shuffles, small
+from ledgerloom.llm._spark import Scratch, cut, short_lived_shuffles, small
 from ledgerloom.llm._text import U64, grams, mix, slices, words
 
 BANDS, ROWS = 32, 5
 NULL_ID = -(1 << 63)
-#: A class: the least id of its documents, and the digest of its set, which tells apart equal ids of unequal texts.
-NODE = "struct<id:bigint,key:binary>"
 _BINS = BANDS * ROWS
 _EDGES = np.array([-(-(b << 64) // _BINS) for b in range(1, _BINS)], U64)
 _PROBES = np.random.Generator(np.random.PCG64(7)).integers(0, _BINS, (2048, _BINS))
@@ -97,211 +98,210 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node, hashes (the set's hashes as bytes) of the classes in nodes, made again from their documents; repeated rows
-    give repeated sets."""
+def classes_of(sketched: DataFrame) -> DataFrame:
+    """node, key, id, n, bands: the classes of equal sets, numbered (the numbers hold once this is written), with their
+    least id. Groups of copies are put together before the shuffle."""
+    one = sketched.filter("n > 0").groupBy("key").agg(
+        F.min(F.coalesce("id", F.lit(NULL_ID))).alias("id"), F.max("n").alias("n"), F.first("bands").alias("bands")
+    )
+    return one.select(F.monotonically_increasing_id().alias("node"), "key", "id", "n", "bands")
+
+
+def sharing(classes: DataFrame) -> DataFrame:
+    """node, n, order, buckets of the classes that share a bucket with another, with those buckets; order is less the more
+    places they share."""
+    places = classes.select("node", "n", F.explode("bands").alias("bucket"))
+    sizes = places.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    return places.join(sizes, "bucket").groupBy("node").agg(
+        F.max("n").alias("n"), (-F.sum("size")).cast("double").alias("order"), F.collect_list("bucket").alias("buckets")
+    )
+
+
+def in_doubt(nodes: DataFrame, least: int) -> DataFrame:
+    """nodes (node, n, root, buckets and others) of buckets that hold several components and least members, with those
+    buckets alone."""
+    rest = [c for c in nodes.columns if c not in ("node", "buckets")]
+    members = nodes.select("node", *rest, F.explode("buckets").alias("bucket"))
+    mixed = (
+        members.groupBy("bucket")
+        .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"))
+        .filter((F.col("lo") != F.col("hi")) & (F.col("size") >= least))
+        .select("bucket")
+    )
+    return members.join(mixed, "bucket").groupBy("node").agg(*(F.max(c).alias(c) for c in rest), F.collect_list("bucket").alias("buckets"))
+
+
+def stars(nodes: DataFrame, fits: Column) -> DataFrame:
+    """a, b: in every bucket of nodes (node, order, buckets and others) the edges from its centre, the member of least
+    (order, node), to the members that fit; the centre's columns are named c_."""
+    rest = [c for c in nodes.columns if c not in ("order", "node", "buckets")]
+    members = nodes.select("order", "node", *rest, F.explode("buckets").alias("bucket"))
+    centres = members.groupBy("bucket").agg(F.min(F.struct("order", "node", *rest)).alias("c"))
+    centres = centres.select("bucket", *(F.col(f"c.{x}").alias(f"c_{x}") for x in ("node", *rest)))
+    return members.join(centres, "bucket").filter((F.col("node") != F.col("c_node")) & fits).select(
+        F.col("c_node").alias("a"), F.col("node").alias("b")
+    ).distinct()
+
+
+def pairs_in_doubt(nodes: DataFrame) -> DataFrame:
+    """a, b: all pairs of a bucket that are of different components and can be linked by their sizes. nodes: node, n, least,
+    most (sizes that a partner can have), root, buckets. The join is on the bucket and on size classes of about 3%."""
+    size_class = lambda x: F.floor(F.log(x) * 32)
+    point = nodes.select("node", "n", "most", "root", F.explode("buckets").alias("bucket"), size_class("n").alias("size"))
+    # The larger of two looks for the smaller.
+    upto = F.least("n", "most")
+    reach = nodes.select(
+        *(F.col(c).alias(f"c_{c}") for c in ("node", "n", "least", "most", "root")),
+        F.explode("buckets").alias("bucket"),
+        F.sequence(size_class(F.greatest("least", F.lit(1))), size_class(F.greatest(upto, F.lit(1)))).alias("sizes"),
+    ).select("*", F.explode("sizes").alias("size"))
+    smaller = F.struct("n", "node") < F.struct(F.col("c_n").alias("n"), F.col("c_node").alias("node"))
+    return (
+        reach.join(point, ["bucket", "size"])
+        .filter(smaller & (F.col("root") != F.col("c_root")) & F.col("n").between(F.col("c_least"), F.col("c_most")) & (F.col("c_n") <= F.col("most")))
+        .select(F.col("c_node").alias("a"), F.col("node").alias("b"))
+        .distinct()
+    )
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, rows: int, k: int) -> DataFrame:
+    """node, hashes (the sorted hashes of the whole set) of nodes (node, id, key; so many rows), made again from one
+    document of each class."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column(1), k))
+            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
-                ],
-                names=["id", "key", "hashes"],
+                [pa.array(keys, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "hashes"]
             )
 
-    ids = cut(nodes.select(F.col("node.id").alias("id")).distinct())
     chosen = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.col("text").cast("string"))
-    made = chosen.join(small(ids, ids.count()), "id", "left_semi").mapInArrow(make, "id long, key binary, hashes binary")
-    return made.select(F.struct("id", "key").cast(NODE).alias("node"), "hashes").join(small(nodes, nodes.count()), "node", "left_semi")
+    made = chosen.join(small(nodes.select("id").distinct(), rows), "id", "left_semi").select("id", "text")
+    made = made.mapInArrow(make, "key binary, hashes array<long>").join(small(nodes.select("key", "node"), rows), "key")
+    # Repeated rows make their set again.
+    return made.dropDuplicates(["key"]).select("node", "hashes")
 
 
-def _confirm(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """edges (a, b; materialised) with the sizes of both sets and of their intersection, counted on the full sets."""
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    # Where the edges are few, only their sets are shuffled.
-    sets = sets.join(small(nodes, 2 * edges.count()), "node", "left_semi")
+def confirm(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """edges (a, b) with the sizes of both sets and of their intersection, counted on the full sets."""
     # Members first: nearly every member occurs once, while a centre may occur in very many edges.
     both = edges.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b").join(
         sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a"
     )
+    sizes = (F.size("ha").cast("long").alias("na"), F.size("hb").cast("long").alias("nb"))
+    return both.select("a", "b", *sizes, F.size(F.array_intersect("ha", "hb")).cast("long").alias("shared"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb, shared = [], [], []
-            last, x = None, None
-            for ha, hb in zip(batch.column(2), batch.column(3), strict=True):
-                ha, hb = ha.as_buffer(), np.frombuffer(hb.as_buffer(), U64)
-                if last is None or not ha.equals(last):
-                    last, x = ha, np.frombuffer(ha, U64)
-                at = np.minimum(np.searchsorted(x, hb), len(x) - 1)
-                na.append(len(x))
-                nb.append(len(hb))
-                shared.append(int((x[at] == hb).sum()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(shared, pa.int64())],
-                names=["a", "b", "na", "nb", "shared"],
-            )
-
-    return both.select("a", "b", "ha", "hb").mapInArrow(count, f"a {NODE}, b {NODE}, na long, nb long, shared long").distinct()
 
-
-def _own_shingles(sets: DataFrame) -> DataFrame:
+def own_shingles(sets: DataFrame) -> DataFrame:
     """node, own: how many shingles of a set no other of these sets has."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
-            at = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-            h = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            for i in range(0, len(h), 1 << 18):
-                piece = slice(i, i + (1 << 18))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[piece])), pa.array(h[piece])], names=["node", "h"])
-
-    each = sets.select("node", "hashes").mapInArrow(spread, f"node {NODE}, h long")
+    each = sets.select("node", F.explode("hashes").alias("h"))
     once = each.groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
     return once.groupBy("node").agg(F.count("*").alias("own"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tables: Scratch) -> DataFrame:
     """node, root (the least node that it reaches) for the nodes of edges (a, b), by alternating large and small stars."""
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
+    e = tables.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     while True:
-        both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = cut(
-            large.join(least, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
-            .select("x.*")
-            .filter("u != v")
-            .distinct()
-        )
         # Done when all are stars: every node has one root, and no root has another.
         loose = e.select("u", F.lit(1).alias("edges"), F.lit(0).alias("is_root")).union(e.select("v", F.lit(0), F.lit(1)))
         loose = loose.groupBy("u").agg(F.sum("edges").alias("edges"), F.max("is_root").alias("is_root"))
         if loose.filter(F.col("edges") + F.col("is_root") > 1).isEmpty():
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-                e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
+        rows = 2 * e.count()
+        both = e.union(e.select("v", "u"))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.join(small(least, rows), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        to_least = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        after = large.join(small(least, rows), "u").select(F.explode(to_least).alias("x")).select("x.*").filter("u != v").distinct()
+        before, e = e, tables.keep(after)
+        tables.drop(before)
 
 
 def _linked(percent: int) -> Column:
     return 100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))
 
 
+def _roots(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """nodes with root, their own number where no link is known."""
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _links(classes: DataFrame, docs: DataFrame, k: int, percent: int, tables: Scratch) -> DataFrame:
+    """a, b: links that connect all classes that links connect."""
+    nodes = tables.keep(sharing(classes))
+    chosen = tables.keep(classes.join(small(nodes.select("node"), rows := nodes.count()), "node", "left_semi").select("node", "id", "key"))
+    sets = tables.keep(_sets(docs, chosen, rows, k))
+    tables.drop(chosen)
+    # One star a bucket, around the member that shares the most places in buckets with others: of a group of copies that
+    # is the original, if it is there, to which all are nearer than to each other. Sizes that differ too much can't be linked.
+    by_size = F.lit(100) * F.least("n", "c_n") >= F.lit(percent) * F.greatest("n", "c_n")
+    edges = tables.keep(stars(nodes, by_size))
+    links = tables.keep(confirm(edges, sets).filter(_linked(percent)).select("a", "b"))
+    tables.drop(edges)
+    doubt = tables.keep(in_doubt(_roots(nodes.drop("order"), components(links, tables)), 3))
+    tables.drop(nodes)
+    # Shingles that only one of these sets has bound what it can share, and so the size of a partner. Sets that no partner
+    # can fit are settled.
+    of_doubt = sets.join(small(doubt.select("node"), doubt.count()), "node", "left_semi")
+    shares = F.col("n") - F.coalesce("own", F.lit(0))
+    bounded = doubt.join(own_shingles(of_doubt), "node", "left").withColumns(
+        {
+            "least": F.ceil(F.lit(percent) * F.col("n") / 100).cast("long"),
+            "most": (F.floor(shares * (100 + percent) / percent + 1e-9) - F.col("n")).cast("long"),
+        }
+    )
+    open_ = tables.keep(in_doubt(bounded.filter("most >= least").drop("own"), 2))
+    tables.drop(doubt)
+    # A star around the member with the fewest shingles of its own, the nearest to all others; then the pairs that are left.
+    fits = (F.col("root") != F.col("c_root")) & (F.col("n") <= F.col("c_most")) & (F.col("c_n") <= F.col("most")) & by_size
+    for find in (lambda x: stars(x.withColumn("order", -F.col("most") / F.col("n")), fits), pairs_in_doubt):
+        if open_.isEmpty():
+            break
+        edges = tables.keep(find(open_))
+        found = tables.keep(confirm(edges, sets).filter(_linked(percent)).select("a", "b"))
+        tables.drop(edges)
+        if not found.isEmpty():
+            links = links.union(found)
+            before, open_ = open_, tables.keep(in_doubt(_roots(open_.drop("root"), components(links, tables)), 2))
+            tables.drop(before)
+    return links
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs; a link is 100 * intersection >= percent * union."""
     spark = docs.sparkSession
     with short_lived_shuffles(spark):
-        sketched = cut(sketches(docs, k))
-        node_id = F.coalesce("id", F.lit(NULL_ID)).alias("id")
-        classes = sketched.filter("n > 0").groupBy("key").agg(F.min(node_id).alias("id"), F.max("n").alias("n"))
-        members = cut(
-            classes.join(sketched.select(node_id, "key", "bands"), ["id", "key"])
-            .dropDuplicates(["id", "key"])
-            .select(F.struct("id", "key").cast(NODE).alias("node"), "n", F.explode("bands").alias("bucket"))
-        )
-        # One star a bucket, around the member that shares the most places in buckets with others: of a group of copies
-        # that is the original, if it is there, to which all are nearer than to each other. Ties go to the least node.
-        sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-        shared = members.join(sizes, "bucket")
-        places = shared.groupBy("node").agg((-F.sum("size")).alias("order"))
-        shared = cut(shared.drop("size").join(places, "node"))
-        stars = shared.groupBy("bucket").agg(F.min(F.struct("order", "node", "n")).alias("c"))
-        sets = cut(_sets(docs, cut(shared.select("node").distinct()), k))
-        # Sets whose sizes differ too much can't be linked.
-        in_stars = shared.join(stars, "bucket").filter("node != c.node")
-        by_size = F.lit(100) * F.least("n", "c.n") >= F.lit(percent) * F.greatest("n", "c.n")
-        candidates = cut(in_stars.filter(by_size).select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct())
-        tested = cut(_confirm(candidates, sets))
-        links = tested.filter(_linked(percent)).select("a", "b")
-        roots = cut(components(links))
-
-        # Buckets that still hold several components.
-        distance = 1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-        known = tested.select("a", "b", distance.alias("d"), F.col("shared").alias("common"))
-        residual = (
-            shared.join(stars.select("bucket", F.col("c.node").alias("c")), "bucket")
-            .join(known, (F.col("a") == F.col("c")) & (F.col("b") == F.col("node")), "left")
-            .select(
-                "bucket", "node", "n", "order",
-                F.when(F.col("node") == F.col("c"), F.lit(0.0)).otherwise(F.col("d")).alias("d"),
-                F.when(F.col("node") == F.col("c"), F.col("n")).otherwise(F.col("common")).alias("common"),
-            )
-        )
-        several = (
-            shared.join(roots, "node", "left")
-            .groupBy("bucket")
-            .agg(F.min(F.coalesce("root", "node")).alias("lo"), F.max(F.coalesce("root", "node")).alias("hi"), F.count("*").alias("size"))
-            .filter("lo != hi and size > 2")
-            .select("bucket")
-        )
-        ranked = cut(
-            residual.join(several, "bucket").withColumn(
-                "rank", F.row_number().over(Window.partitionBy("bucket").orderBy("order", "node")) - 1
-            )
-        )
-        # Shingles that only one of these sets has bound what it can share with any other.
-        nodes = cut(ranked.select("node").distinct())
-        own = _own_shingles(sets.join(small(nodes, nodes.count()), "node", "left_semi"))
-        places = ranked.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))  # at most BANDS
-        ranked = cut(
-            ranked.join(own, "node", "left").join(places, "node").withColumn("rest", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
-        )
-        # What two sets can share at most: nothing that is a set's own; and, with the bucket's first centre, no more than
-        # either shares with it, and outside of it no more than either has there.
-        outside = F.least(F.col("rest") - F.col("common"), F.col("c_rest") - F.col("c_common"))
-        most_shared = F.least("rest", "c_rest", F.least("common", "c_common") + outside)
-        most_shared = F.when(F.col("common").isNull() | F.col("c_common").isNull(), F.least("rest", "c_rest")).otherwise(most_shared)
-        low, most = 1, ranked.agg(F.max("rank")).first()[0] or 0
-        while low < most:
-            high = min(64 * low, most)
-            now = ranked.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            centre = now.filter((F.col("rank") >= low) & (F.col("rank") < high)).select(
-                "bucket", *(F.col(x).alias(f"c_{x}") for x in ("node", "n", "d", "rank", "root", "rest", "common", "buckets"))
-            )
-            more = (
-                now.join(centre, "bucket")
-                .filter("rank > c_rank and root != c_root")
-                .filter(100 * most_shared >= percent * (F.col("n") + F.col("c_n") - most_shared))
-                .filter(F.coalesce(F.abs(F.col("d") - F.col("c_d")) <= 1 - percent / 100 + 1e-9, F.lit(True)))
-                # Of the buckets that both are in, one emits the pair.
-                .filter(F.array_min(F.array_intersect("buckets", "c_buckets")) == F.col("bucket"))
-                .select(F.col("c_node").alias("a"), F.col("node").alias("b"))
-            )
-            low = high
-            more = cut(more)
-            if more.isEmpty():
-                continue
-            found = cut(_confirm(more, sets).filter(_linked(percent)).select("a", "b"))
-            if not found.isEmpty():
-                links = links.union(found)
-                roots = cut(components(links))
-
-        label = roots.select(F.col("node.key").alias("key"), F.col("root.id").alias("root_id"))
-        return (
+        tables = Scratch(spark)
+        sketched = tables.keep(sketches(docs, k))
+        classes = tables.keep(classes_of(sketched))
+        roots = tables.keep(components(_links(classes, docs, k, percent, tables), tables))
+        ids = classes.select("node", "key", "id")
+        least = ids.join(roots, "node").groupBy("root").agg(F.min("id").alias("least"))
+        rows = roots.count()
+        label = ids.join(roots, "node", "left").join(small(least, rows), "root", "left").select("key", F.coalesce("least", "id").alias("component_id"))
+        component = F.coalesce("component_id", "id")
+        out = cut(
             sketched.select("id", "n", "key")
-            .join(classes.select("key", F.col("id").alias("class_id")), "key", "left")
             .join(label, "key", "left")
-            .withColumn("component_id", F.coalesce("root_id", "class_id", "id"))
-            .withColumn("component_id", F.when(F.col("component_id") != NULL_ID, F.col("component_id")))
-            .select(
-                F.col("id").alias("doc_id"),
-                F.col("n").alias("n_shingles"),
-                "component_id",
-                F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
-            )
+            .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(component != NULL_ID, component).alias("component_id"))
         )
+        tables.drop_all()
+        return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without those that a near-duplicate of smaller id stands for. Rows that are equal in id and text
-    are one; an id with several texts stays if any of them does."""
-    kept = near_duplicates(docs, k, percent).filter("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"))
-    own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    return own.join(kept.distinct(), "_id", "left_semi").dropDuplicates(["_id", "text"]).drop("_id")
+    are one; an id with several texts stays if any of them does. All columns are kept, whatever their names."""
+    known = near_duplicates(docs, k, percent).groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"))
+    by_id = cut(known.agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")))
+    kept = by_id.filter("kept")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.struct("*").alias("row"))
+    own = own.join(small(kept.select("id"), kept.count()), "id", "left_semi")
+    if not by_id.filter("n > 1").isEmpty():
+        # Only rows of ids that repeat can be equal; the others aren't compared by their texts.
+        own = own.join(by_id.filter("n > 1").select("id", F.lit(True).alias("repeats")), "id", "left")
+        own = own.withColumn("text", F.when(F.col("repeats"), F.col("row.text"))).dropDuplicates(["id", "text"])
+    return own.select("row.*")
