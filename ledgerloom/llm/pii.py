@@ -1,15 +1,21 @@
 """Personal data: detection by patterns and replacement by keyed, type-consistent surrogates.
 
 Entities are found by one regular expression; texts are cut at them and joined again around the replacements, so nothing
-else of a text changes. Every distinct entity (in a canonical form, so that spellings of one entity stay together) gets a
-surrogate from a keyed hash: digits for digits with all separators kept, a valid check digit where the original has one,
-letters for letters of the same case, names of the same gender and script. Proposals that two entities share, that are
-taken, or that occur as real entities go to another round with a new hash; so distinct entities stay distinct, and equal
-ones are replaced alike in all documents.
-
-Edge cases: null and empty texts stay as they are; an entity that repeats in a text is replaced everywhere; rows that
-hint at no entity pass unchanged and unshuffled; repeated rows stay repeated; a null doc_id is an id of its own; an empty table
-gives no rows; other columns are kept (columns whose names begin with an underscore are the caller's to avoid).
+else of a text changes. Card and bank account numbers count only with right check digits. Every distinct entity (in a form
+that its spellings share, so that they stay together) gets a surrogate from a keyed hash: digits for digits with all
+separators kept, right check digits, letters for letters of the same case and alphabet, given names of the same gender and
+script, surnames of the same script and, where it shows, gender. A person's surname gets one surrogate, with or without
+title and given name; addresses of one domain share theirs. Proposals that two entities share, that are taken, or that occur
+as real entities go to another round with a new hash; so distinct entities stay distinct, and equal ones are replaced alike in
+all documents. Later rounds lengthen formats that have few forms, so none runs out.
+
+Nothing is left because it is long: addresses, secrets and names have no greatest length (an IBAN has at most 34 characters
+by its standard, a card 19).
+
+Edge cases: null and empty texts stay as they are; an entity that repeats in a text is replaced everywhere; a secret of marks
+alone (a masked one) gets other marks; rows that hint at no entity pass unchanged and unshuffled; repeated rows stay repeated;
+a null doc_id is an id of its own; an empty table gives no rows; other columns are kept whatever their names, but for
+n_entities and kinds, which the operator's own replace.
 """
 
 from __future__ import annotations
@@ -18,13 +24,15 @@ import hmac
 import ipaddress
 import re
 import string
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._spark import cut, short_lived_shuffles, small
+from ledgerloom.llm._spark import Scratch, cut, short_lived_shuffles, small
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}(?![0-9])(?!\.[0-9])"
@@ -40,7 +48,7 @@ _PAIRS = "|".join(rf"0[1-9](?:{x}[0-9]{{2}}){{4}}(?![0-9])" for x in (" ", r"\."
 _NANP = "|".join(rf"[2-9][0-9]{{2}}{x}[0-9]{{3}}{x}[0-9]{{4}}(?![0-9])" for x in (" ", r"\.", "-"))
 #: No other entity begins here: numbers don't run over a separator into the next one.
 _OWN = (
-    rf"(?!{_IPV4}|[0-9A-Fa-f]{{1,4}}:[0-9A-Fa-f:]|{_SSN}|{_PAIRS}|{_NANP}|[A-Za-z0-9._%+-]{{1,64}}@|[0-9]{{13,19}}(?![0-9])"
+    rf"(?!{_IPV4}|[0-9A-Fa-f]{{1,4}}:[0-9A-Fa-f:]|{_SSN}|{_PAIRS}|{_NANP}|[A-Za-z0-9._%+-]++@|[0-9]{{13,19}}(?![0-9])"
     rf"|{_FOURS}(?:[ -]{_FOURS})*(?![0-9]|[ -][0-9]{{4}}(?![0-9]))|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}}(?![0-9]))"
 )
 #: Digits behind the country code (a pattern of codes: least and most); other codes: 6 to 12.
@@ -72,21 +80,21 @@ _IBAN = "|".join(
     rf"(?:{codes})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])"
     for n, codes in _IBAN_LENGTHS.items()
 ) + rf"|[A-Z]{{2}}[0-9]{{2}}(?:(?: {_OWN})?[A-Z0-9]{{4}}){{3,7}}(?:(?: {_OWN})?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])"
-_NAME = r"\p{Lu}[\p{L}'’-]{1,30}"
+_NAME = r"\p{Lu}[\p{L}'’-]+"
 _MALE = r"Mr|Herr|Sr|Señor|Monsieur|Mister|господин|г-н"
 _FEMALE = r"Mrs|Ms|Miss|Frau|Sra|Señora|Madame|Mme|Mlle|госпожа|г-жа"
 _SECRET_KEY = r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)"
 #: What begins with a capital behind a name of one word, and is another entity.
 _NO_SURNAME = (
-    rf"(?:{_MALE}|{_FEMALE})\.? |{_SECRET_KEY}\s{{0,3}}[=:]|AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])|[A-Za-z0-9._%+-]{{1,64}}@|[0-9A-Fa-f]{{1,4}}:[0-9A-Fa-f:]"
+    rf"(?:{_MALE}|{_FEMALE})\.? |{_SECRET_KEY}\s{{0,3}}[=:]|AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])|[A-Za-z0-9._%+-]++@|[0-9A-Fa-f]{{1,4}}:[0-9A-Fa-f:]"
 )
 
 #: kind -> pattern; earlier kinds win where several begin at one place.
 PATTERNS: dict[str, str] = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|sk-[A-Za-z0-9]{20,255})(?![A-Za-z0-9])"
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9]{20,}+)(?![A-Za-z0-9])"
     rf"|(?<![A-Za-z0-9]){_SECRET_KEY}[\"']?\s{{0,3}}[=:]\s{{0,3}}"
-    r"(?:\"[^\"\s]{6,512}\"|'[^'\s]{6,512}'|[^\s\"'<>,;&]{5,511}[^\s\"'<>,;&.:?!)\]}])",
+    r"(?:\"[^\"\s]{6,}+\"|'[^'\s]{6,}+'|[^\s\"'<>,;&]{5,}[^\s\"'<>,;&.:?!)\]}])",
     "ipv4": rf"(?<![0-9.]){_IPV4}",
     "ipv6": rf"(?<![0-9A-Za-z:.]){_IPV6}",
     "phone": rf"(?<![0-9+])\+(?:{_PHONE})|{_NATIONAL}",
@@ -99,16 +107,22 @@ _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds no entity. The class of first characters turns most places down at once.
 _HINT = rf"(?=[0-9@:=AsgMHFSгГ])(?:[0-9@:=]|AKIA|sk-|gh[pousr]_|{_MALE}|{_FEMALE})"
 
-#: Given names and surnames for surrogates, by gender and script.
+#: Given names for surrogates, by gender and script.
 NAMES = {
     ("m", "latin"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Louis Marco Nils Oscar Paul Rafael Simon Tomas Viktor".split(),
     ("f", "latin"): "Alba Berta Clara Diana Elena Flora Greta Hanna Irene Julia Karin Laura Maria Nora Olga Paula Rosa Sofia Tessa Vera".split(),
     ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Никита Олег Павел Роман Степан".split(),
     ("f", "cyrillic"): "Алла Вера Галина Дарья Елена Жанна Зоя Ирина Ксения Лидия Мария Нина Ольга Полина София".split(),
 }
-_PARTS = {
-    "latin": ("Al Ber Cor Dan Esk Fal Gor Hal Is Kal Lin Mar Nor Or Pel Ros Sand Tor Ver Wes".split(), "den berg ström mann ford well ski ton ville sen".split()),
-    "cyrillic": ("Бел Вол Гор Дуб Зим Крас Лес Мор Нов Озер Пет Род Сад Тим Чер".split(), "енко ский ин ов ев ич ник ой ых ук".split()),
+#: Stems and endings of surnames; where a script's surnames have a gender, the endings have it too.
+_STEMS = {
+    "latin": "Al Ber Cor Dan Esk Fal Gor Hal Is Kal Lin Mar Nor Or Pel Ros Sand Tor Ver Wes".split(),
+    "cyrillic": "Бел Вол Гор Дуб Зим Крас Лес Мор Нов Озер Пет Род Сад Тим Чер".split(),
+}
+_ENDINGS = {
+    ("", "latin"): "den berg ström mann ford well ton ville sen".split(),
+    ("m", "cyrillic"): "ский ин ов ев".split(),
+    ("f", "cyrillic"): "ская ина ова ева".split(),
 }
 
 #: What stands before a secret's value.
@@ -123,19 +137,63 @@ def kind_of(entity: Column) -> Column:
     return out
 
 
-def canonical(kind: str, surface: str) -> str:
-    """The form that all spellings of an entity share."""
-    if kind in ("phone", "card", "ssn"):
-        return ("+" if surface.startswith("+") else "") + re.sub(r"\D", "", surface)
+def luhn(digits: str) -> int:
+    """0 for a valid number."""
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        x = int(c) * (1 + i % 2)
+        total += x - 9 * (x > 9)
+    return total % 10
+
+
+def iban_check(iban: str) -> int:
+    """1 for a valid number."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def entities_of(kind: str, surface: str) -> list[tuple[str, str]]:
+    """(sort, entity) of what a surface form names, in the form that all its spellings share; none if check digits are wrong.
+
+    A name is a given name (by gender and script) and a surname, apart from its title, so that a person's full name and bare
+    surname stay together. Sorts are apart: surrogates only have to differ within one."""
+    digits = re.sub(r"\D", "", surface)
+    if kind == "card":
+        return [(kind, digits)] if luhn(digits) == 0 else []
     if kind == "iban":
-        return surface.replace(" ", "")
+        compact = surface.replace(" ", "")
+        return [(kind, compact)] if iban_check(compact) == 1 else []
+    if kind in ("phone", "ssn"):
+        return [(kind, "+" * surface.startswith("+") + digits)]
     if kind == "secret":
-        return _SECRET_VALUE.sub("", surface).strip("\"'")
+        return [(kind, _SECRET_VALUE.sub("", surface).strip("\"'"))]
     if kind == "ipv6":
-        return str(ipaddress.IPv6Address(surface))
+        return [(kind, str(ipaddress.IPv6Address(surface)))]
     if kind == "name":
-        return " ".join(surface.replace(".", "").split())
-    return surface.lower()
+        title, *given, family = surface.replace(".", "").split()
+        gender = "f" if re.fullmatch(_FEMALE, title) else "m"
+        script = "cyrillic" if re.search(r"[Ѐ-ӿ]", family) else "latin"
+        return [(f"given/{gender}/{script}", x.casefold()) for x in given] + [
+            (f"family/{gender if script == 'cyrillic' else ''}/{script}", family.casefold())
+        ]
+    return [(kind, surface.lower())]
+
+
+#: Marks that stand in for marks.
+_MARKS = "#$%*+=@^_~"
+#: Letters and digits that a text must have to be told apart by them alone.
+_FORMS = 6
+
+
+@lru_cache(maxsize=4096)
+def _sort_of(c: str) -> str:
+    """Characters of the same sort as c: letters of its case and block, digits of its script, marks."""
+    kind = unicodedata.category(c)
+    if c in string.digits or c in string.ascii_lowercase or c in string.ascii_uppercase:
+        return next(x for x in (string.digits, string.ascii_lowercase, string.ascii_uppercase) if c in x)
+    if kind[0] not in "LN" or kind == "Nl":
+        return ""
+    block = ord(c) & ~63
+    return "".join(x for x in map(chr, range(block, block + 64)) if unicodedata.category(x) == kind)
 
 
 class _Draw:
@@ -154,173 +212,158 @@ class _Draw:
     def pick(self, options):
         return options[self.below(len(options))]
 
-    def like(self, text: str) -> str:
-        """Letters and digits drawn anew, each of its own sort; hexadecimal text stays hexadecimal."""
-        hexadecimal = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) and re.search(r"[a-fA-F]", text)
-        out = []
-        for c in text:
-            if hexadecimal:
-                out.append(self.pick("0123456789abcdef" if text == text.lower() else "0123456789ABCDEF"))
-            elif c in string.digits:
-                out.append(self.pick(string.digits))
-            elif c in string.ascii_lowercase:
-                out.append(self.pick(string.ascii_lowercase))
-            elif c in string.ascii_uppercase:
-                out.append(self.pick(string.ascii_uppercase))
-            else:
-                out.append(c)
-        return "".join(out)
-
-
-def luhn(digits: str) -> int:
-    """0 for a valid number."""
-    total = 0
-    for i, c in enumerate(reversed(digits)):
-        x = int(c) * (1 + i % 2)
-        total += x - 9 * (x > 9)
-    return total % 10
+    def digits(self, n: int) -> str:
+        return "".join(self.pick(string.digits) for _ in range(n))
 
-
-def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
-    """A replacement of the canonical entity; of the same kind and, where that matters, format."""
-    draw = _Draw(key, kind, entity, attempt)
+    def like(self, text: str) -> str:
+        """Every letter and digit drawn anew, each of its own sort; hexadecimal text stays hexadecimal. Other characters
+        stay, but where too few letters and digits are left to tell texts apart."""
+        if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) and re.search(r"[a-fA-F]", text):
+            return "".join(self.pick("0123456789abcdef" if text == text.lower() else "0123456789ABCDEF") for _ in text)
+        marks = "" if sum(len(_sort_of(c)) > 1 for c in text) >= _FORMS else _MARKS
+        return "".join(self.pick(sort) if (sort := _sort_of(c) or marks) else c for c in text)
+
+
+def surrogate(key: bytes, sort: str, entity: str, attempt: int) -> str:
+    """A replacement of the entity, in the shared form: of the same sort and, where that matters, format. Later attempts get
+    longer where a format has few forms."""
+    draw = _Draw(key, sort, entity, attempt)
+    kind, *which = sort.split("/")
     if kind == "email":
-        return f"{draw.like(entity.split('@')[0])}{draw.below(10**6) if attempt > 2 else ''}@{draw.pick(('example.com', 'example.org', 'example.net'))}"
+        local, domain = entity.split("@")
+        # Addresses of one domain stay with one domain, of those reserved for examples.
+        at = _Draw(key, "domain", domain, 0)
+        return f"{draw.like(local)}{draw.digits(max(0, attempt - 2))}@{at.like(domain.split('.')[0])}.{at.pick(('example.com', 'example.org', 'example.net'))}".lower()
     if kind == "ipv4":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "ipv6":
-        return ":".join(f"{draw.below(1 << 16):x}" for _ in range(8))
+        return str(ipaddress.IPv6Address(":".join(f"{draw.below(1 << 16):x}" for _ in range(8))))
     if kind == "phone":
-        plus = entity.startswith("+")
-        keep = 1 if entity.startswith(("+1", "0")) else 2 if plus else 0
+        keep = 1 if entity.startswith(("+1", "0")) else 2 if entity.startswith("+") else 0
         digits = entity.lstrip("+")
-        return "+" * plus + digits[:keep] + str(2 + draw.below(8)) + "".join(draw.pick(string.digits) for _ in digits[keep + 1 :])
+        new = digits[:keep] + str(2 + draw.below(8)) + draw.digits(len(digits) - keep - 1 + max(0, attempt - 8))
+        return "+" * entity.startswith("+") + new
     if kind == "card":
-        body = str(1 + draw.below(9)) + "".join(draw.pick(string.digits) for _ in entity[2:])
-        last = next(str(d) for d in range(10) if luhn(body + str(d)) == 0)
-        return body + (last if luhn(entity) == 0 else str((int(last) + 1 + draw.below(9)) % 10))
+        body = str(1 + draw.below(9)) + draw.digits(len(entity) - 2)
+        return next(body + str(d) for d in range(10) if luhn(body + str(d)) == 0)
     if kind == "iban":
         body = draw.like(entity[4:])
         number = int("".join(str(int(c, 36)) for c in body + entity[:2] + "00"))
         return f"{entity[:2]}{98 - number % 97:02d}{body}"
-    if kind == "name":
-        title, *names = entity.split(" ")
-        gender = "f" if re.fullmatch(_FEMALE, title) else "m"
-        script = "cyrillic" if re.search(r"[Ѐ-ӿ]", names[-1]) else "latin"
-        front, back = _PARTS[script]
-        family = "-".join(draw.pick(front) + draw.pick(back) for _ in range(1 + attempt // 2))
-        return " ".join([title, *([draw.pick(NAMES[gender, script])] if len(names) > 1 else []), family])
-    return draw.like(entity)
-
-
-def dress(kind: str, surface: str, new: str) -> str:
-    """The surrogate in the spelling of a surface form: its separators, quotes, dots and case."""
-    if kind in ("phone", "card", "ssn"):
-        digits = iter(new.lstrip("+"))
-        return "".join(next(digits) if c.isdigit() else c for c in surface)
-    if kind == "iban":
-        letters = iter(new)
-        return "".join(c if c == " " else next(letters) for c in surface)
+    if kind == "given":
+        return "-".join(draw.pick(NAMES[tuple(which)]) for _ in range(1 + attempt // 2)).casefold()
+    if kind == "family":
+        stem = "".join(draw.pick(_STEMS[which[1]]) for _ in range(1 + attempt // 2))
+        return (stem + draw.pick(_ENDINGS[tuple(which)])).casefold()
+    return draw.like(entity) + "".join(draw.pick(string.ascii_lowercase + string.digits) for _ in range(attempt - 2))
+
+
+def dress(kind: str, surface: str, new: list[str]) -> str:
+    """The surrogates in the spelling of a surface form: its separators, quotes, dots and case."""
+    if kind in ("phone", "card", "ssn", "iban"):
+        left = list(reversed(new[0].lstrip("+")))
+        taken = "".join(left.pop() if c.isalnum() else c for c in surface)
+        return taken + "".join(reversed(left))
     if kind == "secret":
         before = surface[: len(surface) - len(_SECRET_VALUE.sub("", surface))]
-        quote = surface[-1] if surface[-1] in "\"'" else ""
-        return f"{before}{quote}{new}{quote}"
+        quote = surface[-1] if len(before) < len(surface) and surface[len(before)] in "\"'" else ""
+        return f"{before}{quote}{new[0]}{quote}"
     if kind == "name":
-        title = surface.split(" ")[0]
-        return " ".join([title, *new.split(" ")[1:]])
-    return new.upper() if kind in ("email", "ipv6") and surface == surface.upper() else new
+        title, *old = surface.split()
+        cased = (n.upper() if len(o) > 1 and o == o.upper() else "-".join(x.capitalize() for x in n.split("-")) for o, n in zip(old, new, strict=True))
+        return " ".join([title, *cased])
+    return new[0].upper() if kind in ("email", "ipv6") and surface == surface.upper() else new[0]
 
 
-def _map(df: DataFrame, f, kinds: list[pa.DataType], schema: str) -> DataFrame:
-    """f of each row's cells, as a row of schema."""
+def _map(df: DataFrame, f, schema: str) -> DataFrame:
+    """The rows that f makes of each row's cells; schema: names and kinds (string or int)."""
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    types = [pa.int32() if kind == "int" else pa.string() for kind in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [f(*r) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            cells = zip(*rows, strict=True) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(cells, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")]
-            )
+            rows = [out for r in zip(*(c.to_pylist() for c in batch.columns), strict=True) for out in f(*r)]
+            cells = list(zip(*rows, strict=True)) if rows else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cells, types, strict=True)], names=list(names))
 
     return df.mapInArrow(run, schema)
 
 
-def assign(entities: DataFrame, key: bytes, most_rounds: int = 64) -> DataFrame:
-    """kind, entity, surrogate for the distinct entities (kind, entity), one surrogate for each and none twice."""
-    text = pa.string()
-    left = cut(entities.distinct())
-    real, done = left.select("kind", F.col("entity").alias("surrogate")), None
+def assign(entities: DataFrame, key: bytes, tables: Scratch, most_rounds: int = 64) -> DataFrame:
+    """sort, entity, surrogate for the distinct entities (sort, entity), one surrogate for each and none twice."""
+    left = tables.keep(entities.distinct())
+    real, done = left.select("sort", F.col("entity").alias("surrogate")), None
     for attempt in range(most_rounds):
-        proposed = cut(
-            _map(left, lambda k, e, a=attempt: (k, e, surrogate(key, k, e, a)), [text] * 3, "kind string, entity string, surrogate string")
+        proposed = tables.keep(
+            _map(left, lambda s, e, a=attempt: [(s, e, surrogate(key, s, e, a))], "sort string, entity string, surrogate string")
         )
-        first = proposed.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity"))
-        won = first.join(real, ["kind", "surrogate"], "left_anti")
+        won = proposed.groupBy("sort", "surrogate").agg(F.min("entity").alias("entity")).join(real, ["sort", "surrogate"], "left_anti")
         if done is not None:
-            won = won.join(done, ["kind", "surrogate"], "left_anti")
-        won = won.select("kind", "entity", "surrogate")
-        done = cut(won if done is None else done.union(won))
-        left = cut(left.join(done, ["kind", "entity"], "left_anti"))
-        if not left.head(1):
+            won = won.join(done, ["sort", "surrogate"], "left_anti")
+        won = tables.keep(won.select("sort", "entity", "surrogate"))
+        done = won if done is None else done.union(won)
+        left = tables.keep(left.join(won, ["sort", "entity"], "left_anti"))
+        tables.drop(proposed)
+        if left.isEmpty():
             return done
     raise ValueError(f"no distinct surrogates in {most_rounds} rounds: an entity's format leaves too few")
 
 
 def replace(docs: DataFrame, key: bytes = b"surrogates-1") -> DataFrame:
-    """docs with text replaced, and the columns n_entities and kinds (sorted distinct kinds) after all others."""
+    """docs with text replaced, and the columns n_entities and kinds (sorted distinct kinds) after all others; columns of docs
+    with these two names are replaced by them."""
+    docs = docs.drop("n_entities", "kinds")
     with short_lived_shuffles(docs.sparkSession):
-        columns = docs.columns
+        tables = Scratch(docs.sparkSession)
         hinted = F.coalesce(F.col("text").rlike(_HINT), F.lit(False))
         untouched = docs.filter(~hinted).withColumns(
             {"n_entities": F.lit(0).cast("long"), "kinds": F.array().cast("array<string>")}
         )
-        found = (
-            docs.filter(hinted)
-            .withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-            .withColumn("_hash", F.xxhash64("text"))
+        # The caller's columns travel as one struct, so none can clash.
+        found = docs.filter(hinted).select(
+            F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"),
+            F.xxhash64("text").alias("hash"),
+            F.struct("*").alias("row"),
         )
         # explode(array(...)) keeps the filter below from working the entities out a second time.
-        entities = found.select("_id", "_hash", F.explode(F.array(F.regexp_extract_all("text", F.lit(_ANY), F.lit(0)))).alias("_entities"))
-        each = cut(
-            entities.filter(F.size("_entities") > 0)
-            .select("_id", "_hash", F.posexplode("_entities").alias("_at", "_surface"))
-            .withColumn("_kind", kind_of(F.col("_surface")))
-        )
-        text = pa.string()
-        surfaces = cut(
-            _map(
-                each.select("_kind", "_surface").distinct(),
-                lambda k, s: (k, s, canonical(k, s)),
-                [text] * 3,
-                "kind string, surface string, entity string",
-            )
+        entities = found.select("id", "hash", F.explode(F.array(F.regexp_extract_all("row.text", F.lit(_ANY), F.lit(0)))).alias("entities"))
+        each = tables.keep(
+            entities.filter(F.size("entities") > 0)
+            .select("id", "hash", F.posexplode("entities").alias("at", "surface"))
+            .withColumn("kind", kind_of(F.col("surface")))
         )
-        given = assign(surfaces.select("kind", "entity"), key)
-        dressed = cut(
+        surfaces = tables.keep(
             _map(
-                surfaces.join(given, ["kind", "entity"]).select("kind", "surface", "surrogate"),
-                lambda k, s, n: (k, s, dress(k, s, n)),
-                [text] * 3,
-                "kind string, surface string, new string",
+                each.select("kind", "surface").distinct(),
+                lambda k, s: [(k, s, i, *x) for i, x in enumerate(entities_of(k, s))],
+                "kind string, surface string, part int, sort string, entity string",
             )
         )
-        mapping = dressed.select(F.col("kind").alias("_kind"), F.col("surface").alias("_surface"), F.col("new").alias("_new"))
-        # The entities of one text, which bounds them; equal rows share theirs.
-        by_text = (
-            each.join(small(mapping, mapping.count()), ["_kind", "_surface"])
-            .groupBy("_id", "_hash")
-            .agg(F.array_sort(F.collect_set(F.struct("_at", "_new", "_kind"))).alias("_new"))
+        given = assign(surfaces.select("sort", "entity"), key, tables)
+        # A surface form has one or two parts.
+        parts = surfaces.join(given, ["sort", "entity"]).groupBy("kind", "surface").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("part", "surrogate"))), lambda x: x["surrogate"]).alias("new")
         )
-        rest = F.zip_with(F.slice("_between", F.lit(2), F.size("_new")), "_new", lambda s, n: F.concat(n["_new"], s))
-        changed = (
-            found.join(by_text, ["_id", "_hash"], "left")
-            .withColumn("_between", F.when(F.col("_new").isNotNull(), F.split("text", _ANY, -1)))
-            .withColumn("text", F.coalesce(F.concat(F.get("_between", 0), F.array_join(rest, "")), F.col("text")))
-            .withColumn("_new", F.coalesce("_new", F.array()))
-            .select(
-                *columns,
-                F.size("_new").cast("long").alias("n_entities"),
-                F.array_sort(F.array_distinct(F.transform("_new", lambda n: n["_kind"]))).alias("kinds"),
+        mapping = tables.keep(_map(parts, lambda k, s, n: [(k, s, dress(k, s, n))], "kind string, surface string, new string"))
+        # The entities of one text, which bounds them; equal rows share theirs. What has wrong check digits stays as it is.
+        by_text = cut(
+            each.join(small(mapping, mapping.count()), ["kind", "surface"], "left")
+            .groupBy("id", "hash")
+            .agg(
+                F.array_sort(
+                    F.collect_set(F.struct("at", F.coalesce("new", "surface").alias("new"), F.when(F.col("new").isNotNull(), F.col("kind")).alias("kind")))
+                ).alias("new")
             )
         )
-        return untouched.unionByName(changed)
+        tables.drop_all()
+    between = F.when(F.col("new").isNotNull(), F.split("row.text", _ANY, -1))
+    rest = F.zip_with(F.slice("between", F.lit(2), F.size("new")), "new", lambda s, n: F.concat(n["new"], s))
+    text = F.coalesce(F.concat(F.get("between", F.lit(0)), F.array_join(rest, "")), F.col("row.text"))
+    kinds = F.array_compact(F.transform(F.coalesce("new", F.array()), lambda n: n["kind"]))
+    changed = (
+        found.join(by_text, ["id", "hash"], "left")
+        .withColumn("between", between)
+        .select(F.col("row").withField("text", text).alias("row"), F.size(kinds).cast("long").alias("n_entities"), F.array_sort(F.array_distinct(kinds)).alias("kinds"))
+        .select("row.*", "n_entities", "kinds")
+    )
+    return untouched.unionByName(changed)

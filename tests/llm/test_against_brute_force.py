@@ -283,6 +283,37 @@ def test_packing(spark, docs):
     assert len(by) <= math.ceil(total / 1024) * 1.1
 
 
+def test_ids_are_those_of_the_tokenizer(spark, docs):
+    from tokenizers import Tokenizer
+
+    plain, ours = Tokenizer.from_file(catalog.tokenizer_path()), packing.encoder(catalog.tokenizer_path())
+    rng = np.random.default_rng(6)
+    signs = list("aB é\u00df1 '’s.,\n\t\r\u00a0\u2003\u3000\x1c\x85漢字\u0301") + ["  ", " <|endoftext|>", "<|endoftext|>", "\n\n ", "can't ", " 'll"]
+    texts = ["".join(rng.choice(signs, int(n))) for n in rng.integers(0, 60, 3000)]
+    texts += [" " * 2_000_000, "\n" * 2_000_000, "7" * 2_000_000, "x" * 200_000, "ab " * 300_000, "a  b" * 200_000, "", *docs.values()]
+    texts += ["x" * 4990 + " \n" * 40_000, "漢" * 100_000, " \t" * 2400]
+    assert ours.alike
+    for text, e in zip(texts, plain.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert ours(text).tolist() == e.ids, text[:50]
+
+
+def test_common_lengths_are_split(spark, monkeypatch):
+    """One length that half of all pieces have is ranked in several groups, without gaps or doubles."""
+    monkeypatch.setattr(packing, "GROUP_ROWS", 50)
+    rows = [(i, 0, 0, 100 if i % 2 else 1 + i % 1024, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    by = defaultdict(list)
+    for r in packing.place(df).collect():
+        by[r.sequence_id].append((r.offset, r.length))
+    assert sorted(x for parts in by.values() for _, x in parts) == sorted(r[3] for r in rows)
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+
+
 def fewest(counts, size):
     """A lower bound: pieces that fit with none of a middle piece's size, and what the rest needs beyond the gaps."""
     best = math.ceil(sum(k * n for k, n in counts.items()) / size)
@@ -331,12 +362,17 @@ def test_sharding(spark, docs):
 
 def test_surrogates(spark):
     key = b"k"
-    for kind, entity in [("card", "4111111111111111"), ("iban", "DE89370400440532013000"), ("phone", "+15551234567"), ("ssn", "123456789"), ("email", "ann@x.org")]:
-        new = pii.surrogate(key, kind, entity, 0)
-        assert new != entity and (kind == "email" or len(new) == len(entity))
-    assert pii.luhn(pii.surrogate(key, "card", "4111111111111111", 0)) == 0
-    assert pii.surrogate(key, "name", "Frau Anna Schmidt", 0).split(" ")[1] in pii.NAMES["f", "latin"]
-    assert pii.dress("phone", "+1 (555) 123-4567", "+19998887777") == "+1 (999) 888-7777"
+    for sort, entity in [("card", "4111111111111111"), ("iban", "DE89370400440532013000"), ("phone", "+15551234567"), ("ssn", "123456789"), ("email", "ann@x.org")]:
+        new = pii.surrogate(key, sort, entity, 0)
+        assert new != entity and (sort == "email" or len(new) == len(entity))
+    assert pii.luhn(pii.surrogate(key, "card", "4111111111111111", 0)) == 0 and pii.iban_check(pii.surrogate(key, "iban", "DE89370400440532013000", 0)) == 1
+    (given, family) = pii.entities_of("name", "Frau Anna Schmidt")
+    assert given == ("given/f/latin", "anna") and [family] == pii.entities_of("name", "Hr. Schmidt".replace("Hr.", "Herr")) and pii.surrogate(key, *given, 0).capitalize() in pii.NAMES["f", "latin"]
+    assert pii.dress("phone", "+1 (555) 123-4567", ["+19998887777"]) == "+1 (999) 888-7777"
+    assert pii.entities_of("card", "4111111111111112") == [] and pii.entities_of("iban", "DE88370400440532013000") == []
+    for name in ("госпожа Иванова", "г-жа Анна Петрова"):
+        made = {pii.surrogate(key, *pii.entities_of("name", name)[-1], a) for a in range(8)}
+        assert all(x.endswith(("ская", "ина", "ова", "ева")) for x in made)
     rows = [(i, f"call +1 (555) 000-{i:04d} or Mr. Smith{chr(65 + i % 26)} token = \"deadbeef{i:08d}\" mail a{i % 50}@b.org, A{i % 50}@B.ORG") for i in range(300)]
     out = pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     phones = {re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", r.text)[0] for r in out}
@@ -399,3 +435,69 @@ def test_common_forms(spark):
     assert a.lower() == b.lower() and c.split("=")[1] == d.split("'")[1]
     for text in ("at 12:30:45 in std::vector", "the ratio is 3:4, a = b", "on 2024-05-06 it cost 1.234.567"):
         assert pii.replace(spark.createDataFrame([(1, text)], "doc_id long, text string")).head().text == text
+
+
+def test_any_secret_has_a_surrogate(spark):
+    """Masked, foreign and very long secrets, and more entities of a short format than it has forms at first."""
+    secrets = ["******", "........", "пароль-секрет", "秘密の言葉です", "κωδικός", "#" * 9, "a" * 10_000, "é" * 7, "\u0301" * 6, "\x00" * 7]
+    rows = [(i, f'password = "{x}" end') for i, x in enumerate(secrets)] + [(100 + i, f"pin: password = 'ab{i % 10}{i // 10}!!'") for i in range(60)]
+    rows += [(1000, "x" * 10_000 + "@" + ".".join(["mail"] * 500) + ".example.net"), (1001, "sk-" + "a1" * 5000), (1002, "Frau Anna " + "Lang" * 50)]
+    out = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert out[i] != text, text[:60]
+        if i < 1000:
+            value = re.search(r"[\"'](.+)[\"']", text)[1]
+            assert value not in out[i] and out[i].startswith(text[: text.index(value)]), out[i][:80]
+    assert len({out[i] for i, _ in rows}) == len(rows) and "aaaa" not in out[1000] and "a1a1" not in out[1001] and "LangLang" not in out[1002]
+
+
+def test_people_stay_one(spark):
+    rows = [(1, "Mr John Smith met Mrs. Mary Brown"), (2, "Dr who, Mr. Smith and Mr JOHN SMITH"), (3, "Mrs Brown or Ms. Mary Brown"), (4, "госпожа Иванова, господин Иванов")]
+    out = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    given, family, given2, family2 = re.fullmatch(r"Mr (\S+) (\S+) met Mrs\. (\S+) (\S+)", out[1]).groups()
+    assert out[2] == f"Dr who, Mr. {family} and Mr {given.upper()} {family.upper()}" and out[3] == f"Mrs {family2} or Ms. {given2} {family2}"
+    assert family != family2 and not {"John", "Mary", "Smith", "Brown"} & {given, family, given2, family2}
+
+
+def test_callers_columns(spark):
+    df = spark.createDataFrame([(1, "mail ann@x.org", "k", "n", "i")], "doc_id long, text string, kinds string, n_entities string, _id string")
+    df = df.withColumns({x: F.lit("own") for x in ("id", "hash", "row", "at", "new", "between", "_new", "_hash")})
+    (r,) = pii.replace(df).collect()
+    assert (r._id, r.id, r.hash, r.row, r.between, r._new, r.kinds, r.n_entities) == ("i", "own", "own", "own", "own", "own", ["email"], 1)
+
+
+def test_pii_of_all_documents(spark, docs):
+    """The query against a plain pass over every text: what stands between entities stays, equal entities get equal
+    surrogates, distinct ones distinct ones, and none of them is a real entity."""
+    import regex
+
+    pattern = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in pii.PATTERNS.items()))
+    rows = {r.doc_id: r for r in catalog.op3_pii(spark, SF).collect()}
+    assert rows.keys() == docs.keys()
+    given, real, n = {}, set(), 0
+    for i, text in docs.items():
+        at, out, kinds = 0, rows[i].text or "", []
+        for m in pattern.finditer(text):
+            kind = m.lastgroup or next(k for k in pii.PATTERNS if m.group(k) is not None)
+            entity = pii.entities_of(kind, m[0])
+            before = text[at : m.start()]
+            assert out.startswith(before), (i, before, out[:80])
+            out = out[len(before) :]
+            if entity:
+                after = text[m.end() :]
+                following = pattern.search(text, m.end())
+                literal = text[m.end() : following.start() if following else len(text)]
+                size = out.index(literal) if following and literal else len(out) - len(after) if not following else None
+                assert size is not None
+                given.setdefault((kind, *entity), set()).add(re.sub(r"[ \-().\"']", "", out[:size].lower()) if kind != "secret" else out[:size].split("=")[-1].strip(" \"'"))
+                real |= {(kind, e.lower()) for _, e in entity}
+                out, n = out[size:], n + 1
+                kinds.append(kind)
+            else:
+                assert out.startswith(m[0])
+                out = out[len(m[0]) :]
+            at = m.end()
+        assert out == text[at:] and rows[i].n_entities == len(kinds) and rows[i].kinds == sorted(set(kinds))
+    assert n > 10 and all(len(x) == 1 for x in given.values())
+    new = [(k[0], next(iter(x))) for k, x in given.items()]
+    assert len(set(new)) == len(new) and not set(new) & real

@@ -48,7 +48,7 @@ def operators(odd, labels, benchmark):
     return {
         "fingerprints": lambda d: fingerprints.compare_with_edits(d),
         "licenses": lambda d: licenses.scan(d),
-        "pii": lambda d: pii.replace(d.select("doc_id", "text")),
+        "pii": lambda d: pii.replace(d),
         "lm": lambda d: lm.score_documents(d),
         "quality": lambda d: quality.score_documents(d, labels),
         "keep_good": lambda d: quality.keep_good(d, labels),
@@ -87,7 +87,7 @@ def test_values(spark, odd, labels, benchmark):
     assert (r.doc_id, r.license_id, r.dice, r.segments) == (-5, "MIT", 1.0, 1)
     kept = dedup.keep_one(odd).groupBy("doc_id").count().collect()
     assert {r.doc_id for r in kept} == {1, 3, 4, 5, 6, 7, 8, None, 9, -5} and all(r["count"] == 1 for r in kept)
-    replaced = {r.doc_id: r for r in pii.replace(odd.select("doc_id", "text")).collect()}
+    replaced = {r.doc_id: r for r in pii.replace(odd).collect()}
     assert replaced[3].text is None and replaced[None].kinds == ["email"] and replaced[9].kinds == ["ipv4"]
     assert "192.168.10.20" not in replaced[9].text and "someone@" not in replaced[None].text
 
