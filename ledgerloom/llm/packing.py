@@ -6,6 +6,8 @@ single, pair or triple of lengths that exactly fills the gap is taken, as often
 remains is packed best-fit, longest first. Pieces are then ranked among those of their length, in salted groups, and the
 rank picks the sequence and offset, so no task ever holds a whole length.
 
+Texts of any kind and length are encoded whole, also long runs of one character.
+
 Edge cases: null text is empty, so only the end token; an empty table gives no rows; repeated ids give pieces of their
 own; columns other than doc_id and text are ignored.
 """
@@ -13,6 +15,8 @@ own; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,18 +28,27 @@ from pyspark.sql import functions as F
 from ledgerloom.llm._spark import cut
 
 SEQ_LEN, END_ID = 1024, 2
-#: Pieces that one window group ranks, about.
-GROUP_ROWS = 50_000
-_encoders: dict[str, object] = {}
-
-
-def encoder(path: str):
-    """The byte-level BPE of a tokenizers JSON file, run by tiktoken on the file's own vocabulary: the same ids, at about
-    three times the speed. Added tokens keep their ids where a text spells them, as tokenizers does by default."""
-    if path not in _encoders:
+#: Pieces that one window group ranks, about; and groups at most, besides one for each length.
+GROUP_ROWS, GROUPS = 1000, 200_000
+#: Characters in a row, all white space or none, from which on a text goes to tokenizers itself.
+LONG = 5000
+_BLANK = re.compile(rf"\s{{{LONG}}}")
+#: Where two libraries may part, if anywhere.
+_PROBE = "It's  Über-\n\n 12 ½ can't漢字 <|endoftext|>\u00a0x\u2003\u0301é \x1c\x85'll٣ 🙂🙂  "
+_encoders: dict[str, Encoder] = {}
+
+
+class Encoder:
+    """The ids that tokenizers gives by a byte-level BPE file. tiktoken runs the file's own vocabulary at about three times
+    the speed and gives the same ids; texts with long runs of one kind, which it can't take, go to tokenizers itself, and so
+    do all if it should differ on a probe."""
+
+    def __init__(self, path: str):
         import tiktoken
         from public_tokenizers import PATTERN
+        from tokenizers import Tokenizer
 
+        self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         # The reversible byte-to-character table of byte-level BPE: printable bytes stand for themselves.
@@ -43,7 +56,24 @@ def encoder(path: str):
         spell = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(plain))}
         added = {x["content"]: x["id"] for x in model["added_tokens"]}
         ranks = {bytes(spell[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in added}
-        _encoders[path] = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        self.fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        self.alike = self.fast.encode(_PROBE, allowed_special="all") == self.by_tokenizers(_PROBE)
+
+    def by_tokenizers(self, text: str) -> list[int]:
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+    def __call__(self, text: str) -> np.ndarray:
+        long_ = len(text) >= LONG and (_BLANK.search(text) or max(map(len, text.split()), default=0) >= LONG)
+        if long_ or not self.alike:
+            return np.array(self.by_tokenizers(text), np.uint32)
+        return self.fast.encode_to_numpy(text, allowed_special="all")
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        # A worker is one process of many on its machine.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
@@ -55,8 +85,7 @@ def pieces(docs: DataFrame, path: str, seq_len: int = SEQ_LEN, end_id: int = END
         for batch in batches:
             rows: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = encode.encode_to_numpy(text.as_py() or "", allowed_special="all")
-                ids = np.append(found, end_id).astype("<u4")
+                ids = np.append(encode(text.as_py() or ""), end_id).astype("<u4")
                 first = len(ids) % seq_len or seq_len
                 ends = range(min(first, len(ids)), len(ids) + 1, seq_len)
                 start = 0
@@ -161,8 +190,10 @@ def place(cut_pieces: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
     slots.sort()
     begins, sequences, offsets = (np.array(x, np.int64) for x in (zip(*slots, strict=True) if slots else ([], [], [])))
 
-    groups = sum(counts.values()) // GROUP_ROWS + 1
-    salted = cut_pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # A length that many pieces have is ranked in as many groups as its counted pieces need.
+    group_rows = max(GROUP_ROWS, sum(counts.values()) // GROUPS)
+    groups = F.get(F.array(*(F.lit(counts.get(x, 0) // group_rows + 1) for x in range(seq_len + 1))), F.col("length").cast("int"))
+    salted = cut_pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), groups))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = (
         salted.groupBy("length", "_salt")
