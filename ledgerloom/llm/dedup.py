@@ -9,7 +9,8 @@ confirmed on the full sets.
 A star can miss links between two members that are both too far from its centre. Of the buckets whose members still lie in
 several components, first those members are settled that can have no partner: the shingles that no other such set has bound
 what a set can share, and so how large a partner may be. Then another star is drawn around the member with the fewest
-shingles of its own, and at last every pair of different components whose sizes fit is confirmed. So every pair that shares a
+shingles of its own, and at last every pair of different components is confirmed that can be a link by its sizes and by
+bit maps of its shingles. So every pair that shares a
 bucket is compared, is connected already, or is proven to be no link.
 
 Edge cases: null and empty texts, and texts without words, have an empty set and are linked with nothing; a text of fewer
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ from ledgerloom.llm._spark import Scratch, cut, short_lived_shuffles, small
 from ledgerloom.llm._text import U64, grams, mix, slices, words
 
 BANDS, ROWS = 32, 5
+#: Words of 64 bits in a class's bit map of common shingles; a power of two.
+WORDS = 16
 NULL_ID = -(1 << 63)
 _BINS = BANDS * ROWS
 _EDGES = np.array([-(-(b << 64) // _BINS) for b in range(1, _BINS)], U64)
@@ -143,25 +147,30 @@ def stars(nodes: DataFrame, fits: Column) -> DataFrame:
     ).distinct()
 
 
-def pairs_in_doubt(nodes: DataFrame) -> DataFrame:
-    """a, b: all pairs of a bucket that are of different components and can be linked by their sizes. nodes: node, n, least,
-    most (sizes that a partner can have), root, buckets. The join is on the bucket and on size classes of about 3%."""
-    size_class = lambda x: F.floor(F.log(x) * 32)
-    point = nodes.select("node", "n", "most", "root", F.explode("buckets").alias("bucket"), size_class("n").alias("size"))
-    # The larger of two looks for the smaller.
-    upto = F.least("n", "most")
-    reach = nodes.select(
-        *(F.col(c).alias(f"c_{c}") for c in ("node", "n", "least", "most", "root")),
-        F.explode("buckets").alias("bucket"),
-        F.sequence(size_class(F.greatest("least", F.lit(1))), size_class(F.greatest(upto, F.lit(1)))).alias("sizes"),
-    ).select("*", F.explode("sizes").alias("size"))
-    smaller = F.struct("n", "node") < F.struct(F.col("c_n").alias("n"), F.col("c_node").alias("node"))
+def shared_at_most() -> Column:
+    """What a node and one named c_ can share at most: of each, the common shingles but one for every bit that only it has."""
+    alone = lambda x, y: reduce(lambda p, q: p + q, (F.bit_count(F.col(f"{x}b{i}").bitwiseAND(F.bitwise_not(f"{y}b{i}"))) for i in range(WORDS)))
+    return F.least(F.col("common") - alone("", "c_"), F.col("c_common") - alone("c_", ""))
+
+
+def pairs_in_doubt(nodes: DataFrame, fits: Column) -> DataFrame:
+    """a, b: all pairs of a bucket that are of different components and fit. nodes: node, n, root, least, most (sizes that a
+    partner can have), buckets and others.
+
+    One of such a pair isn't of the bucket's largest component; so those that aren't meet all others, by bucket and size
+    class (about 8%), and the largest component's members never meet each other."""
+    rest = [c for c in nodes.columns if c not in ("order", "buckets")]
+    size_class = lambda x: F.floor(F.log(F.greatest(x, F.lit(1))) * 12)
+    members = nodes.select("root", F.explode("buckets").alias("bucket")).groupBy("bucket", "root").agg(F.count("*").alias("size"))
+    main = members.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("main")).select("bucket", F.col("main.root").alias("main"))
+    point = nodes.select(*rest, F.explode("buckets").alias("bucket"), size_class(F.col("n")).alias("size"))
+    sizes = F.sequence(size_class(F.col("least")), size_class(F.least("most", F.floor(F.col("n") * F.col("n") / F.col("least")) + 1)))
+    apart = nodes.select(*(F.col(c).alias(f"c_{c}") for c in rest), F.explode("buckets").alias("bucket"), sizes.alias("sizes"))
+    apart = apart.join(main, "bucket").filter("c_root != main").drop("main")
     return (
-        reach.join(point, ["bucket", "size"])
-        .filter(smaller & (F.col("root") != F.col("c_root")) & F.col("n").between(F.col("c_least"), F.col("c_most")) & (F.col("c_n") <= F.col("most")))
-        .select(F.col("c_node").alias("a"), F.col("node").alias("b"))
-        .distinct()
-    )
+        apart.select("*", F.explode("sizes").alias("size")).drop("sizes").join(point, ["bucket", "size"]).filter(fits)
+        .select(F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b")).distinct()
+    )
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, rows: int, k: int) -> DataFrame:
@@ -193,11 +202,19 @@ def confirm(edges: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", *sizes, F.size(F.array_intersect("ha", "hb")).cast("long").alias("shared"))
 
 
-def own_shingles(sets: DataFrame) -> DataFrame:
-    """node, own: how many shingles of a set no other of these sets has."""
+def common_shingles(sets: DataFrame) -> DataFrame:
+    """node, common (how many shingles of a set another of these sets has too), b0 to b15 (a bit map of those)."""
     each = sets.select("node", F.explode("hashes").alias("h"))
     once = each.groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
-    return once.groupBy("node").agg(F.count("*").alias("own"))
+    own = once.groupBy("node").agg(F.collect_list("h").alias("own"))
+    common = sets.join(own, "node", "left").withColumn("common", F.coalesce(F.array_except("hashes", "own"), "hashes"))
+
+    def word(i: int) -> Column:
+        mine = F.filter("common", lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(WORDS - 1)) == i)
+        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda x, h: x.bitwiseOR(bit(h))).alias(f"b{i}")
+
+    return common.select("node", F.size("common").cast("long").alias("common"), *(word(i) for i in range(WORDS)))
 
 
 def components(edges: DataFrame, tables: Scratch) -> DataFrame:
@@ -224,13 +241,13 @@ def _linked(percent: int) -> Column:
     return 100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))
 
 
-def _roots(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+def _with_root(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """nodes with root, their own number where no link is known."""
     return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _links(classes: DataFrame, docs: DataFrame, k: int, percent: int, tables: Scratch) -> DataFrame:
-    """a, b: links that connect all classes that links connect."""
+def _connected(classes: DataFrame, docs: DataFrame, k: int, percent: int, tables: Scratch) -> DataFrame:
+    """node, root: the components that the links make, for classes with a link."""
     nodes = tables.keep(sharing(classes))
     chosen = tables.keep(classes.join(small(nodes.select("node"), rows := nodes.count()), "node", "left_semi").select("node", "id", "key"))
     sets = tables.keep(_sets(docs, chosen, rows, k))
@@ -239,35 +256,33 @@ def _links(classes: DataFrame, docs: DataFrame, k: int, percent: int, tables: Sc
     # is the original, if it is there, to which all are nearer than to each other. Sizes that differ too much can't be linked.
     by_size = F.lit(100) * F.least("n", "c_n") >= F.lit(percent) * F.greatest("n", "c_n")
     edges = tables.keep(stars(nodes, by_size))
-    links = tables.keep(confirm(edges, sets).filter(_linked(percent)).select("a", "b"))
-    tables.drop(edges)
-    doubt = tables.keep(in_doubt(_roots(nodes.drop("order"), components(links, tables)), 3))
+    found = tables.keep(confirm(edges, sets).filter(_linked(percent)).select("a", "b"))
+    roots = components(found, tables)
+    tables.drop(edges, found)
+    doubt = tables.keep(in_doubt(_with_root(nodes.drop("order"), roots), 3))
     tables.drop(nodes)
     # Shingles that only one of these sets has bound what it can share, and so the size of a partner. Sets that no partner
     # can fit are settled.
     of_doubt = sets.join(small(doubt.select("node"), doubt.count()), "node", "left_semi")
-    shares = F.col("n") - F.coalesce("own", F.lit(0))
-    bounded = doubt.join(own_shingles(of_doubt), "node", "left").withColumns(
+    bounded = doubt.join(common_shingles(of_doubt), "node").withColumns(
         {
             "least": F.ceil(F.lit(percent) * F.col("n") / 100).cast("long"),
-            "most": (F.floor(shares * (100 + percent) / percent + 1e-9) - F.col("n")).cast("long"),
+            "most": (F.floor(F.col("common") * (100 + percent) / percent + 1e-9) - F.col("n")).cast("long"),
         }
     )
-    open_ = tables.keep(in_doubt(bounded.filter("most >= least").drop("own"), 2))
+    open_ = tables.keep(in_doubt(bounded.filter("most >= least"), 2))
     tables.drop(doubt)
     # A star around the member with the fewest shingles of its own, the nearest to all others; then the pairs that are left.
-    fits = (F.col("root") != F.col("c_root")) & (F.col("n") <= F.col("c_most")) & (F.col("c_n") <= F.col("most")) & by_size
-    for find in (lambda x: stars(x.withColumn("order", -F.col("most") / F.col("n")), fits), pairs_in_doubt):
-        if open_.isEmpty():
-            break
-        edges = tables.keep(find(open_))
+    by_bits = 100 * shared_at_most() >= percent * (F.col("n") + F.col("c_n") - shared_at_most())
+    fits = (F.col("root") != F.col("c_root")) & (F.col("n") <= F.col("c_most")) & (F.col("c_n") <= F.col("most")) & by_size & by_bits
+    for find in (lambda x: stars(x.withColumn("order", -F.col("most") / F.col("n")), fits), lambda x: pairs_in_doubt(x, fits)):
+        now = in_doubt(_with_root(open_.drop("root"), roots), 2)
+        edges = tables.keep(find(now))
         found = tables.keep(confirm(edges, sets).filter(_linked(percent)).select("a", "b"))
         tables.drop(edges)
         if not found.isEmpty():
-            links = links.union(found)
-            before, open_ = open_, tables.keep(in_doubt(_roots(open_.drop("root"), components(links, tables)), 2))
-            tables.drop(before)
-    return links
+            roots = components(roots.toDF("a", "b").union(found), tables)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -277,7 +292,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         tables = Scratch(spark)
         sketched = tables.keep(sketches(docs, k))
         classes = tables.keep(classes_of(sketched))
-        roots = tables.keep(components(_links(classes, docs, k, percent, tables), tables))
+        roots = _connected(classes, docs, k, percent, tables)
         ids = classes.select("node", "key", "id")
         least = ids.join(roots, "node").groupBy("root").agg(F.min("id").alias("least"))
         rows = roots.count()
