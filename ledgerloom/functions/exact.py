@@ -13,15 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ledgerloom.functions import exprs as X
+
 _WIDE = Context(prec=400)
 
 
 def mantissa(text: Column) -> Column:
-    return F.regexp_replace(F.trim(text), r"\.", "").try_cast("decimal(38,0)")
+    negative, digits, _ = X.number_parts(text)
+    return F.concat(F.when(negative, "-").otherwise(""), F.when(digits == "", "0").otherwise(digits)).try_cast("decimal(38,0)")
 
 
 def exponent(text: Column) -> Column:
-    return -F.length(F.regexp_extract(F.trim(text), r"\.([0-9]*)$", 1))
+    return X.number_parts(text)[2]
 
 
 @F.pandas_udf(StringType())
@@ -30,7 +33,7 @@ def _fold(parts: pd.Series) -> pd.Series:
         total = Decimal(0)
         for row in rows:
             total = _WIDE.add(total, Decimal(row["sum"]).scaleb(int(row["exponent"]), _WIDE))
-        return format(_WIDE.normalize(total), "f")
+        return format(_WIDE.normalize(total), "f") if total else "0"
 
     return parts.map(fold)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from ledgerloom.sources.schemas import AMOUNT, META
 
@@ -76,15 +77,41 @@ def integer_amount(text: Column | str) -> Column:
     return F.coalesce(F.when(t.rlike("^-?[0-9]+$"), t).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
 
 
+_NUMBER = r"^([+-]?)([0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE]([+-]?[0-9]{1,4}))?$"
+
+
+def number_parts(text: Column | str) -> tuple[Column, Column, Column]:
+    """(negative, digits, exponent) of a decimal text, with an exponent or without: its value is digits * 10 ** exponent, digits
+    have no zeros at either end ('' is zero). All null for what is no number."""
+    t = F.trim(_c(text))
+    n = F.when(t.rlike(_NUMBER), t)
+    body = F.regexp_extract(n, _NUMBER, 2)
+    whole = F.replace(body, F.lit("."), F.lit(""))
+    shorter = F.regexp_replace(whole, "0+$", "")
+    shift = F.when(F.regexp_extract(n, _NUMBER, 3) != "", F.regexp_extract(n, _NUMBER, 3)).try_cast("int")
+    exponent = F.coalesce(shift, F.lit(0)) - F.length(F.regexp_extract(body, r"\.([0-9]*)$", 1)) + F.length(whole) - F.length(shorter)
+    return n.startswith("-"), F.regexp_replace(shorter, "^0+", ""), F.when(n.isNotNull(), exponent)
+
+
 def fits_fast_decimal(text: Column | str) -> Column:
-    """Whether a decimal text has at most 20 integer and 18 fraction digits, so that a cast to AMOUNT keeps every digit."""
-    return F.coalesce(F.trim(_c(text)).rlike(r"^-?0*[0-9]{1,20}(\.[0-9]{1,18}0*)?$"), F.lit(False))
+    """Whether a decimal text has at most 19 integer and 18 fraction digits, so that AMOUNT keeps every digit, also of a
+    difference of two."""
+    t = F.trim(_c(text))
+    _, digits, exponent = number_parts(text)
+    other = (digits == "") | ((exponent >= -18) & (F.length(digits) + exponent <= 19))
+    return F.when(t.rlike(r"^-?[0-9]{1,19}(\.[0-9]{1,18})?$"), True).otherwise(F.coalesce(other, F.lit(False)))
 
 
 def decimal_amount(text: Column | str) -> Column:
-    """A decimal token's amount. Text that AMOUNT can't hold exactly gives null, never a rounded number."""
+    """A decimal token's amount, spelt with an exponent or without. Text that AMOUNT can't hold exactly gives null, never a
+    rounded number; functions.exact adds such texts."""
     t = F.trim(_c(text))
-    return F.when(fits_fast_decimal(t), t).try_cast(AMOUNT)
+    return F.when(fits_fast_decimal(text), t).try_cast(AMOUNT)
+
+
+def sum_or_null(amount: Column | str) -> Column:
+    """The sum of a group's amounts; null, not the sum of the rest, if one of them is unknown."""
+    return F.when(F.count_if(_c(amount).isNull()) == 0, F.sum(_c(amount)))
 
 
 def object_value(balance: Column | str) -> Column:
@@ -104,7 +131,7 @@ def holder_sign(holder_is_low: Column) -> Column:
 
 
 def negate_text(text: Column | str) -> Column:
-    t = _c(text)
+    t = F.regexp_replace(_c(text), r"^\+", "")
     return F.when(t == "0", t).when(t.startswith("-"), F.substring(t, 2, 1 << 30)).otherwise(F.concat(F.lit("-"), t))
 
 
@@ -170,6 +197,20 @@ def rendered(binary: Column, row: dict[str, Column]) -> Column:
     )
 
 
-def sorted_json(names: list[str]) -> Column:
-    """The named columns as JSON with keys in order."""
-    return F.to_json(F.struct(*sorted(names)))
+def sorted_fields(column: Column, kind: DataType) -> Column:
+    """A column with the fields of its structs, at every level, in order of their names."""
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(column.isNotNull(), F.struct(*(sorted_fields(column[f.name], f.dataType).alias(f.name) for f in fields)))
+    if isinstance(kind, ArrayType):
+        return F.transform(column, lambda x: sorted_fields(x, kind.elementType))
+    if isinstance(kind, MapType) and isinstance(kind.keyType, StringType):
+        entries = F.array_sort(F.map_entries(column))
+        return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], sorted_fields(e["value"], kind.valueType))))
+    return column
+
+
+def sorted_json(schema: StructType) -> Column:
+    """A row as JSON whose keys are in order at every level."""
+    fields = sorted(schema.fields, key=lambda f: f.name)
+    return F.to_json(F.struct(*(sorted_fields(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields)))

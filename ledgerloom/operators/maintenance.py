@@ -30,21 +30,35 @@ def delete_issuance(tables: dict[str, DataFrame], issuance_id: int) -> tuple[dic
     gone = exclusive_accounts(tables["account_issuance"], one).union(unused.join(members_elsewhere, "address", "left_anti")).distinct()
 
     new = {"issuances": issuances}
-    for name in ("account_issuance", "balance_deltas", "backfill_job"):
+    for name in ("account_issuance", "balance_deltas", "reconciliation_run"):
         if name in tables:
             new[name] = tables[name].join(one, "issuance_id", "left_anti")
     for name in ("accounts", "account_transactions", "coverage"):
         if name in tables:
             new[name] = tables[name].join(gone, "address", "left_anti")
+    if "backfill_job" in tables:
+        new["backfill_job"] = tables["backfill_job"].join(one, "issuance_id", "left_anti").join(gone, "address", "left_anti")
     new["transactions"] = tables["transactions"].join(
         new["account_transactions"].select("hash").union(new["balance_deltas"].select("hash")).distinct(), "hash", "left_semi"
     )
-    kept = new["balance_deltas"].join(gone, "address", "left_semi")
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    counts = [count(gone, "accounts_removed"), count(kept, "deltas_kept")]
-    for name, out in (("balance_deltas", "deltas_removed"), ("account_transactions", "links_removed"), ("coverage", "coverage_removed"), ("transactions", "transactions_removed")):
+    # Each table is counted in one pass, with what goes marked.
+    marked = gone.select("address", F.lit(True).alias("_gone"))
+    mine = F.col("issuance_id") == issuance_id
+    lost = lambda name: tables[name].join(marked, "address", "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)))
+    counts = [
+        gone.agg(F.count("*").alias("accounts_removed")),
+        lost("balance_deltas").agg(F.count_if(mine).alias("deltas_removed"), F.count_if(~mine & F.col("_gone")).alias("deltas_kept")),
+    ]
+    for name, out in (("account_transactions", "links_removed"), ("coverage", "coverage_removed")):
         if name in tables:
-            counts.append(one_row(count(tables[name], "_a"), count(new[name], "_b")).select((F.col("_a") - F.col("_b")).alias(out)))
+            counts.append(lost(name).agg(F.count_if("_gone").alias(out)))
+    if "backfill_job" in tables:
+        counts.append(lost("backfill_job").agg(F.count_if(mine | F.col("_gone")).alias("jobs_removed")))
+    if "reconciliation_run" in tables:
+        counts.append(tables["reconciliation_run"].agg(F.count_if(mine).alias("runs_removed")))
+    before = tables["transactions"].agg(F.count("*").alias("_a"))
+    after = new["transactions"].agg(F.count("*").alias("_b"))
+    counts.append(one_row(before, after).select((F.col("_a") - F.col("_b")).alias("transactions_removed")))
     return new, one_row(*counts)
 
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import exact
 from ledgerloom.functions import exprs as X
 from ledgerloom.sources.schemas import AMOUNT
 
+#: Amounts whose differences AMOUNT holds without rounding.
+HALF = "decimal(37,18)"
 KINDS = ("CreatedNode", "ModifiedNode", "DeletedNode")
 
 
@@ -42,7 +45,8 @@ def unreadable(transactions: DataFrame) -> DataFrame:
 
 def versions(nodes: DataFrame, issuances: DataFrame) -> DataFrame:
     """Object versions of all tracked issuances, of both kinds, in one pass over the nodes: with issuance_id, address (the
-    holder), amount and before (seen from the holder).
+    holder), amount and before (seen from the holder; null where the decimal type can't hold them exactly) and the same as
+    texts, amount_text and before_text, that keep every digit.
 
     Integer tokens match by issuance id. Trust lines match by currency, compared in readable form, and the issuer on either
     side; where both sides issue the currency, the low one counts."""
@@ -52,7 +56,7 @@ def versions(nodes: DataFrame, issuances: DataFrame) -> DataFrame:
     token = F.col("entry_type") == "MPToken"
     # A key that a row doesn't have becomes one of its own, so that such rows don't gather in one task of a shuffle join.
     own = F.concat(F.lit("-"), "hash", "object_id")
-    currency = X.currency_readable(F.coalesce("fields.LowLimit.currency", "fields.HighLimit.currency"))
+    currency = X.currency_readable(F.coalesce(F.get_json_object("fields.Balance", "$.currency"), "fields.LowLimit.currency", "fields.HighLimit.currency"))
     low, high = F.col("fields.LowLimit.issuer"), F.col("fields.HighLimit.issuer")
     keyed = nodes.filter("entry_type in ('MPToken', 'RippleState')").withColumns(
         {
@@ -64,8 +68,9 @@ def versions(nodes: DataFrame, issuances: DataFrame) -> DataFrame:
     found = keyed.join(mpt, "_mpt", "left").join(side("low"), "_low", "left").join(side("high"), "_high", "left")
     issuer_low = F.col("_low_id").isNotNull()
     sign = X.holder_sign(~issuer_low)
-    line_amount = X.decimal_amount(F.coalesce(X.object_value("fields.Balance"), F.lit("0"))) * sign
-    line_before = X.decimal_amount(X.object_value("previous.Balance")) * sign
+    told, told_before = F.coalesce(X.object_value("fields.Balance"), F.lit("0")), X.object_value("previous.Balance")
+    line_amount, line_before = X.decimal_amount(told) * sign, X.decimal_amount(told_before) * sign
+    as_held = lambda x: F.when(issuer_low, X.negate_text(F.trim(x))).otherwise(F.trim(x))
     return found.select(
         "hash", "ledger_index", "tx_index", "node_kind", "entry_type", "object_id", "deleted",
         F.coalesce("_t", "_low_id", "_high_id").alias("issuance_id"),
@@ -73,6 +78,8 @@ def versions(nodes: DataFrame, issuances: DataFrame) -> DataFrame:
         F.when(token, F.col("fields.Account")).when(issuer_low, high).otherwise(low).alias("address"),
         F.when(token, X.integer_amount("fields.MPTAmount").cast(AMOUNT)).otherwise(line_amount.cast(AMOUNT)).alias("amount"),
         F.when(token, X.integer_amount("previous.MPTAmount").cast(AMOUNT)).otherwise(line_before.cast(AMOUNT)).alias("before"),
+        F.when(token, X.integer_amount("fields.MPTAmount").cast("string")).otherwise(as_held(told)).alias("amount_text"),
+        F.when(token, X.integer_amount("previous.MPTAmount").cast("string")).otherwise(as_held(told_before)).alias("before_text"),
         F.when(token, F.coalesce("fields.Flags", F.lit(0))).otherwise(F.lit(0)).alias("flags"),
     ).filter("issuance_id is not null and address is not null")
 
@@ -82,19 +89,33 @@ def deltas(object_versions: DataFrame) -> DataFrame:
     account in a transaction are added up.
 
     Created objects count from zero and deleted ones to zero. A modified integer token without a prior amount counts from
-    zero (versions has 0 there); a modified trust line without one doesn't count (its prior amount is null)."""
-    before = F.when(F.col("node_kind") == "CreatedNode", F.lit(0)).when(
-        F.col("node_kind") == "DeletedNode", F.col("amount")
-    ).otherwise(F.col("before"))
-    after = F.when(F.col("node_kind") == "DeletedNode", F.lit(0)).otherwise(F.col("amount"))
+    zero (versions has 0 there); a modified trust line without one doesn't count (its prior amount is null). A delta of
+    amounts that the decimal type can't hold exactly is kept as null, and whatever adds it up refuses; exact_deltas has it."""
+    kind = F.col("node_kind")
+    zero = F.lit(0).cast(HALF)
+    amount, prior = F.col("amount").cast(HALF), F.col("before").cast(HALF)
+    before = F.when(kind == "CreatedNode", zero).when(kind == "DeletedNode", amount).otherwise(prior)
+    after = F.when(kind == "DeletedNode", zero).otherwise(amount)
     return (
-        object_versions.withColumn("delta", after.cast(AMOUNT) - before.cast(AMOUNT))
+        object_versions.filter(~((kind == "ModifiedNode") & F.col("before_text").isNull()))
+        .withColumn("delta", (after - before).cast(AMOUNT))
         .groupBy("hash", "ledger_index", "address", "issuance_id")
-        .agg(F.sum("delta").cast(AMOUNT).alias("delta"))
-        .filter("delta <> 0")
+        .agg(X.sum_or_null("delta").cast(AMOUNT).alias("delta"))
+        .filter("delta is null or delta <> 0")
     )
 
 
+def exact_deltas(object_versions: DataFrame) -> DataFrame:
+    """The deltas of deltas() as canonical texts, exact at any scale."""
+    kind = F.col("node_kind")
+    counted = object_versions.filter(~((kind == "ModifiedNode") & F.col("before_text").isNull()))
+    after = F.when(kind != "DeletedNode", F.col("amount_text"))
+    before = F.when(kind == "DeletedNode", X.negate_text("amount_text")).when(kind == "ModifiedNode", X.negate_text("before_text"))
+    keys = ["hash", "ledger_index", "address", "issuance_id"]
+    parts = counted.select(*keys, F.explode(F.array_compact(F.array(after, before))).alias("delta"))
+    return exact.exact_sum(parts, keys, "delta", "delta").filter("delta <> '0'")
+
+
 def derive(transactions: DataFrame, issuances: DataFrame) -> DataFrame:
     """Balance deltas of all tracked issuances from transactions with metadata."""
     return deltas(versions(flatten(transactions), issuances))

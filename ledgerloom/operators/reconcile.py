@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 
 def compare(left: DataFrame, right: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    """issuance_id, address, left_balance, right_balance where two balance tables differ; who isn't there has 0."""
+    """issuance_id, address, left_balance, right_balance where two balance tables differ; who isn't there has 0. A balance
+    that is there but unknown (null) differs from everything."""
     keys = ["issuance_id", "address"]
     a = left.select(*keys, F.col("balance").alias("left_balance"))
     b = right.select(*keys, F.col("balance").alias("right_balance"))
     if scope is not None:
         a, b = (x.join(scope.select(*keys).distinct(), keys, "left_semi") for x in (a, b))
-    both = a.join(b, keys, "full_outer")
+    a, b = a.withColumn("_l", F.lit(True)), b.withColumn("_r", F.lit(True))
     zero = F.lit(0).cast("decimal(38,18)")
-    both = both.withColumns({c: F.coalesce(F.col(c).cast("decimal(38,18)"), zero) for c in ("left_balance", "right_balance")})
-    return both.filter("left_balance <> right_balance")
+    number = lambda c, there: F.when(F.col(there).isNull(), zero).otherwise(F.col(c).cast("decimal(38,18)"))
+    both = a.join(b, keys, "full_outer").withColumns({"left_balance": number("left_balance", "_l"), "right_balance": number("right_balance", "_r")})
+    return both.drop("_l", "_r").filter("coalesce(left_balance <> right_balance, true)")
 
 
 def verdicts(issuances: DataFrame, differences: DataFrame, run_id: int) -> DataFrame:

@@ -4,42 +4,84 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from ledgerloom.functions import exact
 from ledgerloom.functions import exprs as X
 from ledgerloom.functions.session import one_row
 from ledgerloom.operators import scope
 from ledgerloom.operators.scope import INVALID, NOT_IN_ARCHIVE, OUT_OF_COVERAGE, status
 
 
+#: Ledgers of a bucket: running sums are made inside a bucket, and carried over as one number a bucket.
+LEDGERS = 10_000
+#: What an answer says when a delta behind it is known to exist but can't be told exactly.
+UNREADABLE = "unreadable"
+#: Rows of a page at most.
+MOST_ROWS = 400
+
+
 def running_balances(deltas: DataFrame) -> DataFrame:
-    """issuance_id, address, ledger_index, balance after that ledger: the as-of table behind many requests."""
-    by_ledger = deltas.groupBy("issuance_id", "address", "ledger_index").agg(F.sum("delta").alias("delta"))
+    """issuance_id, address, ledger_index, balance after that ledger (null from the first unknown delta on): the as-of table
+    behind many requests."""
+    by_ledger = deltas.groupBy("issuance_id", "address", "ledger_index").agg(F.sum("delta").alias("delta"), F.count_if(F.col("delta").isNull()).alias("_n"))
     upto = Window.partitionBy("issuance_id", "address").orderBy("ledger_index").rowsBetween(Window.unboundedPreceding, 0)
-    return by_ledger.select("issuance_id", "address", "ledger_index", F.sum("delta").over(upto).alias("balance"))
+    return by_ledger.select(
+        "issuance_id", "address", "ledger_index", F.when(F.sum("_n").over(upto) == 0, F.coalesce(F.sum("delta").over(upto), F.lit(0))).alias("balance")
+    )
 
 
 def current_balances(deltas: DataFrame) -> DataFrame:
-    """issuance_id, address, balance over everything."""
-    return deltas.groupBy("issuance_id", "address").agg(F.sum("delta").alias("balance"))
+    """issuance_id, address, balance over everything; null if one of the deltas is unknown."""
+    return deltas.groupBy("issuance_id", "address").agg(X.sum_or_null("delta").alias("balance"))
 
 
-def balance_at(requests: DataFrame, deltas: DataFrame, membership: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Answers to (request_id, issuance_id, address, ledger): balance (0 without deltas), status, beyond_coverage.
-
-    Deltas are first summed by (issuance, account, ledger), then meet the requests in one equi-join whose ledger bound is a
-    residual, and are summed again by request: no nested loop, and partial sums before every shuffle."""
-    by_ledger = deltas.groupBy("issuance_id", "address", "ledger_index").agg(F.sum("delta").alias("delta"))
-    sums = (
-        requests.select("request_id", "issuance_id", "address", "ledger")
-        .join(by_ledger, ["issuance_id", "address"])
-        .filter("ledger_index <= ledger")
-        .groupBy("request_id")
-        .agg(F.sum("delta").alias("_sum"))
+def exact_balances(deltas: DataFrame) -> DataFrame:
+    """The same as canonical text, from deltas as texts of any scale (nodes.exact_deltas)."""
+    return exact.exact_sum(deltas, ["issuance_id", "address"], "delta", "balance")
+
+
+def _sums_at(requests: DataFrame, deltas: DataFrame) -> DataFrame:
+    """issuance_id, address, ledger, _sum, _unknown for the distinct requests: the deltas up to the ledger, and how many of
+    them are unknown.
+
+    Requests and per-ledger sums are put together and summed in order, bucket by bucket; earlier buckets come as one number
+    each. So a request never meets the single deltas, and an account's history is one task a bucket."""
+    keys = ["issuance_id", "address"]
+    asked = requests.filter("issuance_id is not null and address is not null and ledger is not null").select(*keys, F.col("ledger").cast("long").alias("ledger")).distinct()
+    of_asked = deltas.join(asked.select(*keys).distinct(), keys, "left_semi")
+    by_ledger = of_asked.groupBy(*keys, F.col("ledger_index").alias("ledger")).agg(
+        F.sum("delta").cast("decimal(38,18)").alias("delta"), F.count_if(F.col("delta").isNull()).alias("unknown")
+    )
+    events = by_ledger.withColumn("asks", F.lit(0)).unionByName(
+        asked.select(*keys, "ledger", F.lit(None).cast("decimal(38,18)").alias("delta"), F.lit(0).cast("long").alias("unknown"), F.lit(1).alias("asks"))
+    )
+    events = events.withColumn("bucket", F.floor(F.col("ledger") / LEDGERS))
+    buckets = events.groupBy(*keys, "bucket").agg(F.sum("delta").alias("delta"), F.sum("unknown").alias("unknown"))
+    earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = buckets.select(*keys, "bucket", F.sum("delta").over(earlier).alias("_delta"), F.sum("unknown").over(earlier).alias("_unknown_before"))
+    # At one ledger the deltas come before the requests.
+    inside = Window.partitionBy(*keys, "bucket").orderBy("ledger", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    here = events.select(*keys, "bucket", "ledger", "asks", F.sum("delta").over(inside).alias("_here"), F.sum("unknown").over(inside).alias("_unknown_here"))
+    zero = F.lit(0).cast("decimal(38,18)")
+    return here.filter("asks = 1").join(before, [*keys, "bucket"]).select(
+        *keys,
+        "ledger",
+        (F.coalesce("_delta", zero) + F.coalesce("_here", zero)).cast("decimal(38,18)").alias("_sum"),
+        (F.coalesce("_unknown_before", F.lit(0)) + F.col("_unknown_here")).alias("_unknown"),
     )
+
+
+def balance_at(requests: DataFrame, deltas: DataFrame, membership: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Answers to (request_id, issuance_id, address, ledger): balance (0 without deltas), status, beyond_coverage. A balance
+    with an unknown delta is refused as unreadable."""
+    sums = _sums_at(requests, deltas)
     known = scope.flag(requests, membership, ["issuance_id", "address"], "_member")
     ends = coverage.groupBy("address").agg(F.max("to_ledger").alias("_to"))
-    answered = known.join(ends, "address", "left").join(sums, "request_id", "left")
-    state = status((F.col("ledger").isNull(), INVALID), (F.col("issuance_id").isNull() | ~F.col("_member"), NOT_IN_ARCHIVE))
+    answered = known.join(ends, "address", "left").join(sums, ["issuance_id", "address", "ledger"], "left")
+    state = status(
+        (F.col("ledger").isNull(), INVALID), (F.col("issuance_id").isNull() | ~F.col("_member"), NOT_IN_ARCHIVE), (F.col("_unknown") > 0, UNREADABLE)
+    )
     return answered.withColumn("status", state).select(
         *requests.columns,
         F.when(F.col("status") == scope.OK, F.coalesce("_sum", F.lit(0))).alias("balance"),
@@ -49,55 +91,98 @@ def balance_at(requests: DataFrame, deltas: DataFrame, membership: DataFrame, co
 
 
 def itemised(requests: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Deltas of (request_id, issuance_id, address or null, low, high): request_id, ledger_index, address, hash, delta."""
+    """Deltas of (request_id, issuance_id, address or null, low, high): request_id, ledger_index, address, hash, delta.
+
+    Requests for one account meet its deltas only, not all of the issuance."""
     asked = requests.select("request_id", "issuance_id", F.col("address").alias("_who"), F.coalesce("low", F.lit(0)).alias("_low"), "high")
-    return (
-        asked.join(deltas, "issuance_id")
-        .filter("ledger_index >= _low and (high is null or ledger_index <= high) and (_who is null or _who = address)")
-        .select("request_id", "ledger_index", "address", "hash", "delta")
+    inside = "ledger_index >= _low and (high is null or ledger_index <= high)"
+    out = ("request_id", "ledger_index", "address", "hash", "delta")
+    for_all = asked.filter("_who is null").drop("_who").join(deltas, "issuance_id").filter(inside).select(*out)
+    for_one = asked.filter("_who is not null").withColumnRenamed("_who", "address").join(deltas, ["issuance_id", "address"]).filter(inside).select(*out)
+    return for_all.unionByName(for_one)
+
+
+def itemised_answers(requests: DataFrame, deltas: DataFrame, issuances: DataFrame, membership: DataFrame) -> DataFrame:
+    """itemised with a status for every request, in the order of request, ledger, address and hash: its deltas, or one row
+    without any. An issuance that isn't tracked or an account that isn't its member is not in the archive; a range that ends
+    before it begins is invalid. A delta that is unknown makes the answer unreadable."""
+    asked = scope.flag(scope.flag(requests, issuances, ["issuance_id"], "_tracked"), membership, ["issuance_id", "address"], "_member")
+    state = status(
+        (F.col("high") < F.coalesce("low", F.lit(0)), INVALID),
+        (~F.col("_tracked") | (F.col("address").isNotNull() & ~F.col("_member")), NOT_IN_ARCHIVE),
     )
+    asked = asked.withColumn("status", state)
+    rows = itemised(asked.filter(F.col("status") == scope.OK), deltas)
+    unknown = rows.filter("delta is null").select("request_id").distinct().withColumn("_unknown", F.lit(True))
+    told = asked.select("request_id", "status").join(unknown, "request_id", "left")
+    told = told.select("request_id", F.when(F.col("_unknown"), UNREADABLE).otherwise(F.col("status")).alias("status"))
+    return told.join(rows.filter("delta is not null"), "request_id", "left").orderBy("request_id", "ledger_index", "address", "hash")
 
 
-def obligations(requests: DataFrame, deltas: DataFrame, membership: DataFrame, coverage: DataFrame, issuances: DataFrame, tail_to: int | None = None) -> DataFrame:
-    """What issuers owe, for (request_id, issuer, ledger, hotwallets): one row for each request and currency (wire form) with
-    a total other than zero, or one row with a status if the request can't be answered.
+def _lines_of(issuances: DataFrame) -> DataFrame:
+    wire = X.currency_wire("currency").alias("currency")
+    return issuances.filter("kind = 'iou' and enabled").select("issuance_id", F.col("issuer_account").alias("issuer"), wire)
 
-    Zero balances, the issuer's own and those of hot wallets are left out of the totals; all enabled currencies of the issuer
-    must be covered at the ledger, else the whole answer is refused."""
-    lines = issuances.filter("kind = 'iou' and enabled").select("issuance_id", F.col("issuer_account").alias("issuer"), X.currency_wire("currency").alias("currency"))
+
+def _owed(requests: DataFrame, deltas: DataFrame, membership: DataFrame, coverage: DataFrame, issuances: DataFrame, tail_to: int | None) -> tuple[DataFrame, DataFrame]:
+    """(request_id, status) of every request, and the balances (request_id, currency, address, balance, hot) behind those
+    that can be answered.
+
+    Deltas are summed by (issuance, address, ledger) before they meet the requests."""
     windows = scope.strict_window(membership, coverage, tail_to)
-    asked = requests.select("request_id", "issuer", "ledger", "hotwallets").join(lines, "issuer", "left").join(windows, "issuance_id", "left")
+    hot = F.col("hotwallets")
+    if isinstance(requests.schema["hotwallets"].dataType, StringType):
+        hot = F.when(hot.isNotNull(), F.array(hot))
+    asked = requests.select("request_id", "issuer", "ledger", hot.alias("hotwallets")).join(_lines_of(issuances), "issuer", "left").join(windows, "issuance_id", "left")
     inside = F.coalesce((F.col("ledger") >= F.col("from_ledger")) & (F.col("ledger") <= F.col("to_ledger")), F.lit(False))
     # Issuances without members owe nothing and need no coverage.
     fine = F.col("members").isNull() | inside
     verdict = asked.groupBy("request_id").agg(
-        F.bool_or(F.col("issuance_id").isNotNull()).alias("_tracked"), F.bool_and(F.col("issuance_id").isNull() | fine).alias("_covered")
+        F.bool_or(F.col("issuance_id").isNotNull()).alias("_tracked"), F.bool_and(F.col("issuance_id").isNull() | fine).alias("_covered"), F.bool_or(F.col("ledger").isNull()).alias("_odd")
     )
-    verdict = verdict.withColumn("status", status((~F.col("_tracked"), NOT_IN_ARCHIVE), (~F.col("_covered"), OUT_OF_COVERAGE)))
+    verdict = verdict.withColumn("status", status((F.col("_odd"), INVALID), (~F.col("_tracked"), NOT_IN_ARCHIVE), (~F.col("_covered"), OUT_OF_COVERAGE)))
     good = asked.join(verdict.filter(F.col("status") == scope.OK).select("request_id"), "request_id", "left_semi")
+    by_ledger = deltas.groupBy("issuance_id", "address", "ledger_index").agg(F.sum("delta").alias("delta"), F.count_if(F.col("delta").isNull()).alias("unknown"))
     holders = (
         good.select("request_id", "issuer", "ledger", "hotwallets", "issuance_id", "currency")
-        .join(deltas, "issuance_id")
+        .join(by_ledger, "issuance_id")
         .filter("ledger_index <= ledger")
         .groupBy("request_id", "issuer", "currency", "address")
-        .agg(F.sum("delta").alias("balance"), F.first("hotwallets").alias("hotwallets"))
-        .filter("balance <> 0 and address <> issuer")
+        .agg(F.sum("delta").alias("balance"), F.sum("unknown").alias("unknown"), F.first("hotwallets").alias("hotwallets"))
+        .filter("address <> issuer and (balance <> 0 or unknown > 0)")
+        .withColumn("hot", F.coalesce(F.array_contains("hotwallets", F.col("address")), F.lit(False)))
     )
-    totals = (
-        holders.filter(~F.coalesce(F.array_contains("hotwallets", F.col("address")), F.lit(False)))
-        .groupBy("request_id", "currency")
-        .agg(F.sum("balance").alias("obligation"))
-        .filter("obligation <> 0")
+    unknown = holders.filter("unknown > 0").select("request_id").distinct().withColumn("_unknown", F.lit(True))
+    verdict = verdict.join(unknown, "request_id", "left").select("request_id", F.when(F.col("_unknown"), UNREADABLE).otherwise(F.col("status")).alias("status"))
+    return verdict, holders.join(unknown, "request_id", "left_anti").select("request_id", "currency", "address", "balance", "hot")
+
+
+def obligations(requests: DataFrame, deltas: DataFrame, membership: DataFrame, coverage: DataFrame, issuances: DataFrame, tail_to: int | None = None) -> DataFrame:
+    """What issuers owe, for (request_id, issuer, ledger, hotwallets: a list or one address): one row for each request and
+    currency (wire form) with a total other than zero, or one row with a status if the request can't be answered.
+
+    Zero balances, the issuer's own and those of hot wallets are left out of the totals; all enabled currencies of the issuer
+    must be covered at the ledger, else the whole answer is refused."""
+    verdict, holders = _owed(requests, deltas, membership, coverage, issuances, tail_to)
+    totals = holders.filter("not hot").groupBy("request_id", "currency").agg(F.sum("balance").alias("obligation")).filter("obligation <> 0")
+    return verdict.join(totals, "request_id", "left")
+
+
+def gateway_balances(requests: DataFrame, deltas: DataFrame, membership: DataFrame, coverage: DataFrame, issuances: DataFrame, tail_to: int | None = None) -> DataFrame:
+    """obligations and the balances of hot wallets in one answer under one refusal: request_id, status, address (null: the
+    obligation to all others), currency, amount, in order."""
+    verdict, holders = _owed(requests, deltas, membership, coverage, issuances, tail_to)
+    amounts = (
+        holders.groupBy("request_id", F.when(F.col("hot"), F.col("address")).alias("address"), "currency").agg(F.sum("balance").alias("amount")).filter("amount <> 0")
     )
-    return verdict.select("request_id", "status").join(totals, "request_id", "left")
+    return verdict.join(amounts, "request_id", "left").orderBy("request_id", "address", "currency")
 
 
 def hot_wallet_balances(requests: DataFrame, deltas: DataFrame, issuances: DataFrame) -> DataFrame:
     """request_id, address, currency, balance (not zero) of the hot wallets that requests name."""
-    lines = issuances.filter("kind = 'iou' and enabled").select("issuance_id", F.col("issuer_account").alias("issuer"), X.currency_wire("currency").alias("currency"))
     return (
         requests.select("request_id", "issuer", "ledger", F.explode("hotwallets").alias("address"))
-        .join(lines, "issuer")
+        .join(_lines_of(issuances), "issuer")
         .join(deltas, ["issuance_id", "address"])
         .filter("ledger_index <= ledger")
         .groupBy("request_id", "address", "currency")
@@ -118,7 +203,7 @@ def account_history(requests: DataFrame, links: DataFrame, transactions: DataFra
         {
             "_low": F.greatest(bound("low"), F.col("_from")),
             "_high": F.least(bound("high"), F.col("_to")),
-            "_limit": X.page_limit("limit", 200, 400),
+            "_limit": X.page_limit("limit", 200, MOST_ROWS),
             "_at": F.when(F.col("marker").rlike("^[0-9]{1,15}:.+$"), F.substring_index("marker", ":", 1)).cast("long"),
             "_after": F.substring_index("marker", ":", -1),
             "out_of_range": scope.beyond(bound("low"), bound("high"), F.col("_from"), F.col("_to")),
@@ -133,13 +218,12 @@ def account_history(requests: DataFrame, links: DataFrame, transactions: DataFra
     )
     position, marker = F.struct("ledger_index", "hash"), F.struct(F.col("_at").alias("ledger_index"), F.col("_after").alias("hash"))
     rows = rows.filter(F.col("_at").isNull() | F.when(F.col("forward"), position > marker).otherwise(position < marker))
-    # One ranking serves both directions: for backward pages the order of (ledger, hash) is turned round.
-    up = Window.partitionBy("request_id").orderBy("ledger_index", "hash")
-    down = Window.partitionBy("request_id").orderBy(F.desc("ledger_index"), F.desc("hash"))
-    ranked = rows.withColumn("rank", F.when(F.col("forward"), F.row_number().over(up)).otherwise(F.row_number().over(down))).withColumn(
-        "_n", F.count("*").over(Window.partitionBy("request_id"))
-    )
-    pages = ranked.filter("rank <= _limit").select(
+    # The greatest page bounds every ranking, so a task ranks no more of a busy account's rows than that.
+    ranked = None
+    for side, order in (("forward", ("ledger_index", "hash")), ("not forward", (F.desc("ledger_index"), F.desc("hash")))):
+        part = rows.filter(side).withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(*order))).filter(F.col("rank") <= MOST_ROWS + 1)
+        ranked = part if ranked is None else ranked.unionByName(part)
+    pages = ranked.withColumn("_n", F.max("rank").over(Window.partitionBy("request_id"))).filter("rank <= _limit").select(
         "request_id", "hash", "ledger_index", "tx_type", "rank",
         F.when((F.col("rank") == F.col("_limit")) & (F.col("_n") > F.col("_limit")), F.concat_ws(":", "ledger_index", "hash")).alias("next_marker"),
     )
@@ -154,16 +238,26 @@ def transactions_by_hash(requests: DataFrame, transactions: DataFrame) -> DataFr
 
 def holder_pages(requests: DataFrame, holders: DataFrame) -> DataFrame:
     """Pages of holders by object id for (request_id, issuance_id, as_of_ledger, limit, marker)."""
-    asked = requests.withColumn("_limit", X.page_limit("limit", 50, 400))
+    asked = requests.withColumn("_limit", X.page_limit("limit", 50, MOST_ROWS))
     rows = asked.join(holders, ["issuance_id", "as_of_ledger"]).filter(F.col("marker").isNull() | (F.col("object_id") > F.col("marker")))
     order = Window.partitionBy("request_id").orderBy("object_id")
-    ranked = rows.withColumn("rank", F.row_number().over(order)).withColumn("_more", F.lead("object_id").over(order).isNotNull())
-    return ranked.filter("rank <= _limit").select(
+    ranked = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= MOST_ROWS + 1)
+    return ranked.withColumn("_n", F.max("rank").over(Window.partitionBy("request_id"))).filter("rank <= _limit").select(
         "request_id", "issuance_id", "as_of_ledger", "object_id", "address", "amount", "flags", "rank",
-        F.when((F.col("rank") == F.col("_limit")) & F.col("_more"), F.col("object_id")).alias("next_marker"),
+        F.when((F.col("rank") == F.col("_limit")) & (F.col("_n") > F.col("_limit")), F.col("object_id")).alias("next_marker"),
     )
 
 
+def holder_answers(requests: DataFrame, holders: DataFrame, issuances: DataFrame, latest: int) -> DataFrame:
+    """holder_pages with a status for every request: its page, or one row without holders. What isn't tracked is not in the
+    archive, a ledger beyond the latest one out of coverage."""
+    asked = scope.flag(requests, issuances.filter("kind = 'mpt'"), ["issuance_id"], "_tracked")
+    state = status((F.col("as_of_ledger").isNull(), INVALID), (~F.col("_tracked"), NOT_IN_ARCHIVE), (F.col("as_of_ledger") > latest, OUT_OF_COVERAGE))
+    asked = asked.withColumn("status", state)
+    pages = holder_pages(asked.filter(F.col("status") == scope.OK).select(*requests.columns), holders).drop("issuance_id", "as_of_ledger")
+    return asked.select("request_id", "issuance_id", "as_of_ledger", "status").join(pages, "request_id", "left")
+
+
 def recent_activity(transactions: DataFrame, deltas: DataFrame, issuances: DataFrame, ledgers: DataFrame, k: int = 10) -> DataFrame:
     """The k newest transactions (ledger descending, hash ascending) with the labels of the issuances that they move."""
     top = transactions.orderBy(F.desc("ledger_index"), "hash").limit(k)
@@ -227,6 +321,22 @@ def scope_summary(issuances: DataFrame, coverage: DataFrame) -> DataFrame:
     )
 
 
+def scope_listing(issuances: DataFrame, coverage: DataFrame) -> DataFrame:
+    """All tracked issuances, in order of their ids, each with the span of all coverage."""
+    span = coverage.agg(F.min("from_ledger").alias("from_ledger"), F.max("to_ledger").alias("to_ledger"))
+    values = {c: span.select(c).scalar() for c in ("from_ledger", "to_ledger")}
+    return issuances.withColumns(values).orderBy("issuance_id")
+
+
+def table_counts(issuances: DataFrame, membership: DataFrame, deltas: DataFrame, transactions: DataFrame, ledgers: DataFrame) -> DataFrame:
+    """issuance_id, members, deltas of every issuance, with the row counts of the transactions and of the calendar."""
+    members = membership.select("issuance_id", "address").distinct().groupBy("issuance_id").agg(F.count("*").alias("members"))
+    moved = deltas.groupBy("issuance_id").agg(F.count("*").alias("deltas"))
+    rows = one_row(transactions.agg(F.count("*").alias("transactions")), ledgers.agg(F.count("*").alias("ledgers")))
+    counted = issuances.select("issuance_id").join(members, "issuance_id", "left").join(moved, "issuance_id", "left").fillna(0)
+    return counted.withColumns({c: rows.select(c).scalar() for c in ("transactions", "ledgers")})
+
+
 def sample(membership: DataFrame, limit: int, seed: int = 0) -> DataFrame:
     """At most limit (1 to 1000) members of each issuance in the order of a hash: random, but the same on every run."""
     n = min(max(int(limit), 1), 1000)

@@ -18,6 +18,33 @@ def status(*cases: tuple[Column, str]) -> Column:
     return F.lit(OK) if out is None else out.otherwise(OK)
 
 
+#: The answering version of the interface, and the operations that requests can name.
+VERSION = 2
+OPERATIONS = ("account_tx", "account_info", "account_lines", "gateway_balances", "ledger", "mpt_holders", "archive_balance_at", "archive_transactions", "tx")
+
+
+def validate(requests: DataFrame, needs: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """requests (command, api_version and parameters, all as text) with status and error, the first of: another version than
+    VERSION, an operation that isn't served, a parameter that the operation needs (needs: operation -> columns) and lacks."""
+    needs = needs or {}
+    lacking = None
+    for command, columns in needs.items():
+        for c in columns:
+            bad = (F.col("command") == command) & (F.coalesce(F.trim(c), F.lit("")) == "")
+            lacking = F.when(bad, f"{c} is missing") if lacking is None else lacking.when(bad, f"{c} is missing")
+    missing = F.lit(None).cast("string") if lacking is None else lacking
+    version = F.trim("api_version").try_cast("int")
+    state = status(
+        (F.coalesce(version != VERSION, F.lit(True)), "invalidApiVersion"),
+        (~F.coalesce(F.col("command").isin(*OPERATIONS), F.lit(False)), "unsupported"),
+        (missing.isNotNull(), INVALID),
+    )
+    error = F.when(F.col("status") == "invalidApiVersion", F.concat(F.lit(f"api_version {VERSION} is required, not "), F.coalesce("api_version", F.lit("none")))).when(
+        F.col("status") == "unsupported", F.concat(F.lit("not served: "), F.coalesce("command", F.lit("none")))
+    ).when(F.col("status") == INVALID, missing)
+    return requests.withColumn("status", state).withColumn("error", error)
+
+
 def resolve_issuances(requests: DataFrame, issuances: DataFrame) -> DataFrame:
     """requests (issuance: 'id', 'CURRENCY/issuer' or an mpt id) with issuance_id, null if nothing is tracked by that name.
     A local id goes before an mpt id, and that before currency and issuer."""

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import exprs as X
 
 
-def first_of_each(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row for each key, the first by order; aggregates before the shuffle."""
+def first_of_each(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """One row for each key, the first by order (null first); aggregates before the shuffle."""
     rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_r")).select(*keys, "_r.*")
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
 def new_rows(batch: DataFrame, existing: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
@@ -49,6 +49,12 @@ def enabled_view(issuances: DataFrame, changes: DataFrame) -> DataFrame:
     return issuances.join(last, "issuance_id", "left").withColumn("enabled", F.coalesce("_enabled", "enabled")).drop("_enabled")
 
 
+def changes_applied(issuances: DataFrame, changes: DataFrame) -> DataFrame:
+    """changes with applied: whether the issuance is there; what isn't there can't be enabled or disabled."""
+    there = issuances.select("issuance_id", F.lit(True).alias("_there")).distinct()
+    return changes.join(there, "issuance_id", "left").withColumn("applied", F.coalesce("_there", F.lit(False))).drop("_there")
+
+
 def register(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """candidates (seq, kind, mpt_issuance_id, currency, issuer_account, backfill_from_ledger) with normalised columns,
     accepted and error. Of equal candidates the first is accepted."""
@@ -80,5 +86,5 @@ def register(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def export_json(rows: DataFrame, path: str) -> None:
-    """Rows as JSON lines whose keys are in order."""
-    rows.select(X.sorted_json(rows.columns).alias("value")).write.text(path)
+    """Rows as JSON lines whose keys are in order at every level."""
+    rows.select(X.sorted_json(rows.schema).alias("value")).write.text(path)

@@ -31,7 +31,7 @@ def holders_at(object_versions: DataFrame, points: DataFrame) -> DataFrame:
 
 def balances(object_versions: DataFrame) -> DataFrame:
     """issuance_id, address, balance from the newest live objects."""
-    return latest(object_versions).filter("not deleted").groupBy("issuance_id", "address").agg(F.sum("amount").alias("balance"))
+    return latest(object_versions).filter("not deleted").groupBy("issuance_id", "address").agg(X.sum_or_null("amount").alias("balance"))
 
 
 def account_roots(nodes: DataFrame, requests: DataFrame) -> DataFrame:
@@ -74,15 +74,18 @@ def trust_lines_at(nodes: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def reported_ledger(requests: DataFrame, coverage: DataFrame, latest: DataFrame) -> DataFrame:
-    """requests (address) with as_of_ledger (end of coverage, else the latest known ledger) and uncovered."""
+def reported_ledger(requests: DataFrame, coverage: DataFrame, latest: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """requests (address) with as_of_ledger and uncovered: the end of coverage, else the newest ledger in which the account
+    was seen (seen: address, max_ledger, as scope.data_range gives), else the latest known ledger."""
     ends = coverage.groupBy("address").agg(F.max("to_ledger").alias("_to"))
+    newest = ends.select("address", F.lit(None).cast("long").alias("_seen")).limit(0) if seen is None else seen.groupBy("address").agg(F.max("max_ledger").alias("_seen"))
     return (
         requests.join(ends, "address", "left")
+        .join(newest, "address", "left")
         .withColumn("_latest", latest.select("latest").scalar())
-        .withColumn("as_of_ledger", F.coalesce("_to", "_latest"))
+        .withColumn("as_of_ledger", F.coalesce("_to", "_seen", "_latest"))
         .withColumn("uncovered", F.col("_to").isNull())
-        .drop("_to", "_latest")
+        .drop("_to", "_seen", "_latest")
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -53,6 +53,8 @@ SCHEMAS = {
     "gaps": "source string, seq long, from_ledger long, to_ledger long",
     "stream_high": "source string, last long",
     "account_issuance": "address string, issuance_id long, discovered_via string, first_acquisition_ledger long",
+    "coverage": "address string, from_ledger long, to_ledger long, reason string",
+    "reconciliation_run": "issuance_id long, run_id long, ran_at timestamp, passed boolean, discrepancies long",
 }
 
 
@@ -60,10 +62,13 @@ def ingest_batch(tables: Tables, issuances: DataFrame, batch: DataFrame, batch_i
     """Stores what is new in a batch: transactions that touch a tracked issuance with links, deltas and new members, and
     ledger times. Healed ranges and backfills go through here too, so nothing is stored twice."""
     events = batch.persist()
-    found = events.filter("type = 'transaction'").dropDuplicates(["hash"])
+    found = sinks.first_of_each(events.filter("type = 'transaction'"), ["hash"], "seq", "ledger_index", "meta_json")
     versions = nodes.versions(nodes.flatten(found), issuances)
     scoped = found.drop("accounts").join(nodes.scoped_transactions(versions), ["hash", "ledger_index"])
-    fresh = sinks.new_rows(scoped, tables.before("transactions", SCHEMAS["transactions"], batch_id), ["hash"]).persist()
+    # A transaction has one ledger, so only stored ones of the batch's range can be the same.
+    span = scoped.agg(F.min("ledger_index").alias("low"), F.max("ledger_index").alias("high")).first()
+    stored = tables.before("transactions", SCHEMAS["transactions"], batch_id).filter(F.col("ledger_index").between(span["low"], span["high"]))
+    fresh = sinks.new_rows(scoped, stored, ["hash"]).persist()
     tables.append("transactions", fresh.select("hash", "ledger_index", F.coalesce("tx_type", F.lit("unknown")).alias("tx_type"), "meta_json"), batch_id)
     tables.append("account_transactions", sinks.links_of(fresh), batch_id)
     tables.append("balance_deltas", nodes.derive(fresh, issuances), batch_id)
@@ -106,10 +111,38 @@ def stream_gaps(stream: DataFrame, tables: Tables, checkpoint: str, anchor: int
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Ledgers of a bucket by which gaps and history meet.
+GAP_LEDGERS = 10_000
+
+
 def heal(gaps: DataFrame, history: DataFrame) -> DataFrame:
-    """The landed history inside the gaps, to go through ingest_batch. Ranges become ledgers, so the join is on equality."""
-    ledgers = gaps.select(F.explode(F.sequence("from_ledger", "to_ledger")).alias("ledger_index")).distinct()
-    return history.join(ledgers, "ledger_index", "left_semi")
+    """The landed history inside the gaps, to go through ingest_batch.
+
+    Gaps that overlap or touch become one first, so a ledger lies in one gap at most. They are cut at bucket bounds, and the
+    join is on the bucket, with the bounds as a residual: a gap of a million ledgers is a hundred rows."""
+    each = gaps.select("from_ledger", "to_ledger").distinct().withColumn("bucket", F.explode(F.sequence(F.floor(F.col("from_ledger") / GAP_LEDGERS), F.floor(F.col("to_ledger") / GAP_LEDGERS))))
+    cut = each.select(
+        "bucket", F.greatest("from_ledger", F.col("bucket") * GAP_LEDGERS).alias("low"), F.least("to_ledger", F.col("bucket") * GAP_LEDGERS + GAP_LEDGERS - 1).alias("high")
+    ).distinct()
+    # Inside a bucket a gap's stretch ends where the next one begins.
+    order = Window.partitionBy("bucket").orderBy("low", "high")
+    reach = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    own = cut.withColumn("low", F.greatest("low", F.coalesce(reach + 1, "low"))).filter("low <= high")
+    rows = history.withColumn("_bucket", F.floor(F.col("ledger_index") / GAP_LEDGERS))
+    inside = (F.col("_bucket") == F.col("bucket")) & F.col("ledger_index").between(F.col("low"), F.col("high"))
+    return rows.join(own, inside).drop("_bucket", "bucket", "low", "high")
+
+
+def heal_into(tables: Tables, issuances: DataFrame, gaps: DataFrame, history: DataFrame, batch_id: int) -> None:
+    """Heals gaps through ingest_batch: what is stored already stays as it is, what is new brings its links, deltas and members
+    (found as via 'sweep'). history: hash, ledger_index, tx_type, meta_json."""
+    healed = heal(gaps, history).select("hash", "ledger_index", "tx_type", "meta_json")
+    null = lambda kind: F.lit(None).cast(kind)
+    events = healed.select(
+        null("long").alias("seq"), F.lit("transaction").alias("type"), F.lit(True).alias("validated"), "ledger_index", null("long").alias("ledger_time"),
+        "hash", "tx_type", null("array<string>").alias("accounts"), "meta_json",
+    )
+    ingest_batch(tables, issuances, events, batch_id, via="sweep")
 
 
 def after_backfill(high_water: int, tail_now: int, spark: SparkSession) -> DataFrame:

@@ -123,6 +123,50 @@ def test_deltas(spark, issuances, document, want):
     assert got == want
 
 
+def test_amounts_of_any_scale(spark, issuances):
+    """Exponents and amounts beyond the decimal type: exact as texts, unknown as decimals, refused by what adds them up."""
+    tx = transactions(
+        spark, (1, meta(line("Created", "a", "rI", "10.5"))), (2, meta(line("Created", "b", "rI", "1234e-20"))), (3, meta(line("Created", "c", "rI", "5e25"))), (4, meta(line("Created", "rI", "d", "-12E2"))),
+        (5, meta(line("Modified", "a", "rI", "1.25e1", "10.5"))),
+    )
+    versions = nodes.versions(nodes.flatten(tx), issuances)
+    got = {(r.address, r.ledger_index): r.delta for r in nodes.deltas(versions).collect()}
+    assert got == {("a", 1): Decimal("10.5"), ("b", 2): None, ("c", 3): None, ("d", 4): 1200, ("a", 5): 2}
+    exactly = {(r.address, r.ledger_index): r.delta for r in nodes.exact_deltas(versions).collect()}
+    assert exactly == {("a", 1): "10.5", ("b", 2): "0.00000000000000001234", ("c", 3): "50000000000000000000000000", ("d", 4): "1200", ("a", 5): "2"}
+    assert {r.address: r.balance for r in reports.exact_balances(nodes.exact_deltas(versions)).collect()}["a"] == "12.5"
+    members = spark.createDataFrame([(x, 2) for x in "abcd"], "address string, issuance_id long")
+    coverage = spark.createDataFrame([(x, 1, 9, "s") for x in "abcd"], "address string, from_ledger long, to_ledger long, reason string")
+    asked = spark.createDataFrame([(x, 2, x, n) for x in "abcd" for n in (1, 9)], "request_id string, issuance_id long, address string, ledger long")
+    answers = {(r.address, r.ledger): (r.status, r.balance) for r in reports.balance_at(asked, nodes.deltas(versions), members, coverage).collect()}
+    assert answers["a", 9] == ("success", Decimal("12.5")) and answers["b", 9] == ("unreadable", None) and answers["b", 1] == ("success", 0) and answers["c", 9][0] == "unreadable"
+    asked = spark.createDataFrame([("x", "rI", 9, "a")], "request_id string, issuer string, ledger long, hotwallets string")
+    (r,) = reports.gateway_balances(asked, nodes.deltas(versions), members, coverage, issuances).collect()
+    assert (r.status, r.amount) == ("unreadable", None)
+    unknown = reports.current_balances(nodes.deltas(versions))
+    assert {r.address for r in reconcile.compare(unknown, unknown).collect()} == {"b", "c"}
+
+
+def test_listings_are_in_order(spark, report):
+    asked = spark.createDataFrame([("r", 1, None, 0, None)], "request_id string, issuance_id long, address string, low long, high long")
+    rows = reports.itemised_answers(asked, report["deltas"], spark.createDataFrame([(1,)], "issuance_id long"), report["members"]).collect()
+    assert [r.hash for r in rows] == ["T1", "T2"]
+    listed = reports.scope_listing(spark.createDataFrame([(3,), (1,), (2,)], "issuance_id long"), report["coverage"]).collect()
+    assert [(r.issuance_id, r.from_ledger, r.to_ledger) for r in listed] == [(1, 100, 200), (2, 100, 200), (3, 100, 200)]
+
+
+def test_many_buckets(spark):
+    """As-of sums across buckets of ledgers, against plain sums."""
+    n = reports.LEDGERS
+    rows = [(f"T{i}", i * n // 3, "a", 1, Decimal(i + 1)) for i in range(30)]
+    deltas = spark.createDataFrame(rows, DELTA)
+    members = spark.createDataFrame([("a", 1)], "address string, issuance_id long")
+    coverage = spark.createDataFrame([("a", 0, 1, "s")], "address string, from_ledger long, to_ledger long, reason string")
+    asked = spark.createDataFrame([(i, 1, "a", i * n // 7) for i in range(90)], "request_id long, issuance_id long, address string, ledger long")
+    for r in reports.balance_at(asked, deltas, members, coverage).collect():
+        assert r.balance == sum(x[4] for x in rows if x[1] <= r.ledger), r
+
+
 def test_unreadable_documents_are_reported(spark):
     assert [r.hash for r in nodes.unreadable(transactions(spark, (1, "nope"), (2, meta(token("Created", "a", 1))))).collect()] == ["T0"]
 
