@@ -5,6 +5,9 @@ descends level by level: at each node every child draws ``-ln(u) / weight`` from
 name, and the lowest draw wins. A child's draw depends on nothing but its own name and weight, so changing weights below
 one child moves rows only into or out of that child's subtree.
 
+The law is `key`: the id and the tree decide. Equal texts of several ids may so lie in several shards; whoever wants them
+together places by a column that they share (place's key).
+
 Edge cases: a null id is an id of its own (all such rows share a shard); equal ids share a shard, repeated rows get slots
 of their own; null text has size 1 and crc32 0; an empty table gives no rows; columns other than id and text are ignored.
 """
@@ -84,11 +87,11 @@ def place(rows: DataFrame, tree: Tree, key: str = "doc_id") -> DataFrame:
     return out.withColumn("shard", shard)
 
 
-def number(placed: DataFrame, rows: int, key: str, order: list[str], shards: int) -> DataFrame:
+def number(placed: DataFrame, rows: int, order: list[str], shards: int) -> DataFrame:
     """placed with slot: numbers from 0 without gaps in each shard. Chunks of a shard are numbered apart and then offset
     by the counts of the chunks before, so that no task sees a whole shard."""
     chunks = rows // (CHUNK_ROWS * shards) + 1
-    chunked = placed.withColumn("_chunk", F.pmod(F.xxhash64(F.lit("slot"), F.col(key)), F.lit(chunks)))
+    chunked = placed.withColumn("_chunk", F.pmod(F.xxhash64(F.lit("slot"), *order), F.lit(chunks)))
     before = Window.partitionBy("shard").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         chunked.groupBy("shard", "_chunk")
@@ -122,6 +125,6 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         F.col("_s").cast("int").alias("shard"),
         F.col("shard").cast("int").alias("grown_shard"),
     )
-    return number(both, docs.count(), "doc_id", ["doc_id", "size", "text_crc32"], shards).select(
+    return number(both, docs.count(), ["doc_id", "size", "text_crc32"], shards).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "region", "rack"
     )

@@ -501,3 +501,122 @@ def test_pii_of_all_documents(spark, docs):
     assert n > 10 and all(len(x) == 1 for x in given.values())
     new = [(k[0], next(iter(x))) for k, x in given.items()]
     assert len(set(new)) == len(new) and not set(new) & real
+
+
+def spark_xxhash64(*cells):
+    """Spark's xxhash64: each cell's hash is the next one's seed, null leaves it."""
+    import xxhash
+
+    h = 42
+    for c in cells:
+        if c is not None:
+            h = xxhash.xxh64_intdigest(c if isinstance(c, bytes) else c.encode(), seed=h)
+    return h
+
+
+def order_minhash(text):
+    """The filled bins (bin -> hash of the two least occurrence-numbered 3-mers in text order), in plain Python."""
+    units = re.findall(r"\s*\S{1,8}|\s+", text, re.ASCII)
+    get = lambda i: units[i] if i < len(units) else None
+    kmers = [spark_xxhash64(get(i), get(i + 1), get(i + 2)) for i in range(max(len(units) - 2, 1))] if units else []
+    seen, numbered = Counter(), []
+    for i, h in enumerate(kmers):
+        low = h & 0xFFFFFFFF
+        numbered.append((spark_xxhash64(low.to_bytes(8, "little"), seen[low].to_bytes(4, "little")) & 0xFFFFFFFF, i))
+        seen[low] += 1
+    bins = defaultdict(list)
+    for h, i in sorted(numbered):
+        bins[h >> 26].append(i)
+    return {b: spark_xxhash64(*(kmers[i].to_bytes(8, "little") for i in sorted(at[:2]))) & ((1 << 26) - 1) for b, at in bins.items()}
+
+
+def test_fingerprints_by_hand(spark, docs):
+    alike = lambda a, b: sum(a.get(k) == v for k, v in b.items()) / len(a.keys() | b.keys()) if a or b else 1.0
+    text = lambda bins: "".join(f"{b << 26 | h:08X}" for b, h in sorted(bins.items()))
+    order = sorted(docs, reverse=True)
+    for r in catalog.op1_fingerprints(spark, SF).collect():
+        own, after = docs[r.doc_id], docs[order[(order.index(r.doc_id) + 1) % len(order)]]
+        half = len(own) // 2
+        a, b, c = order_minhash(own), order_minhash(own[: len(own) - half] + after[:half]), order_minhash(after)
+        assert (r.fingerprint, r.edited_fingerprint) == (text(a), text(b)), r.doc_id
+        assert math.isclose(r.near_edited, alike(a, b)) and math.isclose(r.near_next, alike(a, c))
+
+
+def test_order_counts():
+    """Text whose parts change places keeps its k-mers and loses likeness; a set of k-mers would not see it."""
+    rng = np.random.default_rng(1)
+    words = [f"word{i:04}" for i in rng.permutation(400)]
+    moved = [w for block in rng.permutation(40) for w in words[10 * block : 10 * block + 10]]
+    a, b = order_minhash(" ".join(words)), order_minhash(" ".join(moved))
+    kept = len({tuple(words[i : i + 3]) for i in range(398)} & {tuple(moved[i : i + 3]) for i in range(398)}) / 398
+    assert kept > 0.75 and sum(a.get(k) == v for k, v in b.items()) / 64 < 0.6
+
+
+def test_language_model_by_hand(spark, docs):
+    """score from dictionaries of counts; the weights come from the cells that the definition gives."""
+    from ledgerloom.llm import lm
+
+    kept, held = [Counter(), Counter()], [Counter(), Counter()]
+    sequences = {}
+    for i, t in docs.items():
+        w = [*split(t), 0]
+        sequences[i] = list(zip(["start", *w[:-1]], w, strict=True))
+        for uni, bi in [kept] * (crc(i, 7) not in (2, 5)) + [held] * (crc(i, 7) == 5):
+            uni.update([*w, "start"])
+            bi.update(sequences[i])
+    n_kept, v_kept = sum(c for w, c in kept[0].items() if w != "start"), sum(w != "start" for w in kept[0])
+    bucket = lambda c: min(1 + int(math.log2(c)), lm.BUCKETS - 1) if c else 0
+    cells = defaultdict(lambda: [0, 0.0, 0.0])
+    for (context, w), times in held[1].items():
+        c1, c2, c = kept[0][w], kept[1][context, w], kept[0][context]
+        p1, p2 = c1 / n_kept, c2 / max(c, 1)
+        i1 = 1 + int(min(4 * math.log2(c1), lm._STEPS - 2)) if c1 else 0
+        i2 = 1 + int(min(-4 * math.log2(p2), lm._STEPS - 2)) if c2 else 0
+        cell = cells[(bucket(c) * lm._STEPS + i1) * lm._STEPS + i2]
+        cell[0], cell[1], cell[2] = cell[0] + times, cell[1] + times * p1, cell[2] + times * p2
+    weights = lm.learn_weights([(k, *x) for k, x in cells.items()], 1 / (v_kept + 1))
+    uni, bi = kept[0] + held[0], kept[1] + held[1]
+    n, v = sum(c for w, c in uni.items() if w != "start"), sum(w != "start" for w in uni)
+    for r in catalog.op4_lm(spark, SF).collect():
+        score = 0.0
+        for context, w in sequences[r.doc_id]:
+            a, b, c = weights[bucket(uni[context])]
+            score += math.log10(a * bi[context, w] / max(uni[context], 1) + b * uni[w] / n + c / (v + 1))
+        assert math.isclose(r.score, score, rel_tol=1e-6), (r.doc_id, r.score, score)
+
+
+def test_items_without_or_with_the_same_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    items = spark.createDataFrame([(1, a), (1, b), (None, c), (None, None), (2, a)], "item_id long, text string")
+    texts = spark.createDataFrame([(10, f"x {a} y"), (11, f"{b} z"), (12, c), (13, f"{a[:60]} {b[-60:]}"), (14, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(texts, items).collect()}
+    assert {k: v for k, v in got.items() if k[0] < 13} == {(10, 1): 1.0, (11, 1): 1.0, (12, None): 1.0}
+    # Two texts of one id are two items: halves of both add up to neither.
+    assert got.get((13, 1), 0) < 1
+
+
+def test_chat_query(spark):
+    rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()] + catalog.HOSTILE
+    by = defaultdict(list)
+    for conv, turn, role, text in rows:
+        by[conv].append((turn, role, text or ""))
+    got = {r.conv_id: r for r in catalog.op8_chat(spark, SF).collect()}
+    assert got.keys() == by.keys()
+    for conv, turns in by.items():
+        turns.sort(key=lambda x: (x[0], x[1] or ""))
+        r = got[conv]
+        said = "".join(f"{role}\n{text}\n" for _, role, text in turns)
+        loss = "".join(text for _, role, text in turns if role == "assistant")
+        assert r.n_turns == len(turns) and r.turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert r.formatted_chars >= sum(len(text) for *_, text in turns)
+
+
+def test_equal_texts_part_by_key(spark):
+    """The law is `key`: doc_id decides, so equal texts of several ids may lie in several shards, and rows of one id never do."""
+    rows = [(i, "the same text") for i in range(200)] + [(7, f"other {i}") for i in range(300)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.shard for r in out if r.size == 14}) == 8 and len({r.shard for r in out if r.doc_id == 7}) == 1
+    for s in range(8):
+        slots = sorted(r.slot for r in out if r.shard == s)
+        assert slots == list(range(len(slots)))
