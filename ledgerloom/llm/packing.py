@@ -29,7 +29,7 @@ from ledgerloom.llm._spark import cut
 
 SEQ_LEN, END_ID = 1024, 2
 #: Pieces that one window group ranks, about; and groups at most, besides one for each length.
-GROUP_ROWS, GROUPS = 1000, 200_000
+GROUP_ROWS, GROUPS = 250, 200_000
 #: Characters in a row, all white space or none, from which on a text goes to tokenizers itself.
 LONG = 5000
 _BLANK = re.compile(rf"\s{{{LONG}}}")
