@@ -239,10 +239,44 @@ def test_licenses(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     want = con.execute(licenses.scan_sql()).fetchall()
-    got = [(r.doc_id, r.license_id, r.dice, r.segments) for r in catalog.op2_licenses(spark, SF).collect()]
+    got = [(r.doc_id, r.license_id, r.dice, r.segments, r.windows) for r in catalog.op2_licenses(spark, SF).collect()]
     assert sorted(got) == sorted(want) and got
 
 
+def test_licences_within_files(spark):
+    """Notices wrapped over lines, in comments, behind prose on their line, between other lines, and with some words changed."""
+    mit, apache = licenses.TEMPLATES["MIT-text"].split(), licenses.TEMPLATES["Apache-2.0-notice"].split()
+    code = "\n".join(f"x{i} = compute(y{i}, z{i * 7})" for i in range(60))
+    lines = "\n".join(" * " + " ".join(mit[i : i + 9]) for i in range(0, len(mit), 9))
+    edited = " ".join(w if i % 17 else "changed" for i, w in enumerate(apache))
+    rows = [
+        (1, f"/* Copyright 2020 Somebody\n{lines}\n */\n{code}"),
+        (2, f"{code}\r\n\r\n# " + "\r\n\r\n# ".join([" ".join(apache[:20]), " ".join(apache[20:])]) + f"\r\n{code}"),
+        (3, f"About this project and all that it does for many people every day. {edited} And on it goes with more prose here.\n{code}"),
+        (4, f"{code}\nlicense license license software software permission warranty\n" + "the software of the license " * 50),
+        (5, "We met the foundation in public; conditions were published in a general language. " * 20),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.license_id): (r.dice, r.segments, r.windows) for r in licenses.scan(docs).collect()}
+    assert got[1, "MIT-text"][0] == 1.0 and got[1, "MIT-text"][1] == 0
+    assert got[2, "Apache-2.0-notice"][0] == 1.0
+    assert 0.8 <= got[3, "Apache-2.0-notice"][0] < 1.0
+    assert not any(i in (4, 5) for i, _ in got)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert {(r[0], r[1]): r[2:] for r in con.execute(licenses.scan_sql()).fetchall()} == got
+
+
+def test_seeds_are_in_every_match():
+    """No bigram set without a seed word reaches the threshold, for any template."""
+    for text in licenses.TEMPLATES.values():
+        seeds = {s[0] for s in licenses.seeds_of(text, 0.8)}
+        grams = licenses.bigrams_of(text)
+        without = [g for g in grams if not seeds & set(g.split())]
+        # The best of such sets is the one of just these bigrams.
+        assert 2 * len(without) / (len(without) + len(grams)) < 0.8
+
+
 def test_fingerprints(spark, docs):
     rows = {r.doc_id: r for r in catalog.op1_fingerprints(spark, SF).collect()}
     order = sorted(docs, reverse=True)
