@@ -4,7 +4,8 @@ Each text gives a few statistics (lengths, shares of character classes, repetiti
 random cosines whose inner products approximate a Gaussian kernel. Every partition of labelled rows adds up its share of
 the normal equations; their sums, whose size depends on the number of features alone, give the ridge weights. Rows of the
 calibration fold, which the ridge never sees, are counted in bins of the raw score, and pooling adjacent violators over the
-bins makes the score a calibrated probability. All labelled rows are used.
+bins makes the score a calibrated probability. All labelled rows are used. Standardised statistics beyond 8 deviations count
+as 8, for the cosines say nothing there, and the ridge's scores below -0.5 or above 1.5 as these, the ends of the bins.
 
 Edge cases: null and empty texts have all statistics 0 and a score like any other; labels that are null count as none, of
 several labels of an id the greatest counts; without labelled training rows every score is 0.5, with one class all scores
