@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import exprs as X
 from ledgerloom.functions.session import shared_folder
 from ledgerloom.operators import discovery, maintenance, nodes, reconcile, reports, scope, sinks, state, timeline
+from ledgerloom.plans.archive_queries import exp7_issuance_parts
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.report_queries import _LINES, _issuer_requests, _mpt_holders
 from ledgerloom.sources import archive
@@ -191,9 +192,8 @@ def exp14_result_codes(t: DriverTables) -> DataFrame:
 
 @query("SELECT issuance_id, (issuance_id // 10) * 16 + issuance_id % 10 AS sequence, lpad(CAST(n_regionkey AS VARCHAR), 40, '0') AS issuer FROM a_issuances JOIN nation ON n_nationkey = issuance_id WHERE kind = 'mpt'")
 def exp7_issuance_parts_all(t: DriverTables) -> DataFrame:
-    """Every integer token; the fixture's ids spell decimal numbers, read as hexadecimal here."""
-    mpt = t.issuances().filter("kind = 'mpt'")
-    return mpt.select("issuance_id", X.issuance_sequence("mpt_issuance_id").alias("sequence"), X.issuance_issuer("mpt_issuance_id").alias("issuer"))
+    """As exp7_issuance_parts."""
+    return exp7_issuance_parts(t)
 
 
 @query("""WITH RECURSIVE rel AS (SELECT DISTINCT hash, issuance_id FROM a_movements), par AS (SELECT DISTINCT hash, ledger_index, address FROM a_movements),

@@ -114,11 +114,11 @@ def rpt4_account_tx(t: DriverTables) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT hash FROM a_transactions WHERE tx_index % 7 = 0 UNION ALL SELECT concat(hash, 'x') FROM a_transactions WHERE tx_index % 70 = 0)
+WITH r AS (SELECT hash FROM a_transactions UNION ALL SELECT concat(hash, 'x') FROM a_transactions)
 SELECT r.hash, x.ledger_index, x.tx_type, CASE WHEN x.hash IS NULL THEN 'notInArchive' ELSE 'success' END AS status FROM r LEFT JOIN a_transactions x USING (hash)""")
 def rpt5_tx(t: DriverTables) -> DataFrame:
     tx = t.transactions()
-    asked = tx.filter("tx_index % 7 = 0").select("hash").union(tx.filter("tx_index % 70 = 0").select(F.concat("hash", F.lit("x"))))
+    asked = tx.select("hash").union(tx.select(F.concat("hash", F.lit("x"))))
     return reports.transactions_by_hash(asked, tx).select("hash", "ledger_index", "tx_type", "status")
 
 
@@ -126,10 +126,8 @@ def rpt5_tx(t: DriverTables) -> DataFrame:
 WITH r AS (SELECT hash FROM a_transactions UNION ALL SELECT concat(hash, 'x') FROM a_transactions)
 SELECT r.hash, x.ledger_index, x.tx_type, CASE WHEN x.hash IS NULL THEN 'notInArchive' ELSE 'success' END AS status FROM r LEFT JOIN a_transactions x USING (hash)""")
 def rpt5_tx_all(t: DriverTables) -> DataFrame:
-    """Every transaction and as many unknown hashes, not only those of rpt5_tx."""
-    tx = t.transactions()
-    asked = tx.select("hash").union(tx.select(F.concat("hash", F.lit("x"))))
-    return reports.transactions_by_hash(asked, tx).select("hash", "ledger_index", "tx_type", "status")
+    """Every transaction and as many unknown hashes, as in rpt5_tx."""
+    return rpt5_tx(t)
 
 
 _HOLDERS = """
@@ -300,17 +298,16 @@ def flt5_resolve_issuances(t: DriverTables) -> DataFrame:
     return scope.resolve_issuances(asked, i)
 
 
-@query("""WITH q AS (SELECT address, issuance_id, ledger_index FROM a_balance_deltas WHERE ledger_index % 50 = 0)
+@query("""WITH q AS (SELECT address, issuance_id, ledger_index FROM a_balance_deltas)
 SELECT q.address, q.issuance_id, q.ledger_index, (c.from_ledger IS NULL OR q.ledger_index < c.from_ledger OR q.ledger_index > c.to_ledger) AS beyond
 FROM q LEFT JOIN a_coverage c USING (address)""")
 def cov7_beyond(t: DriverTables) -> DataFrame:
-    rows = t.balance_deltas().filter("ledger_index % 50 = 0").join(scope.envelope(t.coverage()), "address", "left")
+    rows = t.balance_deltas().join(scope.envelope(t.coverage()), "address", "left")
     return rows.select("address", "issuance_id", "ledger_index", scope.beyond(F.col("ledger_index"), F.col("ledger_index"), F.col("from_ledger"), F.col("to_ledger")).alias("beyond"))
 
 
 @query("""SELECT q.address, q.issuance_id, q.ledger_index, (c.from_ledger IS NULL OR q.ledger_index < c.from_ledger OR q.ledger_index > c.to_ledger) AS beyond
 FROM a_balance_deltas q LEFT JOIN a_coverage c USING (address)""")
 def cov7_beyond_all(t: DriverTables) -> DataFrame:
-    """Every delta, not only those of cov7_beyond."""
-    rows = t.balance_deltas().join(scope.envelope(t.coverage()), "address", "left")
-    return rows.select("address", "issuance_id", "ledger_index", scope.beyond(F.col("ledger_index"), F.col("ledger_index"), F.col("from_ledger"), F.col("to_ledger")).alias("beyond"))
+    """Every delta, as in cov7_beyond."""
+    return cov7_beyond(t)
