@@ -22,6 +22,8 @@ U64 = np.uint64
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=U64) | U64(1)
+#: The values of bytes as they are; in _BYTE A-Z have those of a-z.
+AS_IS = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _powers: dict[str, np.ndarray] = {}
 
@@ -62,8 +64,8 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         a = b
 
 
-def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, hashes, offsets of the rows among the words) of all words."""
+def words(raw: np.ndarray, offs: np.ndarray, values: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes, offsets of the rows among the words) of all words; with the values AS_IS case counts."""
     n = len(raw)
     if not n:
         e = np.zeros(0, np.int64)
@@ -84,7 +86,7 @@ def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + WINDOW, "right")))
         base, top = starts[i], ends[j - 1]
         up, down = _power(int(top - base))
-        sums = np.cumsum(_BYTE[raw[base:top]] * up[: top - base], dtype=U64)
+        sums = np.cumsum(values[raw[base:top]] * up[: top - base], dtype=U64)
         s, e = starts[i:j] - base, ends[i:j] - base
         h = sums[e - 1]
         h[s > 0] -= sums[s[s > 0] - 1]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import chat, decontaminate, dedup, fingerprints, licenses, lm, packing, pii, quality, sharding
+from ledgerloom.llm import chat, decontaminate, dedup, fingerprints, licenses, lm, packing, pii, quality, sharding, substrings
 from ledgerloom.llm._spark import read
 
 
@@ -60,11 +60,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_fingerprints, op2_licenses, op3_pii, op4_lm, op5_quality, op6_decontamination, op7_near_duplicates, op8_chat,
-        op9_packing, op10_sharding,
+        op9_packing, op10_sharding, op13_substring_dedup,
     )
 }
 
