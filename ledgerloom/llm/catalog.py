@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import chat, decontaminate, dedup, fingerprints, licenses, lm, packing, pii, quality, sharding, substrings
+from ledgerloom.llm import chat, decontaminate, dedup, fingerprints, licenses, lm, packing, pii, prefix_trie, quality, sharding, substrings, variants
 from ledgerloom.llm._spark import read
 
 
@@ -60,6 +60,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(variants.altered_words(read(spark, sf_dir, "documents")))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(read(spark, sf_dir, "conversations")))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(read(spark, sf_dir, "documents"))
 
@@ -68,7 +76,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_fingerprints, op2_licenses, op3_pii, op4_lm, op5_quality, op6_decontamination, op7_near_duplicates, op8_chat,
-        op9_packing, op10_sharding, op13_substring_dedup,
+        op9_packing, op10_sharding, op11_spelling_variants, op12_conversation_trie, op13_substring_dedup,
     )
 }
 
