@@ -1,54 +1,229 @@
-"""Exact sums of decimal texts beyond the 38 digits of Spark's decimals.
+"""Exact amounts of any scale, in built-in functions.
 
-A text becomes (mantissa, exponent); Spark sums mantissas of one exponent as decimals, and only the few sums of a key,
-one for each exponent, are folded with arbitrary precision.
+An amount is a struct of LIMBS decimals, its limbs: limb k has the digits at the places LOWEST + 28 k to LOWEST + 28 k + 27 of
+the decimal point, with the amount's sign, and is null where there are none, so most amounts fill two of them. Limbs are summed
+each on its own: ten digits are left for carries, enough for 10 ** 10 summands. Carries are settled only where a sum becomes a
+text again. All amounts of 1 to 40 digits and exponents of -96 to 80 fit, wherever their point is; what doesn't, or is no number, is null, and whoever
+adds it up is told (Money.value).
 """
 
 from __future__ import annotations
 
-from decimal import Context, Decimal
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-from ledgerloom.functions import exprs as X
+from pyspark.sql.types import DecimalType, IntegralType
+from pyspark.sql.window import WindowSpec
 
-_WIDE = Context(prec=400)
+from ledgerloom.sources.schemas import AMOUNT
 
+DIGITS, LIMBS, LOWEST = 28, 10, -140
+FIELDS = tuple(f"l{k}" for k in range(LIMBS))
+_WIDE = f"decimal({DIGITS + 10},0)"
+#: The limbs of the digits just before and just behind the point.
+_UNITS, _BEHIND = -LOWEST // DIGITS, -LOWEST // DIGITS - 1
 
-def mantissa(text: Column) -> Column:
-    negative, digits, _ = X.number_parts(text)
-    return F.concat(F.when(negative, "-").otherwise(""), F.when(digits == "", "0").otherwise(digits)).try_cast("decimal(38,0)")
 
+#: What a Spark user would nest as functions is spelt as SQL here: one expression is parsed at once, where hundreds of columns
+#: would be built one by one.
+_NUMBER = r"^([+-]?)([0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE]([+-]?[0-9]{1,4}))?$"
 
-def exponent(text: Column) -> Column:
-    return X.number_parts(text)[2]
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for body, with value under a name, worked out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-@F.pandas_udf(StringType())
-def _fold(parts: pd.Series) -> pd.Series:
-    def fold(rows) -> str:
-        total = Decimal(0)
-        for row in rows:
-            total = _WIDE.add(total, Decimal(row["sum"]).scaleb(int(row["exponent"]), _WIDE))
-        return format(_WIDE.normalize(total), "f") if total else "0"
 
-    return parts.map(fold)
+def _apply(value: Column, name: str, body: str) -> Column:
+    return F.call_function("transform", F.array(value), F.expr(f"{name} -> {body}"))[0]
 
 
-def exact_sum(rows: DataFrame, keys: list[str], text: str, out: str = "total") -> DataFrame:
-    """keys and the exact sum of text as canonical text. Texts that are no decimals, or have more than 38 digits, raise."""
-    m = mantissa(F.col(text))
-    bad = F.raise_error(F.concat(F.lit("not an exact decimal: "), F.col(text))).cast("decimal(38,0)")
-    split = rows.filter(F.col(text).isNotNull()).select(*keys, F.when(m.isNull(), bad).otherwise(m).alias("_m"), exponent(F.col(text)).alias("_e"))
-    # Digits are split so that a sum of many mantissas can't overflow 38 digits.
-    half = F.lit("1" + "0" * 19).cast("decimal(38,0)")
-    low = split.withColumn("_low", (F.col("_m") % half).cast("decimal(20,0)")).withColumn(
-        "_high", ((F.col("_m") - F.col("_low")) / half).cast("decimal(20,0)")
+#: Of a text t: struct(negative, digits, e): its value is digits * 10 ** e, digits have no zeros at either end; null for no number.
+_PARTS = _let(
+    "s", "trim(t)",
+    f"if(s rlike r'{_NUMBER}', "
+    + _let(
+        "b", f"struct(regexp_extract(s, r'{_NUMBER}', 2) AS body, try_cast(nullif(regexp_extract(s, r'{_NUMBER}', 3), '') AS int) AS shift)",
+        _let(
+            "w", "struct(replace(b.body, '.', '') AS whole, regexp_replace(replace(b.body, '.', ''), '0+$', '') AS short)",
+            r"named_struct('negative', startswith(s, '-'), 'digits', regexp_replace(w.short, '^0+', ''), "
+            r"'e', coalesce(b.shift, 0) - length(regexp_extract(b.body, r'\.([0-9]*)$', 1)) + length(w.whole) - length(w.short))",
+        ),
     )
-    parts = low.groupBy(*keys, "_e").agg(F.sum("_low").alias("_low"), F.sum("_high").alias("_high"))
-    part = lambda x, e: F.struct(F.col(x).cast("string").alias("sum"), e.cast("int").alias("exponent"))
-    folded = parts.groupBy(*keys).agg(F.collect_list(F.array(part("_low", F.col("_e")), part("_high", F.col("_e") + 19))).alias("_parts"))
-    return folded.select(*keys, _fold(F.flatten("_parts")).alias(out))
+    + ", null)",
+)
+
+
+def _limb(k: int) -> str:
+    # The digit at index i from the left stands at the place e + n - 1 - i.
+    place = LOWEST + DIGITS * k
+    start, stop = f"greatest(0, q.e + q.n - {place} - {DIGITS})", f"least(q.n, q.e + q.n - {place})"
+    part = f"concat(q.sign, substring(q.digits, {start} + 1, {stop} - {start}), repeat('0', greatest(0, q.e - {place})))"
+    return f"if({stop} > {start}, cast({part} AS {_WIDE}), null) AS {FIELDS[k]}"
+
+
+_LIMBS_OF = _let(
+    "p", _PARTS,
+    f"if(p.digits = '' or (p.e >= {LOWEST} and length(p.digits) + p.e <= {LOWEST + DIGITS * LIMBS}), "
+    + _let("q", "struct(p.digits AS digits, p.e AS e, length(p.digits) AS n, if(p.negative, '-', '') AS sign)", f"struct({', '.join(map(_limb, range(LIMBS)))})")
+    + ", null)",
+)
+
+
+def number(text: Column | str) -> Column:
+    """The limbs of a decimal text, spelt with an exponent or without."""
+    return _apply(F.col(text) if isinstance(text, str) else text, "t", _LIMBS_OF)
+
+
+_ZERO = f"cast(0 AS {_WIDE})"
+_MINUS = "struct(" + ", ".join(f"if(p.a.{f} is null and p.b.{f} is null, null, cast(coalesce(p.a.{f}, {_ZERO}) - coalesce(p.b.{f}, {_ZERO}) AS {_WIDE})) AS {f}" for f in FIELDS) + ")"
+
+
+def minus(a: Column, b: Column) -> Column:
+    """a - b; null limbs, and null as a whole, count as nothing."""
+    return _apply(F.struct(a.alias("a"), b.alias("b")), "p", _MINUS)
+
+
+def _spelt(negative: str, whole: str, behind: str) -> str:
+    body = "concat(if({n}, '-', ''), if(y.w = '', '0', y.w), if(y.f = '', '', concat('.', y.f)))".format(n=negative)
+    return _let("y", f"struct(regexp_replace({whole}, '^0+', '') AS w, regexp_replace({behind}, '0+$', '') AS f)", body)
+
+
+def _full() -> str:
+    """Carries settled from the lowest limb up, then all limbs made positive and borrows settled."""
+    carry = _let(
+        "v", f"cast(l + acc.carry AS {_WIDE})",
+        _let(
+            "d", f"struct(if(v < 0, '-', '') AS sign, lpad(cast(abs(v) AS string), {DIGITS + 10}, '0') AS s)",
+            f"named_struct('carry', cast(concat(d.sign, left(d.s, 10)) AS {_WIDE}), 'out', array_append(acc.out, cast(concat(d.sign, right(d.s, {DIGITS})) AS {_WIDE})))",
+        ),
+    )
+    limbs = f"array({', '.join(f'coalesce(x.{f}, {_ZERO})' for f in FIELDS)})"
+    carried = f"aggregate({limbs}, named_struct('carry', {_ZERO}, 'out', cast(array() AS array<{_WIDE}>)), (acc, l) -> {carry}, acc -> array_append(acc.out, acc.carry))"
+    sign = "aggregate(c, 0, (g, u) -> if(u < 0, -1, if(u > 0, 1, g)))"
+    borrow = _let(
+        "v", f"cast(l - acc.borrow AS {_WIDE})",
+        f"named_struct('borrow', if(v < 0, cast(1 AS {_WIDE}), {_ZERO}), "
+        f"'out', concat(lpad(cast(cast(if(v < 0, v + cast('1{'0' * DIGITS}' AS {_WIDE}), v) AS {_WIDE}) AS string), {DIGITS}, '0'), acc.out))",
+    )
+    digits = f"aggregate(transform(z.limbs, u -> if(z.sign < 0, cast(-u AS {_WIDE}), u)), named_struct('borrow', {_ZERO}, 'out', ''), (acc, l) -> {borrow}, acc -> acc.out)"
+    told = _let("o", digits, _spelt("z.sign < 0", f"left(o, length(o) - {-LOWEST})", f"right(o, {-LOWEST})"))
+    return _let("c", carried, _let("z", f"struct(c AS limbs, {sign} AS sign)", told))
+
+
+def _quick() -> tuple[str, str]:
+    """When one decimal holds an amount (up to nine digits before the point, none beyond the limb behind it), and its text."""
+    others = ", ".join(f"x.{f}" for k, f in enumerate(FIELDS) if k not in (_UNITS, _BEHIND))
+    units, behind = f"coalesce(x.{FIELDS[_UNITS]}, {_ZERO})", f"coalesce(x.{FIELDS[_BEHIND]}, {_ZERO})"
+    short = f"coalesce({others}) is null and abs({units}) < 1000000000 and abs({behind}) < cast('1{'0' * DIGITS}' AS {_WIDE})"
+    one = f"cast(cast(concat(cast({units} AS string), '{'0' * DIGITS}') AS {_WIDE}) + {behind} AS {_WIDE})"
+    told = _let("s", f"lpad(cast(abs(v) AS string), {DIGITS + 10}, '0')", _spelt("v < 0", "left(s, 10)", f"right(s, {DIGITS})"))
+    return short, _let("v", one, told)
+
+
+_SHORT, _QUICK = _quick()
+_TEXT = f"if(x is null, null, if({_SHORT}, {_QUICK}, {_full()}))"
+
+
+def text(x: Column) -> Column:
+    """Canonical text: no exponent, no zeros at either end; of null limbs '0', of null null."""
+    return _apply(x, "x", _TEXT)
+
+
+def canonical(told: Column | str) -> Column:
+    """A decimal text in canonical form; null for what is no number or out of range."""
+    return text(number(told))
+
+
+_DECIMAL = (
+    rf"if(t rlike r'^-?[0-9]{{1,19}}(\.[0-9]{{1,18}})?$', try_cast(t AS {AMOUNT}), "
+    + _let("p", _PARTS, f"if(p.digits = '' or (p.e >= -18 and length(p.digits) + p.e <= 19), try_cast(trim(t) AS {AMOUNT}), null)")
+    + ")"
+)
+
+
+def decimal(told: Column | str) -> Column:
+    """A decimal text as AMOUNT, null where that can't hold it exactly."""
+    return _apply(F.col(told) if isinstance(told, str) else told, "t", _DECIMAL)
+
+
+class Money:
+    """How the amounts of a table are added up, and told again.
+
+    A decimal column of up to 28 digits is summed as it is (Spark's sum has ten digits more). Any other, and a column whose exact
+    texts stand beside it as <name>_text, is summed in limbs."""
+
+    def __init__(self, rows: DataFrame, amount: str = "delta"):
+        kind, names = rows.schema[amount].dataType, rows.columns
+        self.amount, self.told = amount, f"{amount}_text" if f"{amount}_text" in names else None
+        narrow = isinstance(kind, IntegralType) or isinstance(kind, DecimalType) and kind.precision <= DIGITS and kind.scale <= 18
+        self.plain = narrow and self.told is None
+        self.scale = kind.scale if isinstance(kind, DecimalType) else 0
+
+    @property
+    def value(self) -> Column:
+        """A row's summable amount; null if it isn't known."""
+        if self.plain:
+            return F.col(self.amount).cast(f"decimal({DIGITS},{self.scale})")
+        return number(F.coalesce(self.told, F.col(self.amount).cast("string")) if self.told else F.col(self.amount).cast("string"))
+
+    @property
+    def told_text(self) -> Column:
+        """A row's amount as canonical text; null if it isn't known."""
+        if self.told:
+            return F.col(self.told)
+        return F.when(F.col(self.amount).isNotNull(), self.text(F.col(self.amount))) if self.plain else canonical(F.col(self.amount).cast("string"))
+
+    def sum(self, value: str) -> Column:
+        return F.sum(value) if self.plain else F.struct(*(F.sum(f"{value}.{f}").alias(f) for f in FIELDS))
+
+    def over(self, value: str, window: WindowSpec) -> Column:
+        return F.sum(value).over(window) if self.plain else F.struct(*(F.sum(f"{value}.{f}").over(window).alias(f) for f in FIELDS))
+
+    @property
+    def none(self) -> Column:
+        """The sum of nothing."""
+        return F.lit(None).cast(f"decimal({DIGITS},{self.scale})") if self.plain else F.struct(*(F.lit(None).cast(_WIDE).alias(f) for f in FIELDS))
+
+    def plus(self, a: str, b: str, sign: int = 1) -> Column:
+        """a + b (sign -1: a - b) of two sums; null counts as nothing."""
+        if self.plain:
+            wide = f"decimal(38,{self.scale})"
+            a_, b_ = (F.coalesce(F.col(c).cast(wide), F.lit(0).cast(wide)) for c in (a, b))
+            return (a_ + b_ if sign > 0 else a_ - b_).cast(wide)
+        zero, a_, b_ = F.lit(0).cast(_WIDE), F.col(a), F.col(b)
+        both = lambda x, y: (x + y if sign > 0 else x - y).cast(_WIDE)
+        return F.struct(*(F.when(a_[f].isNotNull() | b_[f].isNotNull(), both(F.coalesce(a_[f], zero), F.coalesce(b_[f], zero))).alias(f) for f in FIELDS))
+
+    def text(self, total: str | Column) -> Column:
+        total = F.col(total) if isinstance(total, str) else total
+        if not self.plain:
+            return F.coalesce(text(total), F.lit("0"))
+        return self._plain_text(total)
+
+    def _plain_text(self, total: Column) -> Column:
+        plain = F.coalesce(total, F.lit(0).cast(f"decimal(38,{self.scale})")).cast("string")
+        return canonical(plain) if self.scale > 6 else F.when(plain.contains("."), F.regexp_replace(F.regexp_replace(plain, "0+$", ""), r"\.$", "")).otherwise(plain)
+
+    def decimal(self, told: str) -> Column:
+        """The column of a text of text() as AMOUNT."""
+        return decimal(told)
+
+    def decimal_of(self, total: str, told: str) -> Column:
+        """AMOUNT of a sum whose text is known too; a plain sum needn't be read from it."""
+        if not self.plain:
+            return decimal(told)
+        c = F.coalesce(F.col(total), F.lit(0).cast(f"decimal(38,{self.scale})"))
+        return F.when(F.abs(c) < F.lit("1" + "0" * 19).cast("decimal(20,0)"), c).try_cast(AMOUNT)
+
+
+def exact_sum(rows: DataFrame, keys: list[str], told: str, out: str = "total") -> DataFrame:
+    """keys and the exact sum of the column told as canonical text; null if one of a key's texts is no number. Null texts don't
+    count."""
+    split = rows.filter(F.col(told).isNotNull()).select(*keys, number(told).alias("_x"))
+    sums = F.struct(*(F.sum(f"_x.{f}").alias(f) for f in FIELDS))
+    return split.groupBy(*keys).agg(sums.alias("_sum"), F.count_if(F.col("_x").isNull()).alias("_bad")).select(*keys, F.when(F.col("_bad") == 0, text(F.col("_sum"))).alias(out))
+
+
+def upto(*keys: str, order: str = "ledger_index", last: int = 0) -> WindowSpec:
+    """The window from a key's beginning to the row (last -1: to the row before it)."""
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, last)

@@ -77,6 +77,12 @@ def integer_amount(text: Column | str) -> Column:
     return F.coalesce(F.when(t.rlike("^-?[0-9]+$"), t).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
 
 
+def integer_text(text: Column | str) -> Column:
+    """An integer token's amount as it is spelt, of any length; '0' for what is missing, blank or no integer."""
+    t = F.trim(_c(text))
+    return F.when(t.rlike("^-?[0-9]+$"), t).otherwise("0")
+
+
 _NUMBER = r"^([+-]?)([0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE]([+-]?[0-9]{1,4}))?$"
 
 
@@ -132,7 +138,7 @@ def holder_sign(holder_is_low: Column) -> Column:
 
 def negate_text(text: Column | str) -> Column:
     t = F.regexp_replace(_c(text), r"^\+", "")
-    return F.when(t == "0", t).when(t.startswith("-"), F.substring(t, 2, 1 << 30)).otherwise(F.concat(F.lit("-"), t))
+    return F.when(t.rlike(r"^-?[0.]*$"), t).when(t.startswith("-"), F.substring(t, 2, 1 << 30)).otherwise(F.concat(F.lit("-"), t))
 
 
 def requires_auth(flags: Column | str) -> Column:

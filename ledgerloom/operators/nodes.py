@@ -7,16 +7,13 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import exact
 from ledgerloom.functions import exprs as X
-from ledgerloom.sources.schemas import AMOUNT
 
-#: Amounts whose differences AMOUNT holds without rounding.
-HALF = "decimal(37,18)"
 KINDS = ("CreatedNode", "ModifiedNode", "DeletedNode")
 
 
 def flatten(transactions: DataFrame) -> DataFrame:
     """One row for each affected object: hash, ledger_index, tx_index, node_kind, entry_type, object_id, fields, previous,
-    deleted. Nodes without type or id are left out; documents that can't be read give none (see unreadable)."""
+    deleted. Nodes without type or id are left out; documents that can't be read give none (rejects.rejected names them)."""
     meta = transactions.select("hash", "ledger_index", X.parse_meta("meta_json").alias("meta"))
     node = meta.select("hash", "ledger_index", F.coalesce("meta.TransactionIndex", F.lit(0)).alias("tx_index"), F.explode("meta.AffectedNodes").alias("n"))
     kind = F.coalesce(*(F.when(F.col("n")[k].isNotNull(), k) for k in KINDS))
@@ -45,8 +42,8 @@ def unreadable(transactions: DataFrame) -> DataFrame:
 
 def versions(nodes: DataFrame, issuances: DataFrame) -> DataFrame:
     """Object versions of all tracked issuances, of both kinds, in one pass over the nodes: with issuance_id, address (the
-    holder), amount and before (seen from the holder; null where the decimal type can't hold them exactly) and the same as
-    texts, amount_text and before_text, that keep every digit.
+    holder), amount_text and before_text (seen from the holder, as they were spelt, with every digit) and amount and before, the
+    same as decimals (null where the decimal type can't hold them exactly).
 
     Integer tokens match by issuance id. Trust lines match by currency, compared in readable form, and the issuer on either
     side; where both sides issue the currency, the low one counts."""
@@ -67,53 +64,46 @@ def versions(nodes: DataFrame, issuances: DataFrame) -> DataFrame:
     )
     found = keyed.join(mpt, "_mpt", "left").join(side("low"), "_low", "left").join(side("high"), "_high", "left")
     issuer_low = F.col("_low_id").isNotNull()
-    sign = X.holder_sign(~issuer_low)
     told, told_before = F.coalesce(X.object_value("fields.Balance"), F.lit("0")), X.object_value("previous.Balance")
-    line_amount, line_before = X.decimal_amount(told) * sign, X.decimal_amount(told_before) * sign
     as_held = lambda x: F.when(issuer_low, X.negate_text(F.trim(x))).otherwise(F.trim(x))
-    return found.select(
+    seen = found.select(
         "hash", "ledger_index", "tx_index", "node_kind", "entry_type", "object_id", "deleted",
         F.coalesce("_t", "_low_id", "_high_id").alias("issuance_id"),
         F.when(token, F.col("_t_issuer")).when(issuer_low, low).otherwise(high).alias("issuer_account"),
         F.when(token, F.col("fields.Account")).when(issuer_low, high).otherwise(low).alias("address"),
-        F.when(token, X.integer_amount("fields.MPTAmount").cast(AMOUNT)).otherwise(line_amount.cast(AMOUNT)).alias("amount"),
-        F.when(token, X.integer_amount("previous.MPTAmount").cast(AMOUNT)).otherwise(line_before.cast(AMOUNT)).alias("before"),
-        F.when(token, X.integer_amount("fields.MPTAmount").cast("string")).otherwise(as_held(told)).alias("amount_text"),
-        F.when(token, X.integer_amount("previous.MPTAmount").cast("string")).otherwise(as_held(told_before)).alias("before_text"),
+        F.when(token, X.integer_text("fields.MPTAmount")).otherwise(as_held(told)).alias("amount_text"),
+        F.when(token, X.integer_text("previous.MPTAmount")).otherwise(as_held(told_before)).alias("before_text"),
         F.when(token, F.coalesce("fields.Flags", F.lit(0))).otherwise(F.lit(0)).alias("flags"),
     ).filter("issuance_id is not null and address is not null")
+    return seen.withColumns({"amount": exact.decimal("amount_text"), "before": exact.decimal("before_text")})
 
 
 def deltas(object_versions: DataFrame) -> DataFrame:
-    """hash, ledger_index, address, issuance_id, delta of every transaction; zero deltas are left out, several of one
-    account in a transaction are added up.
+    """hash, ledger_index, address, issuance_id, delta_text, delta of every transaction: what its objects' amounts changed by, as
+    exact text and as a decimal (null where that can't hold it). Zero deltas are left out, several of one account in a
+    transaction are added up.
 
     Created objects count from zero and deleted ones to zero. A modified integer token without a prior amount counts from
-    zero (versions has 0 there); a modified trust line without one doesn't count (its prior amount is null). A delta of
-    amounts that the decimal type can't hold exactly is kept as null, and whatever adds it up refuses; exact_deltas has it."""
-    kind = F.col("node_kind")
-    zero = F.lit(0).cast(HALF)
-    amount, prior = F.col("amount").cast(HALF), F.col("before").cast(HALF)
-    before = F.when(kind == "CreatedNode", zero).when(kind == "DeletedNode", amount).otherwise(prior)
-    after = F.when(kind == "DeletedNode", zero).otherwise(amount)
-    return (
-        object_versions.filter(~((kind == "ModifiedNode") & F.col("before_text").isNull()))
-        .withColumn("delta", (after - before).cast(AMOUNT))
-        .groupBy("hash", "ledger_index", "address", "issuance_id")
-        .agg(X.sum_or_null("delta").cast(AMOUNT).alias("delta"))
-        .filter("delta is null or delta <> 0")
-    )
-
-
-def exact_deltas(object_versions: DataFrame) -> DataFrame:
-    """The deltas of deltas() as canonical texts, exact at any scale."""
+    zero (versions has 0 there); a modified trust line without one doesn't count (its prior amount is null). Where an amount is
+    no number, the delta is there without text and decimal, and whatever adds it up refuses."""
     kind = F.col("node_kind")
     counted = object_versions.filter(~((kind == "ModifiedNode") & F.col("before_text").isNull()))
     after = F.when(kind != "DeletedNode", F.col("amount_text"))
-    before = F.when(kind == "DeletedNode", X.negate_text("amount_text")).when(kind == "ModifiedNode", X.negate_text("before_text"))
+    before = F.when(kind == "DeletedNode", F.col("amount_text")).when(kind == "ModifiedNode", F.col("before_text"))
     keys = ["hash", "ledger_index", "address", "issuance_id"]
-    parts = counted.select(*keys, F.explode(F.array_compact(F.array(after, before))).alias("delta"))
-    return exact.exact_sum(parts, keys, "delta", "delta").filter("delta <> '0'")
+    told = counted.select(*keys, after.alias("_after"), before.alias("_before"))
+    read = told.select(*keys, "_after", "_before", exact.number("_after").alias("_a"), exact.number("_before").alias("_b"))
+    bad = (F.col("_after").isNotNull() & F.col("_a").isNull()) | (F.col("_before").isNotNull() & F.col("_b").isNull())
+    moved = read.select(*keys, exact.minus(F.col("_a"), F.col("_b")).alias("_x"), bad.alias("_bad"))
+    total = F.struct(*(F.sum(f"_x.{f}").alias(f) for f in exact.FIELDS))
+    summed = moved.groupBy(*keys).agg(total.alias("_sum"), F.count_if("_bad").alias("_bad"))
+    spelt = summed.select(*keys, F.when(F.col("_bad") == 0, exact.text(F.col("_sum"))).alias("delta_text")).filter("delta_text is null or delta_text <> '0'")
+    return spelt.withColumn("delta", exact.decimal("delta_text"))
+
+
+def exact_deltas(object_versions: DataFrame) -> DataFrame:
+    """hash, ledger_index, address, issuance_id and the delta as canonical text."""
+    return deltas(object_versions).drop("delta").withColumnRenamed("delta_text", "delta")
 
 
 def derive(transactions: DataFrame, issuances: DataFrame) -> DataFrame:
@@ -172,19 +162,20 @@ def scoped_transactions(object_versions: DataFrame) -> DataFrame:
 
 
 def rescan(transactions: DataFrame, issuances: DataFrame, stored: DataFrame) -> DataFrame:
-    """issuance_id, status, missing: a safety re-derivation of all enabled issuances against the stored deltas.
+    """issuance_id, status, missing, failed, first_failure: a safety re-derivation of all enabled issuances against the stored deltas.
 
-    One job covers all issuances; those whose derivation would differ are marked and don't hold up the others."""
+    One job covers all issuances. One with amounts that are no numbers has failed (failed counts them, first_failure is the least
+    hash); one whose derivation differs is incomplete; neither holds up the others."""
     enabled = issuances.filter("enabled")
     keys = ["hash", "address", "issuance_id"]
-    fresh = derive(transactions, enabled).select(*keys, F.col("delta").alias("_fresh"))
-    both = fresh.join(stored.select(*keys, F.col("delta").alias("_stored")), keys, "left")
-    wrong = F.count_if(~F.col("_fresh").eqNullSafe(F.col("_stored")))
-    found = both.groupBy("issuance_id").agg(wrong.alias("_wrong"))
-    missing = F.coalesce("_wrong", F.lit(0))
-    return enabled.select("issuance_id").join(found, "issuance_id", "left").select(
-        "issuance_id", F.when(missing == 0, "success").otherwise("incomplete").alias("status"), missing.alias("missing")
-    )
+    fresh = derive(transactions, enabled).select(*keys, F.col("delta_text").alias("_fresh"))
+    both = fresh.join(stored.select(*keys, exact.Money(stored).told_text.alias("_stored")), keys, "left")
+    bad = F.col("_fresh").isNull()
+    wrong = F.count_if(~bad & ~F.col("_fresh").eqNullSafe(F.col("_stored")))
+    found = both.groupBy("issuance_id").agg(wrong.alias("_wrong"), F.count_if(bad).alias("_failed"), F.min(F.when(bad, F.col("hash"))).alias("first_failure"))
+    missing, failed = F.coalesce("_wrong", F.lit(0)), F.coalesce("_failed", F.lit(0))
+    state = F.when(failed > 0, "failed").when(missing == 0, "success").otherwise("incomplete")
+    return enabled.select("issuance_id").join(found, "issuance_id", "left").select("issuance_id", state.alias("status"), missing.alias("missing"), failed.alias("failed"), "first_failure")
 
 
 def entries(transactions: DataFrame, object_versions: DataFrame) -> DataFrame:

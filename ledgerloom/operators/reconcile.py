@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import exact
+
 
 def compare(left: DataFrame, right: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    """issuance_id, address, left_balance, right_balance where two balance tables differ; who isn't there has 0. A balance
-    that is there but unknown (null) differs from everything."""
+    """issuance_id, address, left_text, right_text, left_balance, right_balance where two balance tables differ, exactly and as
+    decimals (null where these can't hold them); who isn't there has 0. A balance that is there but unknown differs from
+    everything."""
     keys = ["issuance_id", "address"]
-    a = left.select(*keys, F.col("balance").alias("left_balance"))
-    b = right.select(*keys, F.col("balance").alias("right_balance"))
+    a = left.select(*keys, exact.Money(left, "balance").told_text.alias("left_text"))
+    b = right.select(*keys, exact.Money(right, "balance").told_text.alias("right_text"))
     if scope is not None:
         a, b = (x.join(scope.select(*keys).distinct(), keys, "left_semi") for x in (a, b))
     a, b = a.withColumn("_l", F.lit(True)), b.withColumn("_r", F.lit(True))
-    zero = F.lit(0).cast("decimal(38,18)")
-    number = lambda c, there: F.when(F.col(there).isNull(), zero).otherwise(F.col(c).cast("decimal(38,18)"))
-    both = a.join(b, keys, "full_outer").withColumns({"left_balance": number("left_balance", "_l"), "right_balance": number("right_balance", "_r")})
-    return both.drop("_l", "_r").filter("coalesce(left_balance <> right_balance, true)")
+    told = lambda c, there: F.when(F.col(there).isNull(), "0").otherwise(F.col(c))
+    both = a.join(b, keys, "full_outer").withColumns({"left_text": told("left_text", "_l"), "right_text": told("right_text", "_r")})
+    differ = both.drop("_l", "_r").filter("coalesce(left_text <> right_text, true)")
+    return differ.withColumns({"left_balance": exact.decimal("left_text"), "right_balance": exact.decimal("right_text")})
 
 
 def verdicts(issuances: DataFrame, differences: DataFrame, run_id: int) -> DataFrame:
@@ -36,6 +39,6 @@ def verdicts(issuances: DataFrame, differences: DataFrame, run_id: int) -> DataF
 def totals(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """issuance_id, matched, mismatched of our sampled balances against an external snapshot (missing there: 0)."""
     keys = ["issuance_id", "address"]
-    b = theirs.select(*keys, F.col("balance").alias("_theirs"))
-    same = F.col("balance") == F.coalesce("_theirs", F.lit(0))
-    return ours.join(b, keys, "left").groupBy("issuance_id").agg(F.count_if(same).alias("matched"), F.count_if(~same).alias("mismatched"))
+    b = theirs.select(*keys, exact.Money(theirs, "balance").told_text.alias("_theirs"))
+    same = F.col("_ours") == F.coalesce("_theirs", F.lit("0"))
+    return ours.withColumn("_ours", exact.Money(ours, "balance").told_text).join(b, keys, "left").groupBy("issuance_id").agg(F.count_if(same).alias("matched"), F.count_if(~same).alias("mismatched"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -10,10 +12,11 @@ from ledgerloom.functions import exact
 from ledgerloom.functions import exprs as X
 from ledgerloom.functions.session import one_row
 from ledgerloom.operators import scope
+from ledgerloom.operators.rejects import doubted
 from ledgerloom.operators.scope import INVALID, NOT_IN_ARCHIVE, OUT_OF_COVERAGE, status
 
 
-#: Ledgers of a bucket: running sums are made inside a bucket, and carried over as one number a bucket.
+#: Ledgers of a bucket by which ranges and kept sums are cut.
 LEDGERS = 10_000
 #: What an answer says when a delta behind it is known to exist but can't be told exactly.
 UNREADABLE = "unreadable"
@@ -22,101 +25,116 @@ MOST_ROWS = 400
 
 
 def running_balances(deltas: DataFrame) -> DataFrame:
-    """issuance_id, address, ledger_index, balance after that ledger (null from the first unknown delta on): the as-of table
-    behind many requests."""
-    by_ledger = deltas.groupBy("issuance_id", "address", "ledger_index").agg(F.sum("delta").alias("delta"), F.count_if(F.col("delta").isNull()).alias("_n"))
-    upto = Window.partitionBy("issuance_id", "address").orderBy("ledger_index").rowsBetween(Window.unboundedPreceding, 0)
-    return by_ledger.select(
-        "issuance_id", "address", "ledger_index", F.when(F.sum("_n").over(upto) == 0, F.coalesce(F.sum("delta").over(upto), F.lit(0))).alias("balance")
-    )
+    """issuance_id, address, ledger_index, balance_text, balance after that ledger (null from the first unknown delta on): the
+    as-of table behind many requests."""
+    keys, money = ["issuance_id", "address"], exact.Money(deltas)
+    read = deltas.withColumn("_x", money.value)
+    by_ledger = read.groupBy(*keys, "ledger_index").agg(money.sum("_x").alias("_x"), F.count_if(F.col("_x").isNull()).alias("_n"))
+    upto = exact.upto(*keys)
+    sums = by_ledger.select(*keys, "ledger_index", money.over("_x", upto).alias("_sum"), F.sum("_n").over(upto).alias("_unknown"))
+    return _told(sums, money, "balance").select(*keys, "ledger_index", "balance_text", "balance")
 
 
 def current_balances(deltas: DataFrame) -> DataFrame:
-    """issuance_id, address, balance over everything; null if one of the deltas is unknown."""
-    return deltas.groupBy("issuance_id", "address").agg(X.sum_or_null("delta").alias("balance"))
+    """issuance_id, address, balance_text, balance over everything: exact, and as a decimal where that can hold it; both null if
+    one of the deltas is unknown."""
+    keys, money = ["issuance_id", "address"], exact.Money(deltas)
+    sums = deltas.withColumn("_x", money.value).groupBy(*keys).agg(money.sum("_x").alias("_sum"), F.count_if(F.col("_x").isNull()).alias("_unknown"))
+    return _told(sums, money, "balance").select(*keys, "balance_text", "balance")
+
+
+def _told(sums: DataFrame, money: exact.Money, name: str) -> DataFrame:
+    """sums (_sum, _unknown) with name_text and name, both null where something is unknown."""
+    told = sums.withColumn(f"{name}_text", F.when(F.col("_unknown") == 0, money.text("_sum")))
+    return told.withColumn(name, F.when(F.col("_unknown") == 0, money.decimal_of("_sum", f"{name}_text")))
 
 
 def exact_balances(deltas: DataFrame) -> DataFrame:
-    """The same as canonical text, from deltas as texts of any scale (nodes.exact_deltas)."""
+    """issuance_id, address, balance as canonical text, from deltas as texts of any scale (nodes.exact_deltas)."""
     return exact.exact_sum(deltas, ["issuance_id", "address"], "delta", "balance")
 
 
-def _sums_at(requests: DataFrame, deltas: DataFrame) -> DataFrame:
-    """issuance_id, address, ledger, _sum, _unknown for the distinct requests: the deltas up to the ledger, and how many of
-    them are unknown.
+def sums_at(requests: DataFrame, deltas: DataFrame, keys: list[str]) -> tuple[DataFrame, exact.Money]:
+    """requests (keys, ledger and whatever else) with _sum, _unknown: the deltas of the keys up to the ledger, and how many of
+    them are unknown (both null where a key or the ledger is); and how _sum is told.
 
-    Requests and per-ledger sums are put together and summed in order, bucket by bucket; earlier buckets come as one number
-    each. So a request never meets the single deltas, and an account's history is one task a bucket."""
-    keys = ["issuance_id", "address"]
-    asked = requests.filter("issuance_id is not null and address is not null and ledger is not null").select(*keys, F.col("ledger").cast("long").alias("ledger")).distinct()
-    of_asked = deltas.join(asked.select(*keys).distinct(), keys, "left_semi")
-    by_ledger = of_asked.groupBy(*keys, F.col("ledger_index").alias("ledger")).agg(
-        F.sum("delta").cast("decimal(38,18)").alias("delta"), F.count_if(F.col("delta").isNull()).alias("unknown")
-    )
-    events = by_ledger.withColumn("asks", F.lit(0)).unionByName(
-        asked.select(*keys, "ledger", F.lit(None).cast("decimal(38,18)").alias("delta"), F.lit(0).cast("long").alias("unknown"), F.lit(1).alias("asks"))
+    Deltas are summed by ledger first, so a busy key has one row a ledger; then these and the requests of a key are put in
+    order and summed as they pass. A request never meets single deltas."""
+    money, rest = exact.Money(deltas), [c for c in requests.columns if c not in (*keys, "ledger")]
+    known = " and ".join(f"{k} is not null" for k in (*keys, "ledger"))
+    plain = requests.withColumn("ledger", F.col("ledger").cast("long"))
+    asked = plain.filter(known).select(*keys, "ledger", F.struct(*rest, F.lit(1).alias("_asks")).alias("_r"))
+    by_ledger = deltas.select(*keys, F.col("ledger_index").cast("long").alias("ledger"), money.value.alias("_x")).groupBy(*keys, "ledger").agg(
+        money.sum("_x").alias("_x"), F.count_if(F.col("_x").isNull()).alias("_n")
     )
-    events = events.withColumn("bucket", F.floor(F.col("ledger") / LEDGERS))
-    buckets = events.groupBy(*keys, "bucket").agg(F.sum("delta").alias("delta"), F.sum("unknown").alias("unknown"))
-    earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = buckets.select(*keys, "bucket", F.sum("delta").over(earlier).alias("_delta"), F.sum("unknown").over(earlier).alias("_unknown_before"))
+    of_asked = by_ledger.join(asked.select(*keys).distinct(), keys, "left_semi")
+    nothing = asked.select(*keys, "ledger", money.none.alias("_x"), F.lit(0).cast("long").alias("_n"), "_r")
     # At one ledger the deltas come before the requests.
-    inside = Window.partitionBy(*keys, "bucket").orderBy("ledger", "asks").rowsBetween(Window.unboundedPreceding, 0)
-    here = events.select(*keys, "bucket", "ledger", "asks", F.sum("delta").over(inside).alias("_here"), F.sum("unknown").over(inside).alias("_unknown_here"))
-    zero = F.lit(0).cast("decimal(38,18)")
-    return here.filter("asks = 1").join(before, [*keys, "bucket"]).select(
-        *keys,
-        "ledger",
-        (F.coalesce("_delta", zero) + F.coalesce("_here", zero)).cast("decimal(38,18)").alias("_sum"),
-        (F.coalesce("_unknown_before", F.lit(0)) + F.col("_unknown_here")).alias("_unknown"),
-    )
+    upto = Window.partitionBy(*keys).orderBy("ledger", F.col("_r").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    events = of_asked.withColumn("_r", F.lit(None).cast(asked.schema["_r"].dataType)).unionByName(nothing)
+    sums = events.select(*keys, "ledger", "_r", money.over("_x", upto).alias("_sum"), F.sum("_n").over(upto).alias("_unknown"))
+    found = sums.filter("_r is not null").select(*keys, "ledger", *(F.col("_r")[c].alias(c) for c in rest), "_sum", "_unknown")
+    others = plain.filter(f"not ({known})").withColumns({"_sum": money.none, "_unknown": F.lit(None).cast("long")})
+    return found.select(*requests.columns, "_sum", "_unknown").unionByName(others), money
+
 
+def balance_at(requests: DataFrame, deltas: DataFrame, membership: DataFrame, coverage: DataFrame, rejects: DataFrame | None = None) -> DataFrame:
+    """Answers to (request_id, issuance_id, address, ledger): balance (0 without deltas; null where a decimal can't hold it),
+    balance_text (exact), status, beyond_coverage. A balance with an unknown delta, or with one of rejects' ledgers up to its own,
+    is refused as unreadable."""
+    return balance_answers(*sums_at(requests, deltas, ["issuance_id", "address"]), membership, coverage, rejects)
 
-def balance_at(requests: DataFrame, deltas: DataFrame, membership: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Answers to (request_id, issuance_id, address, ledger): balance (0 without deltas), status, beyond_coverage. A balance
-    with an unknown delta is refused as unreadable."""
-    sums = _sums_at(requests, deltas)
-    known = scope.flag(requests, membership, ["issuance_id", "address"], "_member")
+
+def balance_answers(summed: DataFrame, money: exact.Money, membership: DataFrame, coverage: DataFrame, rejects: DataFrame | None = None) -> DataFrame:
+    """balance_at from requests whose sums are known already (_sum, _unknown; null: no delta)."""
+    asked = [c for c in summed.columns if c not in ("_sum", "_unknown")]
+    known = scope.flag(doubted(summed, rejects, F.lit(0), F.col("ledger")), membership, ["issuance_id", "address"], "_member")
     ends = coverage.groupBy("address").agg(F.max("to_ledger").alias("_to"))
-    answered = known.join(ends, "address", "left").join(sums, ["issuance_id", "address", "ledger"], "left")
+    answered = known.join(ends, "address", "left")
     state = status(
-        (F.col("ledger").isNull(), INVALID), (F.col("issuance_id").isNull() | ~F.col("_member"), NOT_IN_ARCHIVE), (F.col("_unknown") > 0, UNREADABLE)
-    )
-    return answered.withColumn("status", state).select(
-        *requests.columns,
-        F.when(F.col("status") == scope.OK, F.coalesce("_sum", F.lit(0))).alias("balance"),
-        "status",
-        F.coalesce(F.col("ledger") > F.col("_to"), F.lit(True)).alias("beyond_coverage"),
+        (F.col("ledger").isNull(), INVALID), (F.col("issuance_id").isNull() | ~F.col("_member"), NOT_IN_ARCHIVE), ((F.col("_unknown") > 0) | F.col("_doubt"), UNREADABLE)
     )
+    told = _told(answered.withColumn("status", state).withColumn("_unknown", F.when(F.col("status") == scope.OK, 0).otherwise(1)), money, "balance")
+    beyond = F.coalesce(F.col("ledger") > F.col("_to"), F.lit(True)).alias("beyond_coverage")
+    return told.select(*asked, "balance", "status", beyond, "balance_text")
 
 
 def itemised(requests: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Deltas of (request_id, issuance_id, address or null, low, high): request_id, ledger_index, address, hash, delta.
+    """Deltas of (request_id, issuance_id, address or null, low, high): request_id, ledger_index, address, hash, delta,
+    delta_text.
 
-    Requests for one account meet its deltas only, not all of the issuance."""
-    asked = requests.select("request_id", "issuance_id", F.col("address").alias("_who"), F.coalesce("low", F.lit(0)).alias("_low"), "high")
+    Requests for one account meet its deltas only, not all of the issuance; those for all accounts are cut into buckets of
+    ledgers and meet only the deltas of these."""
+    asked = requests.select("request_id", "issuance_id", F.col("address").alias("_who"), F.coalesce("low", F.lit(0)).cast("long").alias("_low"), F.col("high").cast("long").alias("high"))
+    rows = deltas.withColumn("delta_text", exact.Money(deltas).told_text)
     inside = "ledger_index >= _low and (high is null or ledger_index <= high)"
-    out = ("request_id", "ledger_index", "address", "hash", "delta")
-    for_all = asked.filter("_who is null").drop("_who").join(deltas, "issuance_id").filter(inside).select(*out)
-    for_one = asked.filter("_who is not null").withColumnRenamed("_who", "address").join(deltas, ["issuance_id", "address"]).filter(inside).select(*out)
-    return for_all.unionByName(for_one)
+    out = ("request_id", "ledger_index", "address", "hash", "delta", "delta_text")
+    bucket = lambda c: F.floor(F.col(c) / LEDGERS).cast("long")
+    everyone = asked.filter("_who is null").drop("_who")
+    bounded = everyone.filter("high >= _low").withColumn("_bucket", F.explode(F.sequence(bucket("_low"), bucket("high"))))
+    for_all = bounded.join(rows.withColumn("_bucket", bucket("ledger_index")), ["issuance_id", "_bucket"]).filter(inside).select(*out)
+    open_ended = everyone.filter("high is null").join(rows, "issuance_id").filter(inside).select(*out)
+    for_one = asked.filter("_who is not null").withColumnRenamed("_who", "address").join(rows, ["issuance_id", "address"]).filter(inside).select(*out)
+    return for_all.unionByName(open_ended).unionByName(for_one)
 
 
-def itemised_answers(requests: DataFrame, deltas: DataFrame, issuances: DataFrame, membership: DataFrame) -> DataFrame:
+def itemised_answers(requests: DataFrame, deltas: DataFrame, issuances: DataFrame, membership: DataFrame, rejects: DataFrame | None = None) -> DataFrame:
     """itemised with a status for every request, in the order of request, ledger, address and hash: its deltas, or one row
     without any. An issuance that isn't tracked or an account that isn't its member is not in the archive; a range that ends
-    before it begins is invalid. A delta that is unknown makes the answer unreadable."""
-    asked = scope.flag(scope.flag(requests, issuances, ["issuance_id"], "_tracked"), membership, ["issuance_id", "address"], "_member")
+    before it begins is invalid. A delta that is unknown, or a reject in the range, makes the answer unreadable."""
+    asked = scope.flag(scope.flag(doubted(requests, rejects, F.col("low"), F.col("high")), issuances, ["issuance_id"], "_tracked"), membership, ["issuance_id", "address"], "_member")
     state = status(
         (F.col("high") < F.coalesce("low", F.lit(0)), INVALID),
         (~F.col("_tracked") | (F.col("address").isNotNull() & ~F.col("_member")), NOT_IN_ARCHIVE),
+        (F.col("_doubt"), UNREADABLE),
     )
     asked = asked.withColumn("status", state)
     rows = itemised(asked.filter(F.col("status") == scope.OK), deltas)
-    unknown = rows.filter("delta is null").select("request_id").distinct().withColumn("_unknown", F.lit(True))
+    unknown = rows.filter("delta_text is null").select("request_id").distinct().withColumn("_unknown", F.lit(True))
     told = asked.select("request_id", "status").join(unknown, "request_id", "left")
-    told = told.select("request_id", F.when(F.col("_unknown"), UNREADABLE).otherwise(F.col("status")).alias("status"))
-    return told.join(rows.filter("delta is not null"), "request_id", "left").orderBy("request_id", "ledger_index", "address", "hash")
+    told = told.select("request_id", F.when(F.col("_unknown"), UNREADABLE).otherwise(F.col("status")).alias("status"), F.coalesce("_unknown", F.lit(False)).alias("_unknown"))
+    shown = rows.join(unknown.select("request_id"), "request_id", "left_anti")
+    return told.drop("_unknown").join(shown, "request_id", "left").orderBy("request_id", "ledger_index", "address", "hash")
 
 
 def _lines_of(issuances: DataFrame) -> DataFrame:
@@ -124,71 +142,103 @@ def _lines_of(issuances: DataFrame) -> DataFrame:
     return issuances.filter("kind = 'iou' and enabled").select("issuance_id", F.col("issuer_account").alias("issuer"), wire)
 
 
-def _owed(requests: DataFrame, deltas: DataFrame, membership: DataFrame, coverage: DataFrame, issuances: DataFrame, tail_to: int | None) -> tuple[DataFrame, DataFrame]:
-    """(request_id, status) of every request, and the balances (request_id, currency, address, balance, hot) behind those
-    that can be answered.
-
-    Deltas are summed by (issuance, address, ledger) before they meet the requests."""
+def _verdicts(
+    requests: DataFrame, membership: DataFrame, coverage: DataFrame, issuances: DataFrame, tail_to: int | None, rejects: DataFrame | None
+) -> tuple[DataFrame, DataFrame]:
+    """(request_id, status) of every request, and request_id, issuer, ledger, hotwallets, issuance_id, currency of the lines of
+    those that can be answered."""
     windows = scope.strict_window(membership, coverage, tail_to)
     hot = F.col("hotwallets")
     if isinstance(requests.schema["hotwallets"].dataType, StringType):
         hot = F.when(hot.isNotNull(), F.array(hot))
-    asked = requests.select("request_id", "issuer", "ledger", hot.alias("hotwallets")).join(_lines_of(issuances), "issuer", "left").join(windows, "issuance_id", "left")
+    asked = doubted(requests.select("request_id", "issuer", "ledger", hot.alias("hotwallets")), rejects, F.lit(0), F.col("ledger")).join(_lines_of(issuances), "issuer", "left").join(windows, "issuance_id", "left")
     inside = F.coalesce((F.col("ledger") >= F.col("from_ledger")) & (F.col("ledger") <= F.col("to_ledger")), F.lit(False))
     # Issuances without members owe nothing and need no coverage.
     fine = F.col("members").isNull() | inside
     verdict = asked.groupBy("request_id").agg(
-        F.bool_or(F.col("issuance_id").isNotNull()).alias("_tracked"), F.bool_and(F.col("issuance_id").isNull() | fine).alias("_covered"), F.bool_or(F.col("ledger").isNull()).alias("_odd")
+        F.bool_or(F.col("issuance_id").isNotNull()).alias("_tracked"), F.bool_and(F.col("issuance_id").isNull() | fine).alias("_covered"), F.bool_or(F.col("ledger").isNull()).alias("_odd"),
+        F.bool_or("_doubt").alias("_doubt"),
+    )
+    verdict = verdict.withColumn(
+        "status", status((F.col("_odd"), INVALID), (~F.col("_tracked"), NOT_IN_ARCHIVE), (~F.col("_covered"), OUT_OF_COVERAGE), (F.col("_doubt"), UNREADABLE))
     )
-    verdict = verdict.withColumn("status", status((F.col("_odd"), INVALID), (~F.col("_tracked"), NOT_IN_ARCHIVE), (~F.col("_covered"), OUT_OF_COVERAGE)))
     good = asked.join(verdict.filter(F.col("status") == scope.OK).select("request_id"), "request_id", "left_semi")
-    by_ledger = deltas.groupBy("issuance_id", "address", "ledger_index").agg(F.sum("delta").alias("delta"), F.count_if(F.col("delta").isNull()).alias("unknown"))
-    holders = (
-        good.select("request_id", "issuer", "ledger", "hotwallets", "issuance_id", "currency")
-        .join(by_ledger, "issuance_id")
-        .filter("ledger_index <= ledger")
-        .groupBy("request_id", "issuer", "currency", "address")
-        .agg(F.sum("delta").alias("balance"), F.sum("unknown").alias("unknown"), F.first("hotwallets").alias("hotwallets"))
-        .filter("address <> issuer and (balance <> 0 or unknown > 0)")
-        .withColumn("hot", F.coalesce(F.array_contains("hotwallets", F.col("address")), F.lit(False)))
-    )
-    unknown = holders.filter("unknown > 0").select("request_id").distinct().withColumn("_unknown", F.lit(True))
-    verdict = verdict.join(unknown, "request_id", "left").select("request_id", F.when(F.col("_unknown"), UNREADABLE).otherwise(F.col("status")).alias("status"))
-    return verdict, holders.join(unknown, "request_id", "left_anti").select("request_id", "currency", "address", "balance", "hot")
+    lines = good.filter("issuance_id is not null").select("request_id", "issuer", "ledger", "hotwallets", "issuance_id", "currency")
+    return verdict.select("request_id", "status"), lines
+
 
+def _owed(
+    requests: DataFrame, deltas: DataFrame, membership: DataFrame, coverage: DataFrame, issuances: DataFrame, tail_to: int | None, rejects: DataFrame | None
+) -> DataFrame:
+    """request_id, status of every request, with _rows: currency, address (null: all but the issuer and the hot wallets),
+    amount_text, amount, hot of those that can be answered, as many as the request has lines and hot wallets for them.
 
-def obligations(requests: DataFrame, deltas: DataFrame, membership: DataFrame, coverage: DataFrame, issuances: DataFrame, tail_to: int | None = None) -> DataFrame:
+    Sums are linear: what an issuance owes is the sum of all its deltas up to the ledger less the balances of the issuer and the
+    hot wallets. So a request meets one sum by ledger of the issuance and those of a few accounts, never its holders."""
+    verdict, lines = _verdicts(requests, membership, coverage, issuances, tail_to, rejects)
+    apart = lines.select(
+        "request_id", "issuer", "ledger", "issuance_id", "currency", F.explode(F.array_distinct(F.array_append(F.array_compact(F.coalesce("hotwallets", F.array())), F.col("issuer")))).alias("address")
+    )
+    whole, money = sums_at(lines.drop("hotwallets"), deltas, ["issuance_id"])
+    own, _ = sums_at(apart, deltas, ["issuance_id", "address"])
+    none = F.lit(None).cast("string")
+    parts = whole.withColumn("address", none).unionByName(own).withColumn("_whole", F.col("address").isNull())
+    # An unknown delta of anyone but the issuer makes the whole answer unreadable.
+    weight = F.when(F.col("_whole"), F.col("_unknown")).when(F.col("address") == F.col("issuer"), -F.col("_unknown")).otherwise(0)
+    sides = {"_all": F.when(F.col("_whole"), F.col("_sum")), "_apart": F.when(~F.col("_whole"), F.col("_sum"))}
+    hot = F.collect_list(F.when(~F.col("_whole") & (F.col("address") != F.col("issuer")), F.struct("address", F.col("_sum").alias("s"))))  # the hot wallets that one request names
+    by_line = parts.withColumns(sides | {"_weight": weight}).groupBy("request_id", "issuance_id", "currency").agg(
+        money.sum("_all").alias("_all"), money.sum("_apart").alias("_apart"), F.sum("_weight").alias("_weight"), hot.alias("_hot")
+    )
+    left = by_line.select("request_id", "currency", "_weight", money.plus("_all", "_apart", -1).alias("_sum"), "_hot")
+    told = left.withColumn("_bad", F.max(F.when(F.col("_weight") > 0, 1).otherwise(0)).over(Window.partitionBy("request_id")))
+    wide = left.schema["_sum"].dataType
+    one = lambda address, total, is_hot: F.struct(address.alias("address"), total.cast(wide).alias("s"), F.lit(is_hot).alias("hot"))
+    entries = F.concat(F.array(one(none, F.col("_sum"), False)), F.transform("_hot", lambda h: one(h["address"], h["s"], True)))
+    rows = told.select("request_id", "currency", "_bad", F.explode(entries).alias("e")).select("request_id", "currency", "_bad", "e.address", "e.hot", F.col("e.s").alias("_sum"))
+    rows = _told(rows.withColumn("_unknown", F.col("_bad")), money, "amount").filter("_bad = 1 or amount_text <> '0'")
+    by_request = rows.groupBy("request_id").agg(F.max("_bad").alias("_bad"), F.collect_list(F.struct("currency", "address", "amount_text", "amount", "hot")).alias("_rows"))
+    answers = verdict.join(by_request, "request_id", "left")
+    state = F.when(F.col("_bad") == 1, UNREADABLE).otherwise(F.col("status"))
+    return answers.select("request_id", state.alias("status"), F.when(F.coalesce("_bad", F.lit(0)) == 0, F.col("_rows")).alias("_rows"))
+
+
+def _shown(answers: DataFrame, wanted: Callable[[Column], Column], *columns: Column) -> DataFrame:
+    """The entries of answers that are wanted, or one row without any."""
+    held = answers.select("request_id", "status", F.explode_outer(F.filter(F.coalesce("_rows", F.array()), wanted)).alias("e"))
+    return held.select("request_id", "status", *columns)
+
+
+def obligations(
+    requests: DataFrame, deltas: DataFrame, membership: DataFrame, coverage: DataFrame, issuances: DataFrame, tail_to: int | None = None, rejects: DataFrame | None = None
+) -> DataFrame:
     """What issuers owe, for (request_id, issuer, ledger, hotwallets: a list or one address): one row for each request and
-    currency (wire form) with a total other than zero, or one row with a status if the request can't be answered.
+    currency (wire form) with a total other than zero, or one row with a status if the request can't be answered: request_id,
+    status, currency, obligation_text (exact), obligation (a decimal, null where that can't hold it).
 
-    Zero balances, the issuer's own and those of hot wallets are left out of the totals; all enabled currencies of the issuer
-    must be covered at the ledger, else the whole answer is refused."""
-    verdict, holders = _owed(requests, deltas, membership, coverage, issuances, tail_to)
-    totals = holders.filter("not hot").groupBy("request_id", "currency").agg(F.sum("balance").alias("obligation")).filter("obligation <> 0")
-    return verdict.join(totals, "request_id", "left")
+    The issuer's own balance and those of hot wallets are left out of the totals; all enabled currencies of the issuer must be
+    covered at the ledger, else the whole answer is refused; so is one with a reject up to its ledger."""
+    answers = _owed(requests, deltas, membership, coverage, issuances, tail_to, rejects)
+    e = F.col("e")
+    return _shown(answers, lambda x: ~x["hot"], e["currency"].alias("currency"), e["amount_text"].alias("obligation_text"), e["amount"].alias("obligation"))
 
 
-def gateway_balances(requests: DataFrame, deltas: DataFrame, membership: DataFrame, coverage: DataFrame, issuances: DataFrame, tail_to: int | None = None) -> DataFrame:
+def gateway_balances(
+    requests: DataFrame, deltas: DataFrame, membership: DataFrame, coverage: DataFrame, issuances: DataFrame, tail_to: int | None = None, rejects: DataFrame | None = None
+) -> DataFrame:
     """obligations and the balances of hot wallets in one answer under one refusal: request_id, status, address (null: the
-    obligation to all others), currency, amount, in order."""
-    verdict, holders = _owed(requests, deltas, membership, coverage, issuances, tail_to)
-    amounts = (
-        holders.groupBy("request_id", F.when(F.col("hot"), F.col("address")).alias("address"), "currency").agg(F.sum("balance").alias("amount")).filter("amount <> 0")
-    )
-    return verdict.join(amounts, "request_id", "left").orderBy("request_id", "address", "currency")
+    obligation to all others), currency, amount_text, amount, in order."""
+    answers = _owed(requests, deltas, membership, coverage, issuances, tail_to, rejects)
+    shown = _shown(answers, lambda _: F.lit(True), *(F.col("e")[c].alias(c) for c in ("address", "currency", "amount_text", "amount")))
+    return shown.orderBy("request_id", "address", "currency")
 
 
 def hot_wallet_balances(requests: DataFrame, deltas: DataFrame, issuances: DataFrame) -> DataFrame:
-    """request_id, address, currency, balance (not zero) of the hot wallets that requests name."""
-    return (
-        requests.select("request_id", "issuer", "ledger", F.explode("hotwallets").alias("address"))
-        .join(_lines_of(issuances), "issuer")
-        .join(deltas, ["issuance_id", "address"])
-        .filter("ledger_index <= ledger")
-        .groupBy("request_id", "address", "currency")
-        .agg(F.sum("delta").alias("balance"))
-        .filter("balance <> 0")
-    )
+    """request_id, address, currency, balance_text, balance (not zero) of the hot wallets that requests name; null where a delta
+    is unknown."""
+    asked = requests.select("request_id", "issuer", "ledger", F.explode("hotwallets").alias("address")).distinct().join(_lines_of(issuances), "issuer")
+    told = _told(*sums_at(asked, deltas, ["issuance_id", "address"]), "balance")
+    return told.filter("balance_text is null or balance_text <> '0'").select("request_id", "address", "currency", "balance_text", "balance")
 
 
 def account_history(requests: DataFrame, links: DataFrame, transactions: DataFrame, coverage: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -248,11 +298,11 @@ def holder_pages(requests: DataFrame, holders: DataFrame) -> DataFrame:
     )
 
 
-def holder_answers(requests: DataFrame, holders: DataFrame, issuances: DataFrame, latest: int) -> DataFrame:
+def holder_answers(requests: DataFrame, holders: DataFrame, issuances: DataFrame, latest: int, rejects: DataFrame | None = None) -> DataFrame:
     """holder_pages with a status for every request: its page, or one row without holders. What isn't tracked is not in the
-    archive, a ledger beyond the latest one out of coverage."""
-    asked = scope.flag(requests, issuances.filter("kind = 'mpt'"), ["issuance_id"], "_tracked")
-    state = status((F.col("as_of_ledger").isNull(), INVALID), (~F.col("_tracked"), NOT_IN_ARCHIVE), (F.col("as_of_ledger") > latest, OUT_OF_COVERAGE))
+    archive, a ledger beyond the latest one out of coverage; with a reject up to its ledger the answer is unreadable."""
+    asked = scope.flag(doubted(requests, rejects, F.lit(0), F.col("as_of_ledger")), issuances.filter("kind = 'mpt'"), ["issuance_id"], "_tracked")
+    state = status((F.col("as_of_ledger").isNull(), INVALID), (~F.col("_tracked"), NOT_IN_ARCHIVE), (F.col("as_of_ledger") > latest, OUT_OF_COVERAGE), (F.col("_doubt"), UNREADABLE))
     asked = asked.withColumn("status", state)
     pages = holder_pages(asked.filter(F.col("status") == scope.OK).select(*requests.columns), holders).drop("issuance_id", "as_of_ledger")
     return asked.select("request_id", "issuance_id", "as_of_ledger", "status").join(pages, "request_id", "left")

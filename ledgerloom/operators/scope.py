@@ -103,6 +103,47 @@ def strict_window(membership: DataFrame, coverage: DataFrame, tail_to: int | Non
     )
 
 
+def covered_stretches(membership: DataFrame, coverage: DataFrame) -> DataFrame:
+    """issuance_id, from_ledger, to_ledger: the stretches over which every member is covered, holes seen; none for an issuance with
+    a member that has no claim.
+
+    Overlapping and adjacent claims of an account become one stretch first. Then each stretch opens and closes at a ledger, openings
+    and closings of an issuance are added up by ledger, and the running sum tells how many members are covered from there on:
+    the sweep keeps one row a ledger where something changes, however many members there are."""
+    order = Window.partitionBy("address").orderBy("from_ledger", "to_ledger")
+    reach = F.max("to_ledger").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(reach.isNull() | (F.col("from_ledger") > reach + 1), 1).otherwise(0)
+    claims = coverage.filter("from_ledger <= to_ledger").select("address", "from_ledger", "to_ledger").withColumn("_opens", opens)
+    own = claims.withColumn("_stretch", F.sum("_opens").over(order)).groupBy("address", "_stretch").agg(F.min("from_ledger").alias("from_ledger"), F.max("to_ledger").alias("to_ledger"))
+    members = membership.select("issuance_id", "address").distinct()
+    change = F.explode(F.array(F.struct(F.col("from_ledger").alias("ledger"), F.lit(1).alias("n")), F.struct((F.col("to_ledger") + 1).alias("ledger"), F.lit(-1).alias("n"))))
+    changes = members.join(own, "address").select("issuance_id", change.alias("c")).groupBy("issuance_id", F.col("c.ledger").alias("ledger")).agg(F.sum("c.n").alias("n"))
+    sweep = Window.partitionBy("issuance_id").orderBy("ledger")
+    counted = changes.select("issuance_id", "ledger", F.sum("n").over(sweep.rowsBetween(Window.unboundedPreceding, 0)).alias("covered"), (F.lead("ledger").over(sweep) - 1).alias("to_ledger"))
+    # Where one member's claim ends and another's begins the count stays the same; such neighbours are one stretch.
+    whole = counted.join(members.groupBy("issuance_id").agg(F.count("*").alias("members")), "issuance_id").filter("covered = members and to_ledger >= ledger")
+    before = F.lag("to_ledger").over(sweep)
+    marked = whole.withColumn("_new", F.when(before.isNull() | (before + 1 < F.col("ledger")), 1).otherwise(0)).withColumn("_stretch", F.sum("_new").over(sweep.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy("issuance_id", "_stretch").agg(F.min("ledger").alias("from_ledger"), F.max("to_ledger").alias("to_ledger")).drop("_stretch")
+
+
+def strict_window_with_holes(membership: DataFrame, coverage: DataFrame, tail_to: int | None = None) -> DataFrame:
+    """strict_window with covered_ledgers (how many ledgers of the window all members are covered in) and whole: whether that is
+    all of them. The window spans each member's claims from end to end; whole tells whether it may be trusted."""
+    window = strict_window(membership, coverage, tail_to)
+    held = window.select("issuance_id", F.col("from_ledger").alias("_from"), F.col("to_ledger").alias("_to")).join(covered_stretches(membership, coverage), "issuance_id")
+    # The tail covers all members between the end of the shortest envelope and its own high-water mark.
+    ends = membership.select("issuance_id", "address").distinct().join(envelope(coverage), "address").groupBy("issuance_id").agg(F.min("to_ledger").alias("_end"))
+    inside = F.greatest(F.least("to_ledger", "_to") - F.greatest("from_ledger", "_from") + 1, F.lit(0))
+    counted = held.join(ends, "issuance_id").withColumn("to_ledger", F.least("to_ledger", "_end")).groupBy("issuance_id").agg(F.sum(inside).alias("_n"))
+    out = window.join(counted, "issuance_id", "left").join(ends, "issuance_id", "left")
+    tail = F.greatest(F.col("to_ledger") - F.greatest(F.col("_end"), F.col("from_ledger") - 1), F.lit(0))
+    covered = F.when(F.col("from_ledger").isNotNull(), F.coalesce("_n", F.lit(0)) + tail)
+    return out.select(
+        "issuance_id", "members", "uncovered", "from_ledger", "to_ledger", covered.alias("covered_ledgers"), (covered == F.col("to_ledger") - F.col("from_ledger") + 1).alias("whole")
+    )
+
+
 def status_window(membership: DataFrame, coverage: DataFrame, tail_to: int | None = None) -> DataFrame:
     """Like strict_window over the members that have claims; those without are ignored, issuances without any left out."""
     own = envelope(coverage)

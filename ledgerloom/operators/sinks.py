@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import exact
 from ledgerloom.functions import exprs as X
 
 
@@ -38,9 +39,13 @@ def membership_view(log: DataFrame) -> DataFrame:
 
 
 def deltas_view(log: DataFrame) -> DataFrame:
-    """hash, address, issuance_id, delta of the last run that wrote each; several of one run are added up. log: run_id."""
-    by_run = log.groupBy("hash", "address", "issuance_id", "run_id").agg(F.sum("delta").alias("delta"))
-    return by_run.groupBy("hash", "address", "issuance_id").agg(F.max_by("delta", "run_id").alias("delta"))
+    """hash, address, issuance_id, delta_text, delta of the last run that wrote each; several of one run are added up, exactly, and
+    unknown ones make the sum unknown. log: run_id."""
+    keys, money = ["hash", "address", "issuance_id"], exact.Money(log)
+    by_run = log.withColumn("_x", money.value).groupBy(*keys, "run_id").agg(money.sum("_x").alias("_sum"), F.count_if(F.col("_x").isNull()).alias("_unknown"))
+    last = by_run.groupBy(*keys).agg(F.max_by(F.struct("_sum", "_unknown"), "run_id").alias("_r")).select(*keys, "_r.*")
+    told = last.withColumn("delta_text", F.when(F.col("_unknown") == 0, money.text("_sum")))
+    return told.select(*keys, "delta_text", exact.decimal("delta_text").alias("delta"))
 
 
 def enabled_view(issuances: DataFrame, changes: DataFrame) -> DataFrame:

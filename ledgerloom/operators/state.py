@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import exact
 from ledgerloom.functions import exprs as X
+from ledgerloom.operators import reports, scope
 
 
 def latest(object_versions: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -30,8 +32,11 @@ def holders_at(object_versions: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def balances(object_versions: DataFrame) -> DataFrame:
-    """issuance_id, address, balance from the newest live objects."""
-    return latest(object_versions).filter("not deleted").groupBy("issuance_id", "address").agg(X.sum_or_null("amount").alias("balance"))
+    """issuance_id, address, balance_text, balance from the newest live objects: exact, and as a decimal where that can hold it."""
+    live = latest(object_versions).filter("not deleted").withColumnRenamed("amount", "delta")
+    if "amount_text" in live.columns:
+        live = live.withColumnRenamed("amount_text", "delta_text")
+    return reports.current_balances(live)
 
 
 def account_roots(nodes: DataFrame, requests: DataFrame) -> DataFrame:
@@ -50,28 +55,30 @@ def account_roots(nodes: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def trust_lines_at(nodes: DataFrame, requests: DataFrame) -> DataFrame:
-    """Live trust lines of requested accounts, seen from their side: request_id, peer, currency (as stored), balance, limit,
-    limit_peer."""
+    """Live trust lines of requested accounts, seen from their side: request_id, peer, currency (as stored), balance_text (exact),
+    balance (a decimal, null where that can't hold it), limit, limit_peer, status (unreadable if the balance is no number)."""
+    told = F.trim(X.object_value("fields.Balance"))
     lines = nodes.filter("entry_type = 'RippleState'")
     side = lambda low: F.struct(
         F.col(f"fields.{'Low' if low else 'High'}Limit.issuer").alias("address"),
         F.col(f"fields.{'High' if low else 'Low'}Limit.issuer").alias("peer"),
         F.col(f"fields.{'Low' if low else 'High'}Limit.value").alias("limit"),
         F.col(f"fields.{'High' if low else 'Low'}Limit.value").alias("limit_peer"),
-        (X.decimal_amount(X.object_value("fields.Balance")) * (1 if low else -1)).alias("balance"),
+        (told if low else X.negate_text(told)).alias("balance_text"),
     )
     views = lines.select(
         "object_id", "ledger_index", "tx_index", "deleted", F.get_json_object("fields.Balance", "$.currency").alias("currency"),
         F.explode(F.array(side(True), side(False))).alias("s"),
     ).select("object_id", "ledger_index", "tx_index", "deleted", "currency", "s.*")
-    return (
+    newest = (
         views.join(requests.select("request_id", "address", "as_of_ledger"), "address")
         .filter("ledger_index <= as_of_ledger")
         .groupBy("request_id", "object_id")
-        .agg(F.max_by(F.struct("deleted", "peer", "currency", "balance", "limit", "limit_peer"), F.struct("ledger_index", "tx_index")).alias("v"))
+        .agg(F.max_by(F.struct("deleted", "peer", "currency", "balance_text", "limit", "limit_peer"), F.struct("ledger_index", "tx_index")).alias("v"))
         .filter("not v.deleted")
-        .select("request_id", "v.peer", "v.currency", "v.balance", "v.limit", "v.limit_peer")
+        .select("request_id", "v.peer", "v.currency", exact.canonical("v.balance_text").alias("balance_text"), "v.limit", "v.limit_peer")
     )
+    return newest.withColumn("balance", exact.decimal("balance_text")).withColumn("status", scope.status((F.col("balance_text").isNull(), reports.UNREADABLE)))
 
 
 def reported_ledger(requests: DataFrame, coverage: DataFrame, latest: DataFrame, seen: DataFrame | None = None) -> DataFrame:

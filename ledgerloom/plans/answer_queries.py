@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import exact
 from ledgerloom.functions import exprs as X
 from ledgerloom.functions.session import shared_folder
 from ledgerloom.operators import discovery, maintenance, nodes, reconcile, reports, scope, sinks, state, timeline
@@ -14,7 +15,7 @@ from ledgerloom.plans.archive_queries import exp7_issuance_parts
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.report_queries import _LINES, _issuer_requests, _mpt_holders
 from ledgerloom.sources import archive
-from ledgerloom.sources.driver_tables import DriverTables
+from ledgerloom.sources.driver_tables import DriverTables, told_sql
 from ledgerloom.streaming import ingest
 
 
@@ -74,7 +75,7 @@ def rpt2_answers(t: DriverTables) -> DataFrame:
     asked = asked.union(ask(t.account_issuance().filter("issuance_id % 2 = 1"), "one", F.col("address"), 0, 1200))
     asked = asked.union(ask(i, "nobody", F.lit("rNobody"), 0, 99999)).union(ask(i, "unknown", null, 0, 99999, F.col("issuance_id") + 100)).union(ask(i, "back", null, 900, 500))
     out = reports.itemised_answers(asked, t.balance_deltas(), i, t.account_issuance())
-    return out.withColumn("delta", F.col("delta").cast("double"))
+    return out.drop("delta_text").withColumn("delta", F.col("delta").cast("double"))
 
 
 @query("""WITH q AS (SELECT issuance_id, max(g.ledger_index) FILTER (WHERE CAST(g.close_time AS TIMESTAMP) <= TIMESTAMP '1996-01-01') AS low,
@@ -87,7 +88,7 @@ def rpt2_by_time(t: DriverTables) -> DataFrame:
         F.col("issuance_id").alias("request_id"), "issuance_id", F.lit(None).cast("string").alias("address"), F.lit("1996-01-01").cast("timestamp").alias("since"), F.lit("1996-07-01").cast("timestamp").alias("until")
     )
     asked = timeline.resolve_times(timeline.resolve_times(asked, t.ledgers(), "since", "low"), t.ledgers(), "until", "high").drop("since", "until")
-    return reports.itemised_answers(asked, t.balance_deltas(), t.issuances(), t.account_issuance()).withColumn("delta", F.col("delta").cast("double"))
+    return reports.itemised_answers(asked, t.balance_deltas(), t.issuances(), t.account_issuance()).drop("delta_text").withColumn("delta", F.col("delta").cast("double"))
 
 
 @query(
@@ -109,7 +110,7 @@ def rpt3_combined(t: DriverTables) -> DataFrame:
     asked = _issuer_requests(t).withColumn("hotwallets", F.lit("rC10"))
     asked = asked.union(asked.withColumn("issuer", F.concat(F.lit("no"), "issuer")).withColumn("request_id", F.concat(F.lit("no"), "request_id")))
     out = reports.gateway_balances(asked, t.balance_deltas(), t.account_issuance(), t.coverage(), t.issuances())
-    return out.withColumn("amount", F.col("amount").cast("double"))
+    return out.drop("amount_text").withColumn("amount", F.col("amount").cast("double"))
 
 
 @query("""
@@ -240,14 +241,14 @@ def dsc8_stream_discovery(t: DriverTables) -> DataFrame:
     return tables.log("account_issuance", ingest.SCHEMAS["account_issuance"]).drop("batch")
 
 
-@query("""SELECT hash, ledger_index, address, issuance_id, CAST(delta AS DOUBLE) AS delta FROM a_balance_deltas WHERE ledger_index <= 1000 OR ledger_index BETWEEN 1500 AND 1600 OR ledger_index BETWEEN 1550 AND 1900""")
+@query(f"""SELECT hash, ledger_index, address, issuance_id, {told_sql('delta')} AS delta FROM a_balance_deltas WHERE ledger_index <= 1000 OR ledger_index BETWEEN 1500 AND 1600 OR ledger_index BETWEEN 1550 AND 1900""")
 def str4_heal_into(t: DriverTables) -> DataFrame:
     """Deltas after a tail up to a ledger and the healing of two gaps that overlap each other and it."""
     tables, history = _tables(t, "heal"), t.documents_of_metadata()
     ingest.ingest_batch(tables, t.issuances(), _events(t).filter("ledger_index <= 1000"), 1)
     gaps = t.spark.createDataFrame([(900, 1000), (1500, 1600), (1550, 1900)], "from_ledger long, to_ledger long")
     ingest.heal_into(tables, t.issuances(), gaps, history, 2)
-    return tables.log("balance_deltas", ingest.SCHEMAS["balance_deltas"]).drop("batch").withColumn("delta", F.col("delta").cast("double"))
+    return tables.log("balance_deltas", ingest.SCHEMAS["balance_deltas"]).drop("batch").withColumn("delta", F.col("delta_text")).drop("delta_text")
 
 
 @query("SELECT hash, ledger_index FROM a_transactions WHERE ledger_index BETWEEN 2000 AND (SELECT max(ledger_index) FROM a_ledgers)")
@@ -297,12 +298,12 @@ def sta6_newest_seen(t: DriverTables) -> DataFrame:
 
 
 @query("""WITH last AS (SELECT object_id, arg_max(node_kind, (ledger_index, CAST(substr(hash, 2) AS BIGINT) % 1000000)) AS kind, arg_max(final_amount, (ledger_index, CAST(substr(hash, 2) AS BIGINT) % 1000000)) AS amount FROM a_nodes GROUP BY object_id)
-SELECT object_id, kind = 'DeletedNode' AS deleted, CAST(amount AS DOUBLE) AS amount FROM last""")
+SELECT object_id, kind = 'DeletedNode' AS deleted, """ + told_sql("amount", "CAST(split_part(object_id, '|', 2) AS BIGINT)") + """ AS amount FROM last""")
 def sta7_merged_state(t: DriverTables) -> DataFrame:
     """The state table made of later versions first and earlier ones merged in afterwards."""
     versions = nodes.versions(nodes.flatten(t.documents_of_metadata()), t.issuances())
     late = state.latest(versions.filter("ledger_index > 1200"))
-    return state.merge_state(late, versions.filter("ledger_index <= 1200")).select("object_id", "deleted", F.col("amount").cast("double").alias("amount"))
+    return state.merge_state(late, versions.filter("ledger_index <= 1200")).select("object_id", "deleted", exact.canonical("amount_text").alias("amount"))
 
 
 @query("""SELECT DISTINCT address, f AS from_ledger, CAST(2000 AS BIGINT) AS to_ledger, 'issuer_sweep' AS reason FROM (SELECT issuance_id, least(2000, greatest(100, min(first_acquisition_ledger))) AS f FROM a_account_issuance GROUP BY 1) w
@@ -325,7 +326,7 @@ FROM a_issuances i LEFT JOIN n USING (issuance_id), r""")
 def snk8_run_log(t: DriverTables) -> DataFrame:
     """Two reconciliations in the log: one without differences, one with."""
     tables, ours = _tables(t, "runs"), reports.current_balances(t.balance_deltas())
-    theirs = ours.filter("address not like '%7'").withColumn("balance", F.col("balance") + F.when(F.col("address").endswith("3"), 1).otherwise(0))
+    theirs = ours.drop("balance_text").filter("address not like '%7'").withColumn("balance", F.col("balance") + F.when(F.col("address").endswith("3"), 1).otherwise(0))
     for run, other in ((1, ours), (2, theirs)):
         tables.append("reconciliation_run", reconcile.verdicts(t.issuances(), reconcile.compare(ours, other), run), run)
     log = tables.log("reconciliation_run", ingest.SCHEMAS["reconciliation_run"])

@@ -12,7 +12,7 @@ from ledgerloom.functions import exprs as X
 from ledgerloom.functions.session import shared_folder
 from ledgerloom.operators import maintenance, scope, sinks, timeline
 from ledgerloom.plans.registry import query
-from ledgerloom.sources.driver_tables import DriverTables
+from ledgerloom.sources.driver_tables import DriverTables, told_sql
 from ledgerloom.streaming import ingest
 
 
@@ -96,7 +96,7 @@ def str3_stream_gaps(t: DriverTables) -> DataFrame:
     return tables.log("gaps", ingest.SCHEMAS["gaps"]).drop("source", "batch")
 
 
-@query("SELECT hash, ledger_index, address, issuance_id, CAST(delta AS DOUBLE) AS delta FROM a_balance_deltas")
+@query(f"SELECT hash, ledger_index, address, issuance_id, {told_sql('delta')} AS delta FROM a_balance_deltas")
 def str1_stream_ingest(t: DriverTables) -> DataFrame:
     """Deltas that a stream over landed transactions stores; the same transactions landed twice are stored once."""
     spark, base = t.spark, f"{shared_folder(t.spark)}/ingest-{uuid.uuid4().hex}"
@@ -109,7 +109,7 @@ def str1_stream_ingest(t: DriverTables) -> DataFrame:
         events.write.mode("append").json(f"{base}/landing")
         ingest.ingest(ingest.tail(spark, f"{base}/landing"), tables, issuances, f"{base}/state").awaitTermination()
     stored = tables.log("balance_deltas", ingest.SCHEMAS["balance_deltas"]).drop("batch")
-    return stored.withColumn("delta", F.col("delta").cast("double"))
+    return stored.withColumn("delta", F.col("delta_text")).drop("delta_text")
 
 
 @query("""WITH g AS (SELECT prev + 1 AS f, ledger_index - 1 AS e FROM (SELECT ledger_index, max(ledger_index) OVER (ORDER BY seq, ledger_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
@@ -155,7 +155,7 @@ def snk5_delta_upsert(t: DriverTables) -> DataFrame:
     wrong = d.withColumn("delta", F.col("delta") * 3).withColumn("run_id", F.lit(1))
     parts = d.withColumn("run_id", F.lit(2)).unionByName(d.withColumn("delta", F.lit(2).cast("decimal(28,2)")).withColumn("run_id", F.lit(2)))
     out = sinks.deltas_view(wrong.withColumn("delta", F.col("delta").cast("decimal(28,2)")).unionByName(parts))
-    return out.withColumn("delta", F.col("delta").cast("double"))
+    return out.drop("delta_text").withColumn("delta", F.col("delta").cast("double"))
 
 
 @query("""SELECT n_nationkey AS seq, n_nationkey NOT IN (0, 5) AND n_regionkey <> 4 AS accepted FROM nation""")

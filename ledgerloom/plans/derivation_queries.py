@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import exact
 from ledgerloom.functions.session import shared_folder
 from ledgerloom.operators import discovery, nodes, reconcile, reports, state, timeline
 from ledgerloom.plans.registry import query
-from ledgerloom.sources.driver_tables import DriverTables
+from ledgerloom.sources.driver_tables import DriverTables, told, told_sql
 
 
 def _versions(t: DriverTables) -> DataFrame:
@@ -26,26 +27,30 @@ _DELTA = "CASE node_kind WHEN 'CreatedNode' THEN final_amount WHEN 'DeletedNode'
 @query(f"SELECT hash, ledger_index, address, issuance_id, CAST({_DELTA} AS DOUBLE) AS delta FROM a_nodes WHERE issuance_id % 2 = 0 AND {_DELTA} <> 0")
 def nod2_integer_deltas(t: DriverTables) -> DataFrame:
     found = nodes.deltas(_versions(t).filter("entry_type = 'MPToken'"))
-    return found.withColumn("delta", F.col("delta").cast("double"))
+    return found.drop("delta_text").withColumn("delta", F.col("delta").cast("double"))
 
 
-@query(f"SELECT hash, ledger_index, address, issuance_id, CAST({_DELTA} AS DOUBLE) AS delta FROM a_nodes WHERE issuance_id % 2 = 1 AND {_DELTA} <> 0")
+@query(f"SELECT hash, ledger_index, address, issuance_id, {told_sql(f'({_DELTA})')} AS delta FROM a_nodes WHERE issuance_id % 2 = 1 AND {_DELTA} <> 0")
 def nod4_decimal_deltas(t: DriverTables) -> DataFrame:
-    found = nodes.deltas(_versions(t).filter("entry_type = 'RippleState'"))
-    return found.withColumn("delta", F.col("delta").cast("double"))
+    """Changes of balances with 15 digits behind the point, as exact texts."""
+    return _exact(nodes.deltas(_versions(t).filter("entry_type = 'RippleState'")))
 
 
-@query("SELECT hash, ledger_index, address, issuance_id, CAST(delta AS DOUBLE) AS delta FROM a_balance_deltas")
+def _exact(rows: DataFrame, amount: str = "delta") -> DataFrame:
+    """The exact text in the amount's place."""
+    return rows.drop(amount).withColumnRenamed(f"{amount}_text", amount)
+
+
+@query(f"SELECT hash, ledger_index, address, issuance_id, {told_sql('delta')} AS delta FROM a_balance_deltas")
 def nod5_derive_deltas(t: DriverTables) -> DataFrame:
-    return nodes.derive(t.documents_of_metadata(), t.issuances()).withColumn("delta", F.col("delta").cast("double"))
+    return _exact(nodes.derive(t.documents_of_metadata(), t.issuances()))
 
 
-@query("SELECT hash, ledger_index, address, issuance_id, CAST(delta AS DOUBLE) AS delta FROM a_balance_deltas WHERE address IN (SELECT address FROM a_account_issuance WHERE issuance_id = 2)"
+@query(f"SELECT hash, ledger_index, address, issuance_id, {told_sql('delta')} AS delta FROM a_balance_deltas WHERE address IN (SELECT address FROM a_account_issuance WHERE issuance_id = 2)"
        " OR hash IN (SELECT hash FROM a_movements WHERE address IN (SELECT address FROM a_account_issuance WHERE issuance_id = 2))")
 def nod6_rederive(t: DriverTables) -> DataFrame:
     members = t.account_issuance().filter("issuance_id = 2")
-    out = nodes.rederive(t.documents_of_metadata(), t.account_transactions(), members, t.issuances())
-    return out.withColumn("delta", F.col("delta").cast("double"))
+    return _exact(nodes.rederive(t.documents_of_metadata(), t.account_transactions(), members, t.issuances()))
 
 
 @query("SELECT issuance_id, address, min(ledger_index) AS first_acquisition_ledger FROM a_nodes GROUP BY 1, 2")
@@ -82,19 +87,19 @@ _LAST = """WITH last AS (SELECT object_id, arg_max(node_kind, (ledger_index, CAS
   FROM a_nodes {where} GROUP BY object_id)"""
 
 
-@query(_LAST.format(where="") + " SELECT object_id, issuance_id, address, kind = 'DeletedNode' AS deleted, CAST(amount AS DOUBLE) AS amount FROM last")
+@query(_LAST.format(where="") + f" SELECT object_id, issuance_id, address, kind = 'DeletedNode' AS deleted, {told_sql('amount')} AS amount FROM last")
 def sta1_latest_objects(t: DriverTables) -> DataFrame:
-    return state.latest(_versions(t)).select("object_id", "issuance_id", "address", "deleted", F.col("amount").cast("double").alias("amount"))
+    return state.latest(_versions(t)).select("object_id", "issuance_id", "address", "deleted", exact.canonical("amount_text").alias("amount"))
 
 
-@query(_LAST.format(where="") + " SELECT issuance_id, address, CAST(sum(amount) AS DOUBLE) AS balance FROM last WHERE kind <> 'DeletedNode' GROUP BY 1, 2")
+@query(_LAST.format(where="") + f" SELECT issuance_id, address, {told_sql('sum(amount)')} AS balance FROM last WHERE kind <> 'DeletedNode' GROUP BY 1, 2")
 def sta5_balances_from_state(t: DriverTables) -> DataFrame:
-    return state.balances(_versions(t)).withColumn("balance", F.col("balance").cast("double"))
+    return _exact(state.balances(_versions(t)), "balance")
 
 
 @query(
     _LAST.format(where="WHERE issuance_id % 2 = 1 AND ledger_index <= 1800")
-    + """ SELECT last.address, i.issuer_account AS peer, i.currency, CAST(amount AS DOUBLE) AS balance, '0' AS "limit", '0' AS limit_peer
+    + f""" SELECT last.address, i.issuer_account AS peer, i.currency, {told_sql("amount", "last.issuance_id")} AS balance, '0' AS "limit", '0' AS limit_peer
 FROM last JOIN a_issuances i USING (issuance_id) WHERE last.kind <> 'DeletedNode'"""
 )
 def sta3_trust_lines(t: DriverTables) -> DataFrame:
@@ -103,7 +108,7 @@ def sta3_trust_lines(t: DriverTables) -> DataFrame:
 
 @query(
     _LAST.format(where="WHERE issuance_id % 2 = 1 AND ledger_index <= 1800")
-    + """ SELECT last.address, i.issuer_account AS peer, i.currency, CAST(amount AS DOUBLE) AS balance, '0' AS "limit", '0' AS limit_peer
+    + f""" SELECT last.address, i.issuer_account AS peer, i.currency, {told_sql("amount", "last.issuance_id")} AS balance, '0' AS "limit", '0' AS limit_peer
 FROM last JOIN a_issuances i USING (issuance_id) WHERE last.kind <> 'DeletedNode'"""
 )
 def sta3_trust_lines_all(t: DriverTables) -> DataFrame:
@@ -115,7 +120,7 @@ def _trust_lines(t: DriverTables, members: DataFrame) -> DataFrame:
     who = members.select("address").distinct()
     asked = who.select(F.col("address").alias("request_id"), "address", F.lit(1800).cast("long").alias("as_of_ledger"))
     out = state.trust_lines_at(nodes.flatten(t.documents_of_metadata()), asked)
-    return out.withColumnRenamed("request_id", "address").withColumn("balance", F.col("balance").cast("double"))
+    return _exact(out.withColumnRenamed("request_id", "address").drop("status"), "balance")
 
 
 @query("""WITH l AS (SELECT greatest((SELECT max(ledger_index) FROM a_ledgers), (SELECT max(ledger_index) FROM a_transactions)) AS latest)
@@ -131,14 +136,17 @@ def rec1_reconcile(t: DriverTables) -> DataFrame:
     return reconcile.verdicts(t.issuances(), reconcile.compare(ours, theirs, t.account_issuance()), 1).select("issuance_id", "passed", "discrepancies")
 
 
-@query("""WITH b AS (SELECT issuance_id, address, sum(delta) AS balance FROM a_balance_deltas GROUP BY 1, 2)
-SELECT issuance_id, address, CAST(balance AS DOUBLE) AS left_balance, CAST(0 AS DOUBLE) AS right_balance FROM b WHERE address LIKE '%7' AND balance <> 0
-UNION ALL SELECT issuance_id, address, CAST(balance AS DOUBLE), CAST(balance + 1 AS DOUBLE) FROM b WHERE address LIKE '%3'""")
+@query(f"""WITH b AS (SELECT issuance_id, address, sum(delta) AS balance FROM a_balance_deltas GROUP BY 1, 2)
+SELECT issuance_id, address, {told_sql('balance')} AS left_balance, '0' AS right_balance FROM b WHERE address LIKE '%7' AND balance <> 0
+UNION ALL SELECT issuance_id, address, {told_sql('balance')}, concat({told_sql('balance')}, CASE WHEN contains({told_sql('balance')}, '.') THEN '' ELSE '.' END, lpad('1', 30, '0')) FROM b WHERE address LIKE '%3'""")
 def rec2_differences(t: DriverTables) -> DataFrame:
-    ours = reports.current_balances(t.balance_deltas())
-    theirs = ours.filter("address not like '%7'").withColumn("balance", F.col("balance") + F.when(F.col("address").endswith("3"), 1).otherwise(0))
+    """Balances that are missing on one side, and others that differ far behind the point only."""
+    sums = t.balance_deltas().groupBy("issuance_id", "address").agg(F.sum("delta").alias("units"))
+    ours = sums.select("issuance_id", "address", exact.canonical(told(F.col("units"), F.col("issuance_id") % 2 == 0)).alias("balance"))
+    more = F.concat("balance", F.when(F.col("balance").contains("."), "").otherwise("."), F.lit("0" * 29 + "1"))
+    theirs = ours.filter("address not like '%7'").withColumn("balance", F.when(F.col("address").endswith("3"), more).otherwise(F.col("balance")))
     out = reconcile.compare(ours, theirs)
-    return out.withColumns({c: F.col(c).cast("double") for c in ("left_balance", "right_balance")})
+    return out.select("issuance_id", "address", F.col("left_text").alias("left_balance"), F.col("right_text").alias("right_balance"))
 
 
 @query("""WITH b AS (SELECT issuance_id, address, sum(delta) AS balance FROM a_balance_deltas GROUP BY 1, 2),

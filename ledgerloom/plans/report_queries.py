@@ -32,7 +32,7 @@ FROM r LEFT JOIN s USING (address, issuance_id, ledger) LEFT JOIN a_account_issu
 LEFT JOIN a_coverage c ON c.address = r.address""")
 def rpt1_balance_at(t: DriverTables) -> DataFrame:
     out = reports.balance_at(_balance_requests(t), t.balance_deltas(), t.account_issuance(), t.coverage())
-    return out.drop("request_id").withColumns(_number("balance"))
+    return out.drop("request_id", "balance_text").withColumns(_number("balance"))
 
 
 @query("""
@@ -42,7 +42,7 @@ def rpt2_transactions(t: DriverTables) -> DataFrame:
     even = t.issuances().filter("issuance_id % 2 = 0").select("issuance_id", F.lit(None).cast("string").alias("address"), F.lit(500).alias("low"), F.lit(900).alias("high"))
     one = t.issuances().filter("issuance_id = 1").select("issuance_id", F.lit("rC1").alias("address"), F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"))
     asked = even.union(one).withColumn("request_id", F.col("issuance_id"))
-    return reports.itemised(asked, t.balance_deltas()).withColumnRenamed("request_id", "issuance_id").withColumns(_number("delta"))
+    return reports.itemised(asked, t.balance_deltas()).drop("delta_text").withColumnRenamed("request_id", "issuance_id").withColumns(_number("delta"))
 
 
 def _issuer_requests(t: DriverTables) -> DataFrame:
@@ -76,7 +76,7 @@ SELECT concat(v.issuer, '@', v.ledger) AS request_id, CASE WHEN NOT tracked THEN
 )
 def rpt3_gateway_balances(t: DriverTables) -> DataFrame:
     out = reports.obligations(_issuer_requests(t), t.balance_deltas(), t.account_issuance(), t.coverage(), t.issuances())
-    return out.withColumns(_number("obligation"))
+    return out.drop("obligation_text").withColumns(_number("obligation"))
 
 
 @query(
@@ -87,7 +87,7 @@ FROM r JOIN line USING (issuer) JOIN a_balance_deltas d USING (issuance_id)
 WHERE d.ledger_index <= r.ledger AND d.address IN ('rC10', 'rC20', 'rC31') GROUP BY ALL HAVING sum(d.delta) <> 0"""
 )
 def rpt3_hot_wallets(t: DriverTables) -> DataFrame:
-    return reports.hot_wallet_balances(_issuer_requests(t), t.balance_deltas(), t.issuances()).withColumns(_number("balance"))
+    return reports.hot_wallet_balances(_issuer_requests(t), t.balance_deltas(), t.issuances()).drop("balance_text").withColumns(_number("balance"))
 
 
 @query("""
@@ -229,13 +229,13 @@ def rpt12_member_sample(t: DriverTables) -> DataFrame:
 
 @query("SELECT issuance_id, address, CAST(sum(delta) AS DOUBLE) AS balance FROM a_balance_deltas GROUP BY 1, 2")
 def agg1_balances(t: DriverTables) -> DataFrame:
-    return reports.current_balances(t.balance_deltas()).withColumns(_number("balance"))
+    return reports.current_balances(t.balance_deltas()).drop("balance_text").withColumns(_number("balance"))
 
 
 @query("""SELECT issuance_id, address, ledger_index, CAST(sum(sum(delta)) OVER (PARTITION BY issuance_id, address ORDER BY ledger_index) AS DOUBLE) AS balance
   FROM a_balance_deltas GROUP BY issuance_id, address, ledger_index""")
 def win5_running_balance(t: DriverTables) -> DataFrame:
-    return reports.running_balances(t.balance_deltas()).withColumns(_number("balance"))
+    return reports.running_balances(t.balance_deltas()).drop("balance_text").withColumns(_number("balance"))
 
 
 @query("SELECT issuance_id, count(DISTINCT hash) AS transactions, min(ledger_index) AS first_ledger, max(ledger_index) AS last_ledger FROM a_balance_deltas GROUP BY 1")

@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import exact
 from ledgerloom.functions import exprs as X
 from ledgerloom.functions.session import shared_folder
 from ledgerloom.operators import discovery, maintenance, nodes, reports, sinks
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.report_queries import _JOBS, _jobs, _runs
 from ledgerloom.sources import archive
-from ledgerloom.sources.driver_tables import DriverTables
+from ledgerloom.sources.driver_tables import DriverTables, told
 from ledgerloom.streaming import ingest
 
 
@@ -107,7 +108,8 @@ def exp17_entries(t: DriverTables) -> DataFrame:
        "SELECT CAST(6 AS BIGINT), CASE WHEN count(*) > 0 THEN 'incomplete' ELSE 'success' END, count(*) FROM a_balance_deltas WHERE issuance_id = 6 AND ledger_index % 2 = 0")
 def str9_rescan(t: DriverTables) -> DataFrame:
     stored = t.balance_deltas().filter("issuance_id <> 6 or ledger_index % 2 = 1")
-    return nodes.rescan(t.documents_of_metadata(), t.issuances(), stored)
+    stored = stored.withColumn("delta_text", exact.canonical(told(F.col("delta"), F.col("issuance_id") % 2 == 0)))
+    return nodes.rescan(t.documents_of_metadata(), t.issuances(), stored).drop("failed", "first_failure")
 
 
 @query("SELECT DISTINCT issuance_id, address FROM a_movements WHERE issuance_id % 2 = 1")

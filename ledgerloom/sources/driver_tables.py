@@ -3,10 +3,29 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MONEY = "decimal(28,2)"
+#: Documents tell a trust line's balance as FACTOR / 10 ** 15 for each unit of the movements, so that it has 15 digits behind the
+#: point; integer tokens are told in units.
+FACTOR = 1_000_000_000_000_123
+
+
+def told(units: Column, whole: Column) -> Column:
+    """The text of an amount as documents tell it: whole units, or fractions, spelt plainly."""
+    n = (F.abs(units).cast("decimal(20,0)") * F.lit(FACTOR).cast("decimal(16,0)")).cast("decimal(38,0)").cast("string")
+    digits = F.lpad(n, F.greatest(F.length(n), F.lit(16)), "0")
+    plain = F.concat(F.left(digits, F.length(digits) - 15), F.lit("."), F.right(digits, F.lit(15)))
+    return F.when(whole | (units == 0), units.cast("long").cast("string")).when(units < 0, F.concat(F.lit("-"), plain)).otherwise(plain)
+
+
+def told_sql(units: str, issuance: str = "issuance_id") -> str:
+    """Canonical text of what told() tells, for DuckDB."""
+    n = f"(CAST(abs({units}) AS HUGEINT) * {FACTOR})"
+    fraction = f"rtrim(rtrim(concat({n} // 1000000000000000, '.', lpad(CAST({n} % 1000000000000000 AS VARCHAR), 15, '0')), '0'), '.')"
+    return f"""CASE WHEN {units} = 0 THEN '0' WHEN {issuance} % 2 = 0 THEN CAST(CAST({units} AS BIGINT) AS VARCHAR)
+  ELSE concat(CASE WHEN {units} < 0 THEN '-' ELSE '' END, {fraction}) END"""
 
 
 class DriverTables:
@@ -131,8 +150,11 @@ class DriverTables:
         # The issuer is on the low side for odd customers; the balance is told from the low side.
         low = F.col("custkey") % 2 == 1
         limit = lambda who: F.struct(F.col("currency"), who.alias("issuer"), F.lit("0").alias("value"))
-        signed = lambda x: F.when(low, -x).otherwise(x).cast("long").cast("string")
-        money = lambda x: F.struct(F.col("currency"), F.lit("rOne").alias("issuer"), signed(x).alias("value"))
+        signed = lambda x: F.when(low, -x).otherwise(x)
+        # A third of the customers' balances is spelt with an exponent.
+        shifted = lambda x: F.concat((x.cast("decimal(20,0)") * F.lit(FACTOR).cast("decimal(16,0)")).cast("decimal(38,0)").cast("string"), F.lit("e-15"))
+        spelt = lambda x: F.when(F.col("custkey") % 3 == 0, shifted(x)).otherwise(told(x, F.lit(False)))
+        money = lambda x: F.struct(F.col("currency"), F.lit("rOne").alias("issuer"), spelt(signed(x)).alias("value"))
         token = F.struct(F.col("address").alias("Account"), F.col("mpt_issuance_id").alias("MPTokenIssuanceID"), F.when(F.col("final_amount") != 0, whole).alias("MPTAmount"))
         line = F.struct(
             money(F.col("final_amount")).alias("Balance"),

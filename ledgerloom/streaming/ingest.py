@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.functions.session import one_row
-from ledgerloom.operators import nodes, sinks, timeline
+from ledgerloom.operators import nodes, rejects, sinks, timeline
 from ledgerloom.sources import archive
 from ledgerloom.sources.schemas import TABLES
 
@@ -48,8 +48,10 @@ class Tables:
 SCHEMAS = {
     "transactions": "hash string, ledger_index long, tx_type string, meta_json string",
     "account_transactions": "hash string, address string",
-    "balance_deltas": "hash string, ledger_index long, address string, issuance_id long, delta decimal(38,18)",
+    "balance_deltas": "hash string, ledger_index long, address string, issuance_id long, delta_text string, delta decimal(38,18)",
     "ledgers": "ledger_index long, close_time timestamp",
+    "rejects": "hash string, ledger_index long, reason string",
+    "mended": "hash string",
     "gaps": "source string, seq long, from_ledger long, to_ledger long",
     "stream_high": "source string, last long",
     "account_issuance": "address string, issuance_id long, discovered_via string, first_acquisition_ledger long",
@@ -59,10 +61,15 @@ SCHEMAS = {
 
 
 def ingest_batch(tables: Tables, issuances: DataFrame, batch: DataFrame, batch_id: int, via: str = "stream") -> None:
-    """Stores what is new in a batch: transactions that touch a tracked issuance with links, deltas and new members, and
-    ledger times. Healed ranges and backfills go through here too, so nothing is stored twice."""
+    """Stores what is new in a batch: transactions that touch a tracked issuance with links, deltas and new members, ledger
+    times, and what can't be read as rejects. Healed ranges and backfills go through here too, so nothing is stored twice."""
     events = batch.persist()
     found = sinks.first_of_each(events.filter("type = 'transaction'"), ["hash"], "seq", "ledger_index", "meta_json")
+    broken = rejects.rejected(found)
+    tables.append("rejects", broken, batch_id)
+    # What an earlier batch couldn't read and this one can.
+    known = tables.before("rejects", SCHEMAS["rejects"], batch_id).select("hash").distinct()
+    tables.append("mended", found.select("hash").join(broken, "hash", "left_anti").join(known, "hash", "left_semi"), batch_id)
     versions = nodes.versions(nodes.flatten(found), issuances)
     scoped = found.drop("accounts").join(nodes.scoped_transactions(versions), ["hash", "ledger_index"])
     # A transaction has one ledger, so only stored ones of the batch's range can be the same.
@@ -158,6 +165,11 @@ def new_member_history(tables: Tables, history: DataFrame, links: DataFrame, bat
     return history.join(links.join(fresh, "address", "left_semi").select("hash").distinct(), "hash", "left_semi")
 
 
+def open_rejects(tables: Tables) -> DataFrame:
+    """The rejects of all batches that no other batch could read: what answers are to be held against."""
+    return rejects.still_open(tables.log("rejects", SCHEMAS["rejects"]).drop("batch").distinct(), tables.log("mended", SCHEMAS["mended"]))
+
+
 def statistics(tables: Tables, gaps: DataFrame) -> DataFrame:
     """One row: transactions stored, gaps found, the greatest ledger seen."""
     t = tables.log("transactions", SCHEMAS["transactions"]).agg(F.count("*").alias("ingested"))

@@ -124,27 +124,35 @@ def test_deltas(spark, issuances, document, want):
 
 
 def test_amounts_of_any_scale(spark, issuances):
-    """Exponents and amounts beyond the decimal type: exact as texts, unknown as decimals, refused by what adds them up."""
+    """Exponents and amounts beyond the decimal type: exact as texts, null as decimals, and added up all the same; only what is no
+    number is refused."""
     tx = transactions(
         spark, (1, meta(line("Created", "a", "rI", "10.5"))), (2, meta(line("Created", "b", "rI", "1234e-20"))), (3, meta(line("Created", "c", "rI", "5e25"))), (4, meta(line("Created", "rI", "d", "-12E2"))),
-        (5, meta(line("Modified", "a", "rI", "1.25e1", "10.5"))),
+        (5, meta(line("Modified", "a", "rI", "1.25e1", "10.5"))), (6, meta(line("Created", "e", "rI", "ten"))), (7, meta(line("Created", "f", "rI", "0.123456789012345678"))),
     )
     versions = nodes.versions(nodes.flatten(tx), issuances)
-    got = {(r.address, r.ledger_index): r.delta for r in nodes.deltas(versions).collect()}
-    assert got == {("a", 1): Decimal("10.5"), ("b", 2): None, ("c", 3): None, ("d", 4): 1200, ("a", 5): 2}
-    exactly = {(r.address, r.ledger_index): r.delta for r in nodes.exact_deltas(versions).collect()}
-    assert exactly == {("a", 1): "10.5", ("b", 2): "0.00000000000000001234", ("c", 3): "50000000000000000000000000", ("d", 4): "1200", ("a", 5): "2"}
+    deltas = nodes.deltas(versions)
+    got = {(r.address, r.ledger_index): (r.delta, r.delta_text) for r in deltas.collect()}
+    assert got == {
+        ("a", 1): (Decimal("10.5"), "10.5"), ("b", 2): (None, "0.00000000000000001234"), ("c", 3): (None, "50000000000000000000000000"), ("d", 4): (1200, "1200"), ("a", 5): (2, "2"),
+        ("e", 6): (None, None), ("f", 7): (Decimal("0.123456789012345678"), "0.123456789012345678"),
+    }
     assert {r.address: r.balance for r in reports.exact_balances(nodes.exact_deltas(versions)).collect()}["a"] == "12.5"
-    members = spark.createDataFrame([(x, 2) for x in "abcd"], "address string, issuance_id long")
-    coverage = spark.createDataFrame([(x, 1, 9, "s") for x in "abcd"], "address string, from_ledger long, to_ledger long, reason string")
-    asked = spark.createDataFrame([(x, 2, x, n) for x in "abcd" for n in (1, 9)], "request_id string, issuance_id long, address string, ledger long")
-    answers = {(r.address, r.ledger): (r.status, r.balance) for r in reports.balance_at(asked, nodes.deltas(versions), members, coverage).collect()}
-    assert answers["a", 9] == ("success", Decimal("12.5")) and answers["b", 9] == ("unreadable", None) and answers["b", 1] == ("success", 0) and answers["c", 9][0] == "unreadable"
-    asked = spark.createDataFrame([("x", "rI", 9, "a")], "request_id string, issuer string, ledger long, hotwallets string")
-    (r,) = reports.gateway_balances(asked, nodes.deltas(versions), members, coverage, issuances).collect()
-    assert (r.status, r.amount) == ("unreadable", None)
-    unknown = reports.current_balances(nodes.deltas(versions))
-    assert {r.address for r in reconcile.compare(unknown, unknown).collect()} == {"b", "c"}
+    members = spark.createDataFrame([(x, 2) for x in "abcdef"], "address string, issuance_id long")
+    coverage = spark.createDataFrame([(x, 1, 9, "s") for x in "abcdef"], "address string, from_ledger long, to_ledger long, reason string")
+    asked = spark.createDataFrame([(x, 2, x, n) for x in "abcde" for n in (1, 9)], "request_id string, issuance_id long, address string, ledger long")
+    answers = {(r.address, r.ledger): (r.status, r.balance, r.balance_text) for r in reports.balance_at(asked, deltas, members, coverage).collect()}
+    assert answers["a", 9] == ("success", Decimal("12.5"), "12.5") and answers["b", 9] == ("success", None, "0.00000000000000001234")
+    assert answers["b", 1] == ("success", 0, "0") and answers["c", 9][2] == "50000000000000000000000000" and answers["e", 9] == ("unreadable", None, None)
+    asked = spark.createDataFrame([("x", "rI", 9, "a"), ("y", "rI", 5, "a")], "request_id string, issuer string, ledger long, hotwallets string")
+    rows = reports.gateway_balances(asked, deltas, members, coverage, issuances).collect()
+    assert {(r.request_id, r.status, r.address, r.amount_text) for r in rows} == {
+        ("x", "unreadable", None, None), ("y", "success", "a", "12.5"), ("y", "success", None, "50000000000000000000001200.00000000000000001234"),
+    }
+    kept = reports.current_balances(deltas)
+    assert {r.address for r in reconcile.compare(kept, kept).collect()} == {"e"}
+    lines = {r.request_id: (r.balance_text, r.status) for r in state.trust_lines_at(nodes.flatten(tx), spark.createDataFrame([(x, x, 9) for x in "cde"], "request_id string, address string, as_of_ledger long")).collect()}
+    assert lines == {"c": ("50000000000000000000000000", "success"), "d": ("1200", "success"), "e": (None, "unreadable")}
 
 
 def test_listings_are_in_order(spark, report):
@@ -321,7 +329,7 @@ def test_tail_ingest(spark, issuances, tmp_path):
         ingest.ingest(ingest.tail(spark, str(tmp_path / "landing")), tables, issuances, str(tmp_path / "state")).awaitTermination()
     log = lambda name: tables.log(name, ingest.SCHEMAS[name])
     assert sorted(r.hash for r in log("transactions").collect()) == ["T1", "T2"]
-    assert {(r.address, r.delta) for r in log("balance_deltas").collect()} == {("rA", 5), ("rA", -2), ("rB", 2)}
+    assert {(r.address, r.delta, r.delta_text) for r in log("balance_deltas").collect()} == {("rA", 5, "5"), ("rA", -2, "-2"), ("rB", 2, "2")}
     assert {(r.hash, r.address) for r in log("account_transactions").collect()} == {("T1", "rA"), ("T1", "rI"), ("T2", "rA"), ("T2", "rB"), ("T2", "rI")}
     assert sorted(r.address for r in log("account_issuance").collect()) == ["rA", "rB"]
     assert sorted(r.ledger_index for r in log("ledgers").collect()) == [100, 104]
