@@ -4,8 +4,9 @@ Entities are found by one regular expression; texts are cut at them and joined a
 else of a text changes. Card and bank account numbers count only with right check digits. Every distinct entity (in a form
 that its spellings share, so that they stay together) gets a surrogate from a keyed hash: digits for digits with all
 separators kept, right check digits, letters for letters of the same case and alphabet, given names of the same gender and
-script, surnames of the same script and, where it shows, gender. A person's surname gets one surrogate, with or without
-title and given name; addresses of one domain share theirs. Proposals that two entities share, that are taken, or that occur
+script, surnames of the same script and, where it shows, gender. A person's surname gets one surrogate, whatever title, given
+names, initials and particles stand before it; addresses of one domain share theirs. What tells a secret's kind stays, and
+private addresses stay private. Proposals that two entities share, that are taken, or that occur
 as real entities go to another round with a new hash; so distinct entities stay distinct, and equal ones are replaced alike in
 all documents. Later rounds lengthen formats that have few forms, so none runs out.
 
@@ -81,18 +82,27 @@ _IBAN = "|".join(
     for n, codes in _IBAN_LENGTHS.items()
 ) + rf"|[A-Z]{{2}}[0-9]{{2}}(?:(?: {_OWN})?[A-Z0-9]{{4}}){{3,7}}(?:(?: {_OWN})?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
-_MALE = r"Mr|Herr|Sr|Señor|Monsieur|Mister|господин|г-н"
-_FEMALE = r"Mrs|Ms|Miss|Frau|Sra|Señora|Madame|Mme|Mlle|госпожа|г-жа"
+#: A single letter that stands for a given name, and words that stand before a surname and aren't names themselves.
+_INITIAL = r"\p{Lu}(?:\. ?| (?=\p{Lu}))"
+_PARTICLE = r"von|vom|van|zu|zur|zum|de|der|den|del|della|di|da|dal|do|dos|das|du|des|la|le|ter|ten|bin|ibn|al|el|af|av|y|St\."
+_MALE = r"Mr|MR|Herr|HERR|Sr|SR|Señor|Monsieur|Mister|господин|г-н"
+_FEMALE = r"Mrs|MRS|Ms|MS|Miss|MISS|Frau|FRAU|Sra|SRA|Señora|Madame|Mme|Mlle|госпожа|г-жа"
+#: Titles of either gender.
+_EITHER = r"Dr|DR|Prof|PROF|Professor|Доктор|доктор"
+_TITLE = rf"(?:{_MALE}|{_FEMALE}|{_EITHER})"
 _SECRET_KEY = r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)"
 #: What begins with a capital behind a name of one word, and is another entity.
 _NO_SURNAME = (
-    rf"(?:{_MALE}|{_FEMALE})\.? |{_SECRET_KEY}\s{{0,3}}[=:]|AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])|[A-Za-z0-9._%+-]++@|[0-9A-Fa-f]{{1,4}}:[0-9A-Fa-f:]"
+    rf"{_TITLE}\.? |{_SECRET_KEY}\s{{0,3}}[=:]|AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])|[\p{{L}}\p{{M}}\p{{N}}._%+-]++@|[0-9A-Fa-f]{{1,4}}:[0-9A-Fa-f:]"
 )
+#: A name with the initials and particles before it.
+_NAMED = rf"(?:{_INITIAL}|(?:{_PARTICLE}) )*+{_NAME}"
 
 #: kind -> pattern; earlier kinds win where several begin at one place.
 PATTERNS: dict[str, str] = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9]{20,}+)(?![A-Za-z0-9])"
+    "email": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{M}\p{N}-]++(?:\.[\p{L}\p{M}\p{N}-]++)++",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9]{20,}+|xox[abeprs]-[A-Za-z0-9-]{10,}+"
+    r"|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)(?![A-Za-z0-9])"
     rf"|(?<![A-Za-z0-9]){_SECRET_KEY}[\"']?\s{{0,3}}[=:]\s{{0,3}}"
     r"(?:\"[^\"\s]{6,}+\"|'[^'\s]{6,}+'|[^\s\"'<>,;&]{5,}[^\s\"'<>,;&.:?!)\]}])",
     "ipv4": rf"(?<![0-9.]){_IPV4}",
@@ -101,11 +111,11 @@ PATTERNS: dict[str, str] = {
     "iban": rf"(?<![A-Za-z0-9])(?:{_IBAN})",
     "ssn": rf"(?<![0-9-]){_SSN}",
     "card": rf"(?<![0-9])(?:{_FOURS}(?![0-9]|[ -][0-9]{{1,3}}(?![0-9.:@-]))|3[0-9]{{3}}[ -][0-9]{{6}}[ -][0-9]{{5}}(?![0-9])|[0-9](?:(?:[ ]{_OWN}|-)?[0-9]){{12,18}}(?![0-9]))",
-    "name": rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE})\.? {_NAME}(?: (?!{_NO_SURNAME}){_NAME}(?![\p{{L}}0-9]))?",
+    "name": rf"(?<!\p{{L}}){_TITLE}\.? (?:{_TITLE}\.? )*+{_NAMED}(?: (?!{_NO_SURNAME}){_NAMED}(?![\p{{L}}0-9]))*",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds no entity. The class of first characters turns most places down at once.
-_HINT = rf"(?=[0-9@:=AsgMHFSгГ])(?:[0-9@:=]|AKIA|sk-|gh[pousr]_|{_MALE}|{_FEMALE})"
+_HINT = rf"(?=[0-9@:=AsgxeMHFSDPгГдД])(?:[0-9@:=]|AKIA|sk-|gh[pousr]_|xox|eyJ|{_TITLE})"
 
 #: Given names for surrogates, by gender and script.
 NAMES = {
@@ -114,6 +124,7 @@ NAMES = {
     ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Никита Олег Павел Роман Степан".split(),
     ("f", "cyrillic"): "Алла Вера Галина Дарья Елена Жанна Зоя Ирина Ксения Лидия Мария Нина Ольга Полина София".split(),
 }
+NAMES |= {("u", script): NAMES["m", script] + NAMES["f", script] for script in ("latin", "cyrillic")}
 #: Stems and endings of surnames; where a script's surnames have a gender, the endings have it too.
 _STEMS = {
     "latin": "Al Ber Cor Dan Esk Fal Gor Hal Is Kal Lin Mar Nor Or Pel Ros Sand Tor Ver Wes".split(),
@@ -125,6 +136,11 @@ _ENDINGS = {
     ("f", "cyrillic"): "ская ина ова ева".split(),
 }
 
+_TITLES = re.compile(rf"\A{_TITLE}\.? (?:{_TITLE}\.? )*")
+_PARTICLES = re.compile(_PARTICLE)
+#: What tells the kind of a secret, and stays.
+_PREFIX = re.compile(r"\A(?:AKIA|gh[pousr]_|sk-|xox[abeprs]-|eyJ)")
+_PRIVATE = re.compile(r"\A(?:10|127|192\.168|172\.(?:1[6-9]|2[0-9]|3[01])|169\.254)\.")
 #: What stands before a secret's value.
 _SECRET_VALUE = re.compile(rf"\A{_SECRET_KEY}[\"']?\s{{0,3}}[=:]\s{{0,3}}")
 
@@ -154,8 +170,9 @@ def iban_check(iban: str) -> int:
 def entities_of(kind: str, surface: str) -> list[tuple[str, str]]:
     """(sort, entity) of what a surface form names, in the form that all its spellings share; none if check digits are wrong.
 
-    A name is a given name (by gender and script) and a surname, apart from its title, so that a person's full name and bare
-    surname stay together. Sorts are apart: surrogates only have to differ within one."""
+    A name is any number of given names or initials (by gender and script) and a surname, apart from its titles and particles,
+    so that a person's full name and bare surname stay together; an e-mail address is itself and its domain. Sorts are apart:
+    surrogates only have to differ within one."""
     digits = re.sub(r"\D", "", surface)
     if kind == "card":
         return [(kind, digits)] if luhn(digits) == 0 else []
@@ -169,15 +186,24 @@ def entities_of(kind: str, surface: str) -> list[tuple[str, str]]:
     if kind == "ipv6":
         return [(kind, str(ipaddress.IPv6Address(surface)))]
     if kind == "name":
-        title, *given, family = surface.replace(".", "").split()
-        gender = "f" if re.fullmatch(_FEMALE, title) else "m"
+        titles = _TITLES.match(surface)[0]
+        *given, family = (x for x in _words_of(surface[len(titles) :]) if not _PARTICLES.fullmatch(x))
+        told = {"f" if re.fullmatch(_FEMALE, x) else "m" for x in titles.replace(".", "").split() if not re.fullmatch(_EITHER, x)}
+        gender = min(told, default="u")
         script = "cyrillic" if re.search(r"[Ѐ-ӿ]", family) else "latin"
         return [(f"given/{gender}/{script}", x.casefold()) for x in given] + [
-            (f"family/{gender if script == 'cyrillic' else ''}/{script}", family.casefold())
+            (f"family/{gender.replace('u', 'm') if script == 'cyrillic' else ''}/{script}", family.casefold())
         ]
+    if kind == "email":
+        return [(kind, surface.lower()), ("domain", surface.lower().partition("@")[2])]
     return [(kind, surface.lower())]
 
 
+def _words_of(names: str) -> list[str]:
+    """Names, particles and initials (with their dots) of what stands behind a title."""
+    return re.findall(r"[^\s.]+\.?", names)
+
+
 #: Marks that stand in for marks.
 _MARKS = "#$%*+=@^_~"
 #: Letters and digits that a text must have to be told apart by them alone.
@@ -230,11 +256,16 @@ def surrogate(key: bytes, sort: str, entity: str, attempt: int) -> str:
     draw = _Draw(key, sort, entity, attempt)
     kind, *which = sort.split("/")
     if kind == "email":
-        local, domain = entity.split("@")
-        # Addresses of one domain stay with one domain, of those reserved for examples.
-        at = _Draw(key, "domain", domain, 0)
-        return f"{draw.like(local)}{draw.digits(max(0, attempt - 2))}@{at.like(domain.split('.')[0])}.{at.pick(('example.com', 'example.org', 'example.net'))}".lower()
+        # The part before the @; addresses of one domain stay with one domain.
+        return f"{draw.like(entity.partition('@')[0])}{draw.digits(max(0, attempt - 2))}".lower()
+    if kind == "domain":
+        # Under the domains that are reserved for examples.
+        return f"{draw.like(entity.split('.')[0])}{draw.digits(max(0, attempt - 2))}.{draw.pick(('example.com', 'example.org', 'example.net'))}".lower()
     if kind == "ipv4":
+        # Private and local addresses stay in their ranges, while these have room.
+        if (private := _PRIVATE.match(entity)) and attempt < 8:
+            kept = private[0].rstrip(".").split(".")
+            return ".".join([*kept, *(str(1 + draw.below(254)) for _ in range(4 - len(kept)))])
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "ipv6":
         return str(ipaddress.IPv6Address(":".join(f"{draw.below(1 << 16):x}" for _ in range(8))))
@@ -255,6 +286,9 @@ def surrogate(key: bytes, sort: str, entity: str, attempt: int) -> str:
     if kind == "family":
         stem = "".join(draw.pick(_STEMS[which[1]]) for _ in range(1 + attempt // 2))
         return (stem + draw.pick(_ENDINGS[tuple(which)])).casefold()
+    if kind == "secret" and (told := _PREFIX.match(entity)):
+        rest = entity[told.end() :]
+        return told[0] + draw.like(rest) + "".join(draw.pick(string.ascii_uppercase + string.digits) for _ in range(attempt - 2))
     return draw.like(entity) + "".join(draw.pick(string.ascii_lowercase + string.digits) for _ in range(attempt - 2))
 
 
@@ -269,10 +303,21 @@ def dress(kind: str, surface: str, new: list[str]) -> str:
         quote = surface[-1] if len(before) < len(surface) and surface[len(before)] in "\"'" else ""
         return f"{before}{quote}{new[0]}{quote}"
     if kind == "name":
-        title, *old = surface.split()
-        cased = (n.upper() if len(o) > 1 and o == o.upper() else "-".join(x.capitalize() for x in n.split("-")) for o, n in zip(old, new, strict=True))
-        return " ".join([title, *cased])
-    return new[0].upper() if kind in ("email", "ipv6") and surface == surface.upper() else new[0]
+        titles, left = _TITLES.match(surface)[0], iter(new)
+
+        def cased(old: re.Match) -> str:
+            if _PARTICLES.fullmatch(old[0]):
+                return old[0]
+            name, bare = next(left), old[0].rstrip(".")
+            if len(bare) == 1:
+                return name[0].upper() + old[0][1:]
+            return name.upper() if bare == bare.upper() else "-".join(x.capitalize() for x in name.split("-"))
+
+        return titles + re.sub(r"[^\s.]+\.?", cased, surface[len(titles) :])
+    if kind == "email":
+        address = "@".join(new)
+        return address.upper() if surface == surface.upper() else address
+    return new[0].upper() if kind == "ipv6" and surface == surface.upper() else new[0]
 
 
 def _map(df: DataFrame, f, schema: str) -> DataFrame:
@@ -340,7 +385,7 @@ def replace(docs: DataFrame, key: bytes = b"surrogates-1") -> DataFrame:
             )
         )
         given = assign(surfaces.select("sort", "entity"), key, tables)
-        # A surface form has one or two parts.
+        # A surface form has as many parts as it has names.
         parts = surfaces.join(given, ["sort", "entity"]).groupBy("kind", "surface").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("part", "surrogate"))), lambda x: x["surrogate"]).alias("new")
         )
