@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import chat, decontaminate, dedup, fingerprints, licenses, lm, packing, pii, prefix_trie, quality, sharding, substrings, variants
+from ledgerloom.llm import _sql, chat, decontaminate, dedup, fingerprints, licenses, lm, packing, pii, prefix_trie, quality, sharding, substrings, variants
 from ledgerloom.llm._spark import read
 
 
@@ -80,4 +80,6 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_licenses": licenses.scan_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_licenses": licenses.scan_sql(), "op11_spelling_variants": _sql.variants_sql(), "op12_conversation_trie": _sql.trie_sql(), "op13_substring_dedup": _sql.substrings_sql(),
+}
