@@ -309,13 +309,16 @@ def holder_answers(requests: DataFrame, holders: DataFrame, issuances: DataFrame
 
 
 def recent_activity(transactions: DataFrame, deltas: DataFrame, issuances: DataFrame, ledgers: DataFrame, k: int = 10) -> DataFrame:
-    """The k newest transactions (ledger descending, hash ascending) with the labels of the issuances that they move."""
+    """The k newest transactions (ledger descending, hash ascending) with the labels of the issuances that they move or, where
+    transactions has an mpt_issuance_id, name themselves. Other columns of transactions, such as a result, are kept."""
     top = transactions.orderBy(F.desc("ledger_index"), "hash").limit(k)
     label = F.coalesce("currency", "mpt_issuance_id")
+    meant = top.select("hash").join(deltas.select("hash", "issuance_id").distinct(), "hash")
+    if "mpt_issuance_id" in transactions.columns:
+        ids = issuances.filter("kind = 'mpt'").select(F.upper("mpt_issuance_id").alias("_m"), "issuance_id")
+        meant = meant.union(top.select("hash", F.upper("mpt_issuance_id").alias("_m")).join(ids, "_m").select("hash", "issuance_id"))
     touched = (
-        top.select("hash")
-        .join(deltas.select("hash", "issuance_id").distinct(), "hash")
-        .join(issuances.select("issuance_id", X.short_label(label).alias("label")), "issuance_id")
+        meant.join(issuances.select("issuance_id", X.short_label(label).alias("label")), "issuance_id")
         .groupBy("hash")
         .agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"))
     )
@@ -331,13 +334,13 @@ def issuance_stats(deltas: DataFrame) -> DataFrame:
 
 
 def issuance_status(issuances: DataFrame, membership: DataFrame, deltas: DataFrame, coverage: DataFrame, jobs: DataFrame, runs: DataFrame, tail_to: int | None = None) -> DataFrame:
-    """All issuances with members, statistics, job progress, the covered window and the last reconciliation."""
+    """All issuances with members, statistics, job progress and counts, the covered window and the last reconciliation."""
     members = membership.select("issuance_id", "address").distinct().groupBy("issuance_id").agg(F.count("*").alias("members"))
     window = scope.status_window(membership, coverage, tail_to).withColumnsRenamed({"from_ledger": "covered_from", "to_ledger": "covered_to"})
     out = issuances
-    for part in (members, issuance_stats(deltas), window, progress(jobs), latest_runs(runs)):
+    for part in (members, issuance_stats(deltas), window, progress(jobs), job_counts(jobs), latest_runs(runs)):
         out = out.join(part, "issuance_id", "left")
-    return out.withColumn("members", F.coalesce("members", F.lit(0))).withColumn("transactions", F.coalesce("transactions", F.lit(0)))
+    return out.fillna(0, ["members", "transactions", "pending", "running", "done", "failed", "fetched"])
 
 
 def job_counts(jobs: DataFrame) -> DataFrame:

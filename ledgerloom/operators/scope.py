@@ -23,15 +23,31 @@ VERSION = 2
 OPERATIONS = ("account_tx", "account_info", "account_lines", "gateway_balances", "ledger", "mpt_holders", "archive_balance_at", "archive_transactions", "tx")
 
 
-def validate(requests: DataFrame, needs: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+#: What a parameter's text must look like, by type.
+TYPES = {
+    "account": ("^r[1-9A-HJ-NP-Za-km-z]{1,34}$", "is no account"),
+    "integer": ("^-?[0-9]{1,18}$", "is no integer"),
+    "boolean": ("^(true|false)$", "is neither true nor false"),
+    "hash": ("^[0-9A-Fa-f]{64}$", "is no hash"),
+    "ledger": ("^([0-9]{1,18}|validated|closed|current)$", "is no ledger"),
+}
+
+
+def validate(requests: DataFrame, needs: dict[str, tuple[str, ...]] | None = None, types: dict[str, str] | None = None) -> DataFrame:
     """requests (command, api_version and parameters, all as text) with status and error, the first of: another version than
-    VERSION, an operation that isn't served, a parameter that the operation needs (needs: operation -> columns) and lacks."""
+    VERSION, an operation that isn't served, a parameter that the operation needs (needs: operation -> columns) and lacks, one
+    that is given and not of its type (types: column -> one of TYPES), in the order of columns."""
     needs = needs or {}
     lacking = None
     for command, columns in needs.items():
         for c in columns:
             bad = (F.col("command") == command) & (F.coalesce(F.trim(c), F.lit("")) == "")
             lacking = F.when(bad, f"{c} is missing") if lacking is None else lacking.when(bad, f"{c} is missing")
+    for c, kind in (types or {}).items():
+        pattern, what = TYPES[kind]
+        given = F.trim(c)
+        bad = (F.coalesce(given, F.lit("")) != "") & ~given.rlike(pattern)
+        lacking = F.when(bad, f"{c} {what}") if lacking is None else lacking.when(bad, f"{c} {what}")
     missing = F.lit(None).cast("string") if lacking is None else lacking
     version = F.trim("api_version").try_cast("int")
     state = status(

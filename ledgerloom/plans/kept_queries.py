@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import exact
+from ledgerloom.functions import exprs as X
 from ledgerloom.functions.session import shared_folder
-from ledgerloom.operators import nodes, rejects, reports, scope, state
+from ledgerloom.operators import nodes, reconcile, rejects, reports, scope
 from ledgerloom.plans.archive_queries import _claims
 from ledgerloom.plans.derivation_queries import _LAST, _exact
 from ledgerloom.plans.registry import query
-from ledgerloom.plans.report_queries import _HOLDERS, _LINES, _balance_requests, _issuer_requests, _mpt_holders
+from ledgerloom.plans.report_queries import _JOBS, _LINES, _balance_requests, _issuer_requests, _jobs, _mpt_holders, _runs
 from ledgerloom.sources.driver_tables import DriverTables, told, told_sql
-from ledgerloom.streaming import kept
+from ledgerloom.streaming import ingest, kept
 from ledgerloom.streaming.ingest import Tables
 
 
@@ -204,3 +205,63 @@ SELECT k.*, CASE WHEN from_ledger IS NOT NULL THEN h.n END AS covered_ledgers, h
 def cov4_with_holes(t: DriverTables) -> DataFrame:
     """The strict window, and whether it has holes."""
     return scope.strict_window_with_holes(_holed_members(t), _claims(t))
+
+
+@query(f"""SELECT hash, ledger_index, address, issuance_id, {told_sql("delta")} AS delta FROM a_balance_deltas WHERE address IN (SELECT address FROM a_movements WHERE ledger_index > 2390)""")
+def dsc9_stored_whole(t: DriverTables) -> DataFrame:
+    """Members whom a late batch finds have their whole history stored with it; the batch and its discovery run twice."""
+    tables, docs, links = _tables(t, "whole"), t.documents_of_metadata(), t.account_transactions()
+    late = ingest._as_events(docs.filter("ledger_index > 2390"))
+    for _ in range(2):
+        ingest.ingest_batch(tables, t.issuances(), late, 3)
+        ingest.discover_whole(tables, t.issuances(), docs, links, 3)
+    stored = tables.log("balance_deltas", ingest.SCHEMAS["balance_deltas"])
+    return stored.select("hash", "ledger_index", "address", "issuance_id", F.col("delta_text").alias("delta"))
+
+
+@query(f"""WITH b AS (SELECT issuance_id, address, sum(delta) AS balance FROM a_balance_deltas GROUP BY 1, 2)
+SELECT issuance_id, address, {told_sql("balance")} AS left_balance, '0' AS right_balance FROM b WHERE address LIKE '%17' AND balance <> 0
+UNION ALL SELECT issuance_id, address, '0', '1e-30' FROM a_account_issuance WHERE address LIKE '%18' AND (issuance_id, address) NOT IN (SELECT issuance_id, address FROM b WHERE balance <> 0)""")
+def rec5_by_digests(t: DriverTables) -> DataFrame:
+    """Balances that one side lacks, found through digests of hash ranges."""
+    sums = t.balance_deltas().groupBy("issuance_id", "address").agg(F.sum("delta").alias("units"))
+    ours = sums.select("issuance_id", "address", exact.canonical(told(F.col("units"), F.col("issuance_id") % 2 == 0)).alias("balance"))
+    every = t.account_issuance().filter("address like '%18'").select("issuance_id", "address").join(ours.filter("balance <> '0'"), ["issuance_id", "address"], "left_anti")
+    more = every.withColumn("balance", F.lit("1e-30"))
+    theirs = ours.filter("address not like '%17'").join(every, ["issuance_id", "address"], "left_anti").unionByName(more)
+    out = reconcile.compare_suspects(ours, theirs, ranges=64)
+    return out.select("issuance_id", "address", F.col("left_text").alias("left_balance"), F.when(F.col("right_text") == "0", "0").otherwise("1e-30").alias("right_balance"))
+
+
+@query("""WITH top AS (SELECT * FROM a_transactions WHERE hash IN (SELECT hash FROM a_movements) ORDER BY ledger_index DESC, hash LIMIT 25),
+lab AS (SELECT DISTINCT hash, CASE WHEN length(name) > 18 THEN concat(left(name, 12), '…', right(name, 4)) ELSE name END AS label FROM (
+  SELECT top.hash, coalesce(currency, mpt_issuance_id) AS name FROM top JOIN a_balance_deltas d USING (hash) JOIN a_issuances i USING (issuance_id)
+  UNION ALL SELECT top.hash, mpt_issuance_id FROM top JOIN a_issuances i ON i.issuance_id = top.tx_index % 25 AND kind = 'mpt') x)
+SELECT top.hash, top.ledger_index, 'tesSUCCESS' AS result, string_agg(label, ',' ORDER BY label) AS labels FROM top LEFT JOIN lab USING (hash) GROUP BY top.hash, top.ledger_index""")
+def rpt8_with_results(t: DriverTables) -> DataFrame:
+    """Recent activity with result codes, and with the issuances that transactions name without moving them."""
+    named = t.issuances().filter("kind = 'mpt'").select(F.col("issuance_id").alias("_n"), F.lower("mpt_issuance_id").alias("mpt_issuance_id"))
+    docs = t.documents_of_metadata().select("hash", "ledger_index", (F.col("tx_index") % 25).alias("_n"), X.result_code(X.parse_meta("meta_json")).alias("result"))
+    out = reports.recent_activity(docs.join(named, "_n", "left").drop("_n"), t.balance_deltas(), t.issuances(), t.ledgers(), k=25)
+    return out.select("hash", "ledger_index", "result", "labels")
+
+
+@query(f"""WITH {_JOBS} SELECT i.issuance_id, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'done') AS done,
+  count(*) FILTER (WHERE status = 'failed') AS failed, CAST(coalesce(sum(tx_count), 0) AS BIGINT) AS fetched FROM a_issuances i LEFT JOIN j USING (issuance_id) GROUP BY 1""")
+def rpt9_with_jobs(t: DriverTables) -> DataFrame:
+    """The job counts in the issuances' status."""
+    out = reports.issuance_status(t.issuances(), t.account_issuance(), t.balance_deltas(), t.coverage(), _jobs(t), _runs(t))
+    return out.select("issuance_id", "pending", "running", "done", "failed", "fetched")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 7 = 1 THEN 'account is no account' WHEN event_id % 7 = 2 THEN 'ledger_index is no ledger' WHEN event_id % 7 = 3 THEN 'forward is neither true nor false'
+  WHEN event_id % 7 = 4 THEN 'account is missing' END AS error, CASE WHEN event_id % 7 BETWEEN 1 AND 4 THEN 'invalidParams' ELSE 'success' END AS status FROM events""")
+def flt6_types(t: DriverTables) -> DataFrame:
+    """Parameters of a wrong type are named."""
+    n = F.col("event_id") % 7
+    asked = t.raw("events").select(
+        "event_id", F.lit("account_tx").alias("command"), F.lit("2").alias("api_version"), F.when(n == 1, "xNobody").when(n == 4, " ").otherwise("rAbc").alias("account"),
+        F.when(n == 2, "-1").when(n == 5, "validated").when(n == 6, "17").alias("ledger_index"), F.when(n == 3, "yes").when(n == 0, "true").alias("forward"),
+    )
+    out = scope.validate(asked, {"account_tx": ("account",)}, {"account": "account", "ledger_index": "ledger", "forward": "boolean"})
+    return out.select("event_id", "status", "error")

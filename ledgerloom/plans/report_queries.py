@@ -24,11 +24,10 @@ def _balance_requests(t: DriverTables) -> DataFrame:
 @query("""
 WITH r AS (SELECT address, issuance_id, CAST(ledger AS BIGINT) AS ledger FROM a_account_issuance, (VALUES (1200), (2000)) v(ledger)
            UNION ALL SELECT DISTINCT address, CAST(99 AS BIGINT), CAST(1200 AS BIGINT) FROM a_account_issuance WHERE custkey % 10 = 0),
-s AS (SELECT r.address, r.issuance_id, r.ledger, sum(d.delta) AS total FROM r JOIN a_balance_deltas d
-      ON d.address = r.address AND d.issuance_id = r.issuance_id AND d.ledger_index <= r.ledger GROUP BY ALL)
-SELECT r.address, r.issuance_id, r.ledger, CASE WHEN m.address IS NOT NULL THEN CAST(coalesce(s.total, 0) AS DOUBLE) END AS balance,
+s AS (SELECT address, issuance_id, sum(delta) FILTER (WHERE ledger_index <= 1200) AS first, sum(delta) FILTER (WHERE ledger_index <= 2000) AS second FROM a_balance_deltas GROUP BY 1, 2)
+SELECT r.address, r.issuance_id, r.ledger, CASE WHEN m.address IS NOT NULL THEN CAST(coalesce(CASE r.ledger WHEN 1200 THEN s.first ELSE s.second END, 0) AS DOUBLE) END AS balance,
   CASE WHEN m.address IS NULL THEN 'notInArchive' ELSE 'success' END AS status, coalesce(r.ledger > c.to_ledger, TRUE) AS beyond_coverage
-FROM r LEFT JOIN s USING (address, issuance_id, ledger) LEFT JOIN a_account_issuance m ON m.address = r.address AND m.issuance_id = r.issuance_id
+FROM r LEFT JOIN s USING (address, issuance_id) LEFT JOIN a_account_issuance m ON m.address = r.address AND m.issuance_id = r.issuance_id
 LEFT JOIN a_coverage c ON c.address = r.address""")
 def rpt1_balance_at(t: DriverTables) -> DataFrame:
     out = reports.balance_at(_balance_requests(t), t.balance_deltas(), t.account_issuance(), t.coverage())

@@ -63,31 +63,34 @@ SCHEMAS = {
 def ingest_batch(tables: Tables, issuances: DataFrame, batch: DataFrame, batch_id: int, via: str = "stream") -> None:
     """Stores what is new in a batch: transactions that touch a tracked issuance with links, deltas and new members, ledger
     times, and what can't be read as rejects. Healed ranges and backfills go through here too, so nothing is stored twice."""
-    events = batch.persist()
-    found = sinks.first_of_each(events.filter("type = 'transaction'"), ["hash"], "seq", "ledger_index", "meta_json")
-    broken = rejects.rejected(found)
-    tables.append("rejects", broken, batch_id)
-    # What an earlier batch couldn't read and this one can.
-    known = tables.before("rejects", SCHEMAS["rejects"], batch_id).select("hash").distinct()
-    tables.append("mended", found.select("hash").join(broken, "hash", "left_anti").join(known, "hash", "left_semi"), batch_id)
-    versions = nodes.versions(nodes.flatten(found), issuances)
-    scoped = found.drop("accounts").join(nodes.scoped_transactions(versions), ["hash", "ledger_index"])
-    # A transaction has one ledger, so only stored ones of the batch's range can be the same.
-    span = scoped.agg(F.min("ledger_index").alias("low"), F.max("ledger_index").alias("high")).first()
-    stored = tables.before("transactions", SCHEMAS["transactions"], batch_id).filter(F.col("ledger_index").between(span["low"], span["high"]))
-    fresh = sinks.new_rows(scoped, stored, ["hash"]).persist()
-    tables.append("transactions", fresh.select("hash", "ledger_index", F.coalesce("tx_type", F.lit("unknown")).alias("tx_type"), "meta_json"), batch_id)
-    tables.append("account_transactions", sinks.links_of(fresh), batch_id)
-    tables.append("balance_deltas", nodes.derive(fresh, issuances), batch_id)
-    members = nodes.holders(nodes.versions(nodes.flatten(fresh), issuances)).select(
-        "address", "issuance_id", F.lit(via).alias("discovered_via"), F.lit(None).cast("long").alias("first_acquisition_ledger") if via == "stream" else F.col("first_acquisition_ledger")
-    )
-    known = tables.before("account_issuance", SCHEMAS["account_issuance"], batch_id)
-    tables.append("account_issuance", sinks.new_rows(members, known, ["address", "issuance_id"]), batch_id)
-    times = sinks.new_rows(archive.ledger_times(events), tables.before("ledgers", SCHEMAS["ledgers"], batch_id), ["ledger_index"])
-    tables.append("ledgers", times, batch_id)
-    fresh.unpersist()
-    events.unpersist()
+    events, fresh = batch.persist(), None
+    try:
+        found = sinks.first_of_each(events.filter("type = 'transaction'"), ["hash"], "seq", "ledger_index", "meta_json")
+        broken = rejects.rejected(found)
+        tables.append("rejects", broken, batch_id)
+        # What an earlier batch couldn't read and this one can.
+        known = tables.before("rejects", SCHEMAS["rejects"], batch_id).select("hash").distinct()
+        tables.append("mended", found.select("hash").join(broken, "hash", "left_anti").join(known, "hash", "left_semi"), batch_id)
+        versions = nodes.versions(nodes.flatten(found), issuances)
+        scoped = found.drop("accounts").join(nodes.scoped_transactions(versions), ["hash", "ledger_index"])
+        # A transaction has one ledger, so only stored ones of the batch's range can be the same.
+        span = scoped.agg(F.coalesce(F.min("ledger_index"), F.lit(0)).alias("low"), F.coalesce(F.max("ledger_index"), F.lit(-1)).alias("high")).first()
+        stored = tables.before("transactions", SCHEMAS["transactions"], batch_id).filter(F.col("ledger_index").between(span["low"], span["high"]))
+        fresh = sinks.new_rows(scoped, stored, ["hash"]).persist()
+        tables.append("transactions", fresh.select("hash", "ledger_index", F.coalesce("tx_type", F.lit("unknown")).alias("tx_type"), "meta_json"), batch_id)
+        tables.append("account_transactions", sinks.links_of(fresh), batch_id)
+        tables.append("balance_deltas", nodes.derive(fresh, issuances), batch_id)
+        members = nodes.holders(nodes.versions(nodes.flatten(fresh), issuances)).select(
+            "address", "issuance_id", F.lit(via).alias("discovered_via"), F.lit(None).cast("long").alias("first_acquisition_ledger") if via == "stream" else F.col("first_acquisition_ledger")
+        )
+        known = tables.before("account_issuance", SCHEMAS["account_issuance"], batch_id)
+        tables.append("account_issuance", sinks.new_rows(members, known, ["address", "issuance_id"]), batch_id)
+        times = sinks.new_rows(archive.ledger_times(events), tables.before("ledgers", SCHEMAS["ledgers"], batch_id), ["ledger_index"])
+        tables.append("ledgers", times, batch_id)
+    finally:
+        for kept in (events, fresh):
+            if kept is not None:
+                kept.unpersist()
 
 
 def ingest(stream: DataFrame, tables: Tables, issuances: DataFrame, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
@@ -109,11 +112,13 @@ def stream_gaps(stream: DataFrame, tables: Tables, checkpoint: str, anchor: int
 
     def each(batch: DataFrame, batch_id: int) -> None:
         events = batch.persist()
-        earlier = tables.log("stream_high", SCHEMAS["stream_high"]).filter(F.col("batch") < batch_id)
-        high = earlier.groupBy("source").agg(F.max("last").alias("last"))
-        tables.append("gaps", timeline.source_gaps(events, high, anchor), batch_id)
-        tables.append("stream_high", events.groupBy("source").agg(F.max("ledger_index").alias("last")), batch_id)
-        events.unpersist()
+        try:
+            earlier = tables.log("stream_high", SCHEMAS["stream_high"]).filter(F.col("batch") < batch_id)
+            high = earlier.groupBy("source").agg(F.max("last").alias("last"))
+            tables.append("gaps", timeline.source_gaps(events, high, anchor), batch_id)
+            tables.append("stream_high", events.groupBy("source").agg(F.max("ledger_index").alias("last")), batch_id)
+        finally:
+            events.unpersist()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -143,13 +148,16 @@ def heal(gaps: DataFrame, history: DataFrame) -> DataFrame:
 def heal_into(tables: Tables, issuances: DataFrame, gaps: DataFrame, history: DataFrame, batch_id: int) -> None:
     """Heals gaps through ingest_batch: what is stored already stays as it is, what is new brings its links, deltas and members
     (found as via 'sweep'). history: hash, ledger_index, tx_type, meta_json."""
-    healed = heal(gaps, history).select("hash", "ledger_index", "tx_type", "meta_json")
+    ingest_batch(tables, issuances, _as_events(heal(gaps, history)), batch_id, via="sweep")
+
+
+def _as_events(history: DataFrame) -> DataFrame:
+    """Landed history (hash, ledger_index, tx_type, meta_json) in the form of tail events."""
     null = lambda kind: F.lit(None).cast(kind)
-    events = healed.select(
+    return history.select(
         null("long").alias("seq"), F.lit("transaction").alias("type"), F.lit(True).alias("validated"), "ledger_index", null("long").alias("ledger_time"),
         "hash", "tx_type", null("array<string>").alias("accounts"), "meta_json",
     )
-    ingest_batch(tables, issuances, events, batch_id, via="sweep")
 
 
 def after_backfill(high_water: int, tail_now: int, spark: SparkSession) -> DataFrame:
@@ -165,6 +173,27 @@ def new_member_history(tables: Tables, history: DataFrame, links: DataFrame, bat
     return history.join(links.join(fresh, "address", "left_semi").select("hash").distinct(), "hash", "left_semi")
 
 
+#: Rounds of discovery that a batch can have: their logs are numbered between its own and the next one's.
+ROUNDS = 1 << 16
+
+
+def discover_whole(tables: Tables, issuances: DataFrame, history: DataFrame, links: DataFrame, batch_id: int) -> int:
+    """Stores the landed history of the members that a batch discovered, that of the members whom this brings up, and so on
+    until nobody is new; returns how many rounds that took. links: hash, address of the landed history.
+
+    Each round is a batch of its own in the logs (numbered after the batch that began it), so the whole can run again after a
+    crash, from any point, and changes nothing. Only the newest members are looked up in the history."""
+    ids, rounds = batch_id, 0
+    while True:
+        found = tables.log("account_issuance", SCHEMAS["account_issuance"]).filter(F.col("batch") == ids)
+        if found.isEmpty():
+            return rounds
+        rounds += 1
+        fresh = new_member_history(tables, history, links, ids)
+        ids = -(batch_id * ROUNDS + rounds)
+        ingest_batch(tables, issuances, _as_events(fresh), ids, via="history")
+
+
 def open_rejects(tables: Tables) -> DataFrame:
     """The rejects of all batches that no other batch could read: what answers are to be held against."""
     return rejects.still_open(tables.log("rejects", SCHEMAS["rejects"]).drop("batch").distinct(), tables.log("mended", SCHEMAS["mended"]))
