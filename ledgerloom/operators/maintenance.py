@@ -15,6 +15,15 @@ def exclusive_accounts(membership: DataFrame, issuance: DataFrame) -> DataFrame:
     return mine.join(others, "address", "left_anti")
 
 
+def removed_accounts(issuances: DataFrame, membership: DataFrame, issuance_id: int) -> DataFrame:
+    """The accounts that go with an issuance: those that belong to it alone, and its issuer if no other issuance has that issuer."""
+    one = issuances.sparkSession.range(issuance_id, issuance_id + 1).withColumnRenamed("id", "issuance_id")
+    issuer = issuances.join(one, "issuance_id", "left_semi").select(F.col("issuer_account").alias("address"))
+    others = issuances.join(one, "issuance_id", "left_anti").select(F.col("issuer_account").alias("address"))
+    members_elsewhere = membership.join(one, "issuance_id", "left_anti").select("address")
+    return exclusive_accounts(membership, one).union(issuer.join(others, "address", "left_anti").join(members_elsewhere, "address", "left_anti")).distinct()
+
+
 def delete_issuance(tables: dict[str, DataFrame], issuance_id: int) -> tuple[dict[str, DataFrame], DataFrame]:
     """New versions of all tables without the issuance, and one row of counts.
 
@@ -24,10 +33,7 @@ def delete_issuance(tables: dict[str, DataFrame], issuance_id: int) -> tuple[dic
     spark = tables["issuances"].sparkSession
     one = spark.range(issuance_id, issuance_id + 1).withColumnRenamed("id", "issuance_id")
     issuances = tables["issuances"].join(one, "issuance_id", "left_anti")
-    issuer = tables["issuances"].join(one, "issuance_id", "left_semi").select(F.col("issuer_account").alias("address"))
-    unused = issuer.join(issuances.select(F.col("issuer_account").alias("address")), "address", "left_anti")
-    members_elsewhere = tables["account_issuance"].join(one, "issuance_id", "left_anti").select("address")
-    gone = exclusive_accounts(tables["account_issuance"], one).union(unused.join(members_elsewhere, "address", "left_anti")).distinct()
+    gone = removed_accounts(tables["issuances"], tables["account_issuance"], issuance_id)
 
     new = {"issuances": issuances}
     for name in ("account_issuance", "balance_deltas", "reconciliation_run"):

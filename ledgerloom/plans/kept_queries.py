@@ -16,7 +16,7 @@ from ledgerloom.plans.derivation_queries import _LAST, _exact
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.report_queries import _JOBS, _LINES, _balance_requests, _issuer_requests, _jobs, _mpt_holders, _runs
 from ledgerloom.sources.driver_tables import DriverTables, told, told_sql
-from ledgerloom.streaming import ingest, kept
+from ledgerloom.streaming import deletes, ingest, kept
 from ledgerloom.streaming.ingest import Tables
 
 
@@ -265,3 +265,40 @@ def flt6_types(t: DriverTables) -> DataFrame:
     )
     out = scope.validate(asked, {"account_tx": ("account",)}, {"account": "account", "ledger_index": "ledger", "forward": "boolean"})
     return out.select("event_id", "status", "error")
+
+
+@query("""WITH s AS (SELECT count(*) AS n FROM supplier WHERE s_nationkey = 4),
+d AS (SELECT issuance_id, count(*) AS n FROM a_balance_deltas GROUP BY 1)
+SELECT concat('deltas of ', i.issuance_id) AS what, CASE WHEN i.issuance_id = 4 THEN 0 WHEN i.issuance_id = 5 THEN coalesce(d.n, 0) + s.n ELSE coalesce(d.n, 0) END AS n FROM a_issuances i LEFT JOIN d USING (issuance_id), s
+UNION ALL SELECT 'links', count(*) FROM a_account_transactions UNION ALL SELECT 'deltas kept', n FROM s UNION ALL SELECT 'accounts removed', n FROM s
+UNION ALL SELECT 'transactions', count(*) + any_value(s.n) FROM a_transactions, s WHERE hash IN (SELECT hash FROM a_movements)""")
+def mnt1_applied(t: DriverTables) -> DataFrame:
+    """What an applied deletion leaves in the logs after a compaction and a replay: of the deleted issuance nothing, of the others
+    everything, also the deltas that its own accounts have there."""
+    tables = _tables(t, "deletes")
+    s = t.raw("supplier").filter("s_nationkey = 4").select(F.concat(F.lit("rS"), F.col("s_suppkey").cast("string")).alias("address"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("hash"))
+    long = lambda x: F.lit(x).cast("long")
+    one = lambda i: s.select("hash", long(100).alias("ledger_index"), "address", long(i).alias("issuance_id"), F.lit("5").alias("delta_text"), F.lit(5).cast("decimal(38,18)").alias("delta"))
+    deltas = t.balance_deltas().select("hash", "ledger_index", "address", "issuance_id", F.col("delta").cast("long").cast("string").alias("delta_text"), F.col("delta").cast("decimal(38,18)").alias("delta"))
+    members = t.account_issuance().select("address", "issuance_id", F.lit("sweep").alias("discovered_via"), "first_acquisition_ledger")
+    moved = t.movements().select("hash").distinct()
+    docs = t.transactions().join(moved, "hash").select("hash", "ledger_index", "tx_type", F.lit(None).cast("string").alias("meta_json"))
+    first = {
+        "balance_deltas": deltas.filter("ledger_index <= 1200").union(one(4)).union(one(5)),
+        "account_issuance": members.union(s.select("address", long(4), F.lit("sweep"), long(100))),
+        "account_transactions": t.account_transactions().union(s.select("hash", "address")),
+        "transactions": docs.union(s.select("hash", long(100), F.lit("Payment"), F.lit(None).cast("string"))),
+        "coverage": t.coverage().select("address", "from_ledger", F.col("to_ledger").cast("long").alias("to_ledger"), "reason"),
+    }
+    write = lambda: [tables.append(name, rows, 1) for name, rows in first.items()]
+    write()
+    tables.append("balance_deltas", deltas.filter("ledger_index > 1200"), 2)
+    counts = deletes.delete(tables, t.issuances(), 4, 2)
+    for name in ("balance_deltas", "account_transactions"):
+        deletes.compact(tables, name)
+    write()
+    left = deletes.view(tables, "balance_deltas").groupBy("issuance_id").agg(F.count("*").alias("n"))
+    out = t.issuances().select("issuance_id").join(left, "issuance_id", "left").select(F.concat(F.lit("deltas of "), "issuance_id").alias("what"), F.coalesce("n", F.lit(0)).alias("n"))
+    for name, what in (("account_transactions", "links"), ("transactions", "transactions")):
+        out = out.union(deletes.view(tables, name).agg(F.lit(what), F.count("*")))
+    return out.union(counts.select(F.lit("deltas kept"), "deltas_kept")).union(counts.select(F.lit("accounts removed"), "accounts_removed"))
