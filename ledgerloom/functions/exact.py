@@ -69,9 +69,20 @@ _LIMBS_OF = _let(
 )
 
 
+def _plain() -> str:
+    """The limbs of a text without exponent whose digits lie in the two limbs around the point."""
+    sign = "if(startswith(t, '-'), '-', '')"
+    own = {_UNITS: "substring_index(t, '.', 1)", _BEHIND: f"concat({sign}, rpad(if(instr(t, '.') > 0, substring_index(t, '.', -1), '0'), {DIGITS}, '0'))"}
+    return "struct(" + ", ".join(f"cast({own.get(k, 'null')} AS {_WIDE}) AS {f}" for k, f in enumerate(FIELDS)) + ")"
+
+
+#: Most texts are plain ones.
+_READ = f"if(t rlike r'^-?[0-9]{{1,{DIGITS}}}([.][0-9]{{1,{DIGITS}}})?$', {_plain()}, {_LIMBS_OF})"
+
+
 def number(text: Column | str) -> Column:
     """The limbs of a decimal text, spelt with an exponent or without."""
-    return _apply(F.col(text) if isinstance(text, str) else text, "t", _LIMBS_OF)
+    return _apply(F.col(text) if isinstance(text, str) else text, "t", _READ)
 
 
 _ZERO = f"cast(0 AS {_WIDE})"
