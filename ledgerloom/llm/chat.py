@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ESCAPE = "\\"
+#: Characters of a piece that a formatted text is cut into before spans are read from it.
+PIECE = 4096
 
 
 @dataclass(frozen=True)
@@ -102,23 +104,41 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
     """conv_id, formatted, loss_spans (array of begin and end, in characters of formatted), valid for each conversation."""
     template = template or Template()
     turns = segments(conversations, template).withColumn("whole", F.concat("opens", "body", "closes"))
-    turn = F.struct("n", "role", "whole", F.char_length("opens").alias("lead"), F.char_length("body").alias("size"), "loss", "allowed")
-    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    # Where each turn begins: running sums of the lengths of the turns before.
-    begins = F.expr(
-        "aggregate(turns, named_struct('at', 0L, 'spans', cast(array() as array<struct<begin:bigint,end:bigint>>)), "
-        "(s, t) -> named_struct('at', s.at + char_length(t.whole), 'spans', if(t.loss, "
-        "array_append(s.spans, named_struct('begin', s.at + t.lead, 'end', s.at + t.lead + t.size)), s.spans)))"
-    )
+    # Where each turn begins: the running sum of the lengths of the turns before, so the work grows with the turns.
+    before = Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum(F.char_length("whole")).over(before), F.lit(0)) + F.char_length("opens")
+    placed = turns.withColumn("begin", begin).withColumn("end", F.col("begin") + F.char_length("body"))
+    turn = F.struct("n", "role", "whole", "begin", "end", "loss", "allowed")
+    grouped = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    spans = F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: F.struct(t["begin"].alias("begin"), t["end"].alias("end")))
     last = F.element_at("turns", -1)["role"]
     return grouped.select(
         "conv_id",
         F.array_join(F.transform("turns", lambda t: t["whole"]), "").alias("formatted"),
-        begins["spans"].alias("loss_spans"),
+        spans.alias("loss_spans"),
         (F.forall("turns", lambda t: t["allowed"]) & F.coalesce(last, F.lit("\0")).isin(*template.ends)).alias("valid"),
     )
 
 
+def spans_of(text: str, spans: str) -> Column:
+    """The pieces of a text at spans (begin, end in characters), as an array. A text's characters can only be counted from its
+    start, so it is cut once into pieces of equal size and a span is read from those that it touches."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def read(cut: Column, s: Column) -> Column:
+        first, last = F.floor(s["begin"] / PIECE), F.floor((s["end"] - 1) / PIECE)
+
+        def part(i: Column) -> Column:
+            low = F.greatest(s["begin"] - i * PIECE, F.lit(0))
+            high = F.least(s["end"] - i * PIECE, F.lit(PIECE))
+            return F.substring(F.get(cut, i.cast("int")), (low + 1).cast("int"), (high - low).cast("int"))
+
+        return F.when(s["end"] > s["begin"], F.array_join(F.transform(F.sequence(first, F.greatest(first, last)), part), "")).otherwise("")
+
+    # A transform over the pieces as one value computes them once for all spans.
+    return F.flatten(F.transform(F.array(pieces), lambda cut: F.transform(spans, lambda s: read(cut, s))))
+
+
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
     """formatted with turns (array of role, text), found by the control strings of the formatted text alone."""
     template = template or Template()
@@ -149,10 +169,7 @@ def digests(formatted: DataFrame, template: Template | None = None) -> DataFrame
     template = template or Template()
     back = read_back(formatted, template)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    spans = F.transform(
-        "loss_spans",
-        lambda s: unescape(F.substring(F.col("formatted"), (s["begin"] + 1).cast("int"), (s["end"] - s["begin"]).cast("int")), template),
-    )
+    spans = F.transform(spans_of("formatted", "loss_spans"), lambda x: unescape(x, template))
     return (
         back.withColumn("loss", F.array_join(spans, ""))
         .select(

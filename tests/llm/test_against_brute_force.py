@@ -213,7 +213,7 @@ def test_decontamination(spark, docs):
 @pytest.mark.parametrize("part_words", [None, 400])
 def test_decontamination_of_dense_edits(spark, docs, monkeypatch, part_words):
     if part_words:
-        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", part_words)
+        monkeypatch.setattr(decontaminate, "HELD_WORDS", part_words)
     items = {r.item_id: split(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     rng = np.random.default_rng(5)
     texts = {i: split(docs[i])[:150] for i in sorted(docs)[:20]}
