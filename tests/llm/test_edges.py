@@ -1,5 +1,10 @@
 """Every operator and stage on odd rows: nulls, empty and long texts, repeated rows, empty tables, clashing extra columns."""
 
+import hashlib
+import random
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +124,43 @@ def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
             if name != "packing":
                 assert now.columns == docs.columns
         assert (now.count() > 0) == (at == "odd")
+
+
+def test_long_conversations(spark):
+    """Spans across the pieces that a long text is read in, with characters outside the first plane, empty texts and many turns."""
+    rng = random.Random(4)
+    said = ["", "a", "\U0001f600 [x] \\ <s>", "word " * 700, "é\U0001f600" * 2500, "\n\n", "</s>\n[INST] " * 40]
+    rows = [(1, i, ("user", "assistant")[i % 2], rng.choice(said)) for i in range(400)] + [(2, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(20_000)]
+    formatted = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for r in formatted.collect():
+        held = [r.formatted[s.begin : s.end] for s in r.loss_spans]
+        want = [x[3] for x in rows if x[0] == r.conv_id and x[2] == "assistant"]
+        assert [re.sub(r"([\[\]<\\])\\", r"\1", x) for x in held] == want
+    got = {r.conv_id: r for r in chat.digests(formatted).collect()}
+    for c in (1, 2):
+        mine = [x for x in rows if x[0] == c]
+        loss = "".join(x[3] for x in mine if x[2] == "assistant")
+        assert got[c].n_turns == len(mine) and got[c].loss_chars == len(loss)
+        assert got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in mine).encode()).hexdigest()
+
+
+def test_frequent_pairs_are_no_seeds(spark):
+    """An item's pairs that stand in all documents are left out as far as the bound allows; what leaks is found all the same."""
+    common = "it is one of the most of the and in the to the of a that it was on the".split()
+    rare = [f"rare{i}" for i in range(len(common))]
+    items = spark.createDataFrame([(1, " ".join(common + rare)), (2, " ".join(common)), (3, "two words"), (4, None)], "item_id long, text string")
+    texts = [(i, " ".join(common[i % 7 :] + [f"own{i}"])) for i in range(60)] + [(100, " ".join(rare)), (101, "so two words"), (102, " ".join(common[-4:] + rare[2:]))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    base = docs.selectExpr("doc_id as key", "text", "doc_id")
+    rows = decontaminate._items(items)
+    chosen = decontaminate._rare(base, decontaminate._seeds(rows, 0.5), True)
+    by_id = {r.item: r.item_id for r in rows.collect()}
+    places = {i: [r.place for r in chosen.collect() if by_id[r.item] == i] for i in (1, 2)}
+    assert sum(p >= len(common) for p in places[1]) > sum(p < len(common) - 1 for p in places[1]) and places[2]
+    number = {}
+    coded = lambda t: np.array([number.setdefault(w, len(number)) for w in t.split()], np.int64)
+    share = lambda t, q: decontaminate.align(coded(q), coded(t))[0] / (2 * len(q.split()))
+    want = {(d, r.item_id): share(t, r.text) for d, t in texts for r in items.collect() if r.text and share(t, r.text) >= 0.5}
+    assert {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(docs, items).collect()} == want
+    assert {(100, 1), (101, 3), (102, 1), (0, 2)} <= set(want)
