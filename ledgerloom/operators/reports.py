@@ -246,10 +246,15 @@ def account_history(requests: DataFrame, links: DataFrame, transactions: DataFra
 
     With coverage the range is the request's within the covered one; negative bounds mean none; a marker that can't be read
     starts from the beginning. Answers: request_id, status, out_of_range, then hash, ledger_index, tx_type, rank, marker."""
+    return history_pages(history_requests(requests, coverage, accounts), links, transactions)
+
+
+def history_requests(requests: DataFrame, coverage: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Requests for history with their status, the range to answer for (_low, _high), _limit and the marker (_at, _after)."""
     own = scope.envelope(coverage).select("address", F.col("from_ledger").alias("_from"), F.col("to_ledger").alias("_to"))
     asked = scope.flag(requests, accounts, ["address"], "_known").join(own, "address", "left")
     bound = lambda c: F.when(F.col(c) >= 0, F.col(c))
-    asked = asked.withColumns(
+    return asked.withColumns(
         {
             "_low": F.greatest(bound("low"), F.col("_from")),
             "_high": F.least(bound("high"), F.col("_to")),
@@ -260,12 +265,14 @@ def account_history(requests: DataFrame, links: DataFrame, transactions: DataFra
             "status": status((~F.col("_known"), NOT_IN_ARCHIVE)),
         }
     )
-    rows = (
-        asked.filter(F.col("status") == scope.OK)
-        .join(links, "address")
-        .join(transactions.select("hash", "ledger_index", "tx_type"), "hash")
-        .filter("(_low is null or ledger_index >= _low) and (_high is null or ledger_index <= _high)")
-    )
+
+
+def history_pages(asked: DataFrame, links: DataFrame, transactions: DataFrame | None = None) -> DataFrame:
+    """The pages of history_requests, from links and transactions, or from links with (ledger_index, tx_type)."""
+    rows = asked.filter(F.col("status") == scope.OK).join(links, "address")
+    if transactions is not None:
+        rows = rows.join(transactions.select("hash", "ledger_index", "tx_type"), "hash")
+    rows = rows.filter("(_low is null or ledger_index >= _low) and (_high is null or ledger_index <= _high)")
     position, marker = F.struct("ledger_index", "hash"), F.struct(F.col("_at").alias("ledger_index"), F.col("_after").alias("hash"))
     rows = rows.filter(F.col("_at").isNull() | F.when(F.col("forward"), position > marker).otherwise(position < marker))
     # The greatest page bounds every ranking, so a task ranks no more of a busy account's rows than that.
@@ -286,9 +293,14 @@ def transactions_by_hash(requests: DataFrame, transactions: DataFrame) -> DataFr
     return found.withColumn("status", status((F.col("hash").isNull(), INVALID), (F.col("ledger_index").isNull(), NOT_IN_ARCHIVE)))
 
 
+def holder_limit() -> Column:
+    """Rows of a page of holders."""
+    return X.page_limit("limit", 50, MOST_ROWS)
+
+
 def holder_pages(requests: DataFrame, holders: DataFrame) -> DataFrame:
     """Pages of holders by object id for (request_id, issuance_id, as_of_ledger, limit, marker)."""
-    asked = requests.withColumn("_limit", X.page_limit("limit", 50, MOST_ROWS))
+    asked = requests.withColumn("_limit", holder_limit())
     rows = asked.join(holders, ["issuance_id", "as_of_ledger"]).filter(F.col("marker").isNull() | (F.col("object_id") > F.col("marker")))
     order = Window.partitionBy("request_id").orderBy("object_id")
     ranked = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= MOST_ROWS + 1)
