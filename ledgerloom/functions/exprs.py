@@ -33,7 +33,9 @@ def to_hex(data: Column | str) -> Column:
 
 
 def from_hex(text: Column | str) -> Column:
-    return F.unhex(_c(text))
+    """The bytes; null where the text isn't pairs of hexadecimal digits."""
+    c = _c(text)
+    return F.unhex(F.when(c.rlike("^([0-9A-Fa-f]{2})*$"), c))
 
 
 def currency_readable(code: Column | str) -> Column:

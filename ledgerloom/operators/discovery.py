@@ -89,6 +89,38 @@ def discover(authorized: DataFrame, trusted: DataFrame, traversed: DataFrame, is
     return found
 
 
+def discover_checked(
+    authorized: DataFrame, trusted: DataFrame, traversed: DataFrame, current: DataFrame, issuances: DataFrame, override: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """discover() with trust lines completed by current holders (issuance_id, address), and its statistics."""
+    found = discover(authorized, completed(trusted, current), traversed, issuances, override)
+    return found, statistics(found, issuances, trusted, current, override)
+
+
+def statistics(found: DataFrame, issuances: DataFrame, trusted: DataFrame | None = None, current: DataFrame | None = None, override: Column | None = None) -> DataFrame:
+    """One row for each issuance, those that nobody holds too: issuance_id, kind, target (how it is named), strategy, accounts,
+    dated (of these, with a ledger of acquisition), first and last of these ledgers; and where trust lines were held against
+    current holders current_accounts and missing_accounts (those that history lacks: missing_from tells who), else null."""
+    target = F.when(F.col("kind") == "iou", F.concat_ws("/", "currency", "issuer_account")).otherwise(F.col("mpt_issuance_id"))
+    all_ = issuances.select("issuance_id", "kind", target.alias("target"), X.discovery_strategy(F.col("kind"), F.col("flags"), override).alias("strategy"))
+    ledger = "first_acquisition_ledger"
+    told = found.groupBy("issuance_id").agg(
+        F.count("*").alias("accounts"), F.count(ledger).alias("dated"), F.min(ledger).alias("first_ledger"), F.max(ledger).alias("last_ledger")
+    )
+    out = all_.join(told, "issuance_id", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("accounts", "dated")})
+    if current is None or trusted is None:
+        return out.withColumns({"current_accounts": F.lit(None).cast("long"), "missing_accounts": F.lit(None).cast("long")})
+    # A current holder counts as missing where history has no row of the pair.
+    known = trusted.select("issuance_id", "address").distinct().withColumn("_known", F.lit(True))
+    checked = (
+        current.select("issuance_id", "address").distinct().join(known, ["issuance_id", "address"], "left")
+        .groupBy("issuance_id").agg(F.count("*").alias("_current"), F.count_if(F.col("_known").isNull()).alias("_missing"))
+    )
+    by_lines = F.col("strategy") == "trustline"
+    counts = {name: F.when(by_lines, F.coalesce(c, F.lit(0).cast("long"))) for name, c in (("current_accounts", F.col("_current")), ("missing_accounts", F.col("_missing")))}
+    return out.join(checked, "issuance_id", "left").withColumns(counts).drop("_current", "_missing")
+
+
 def disagreements(left: DataFrame, right: DataFrame) -> DataFrame:
     """issuance_id, address, side: members that only one of two strategies finds."""
     a = left.select("issuance_id", "address").distinct().withColumn("_a", F.lit(True))

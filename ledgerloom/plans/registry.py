@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from ledgerloom.plans import answer_queries, archive_queries, derivation_queries, kept_queries, page_queries, report_queries, upkeep_queries  # noqa: F401  (they register themselves)
+    from ledgerloom.plans import answer_queries, archive_queries, derivation_queries, entry_queries, kept_queries, page_queries, report_queries, upkeep_queries  # noqa: F401  (they register themselves)
 
     return dict(_QUERIES)
 
