@@ -180,8 +180,8 @@ class Money:
     @property
     def told_text(self) -> Column:
         """A row's amount as canonical text; null if it isn't known."""
-        if self.told:
-            return F.col(self.told)
+        if self.told:  # as value: a known amount counts where its text isn't there
+            return F.coalesce(F.col(self.told), canonical(F.col(self.amount).cast("string")))
         return F.when(F.col(self.amount).isNotNull(), self.text(F.col(self.amount))) if self.plain else canonical(F.col(self.amount).cast("string"))
 
     def sum(self, value: str) -> Column:
