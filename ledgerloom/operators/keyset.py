@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ledgerloom.functions.session import shared_folder
 from ledgerloom.operators import reports
 
 HISTORY = "address string, ledger_index long, hash string, tx_type string"
@@ -71,11 +72,14 @@ class Clustered:
 
     def seek(self, chosen: DataFrame) -> DataFrame:
         """The rows of the chosen parts that belong to the chosen keys; other parts aren't read."""
+        shared_folder(self.spark)
+        # Worked out once: the parts are asked for here, and joined with the rows below.
+        chosen = chosen.select(*self.key, "run", "part").distinct().checkpoint()
         files = sorted((r["run"], r["part"]) for r in chosen.select("run", "part").distinct().collect())  # at most one a part
         if not files:
             return self.spark.createDataFrame([], self.schema)
         rows = self._rows([f"{self.path}/rows/run={run}/part={part}" for run, part in files])
-        return rows.join(chosen.select(*self.key, "run", "part").distinct(), [*self.key, "run", "part"], "left_semi").drop("run", "part").distinct()
+        return rows.join(chosen, [*self.key, "run", "part"], "left_semi").drop("run", "part").distinct()
 
 
 def history(spark: SparkSession, path: str) -> Clustered:

@@ -36,7 +36,8 @@ def srt1_keyset_pages(t: DriverTables) -> DataFrame:
         "address", F.lit(None).cast("long").alias("low"), F.lit(2200).cast("long").alias("high"), F.lit(4).alias("limit"), F.explode(F.array(F.lit(True), F.lit(False))).alias("forward"), F.lit(None).cast("string").alias("marker")
     ).withColumn("request_id", F.concat(F.when(F.col("forward"), "up ").otherwise("down "), "address"))
     page = lambda asked: keyset.account_pages(asked, table, t.coverage(), t.accounts())
-    markers = page(asked).filter("next_marker is not null").select("request_id", "next_marker")
+    shared_folder(t.spark)
+    markers = page(asked).filter("next_marker is not null").select("request_id", "next_marker").checkpoint()
     second = page(asked.drop("marker").join(markers, "request_id").withColumnRenamed("next_marker", "marker"))
     return second.filter("hash is not null").select("request_id", "hash", "ledger_index", "tx_type", F.col("rank").cast("long").alias("rank"), "next_marker")
 
@@ -53,6 +54,6 @@ def srt2_keyset_holders(t: DriverTables) -> DataFrame:
     asked = t.issuances().filter("kind = 'mpt'").select(
         F.col("issuance_id").alias("request_id"), "issuance_id", F.lit(1500).cast("long").alias("as_of_ledger"), F.lit(6).alias("limit"), F.lit(None).cast("string").alias("marker")
     )
-    markers = keyset.holder_pages(asked, table).filter("next_marker is not null").select("request_id", "next_marker")
+    markers = keyset.holder_pages(asked, table).filter("next_marker is not null").select("request_id", "next_marker").checkpoint()
     second = keyset.holder_pages(asked.drop("marker").join(markers, "request_id").withColumnRenamed("next_marker", "marker"), table)
     return second.select("issuance_id", "object_id", "address", F.col("amount").cast("double").alias("amount"), F.col("rank").cast("long").alias("rank"), "next_marker")
