@@ -236,7 +236,7 @@ def dsc8_stream_discovery(t: DriverTables) -> DataFrame:
     """Members that a stream finds in two batches; those of the first aren't found again by the second."""
     tables, base = _tables(t, "discovery"), f"{shared_folder(t.spark)}/landing-{uuid.uuid4().hex}"
     for half in ("ledger_index <= 1200", "ledger_index > 1200"):
-        _events(t).filter(half).write.mode("append").json(f"{base}/in")
+        _events(t).filter(half).write.mode("append").option("compression", "gzip").json(f"{base}/in")
         ingest.ingest(ingest.tail(t.spark, f"{base}/in"), tables, t.issuances(), f"{base}/state").awaitTermination()
     return tables.log("account_issuance", ingest.SCHEMAS["account_issuance"]).drop("batch")
 
