@@ -155,9 +155,19 @@ def text(x: Column) -> Column:
     return _apply(x, "x", _TEXT)
 
 
+#: Texts that lack of their canonical form only that zeros end them; a name's are trimmed without the higher-order function.
+_TRIMMED = r"^-?(0|[1-9][0-9]{0,27})([.][0-9]{1,28})?$"
+_TRIM = "if(instr(t, '.') > 0, rtrim('.', rtrim('0', t)), t)"
+_CANONICAL = f"if(t rlike r'{_TRIMMED}', if({_TRIM} = '-0', '0', {_TRIM}), {_let('x', _READ, _TEXT)})"
+
+
 def canonical(told: Column | str) -> Column:
     """A decimal text in canonical form; null for what is no number or out of range."""
-    return text(number(told))
+    if not isinstance(told, str):
+        return _apply(told, "t", _CANONICAL)
+    t = F.col(told)
+    plain = F.when(t.contains("."), F.rtrim(F.rtrim(t, F.lit("0")), F.lit("."))).otherwise(t)
+    return F.when(t.rlike(_TRIMMED), F.when(plain == "-0", "0").otherwise(plain)).otherwise(text(number(t)))
 
 
 #: Texts that a cast reads exactly; a name is looked at without the higher-order function.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,13 +14,21 @@ def compare(left: DataFrame, right: DataFrame, scope: DataFrame | None = None) -
     decimals (null where these can't hold them); who isn't there has 0. A balance that is there but unknown differs from
     everything."""
     keys = ["issuance_id", "address"]
-    a = left.select(*keys, exact.Money(left, "balance").told_text.alias("left_text"))
-    b = right.select(*keys, exact.Money(right, "balance").told_text.alias("right_text"))
     if scope is not None:
-        a, b = (x.join(scope.select(*keys).distinct(), keys, "left_semi") for x in (a, b))
+        left, right = (x.join(scope.select(*keys).distinct(), keys, "left_semi") for x in (left, right))
+    return _compare(_told(left), _told(right))
+
+
+def _told(balances: DataFrame) -> DataFrame:
+    """issuance_id, address and the balance as canonical text, null if it is unknown."""
+    return balances.select("issuance_id", "address", exact.Money(balances, "balance").told_text.alias("told"))
+
+
+def _compare(left: DataFrame, right: DataFrame) -> DataFrame:
+    a, b = left.withColumnRenamed("told", "left_text"), right.withColumnRenamed("told", "right_text")
     a, b = a.withColumn("_l", F.lit(True)), b.withColumn("_r", F.lit(True))
     told = lambda c, there: F.when(F.col(there).isNull(), "0").otherwise(F.col(c))
-    both = a.join(b, keys, "full_outer").withColumns({"left_text": told("left_text", "_l"), "right_text": told("right_text", "_r")})
+    both = a.join(b, ["issuance_id", "address"], "full_outer").withColumns({"left_text": told("left_text", "_l"), "right_text": told("right_text", "_r")})
     differ = both.drop("_l", "_r").filter("coalesce(left_text <> right_text, true)")
     return differ.withColumns({"left_balance": exact.decimal("left_text"), "right_balance": exact.decimal("right_text")})
 
@@ -27,7 +36,11 @@ def compare(left: DataFrame, right: DataFrame, scope: DataFrame | None = None) -
 def digests(balances: DataFrame, ranges: int) -> DataFrame:
     """issuance_id, part, n, and two sums of hashes over the accounts of each of so many hash ranges: sides with equal digests
     hold equal balances. Aggregates before the shuffle: a range of an issuance is one row a task."""
-    told = balances.select("issuance_id", "address", exact.Money(balances, "balance").told_text.alias("_t")).filter("_t is null or _t <> '0'")
+    return _digests(_told(balances), ranges)
+
+
+def _digests(told: DataFrame, ranges: int) -> DataFrame:
+    told = told.withColumnRenamed("told", "_t").filter("_t is null or _t <> '0'")
     h = F.xxhash64("issuance_id", "address", F.coalesce("_t", F.lit("?")))
     hashed = told.select("issuance_id", _part(ranges).alias("part"), h.alias("_h"), F.xxhash64(h, F.lit("again")).cast("decimal(20,0)").alias("_g"))
     return hashed.groupBy("issuance_id", "part").agg(F.count("*").alias("n"), F.bit_xor("_h").alias("one"), F.sum("_g").alias("two"))
@@ -39,7 +52,11 @@ def _part(ranges: int):
 
 def suspects(left: DataFrame, right: DataFrame, ranges: int = 1024) -> DataFrame:
     """issuance_id, part of the hash ranges in which two balance tables differ."""
-    a, b = digests(left, ranges), digests(right, ranges)
+    return _suspects(_told(left), _told(right), ranges)
+
+
+def _suspects(left: DataFrame, right: DataFrame, ranges: int) -> DataFrame:
+    a, b = _digests(left, ranges), _digests(right, ranges)
     state = lambda d, name: d.select("issuance_id", "part", F.struct("n", "one", "two").alias(name))
     both = state(a, "_a").join(state(b, "_b"), ["issuance_id", "part"], "full_outer")
     return both.filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("issuance_id", "part")
@@ -48,9 +65,11 @@ def suspects(left: DataFrame, right: DataFrame, ranges: int = 1024) -> DataFrame
 def compare_suspects(left: DataFrame, right: DataFrame, ranges: int = 1024) -> DataFrame:
     """compare, over the hash ranges whose digests differ only: what is joined grows with the differences and not with the
     tables. A balance that is unknown on both sides counts as equal here."""
-    where = suspects(left, right, ranges)
+    # Each side is read for its digests and once more for its rows in these ranges, so it is worked out once and kept.
+    left, right = (_told(side).persist(StorageLevel.MEMORY_AND_DISK) for side in (left, right))
+    where = _suspects(left, right, ranges)
     inside = lambda rows: rows.withColumn("part", _part(ranges)).join(where, ["issuance_id", "part"], "left_semi").drop("part")
-    return compare(inside(left), inside(right))
+    return _compare(inside(left), inside(right))
 
 
 def changed_since(delta_log: DataFrame, batch: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -225,7 +226,9 @@ UNION ALL SELECT issuance_id, address, '0', '1e-30' FROM a_account_issuance WHER
 def rec5_by_digests(t: DriverTables) -> DataFrame:
     """Balances that one side lacks, found through digests of hash ranges."""
     sums = t.balance_deltas().groupBy("issuance_id", "address").agg(F.sum("delta").alias("units"))
-    ours = sums.select("issuance_id", "address", exact.canonical(told(F.col("units"), F.col("issuance_id") % 2 == 0)).alias("balance"))
+    spelt = sums.select("issuance_id", "address", told(F.col("units"), F.col("issuance_id") % 2 == 0).alias("told"))
+    # Both sides are made of it, one of them three times.
+    ours = spelt.select("issuance_id", "address", exact.canonical("told").alias("balance")).persist(StorageLevel.MEMORY_AND_DISK)
     every = t.account_issuance().filter("address like '%18'").select("issuance_id", "address").join(ours.filter("balance <> '0'"), ["issuance_id", "address"], "left_anti")
     more = every.withColumn("balance", F.lit("1e-30"))
     theirs = ours.filter("address not like '%17'").join(every, ["issuance_id", "address"], "left_anti").unionByName(more)
