@@ -108,7 +108,7 @@ def exp17_entries(t: DriverTables) -> DataFrame:
        "SELECT CAST(6 AS BIGINT), CASE WHEN count(*) > 0 THEN 'incomplete' ELSE 'success' END, count(*) FROM a_balance_deltas WHERE issuance_id = 6 AND ledger_index % 2 = 0")
 def str9_rescan(t: DriverTables) -> DataFrame:
     stored = t.balance_deltas().filter("issuance_id <> 6 or ledger_index % 2 = 1")
-    stored = stored.withColumn("delta_text", exact.canonical(told(F.col("delta"), F.col("issuance_id") % 2 == 0)))
+    stored = stored.withColumn("told", told(F.col("delta"), F.col("issuance_id") % 2 == 0)).withColumn("delta_text", exact.canonical("told"))
     return nodes.rescan(t.documents_of_metadata(), t.issuances(), stored).drop("failed", "first_failure")
 
 
