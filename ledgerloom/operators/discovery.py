@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,23 +32,30 @@ def _earliest(found: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, seeds: DataFrame, checkpoint_every: int = 4, most_rounds: int = 10_000) -> DataFrame:
     """group, address, ledger of everyone reached from seeds (group, address) over edges (account, party, ledger_index).
 
-    Breadth first: each round joins the frontier with the edges and drops who was visited. An address gets the earliest
-    ledger of the edges that lead to it from visited accounts; seeds start without one. Rounds are cut by checkpoints, the
-    driver only learns whether a frontier is empty."""
-    visited = seeds.select("group", "address", F.lit(None).cast("long").alias("ledger")).distinct()
-    frontier = visited.select("group", "address")
-    for round_ in range(most_rounds):
-        reached = (
-            frontier.join(edges.withColumnRenamed("account", "address"), "address")
-            .groupBy("group", F.col("party").alias("address"))
-            .agg(F.min("ledger_index").alias("ledger"))
-        )
-        fresh = reached.join(visited, ["group", "address"], "left_anti")
-        merged = visited.unionByName(reached).groupBy("group", "address").agg(F.min("ledger").alias("ledger"))
-        visited = merged.checkpoint() if round_ % checkpoint_every == checkpoint_every - 1 else merged.persist()
-        frontier = fresh.select("group", "address").checkpoint()
-        if frontier.isEmpty():
-            return visited
+    Breadth first: each round joins the frontier with the edges, and one aggregation puts who is reached beside who was visited.
+    An address gets the earliest ledger of the edges that lead to it from visited accounts; seeds start without one. The edges
+    are worked out once and kept, a round's result is kept until the next one is there. Rounds are cut by checkpoints, the
+    driver only learns whether anyone is new."""
+    ways = edges.select(F.col("account").alias("address"), "party", "ledger_index").persist(StorageLevel.MEMORY_AND_DISK)
+    visited = seeds.select("group", "address", F.lit(None).cast("long").alias("ledger"), F.lit(True).alias("_new")).distinct()
+    kept = None
+    try:
+        for round_ in range(most_rounds):
+            reached = visited.filter("_new").select("group", "address").join(ways, "address").select("group", F.col("party").alias("address"), F.col("ledger_index").alias("ledger"), F.lit(True).alias("_new"))
+            # Who was visited before isn't new, whatever leads there.
+            both = visited.withColumn("_new", F.lit(False)).unionByName(reached)
+            merged = both.groupBy("group", "address").agg(F.min("ledger").alias("ledger"), F.min("_new").alias("_new")).persist(StorageLevel.MEMORY_AND_DISK)
+            some = merged.agg(F.max("_new")).first()[0]
+            if kept is not None:
+                kept.unpersist()
+            visited = kept = merged
+            if not some:
+                return visited.drop("_new")
+            if round_ % checkpoint_every == checkpoint_every - 1:
+                visited, kept = merged.checkpoint(), None
+                merged.unpersist()
+    finally:
+        ways.unpersist()
     raise RuntimeError(f"no closure within {most_rounds} rounds")
 
 
