@@ -153,9 +153,10 @@ def holders(object_versions: DataFrame) -> DataFrame:
 
 def owners(nodes: DataFrame) -> DataFrame:
     """hash and owner accounts of all token and line nodes, of any issuance."""
-    token = nodes.filter("entry_type in ('MPToken', 'AccountRoot')").select("hash", "ledger_index", F.col("fields.Account").alias("address"))
-    lines = nodes.filter("entry_type = 'RippleState'").select("hash", "ledger_index", F.explode(F.array("fields.LowLimit.issuer", "fields.HighLimit.issuer")).alias("address"))
-    return token.union(lines).filter("address is not null")
+    token = F.col("entry_type").isin("MPToken", "AccountRoot")
+    # One pass over the nodes: two filters of them would read every document twice.
+    who = F.when(token, F.array("fields.Account")).when(F.col("entry_type") == "RippleState", F.array("fields.LowLimit.issuer", "fields.HighLimit.issuer"))
+    return nodes.select("hash", "ledger_index", F.explode_outer(who).alias("address")).filter("address is not null")
 
 
 def parties(transactions: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -65,7 +65,8 @@ def nod12_scoped_transactions(t: DriverTables) -> DataFrame:
 
 
 def _parties_input(t: DriverTables) -> tuple[DataFrame, DataFrame]:
-    first = t.movements().groupBy("hash").agg(F.min("address").alias("account"))
+    # A number is aggregated in place, a text by sorting.
+    first = t.movements().groupBy("hash").agg(F.min("custkey").alias("custkey")).select("hash", t._address().alias("account"))
     tx = t.transactions().join(first, "hash").select("hash", "ledger_index", "account", F.lit(None).cast("string").alias("destination"), F.lit(None).cast("string").alias("holder"))
     return tx, nodes.flatten(t.documents_of_metadata())
 
