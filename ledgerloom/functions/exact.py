@@ -119,7 +119,7 @@ def _full() -> str:
     carry = _let(
         "v", f"cast(l + acc.carry AS {_WIDE})",
         _let(
-            "d", f"struct(if(v < 0, '-', '') AS sign, lpad(cast(abs(v) AS string), {DIGITS + 10}, '0') AS s)",
+            "d", f"struct(if(v < 0, '-', '') AS sign, lpad(ltrim('-', cast(v AS string)), {DIGITS + 10}, '0') AS s)",
             f"named_struct('carry', cast(concat(d.sign, left(d.s, 10)) AS {_WIDE}), 'out', array_append(acc.out, cast(concat(d.sign, right(d.s, {DIGITS})) AS {_WIDE})))",
         ),
     )
@@ -142,7 +142,7 @@ def _quick() -> tuple[str, str]:
     units, behind = f"coalesce(x.{FIELDS[_UNITS]}, {_ZERO})", f"coalesce(x.{FIELDS[_BEHIND]}, {_ZERO})"
     short = f"coalesce({others}) is null and abs({units}) < 1000000000 and abs({behind}) < cast('1{'0' * DIGITS}' AS {_WIDE})"
     one = f"cast(cast(concat(cast({units} AS string), '{'0' * DIGITS}') AS {_WIDE}) + {behind} AS {_WIDE})"
-    told = _let("s", f"lpad(cast(abs(v) AS string), {DIGITS + 10}, '0')", _spelt("v < 0", "left(s, 10)", f"right(s, {DIGITS})"))
+    told = _let("s", f"lpad(ltrim('-', cast(v AS string)), {DIGITS + 10}, '0')", _spelt("v < 0", "left(s, 10)", f"right(s, {DIGITS})"))
     return short, _let("v", one, told)
 
 
@@ -257,12 +257,78 @@ class Money:
         return F.when(F.abs(c) < F.lit("1" + "0" * 19).cast("decimal(20,0)"), c).try_cast(AMOUNT)
 
 
+def _apart(c: Column) -> Column:
+    """c, in a way that keeps its step out of the method that the steps around it are fused to: over 8000 bytes the JVM doesn't
+    compile it."""
+    return F.transform(F.array(c), lambda x: x)[0]
+
+
+def parsed(rows: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    """rows with <name>_d, <name>_e, <name>_s of each text: its value is s d * 10 ** e (s: '-' or nothing; d has no zeros at either
+    end, '' is zero; all null for what is no number or out of range, and for null).
+
+    As number() reads it, but in plain steps that are compiled, since functions of arrays aren't: a step names what the last one
+    worked out."""
+    x = lambda told: {f"{n}{to}": F.expr(sql.replace("#", n)) for n in texts for to, sql in told.items()}
+    rows = rows.withColumns({f"{n}_t": _apart(F.lower(F.trim(t))) for n, t in texts.items()})
+    rows = rows.withColumns(x({"_b": f"nullif(regexp_extract(#_t, r'{_NUMBER}', 2), '')", "_x": "if(instr(#_t, 'e') > 0, try_cast(substring_index(#_t, 'e', -1) AS int), 0)"}))
+    rows = rows.withColumns(x({"_w": "replace(#_b, '.', '')", "_f": "if(instr(#_b, '.') > 0, length(#_b) - instr(#_b, '.'), 0)"}))
+    rows = rows.withColumns(x({"_r": "rtrim('0', #_w)"}))
+    rows = rows.withColumns(x({"_d": "ltrim('0', #_r)", "_e": "if(#_r = '', 0, #_x - #_f + length(#_w) - length(#_r))", "_s": "if(startswith(#_t, '-'), '-', '')"}))
+    fits = f"#_d = '' or (#_e >= {LOWEST} and length(#_d) + #_e <= {LOWEST + DIGITS * LIMBS})"
+    rows = rows.withColumns(x({"_fit": fits}))
+    rows = rows.withColumns({n: _apart(c) if n.endswith("_s") else c for n, c in x({c: f"if(#_fit, #{c}, null)" for c in ("_d", "_e", "_s")}).items()})
+    return rows.drop(*(f"{n}{c}" for n in texts for c in ("_t", "_b", "_x", "_w", "_f", "_r", "_fit")))
+
+
+def short(name: str) -> Column:
+    """Whether a text that parsed() has read is quick()."""
+    return F.expr(f"coalesce({name}_d = '' or ({name}_e >= -18 and length({name}_d) + {name}_e <= 9), false)")
+
+
+def _told(rows: DataFrame, value: str, place: str, out: str) -> DataFrame:
+    """rows with the canonical text of value * 10 ** place (a whole decimal, an int), in compiled steps; null of null."""
+    # abs and the minus sign round a decimal to 34 digits.
+    rows = rows.withColumn("_n", F.expr(f"ltrim('-', cast({value} AS string))"))
+    rows = rows.withColumn("_n", F.expr(f"if({place} >= 0, concat(_n, repeat('0', {place})), lpad(_n, greatest(length(_n), 1 - {place}), '0'))"))
+    rows = rows.withColumns({"_f": F.expr(f"if({place} >= 0, '', rtrim('0', right(_n, -{place})))"), "_n": F.expr(f"if({place} >= 0, _n, left(_n, length(_n) + {place}))")})
+    sign = F.when(F.col(value) < 0, "-").otherwise("")
+    text = F.when(F.col(value) == 0, "0").otherwise(F.concat(sign, "_n", F.when(F.col("_f") == "", "").otherwise(F.concat(F.lit("."), "_f"))))
+    return rows.withColumn(out, text).drop("_n", "_f")
+
+
+def difference(rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """rows with the canonical text of a - b of parsed() amounts, where one decimal can hold what both digits span; else null."""
+    rows = rows.withColumn("_e", F.expr(f"if({a}_d = '', {b}_e, if({b}_d = '', {a}_e, least({a}_e, {b}_e)))"))
+    fits = " and ".join(f"({n}_d = '' or length({n}_d) + {n}_e - _e < {DIGITS + 9})" for n in (a, b))
+    rows = rows.withColumn("_fit", F.expr(fits))
+    one = lambda n: f"cast(if({n}_d = '', '0', concat({n}_s, {n}_d, repeat('0', {n}_e - _e))) AS {_WIDE})"
+    rows = rows.withColumn("_v", F.expr(f"if(_fit, cast({one(a)} - {one(b)} AS {_WIDE}), null)"))
+    return _told(rows, "_v", "_e", out).drop("_e", "_fit", "_v")
+
+
+def _limb_sums_told(sums: DataFrame, out: str) -> DataFrame:
+    """sums (FIELDS) with their canonical text; where they are in two neighbours that one decimal holds, which most are, in
+    compiled steps."""
+    found = " ".join(f"WHEN {f} is not null THEN {k}" for k, f in enumerate(FIELDS))
+    above = " ".join(f"WHEN {k} THEN {f}" for k, f in enumerate(FIELDS[1:]))
+    sums = sums.withColumns({"_k": F.expr(f"CASE {found} END"), "_lo": F.coalesce(*FIELDS), "_c": F.expr(" + ".join(f"if({f} is null, 0, 1)" for f in FIELDS))})
+    sums = sums.withColumn("_hi", F.expr(f"CASE _k {above} END")).withColumn("_p", F.expr(f"{LOWEST} + {DIGITS} * _k"))
+    fits = f"_c = if(_hi is null, 1, 2) and abs(coalesce(_hi, {_ZERO})) < 1000000000 and abs(_lo) < cast('1{'0' * (DIGITS + 8)}' AS {_WIDE})"
+    sums = sums.withColumn("_fit", F.expr(fits))
+    one = f"if(_hi is null, {_ZERO}, cast(concat(cast(_hi AS string), '{'0' * DIGITS}') AS {_WIDE}))"
+    sums = _told(sums.withColumn("_v", F.expr(f"if(_fit, cast({one} + _lo AS {_WIDE}), null)")), "_v", "_p", "_short")
+    every = F.struct(*FIELDS)
+    return sums.withColumn(out, F.when(F.col("_c") == 0, "0").when(F.col("_fit"), F.col("_short")).otherwise(text(every))).drop("_k", "_lo", "_c", "_hi", "_p", "_fit", "_v", "_short")
+
+
 def exact_sum(rows: DataFrame, keys: list[str], told: str, out: str = "total") -> DataFrame:
     """keys and the exact sum of the column told as canonical text; null if one of a key's texts is no number. Null texts don't
     count."""
-    split = rows.filter(F.col(told).isNotNull()).select(*keys, number(told).alias("_x"))
-    sums = F.struct(*(F.sum(f"_x.{f}").alias(f) for f in FIELDS))
-    return split.groupBy(*keys).agg(sums.alias("_sum"), F.count_if(F.col("_x").isNull()).alias("_bad")).select(*keys, F.when(F.col("_bad") == 0, text(F.col("_sum"))).alias(out))
+    split = parsed(rows.filter(F.col(told).isNotNull()).select(*keys, F.col(told).alias("_told")), {"_q": F.col("_told")}).drop("_told").withColumn("_q_n", F.length("_q_d"))
+    limbs = split.select(*keys, _apart(F.col("_q_d")).alias("_q_d"), *(F.expr(_limb(k).replace("q.", "_q_").replace("_q_digits", "_q_d").replace("_q_sign", "_q_s")) for k in range(LIMBS)))
+    sums = limbs.groupBy(*keys).agg(*(F.sum(f).cast(_WIDE).alias(f) for f in FIELDS), F.count_if(F.col("_q_d").isNull()).alias("_bad"))
+    return _limb_sums_told(sums, "_text").select(*keys, F.when(F.col("_bad") == 0, F.col("_text")).alias(out))
 
 
 def upto(*keys: str, order: str = "ledger_index", last: int = 0) -> WindowSpec:

@@ -97,32 +97,39 @@ def deltas(object_versions: DataFrame) -> DataFrame:
     after = F.when(kind != "DeletedNode", F.col("amount_text"))
     before = F.when(kind == "DeletedNode", F.col("amount_text")).when(kind == "ModifiedNode", F.col("before_text"))
     keys = ["hash", "ledger_index", "address", "issuance_id"]
-    decimals = {c: F.col(c) if c in object_versions.columns else exact.decimal(f"{c}_text") for c in ("amount", "before")}
-    less = F.when(kind == "DeletedNode", decimals["amount"]).when(kind == "ModifiedNode", decimals["before"])
-    told = counted.select(*keys, after.alias("_after"), before.alias("_before"), F.when(kind != "DeletedNode", decimals["amount"]).alias("_more"), less.alias("_less"))
-    # Short amounts are summed as decimals; limbs are for the others only.
+    known = "amount" in object_versions.columns and "before" in object_versions.columns
+    read = counted.select(*keys, after.alias("_after"), before.alias("_before"), *([
+        F.when(kind != "DeletedNode", F.col("amount")).alias("_more"), F.when(kind == "DeletedNode", F.col("amount")).when(kind == "ModifiedNode", F.col("before")).alias("_less"),
+    ] if known else []))
+    # Short amounts are summed as decimals; only the others are parsed.
     quick = (F.col("_after").isNull() | exact.quick("_more")) & (F.col("_before").isNull() | exact.quick("_less"))
+    read = read.withColumn("_quick", quick if known else F.lit(False))
+    read = exact.parsed(read, {x: F.when(~F.col("_quick"), F.coalesce(f"_{side}", F.lit("0"))) for x, side in (("_a", "after"), ("_b", "before"))})
+    if not known:
+        read = read.withColumn("_quick", exact.short("_a") & exact.short("_b")).withColumns({"_more": F.when(F.col("_quick"), F.col("_after").try_cast(AMOUNT)), "_less": F.when(F.col("_quick"), F.col("_before").try_cast(AMOUNT))})
+    # Most long ones are told at once, each row's by one decimal.
+    read = exact.difference(read, "_a", "_b", "_one")
     # Few amounts are long, so their texts are gathered: sums of all limbs in every row would be most of what is shuffled.
-    read = told.withColumn("_quick", quick).select(
-        *keys, F.when(F.col("_quick"), _short("_more") - _short("_less")).alias("_q"), F.when(~F.col("_quick"), F.struct("_after", "_before")).alias("_long")
-    )
+    left = F.struct("_one", *(F.when(F.col("_one").isNull(), F.col(c)).alias(c) for c in ("_after", "_before")))
+    read = read.select(*keys, F.when(F.col("_quick"), _short("_more") - _short("_less")).alias("_q"), F.when(~F.col("_quick"), left).alias("_long"))
     summed = read.groupBy(*keys).agg(F.sum("_q").alias("_q"), F.collect_list("_long").alias("_long"))
-    short = F.size("_long") == 0
+    summed = summed.withColumns({"_short": F.size("_long") == 0, "_one": F.when(F.col("_q").isNull() & (F.size("_long") == 1), F.col("_long")[0]["_one"])})
     long = F.transform("_long", _limbs)
     bad = lambda x: (x["after"] & x["a"].isNull()) | (x["before"] & x["b"].isNull())
     # Where a key has both kinds, the short sum goes to the limbs.
     total = lambda rows: F.aggregate(rows, exact.number(F.col("_q").cast("string")), lambda so_far, x: exact.minus(so_far, exact.minus(x["b"], x["a"])))
-    limbs = summed.select(*keys, "_q", short.alias("_short"), F.when(~short, long).alias("_x"))
+    limbs = summed.select(*keys, "_q", "_short", "_one", F.when(~F.col("_short") & F.col("_one").isNull(), long).alias("_x"))
     # Exploded, so that the condition below takes the text and doesn't work it out again.
-    text = F.when(F.col("_short"), exact.short_text(F.col("_q"))).when(~F.exists("_x", bad), exact.text(total("_x")))
+    text = F.when(F.col("_short"), exact.short_text(F.col("_q"))).when(F.col("_one").isNotNull(), F.col("_one")).when(~F.exists("_x", bad), exact.text(total("_x")))
     spelt = limbs.select(*keys, "_q", "_short", F.explode(F.array(text)).alias("delta_text")).filter("coalesce(delta_text <> '0', true)")
     spelt = spelt.select(*keys, "delta_text", F.when(F.col("_short"), F.col("_q").cast(AMOUNT)).alias("_q"))
     return spelt.select(*keys, "delta_text", F.coalesce("_q", exact.decimal("delta_text")).alias("delta"))
 
 
 def _limbs(x):
-    """Of a long amount's texts: whether they are there, and their limbs."""
-    return F.struct(x["_after"].isNotNull().alias("after"), x["_before"].isNotNull().alias("before"), exact.number(x["_after"]).alias("a"), exact.number(x["_before"]).alias("b"))
+    """Of a long amount's texts, or of their difference: whether they are there, and their limbs."""
+    after = F.coalesce(x["_one"], x["_after"])
+    return F.struct(after.isNotNull().alias("after"), x["_before"].isNotNull().alias("before"), exact.number(after).alias("a"), exact.number(x["_before"]).alias("b"))
 
 
 def _short(amount: str):
