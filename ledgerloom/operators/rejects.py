@@ -35,37 +35,39 @@ def still_open(rejects: DataFrame, mended: DataFrame) -> DataFrame:
     return rejects.join(mended.select("hash").distinct(), "hash", "left_anti")
 
 
+#: Where open ranges end: behind every reject.
+_END = (1 << 62) - 1
+
+
+def _last_rejects(ends: DataFrame, rejects: DataFrame) -> DataFrame:
+    """_high and _last, the last reject at or before it, of the distinct ends (_high) that have one.
+
+    Running maxima inside buckets of ledgers and one carried number a bucket: a bucket has a row for each of its ledgers at most."""
+    bucket = F.floor(F.col("_high") / LEDGERS).cast("long")
+    known = rejects.select(F.col("ledger_index").cast("long").alias("_high")).filter("_high is not null").distinct()
+    points = known.withColumn("_last", F.col("_high")).unionByName(ends.withColumn("_last", F.lit(None).cast("long")))
+    points = points.groupBy("_high").agg(F.max("_last").alias("_last"), (F.count("*") > F.count("_last")).alias("_asked")).withColumn("_bucket", bucket)
+    here = Window.partitionBy("_bucket").orderBy("_high").rowsBetween(Window.unboundedPreceding, 0)
+    # Ledgers are numbered without gaps, so there are few buckets: one row a bucket that has a reject or an asked end.
+    highest = points.groupBy("_bucket").agg(F.max("_last").alias("_last"))
+    carried = highest.select("_bucket", F.max("_last").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    found = points.select("_bucket", "_high", "_asked", F.max("_last").over(here).alias("_last")).filter("_asked").join(carried, "_bucket")
+    return found.select("_high", F.coalesce("_last", "_before").alias("_last")).filter("_last is not null")
+
+
 def touched(ranges: DataFrame, rejects: DataFrame) -> DataFrame:
-    """The request_ids of ranges (request_id, low, high; null: open) that hold the ledger of a reject.
-
-    A range holds one if more rejects lie up to its end than before its beginning. Both counts come from running counts inside
-    buckets of ledgers and one carried number a bucket, so a range costs two rows however long it is, and no range meets
-    single rejects."""
-    at = F.explode(F.array(F.struct((F.coalesce("low", F.lit(0)) - 1).cast("long").alias("ledger"), F.lit(-1).alias("sign")), F.struct(F.col("high").cast("long").alias("ledger"), F.lit(1).alias("sign"))))
-    edges = ranges.select("request_id", at.alias("e")).select("request_id", "e.*")
-    # An open end lies behind every reject.
-    edges = edges.withColumn("ledger", F.coalesce("ledger", F.lit((1 << 62) - 1)))
-    bucket = lambda c: F.floor(F.col(c) / LEDGERS).cast("long")
-    ledgers = rejects.select(F.col("ledger_index").cast("long").alias("ledger")).distinct().withColumn("bucket", bucket("ledger"))
-    counts = ledgers.groupBy("bucket").agg(F.count("*").alias("n"))
-    # Ledgers are numbered without gaps, so there are few buckets: one row a bucket that has a reject, and one an asked bucket.
-    asked = edges.select(bucket("ledger").alias("bucket")).distinct()
-    every = counts.unionByName(asked.withColumn("n", F.lit(0).cast("long"))).groupBy("bucket").agg(F.sum("n").alias("n"))
-    carried = every.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    null = lambda kind: F.lit(None).cast(kind)
-    key = edges.schema["request_id"].dataType
-    events = ledgers.select("bucket", "ledger", F.lit(1).alias("n"), null(key).alias("request_id"), null("int").alias("sign")).unionByName(
-        edges.select(bucket("ledger").alias("bucket"), "ledger", F.lit(0).alias("n"), "request_id", "sign")
-    )
-    inside = Window.partitionBy("bucket").orderBy("ledger", F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
-    counted = events.withColumn("_here", F.sum("n").over(inside)).filter("sign is not null").join(carried, "bucket")
-    held = counted.groupBy("request_id").agg(F.sum(F.col("sign") * (F.col("_here") + F.col("_before"))).alias("_n"))
-    return held.filter("_n > 0").select("request_id")
+    """The request_ids of ranges (request_id, low, high; null: open) that hold the ledger of a reject."""
+    return doubted(ranges, rejects, F.col("low"), F.col("high")).filter("_doubt").select("request_id").distinct()
 
 
 def doubted(requests: DataFrame, rejects: DataFrame | None, low: Column, high: Column) -> DataFrame:
-    """requests with _doubt: whether the range of ledgers behind the answer holds a reject."""
+    """requests with _doubt: whether the range of ledgers behind the answer (null: open) holds a reject.
+
+    A range holds one if the last reject up to its end doesn't lie before its beginning. Requests meet one row for each different
+    end, so however many ask for one ledger, no task orders them, and no range meets single rejects."""
     if rejects is None:
         return requests.withColumn("_doubt", F.lit(False))
-    hit = touched(requests.select("request_id", low.cast("long").alias("low"), high.cast("long").alias("high")), rejects).withColumn("_doubt", F.lit(True))
-    return requests.join(hit, "request_id", "left").withColumn("_doubt", F.coalesce("_doubt", F.lit(False)))
+    ended = requests.withColumn("_high", F.coalesce(high.cast("long"), F.lit(_END)))
+    last = _last_rejects(ended.select("_high").distinct(), rejects)
+    holds = F.coalesce(F.col("_last") >= F.coalesce(low.cast("long"), F.lit(0)), F.lit(False))
+    return ended.join(last, "_high", "left").select(*requests.columns, holds.alias("_doubt"))

@@ -113,7 +113,8 @@ def exp2_rejects(t: DriverTables) -> DataFrame:
 SELECT kind, request_id, CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.l BETWEEN q.low AND q.high) THEN 'unreadable' ELSE fine END AS status FROM q""")
 def exp2_refusals(t: DriverTables) -> DataFrame:
     """Balances, itemised answers and holders over ledgers with a document that breaks off are refused, all others answered."""
-    bad, i = rejects.rejected(_cut_documents(t)), t.issuances()
+    # Few rows out of a pass over all documents, which three kinds of answers look at.
+    bad, i = rejects.rejected(_cut_documents(t)).persist(StorageLevel.MEMORY_AND_DISK), t.issuances()
     ask = lambda rows, *values: rows.withColumn("v", F.explode(F.array(*(F.struct(*(F.lit(x).cast("long").alias(f"_{n}") for n, x in enumerate(v))) for v in values)))).select("*", "v.*")
     key = lambda *columns: F.concat_ws("|", *(F.col(c).cast("string") for c in columns)).alias("request_id")
     asked = ask(t.account_issuance(), (1499,), (1505,), (2300,)).select(key("issuance_id", "address", "_0"), "issuance_id", "address", F.col("_0").alias("ledger"))
