@@ -15,9 +15,13 @@ def latest(object_versions: DataFrame, keys: list[str] | None = None) -> DataFra
     marked. Aggregates before the shuffle, so an object with a long history costs one row a task."""
     keys = keys or ["object_id"]
     rest = [c for c in object_versions.columns if c not in keys]
-    # The greatest of (ledger, index); hash order breaks ties the other way round.
-    newest = F.max_by(F.struct(*rest), F.struct("ledger_index", "tx_index", F.translate("hash", "0123456789ABCDEF", "FEDCBA9876543210")))
-    return object_versions.groupBy(*keys).agg(newest.alias("_v")).select(*keys, "_v.*")
+    order = ["ledger_index", "tx_index", "hash"]
+    # The greatest of (ledger, index); hash order breaks ties the other way round. The rest comes behind it in the same struct, so
+    # that what versions are ordered by is shuffled once.
+    turned = lambda c: F.translate(c, "0123456789ABCDEF", "FEDCBA9876543210")
+    newest = F.max(F.struct("ledger_index", "tx_index", turned("hash").alias("hash"), *(c for c in rest if c not in order)))
+    found = object_versions.groupBy(*keys).agg(newest.alias("_v"))
+    return found.select(*keys, *((turned("_v.hash") if c == "hash" else F.col(f"_v.{c}")).alias(c) for c in rest))
 
 
 def latest_at(object_versions: DataFrame, points: DataFrame) -> DataFrame:
